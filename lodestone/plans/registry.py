@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from lodestone.plans import general
+from lodestone.plans import catalog, general
 
 FLAGSHIP = general.p3_summary
 
 
 def modules() -> list:
-    return [general]
+    return [general, catalog]
