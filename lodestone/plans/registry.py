@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from lodestone.plans import catalog, general
+from lodestone.plans import catalog, general, telemetry
 
-FLAGSHIP = general.p3_summary
+FLAGSHIP = telemetry.access_window_aggregate
 
 
 def modules() -> list:
-    return [general, catalog]
+    return [general, catalog, telemetry]
