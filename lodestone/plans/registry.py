@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from lodestone.plans import catalog, general, telemetry
+from lodestone.plans import catalog, general, retrieval, telemetry
 
 FLAGSHIP = telemetry.access_window_aggregate
 
 
 def modules() -> list:
-    return [general, catalog, telemetry]
+    return [general, catalog, telemetry, retrieval]
