@@ -136,7 +136,7 @@ def _vectors(spark: SparkSession, d: str) -> DataFrame:
 def vector_exact_knn(spark: SparkSession, d: str) -> DataFrame:
     """The ten nearest vectors of every vector whose id is divisible by 100."""
     v = _vectors(spark, d)
-    return r.exact_knn(v, v.where("id % 100 = 0"), TOP).select("query_id", "id", F.round("distance", 4).alias("distance"), "rank")
+    return r.exact_knn(v, v.where("id % 100 = 0"), TOP).select("query_id", "id", F.round(F.greatest(F.col("distance"), F.lit(0.0)), 4).alias("distance"), "rank")
 
 
 def max_similarity_per_label(spark: SparkSession, d: str) -> DataFrame:
@@ -193,7 +193,7 @@ SQL = {
     "metadata_score_topk": f"WITH {_Q}, {_META} SELECT query_id, passage_id, score, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, passage_id))::INT AS rank FROM m WHERE score > 0 QUALIFY rank <= {TOP}",
     "bm25_topk": f"WITH {_Q}, {_BM25} SELECT query_id, passage_id, score, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, passage_id))::INT AS rank FROM k QUALIFY rank <= {TOP}",
     "rrf_fusion": f"WITH {_Q}, {_META}, {_BM25}, g AS (SELECT query_id, passage_id, 'keyword' AS signal, 1.0::DOUBLE AS w, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, passage_id) AS rank FROM k QUALIFY rank <= 50 UNION ALL SELECT query_id, passage_id, 'metadata', 0.5::DOUBLE, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, passage_id) AS rank FROM m WHERE score > 0 QUALIFY rank <= 50), x AS (SELECT query_id, passage_id, round(sum(w / (60 + rank)), 9) AS score, string_agg(signal, ',' ORDER BY signal) AS signals FROM g GROUP BY 1, 2) SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, passage_id))::INT AS rank FROM x QUALIFY rank <= {TOP}",
-    "vector_exact_knn": f"WITH {_PAIRS} SELECT query_id, id, round(1 - cos, 4) AS distance, (row_number() OVER (PARTITION BY query_id ORDER BY 1 - cos, id))::INT AS rank FROM c QUALIFY rank <= {TOP}",
+    "vector_exact_knn": f"WITH {_PAIRS} SELECT query_id, id, round(greatest(1 - cos, 0), 4) AS distance, (row_number() OVER (PARTITION BY query_id ORDER BY 1 - cos, id))::INT AS rank FROM c QUALIFY rank <= {TOP}",
     "max_similarity_per_label": f"WITH {_PAIRS} SELECT query_id, label, round(max(cos), 4) AS similarity FROM c GROUP BY 1, 2",
     "vector_norms": "SELECT label, count(*) AS vectors, count(*) FILTER (list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)) > 0) AS valid, 1.0::DOUBLE AS self_similarity FROM embeddings GROUP BY 1",
     "feature_hash_embedding": f"WITH t AS (SELECT passage_id, sha256(w) AS h FROM (SELECT passage_id, unnest({_W.format('text', 40)}) AS w FROM (SELECT DISTINCT passage_id, text FROM corpus WHERE text IS NOT NULL))), v AS (SELECT passage_id, ('0x' || substr(h, 1, 8))::BIGINT % 64 AS bucket, sum(CASE WHEN ('0x' || substr(h, 9, 1))::INT % 2 = 0 THEN 1 ELSE -1 END) AS n FROM t GROUP BY 1, 2 HAVING n <> 0) SELECT passage_id, bucket, round(n / sqrt(sum(n * n) OVER (PARTITION BY passage_id)), 6)::DOUBLE AS value FROM v",
