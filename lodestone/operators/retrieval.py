@@ -198,3 +198,12 @@ def best_per_group(corpus: DataFrame, queries: DataFrame) -> DataFrame:
     if found is None:
         return corpus.sparkSession.createDataFrame([], "query_id long, group int, similarity double")
     return found.groupBy("query_id", "group").agg(F.max("similarity").alias("similarity"))
+
+
+def extractive_answer(ranked: DataFrame, text: str, passages: int = 2, most: int = 4000) -> DataFrame:
+    """query_id, answer, cited of ranked (query_id, id, rank, text): the first distinct passages that fit, joined in order of rank."""
+    first = ranked.where(F.col(text).isNotNull()).groupBy("query_id", text).agg(F.min(F.struct("rank", "id")).alias("x")).select("query_id", F.col("x.rank").alias("rank"), F.col("x.id").alias("id"), F.col(text).alias("text"))
+    w = Window.partitionBy("query_id").orderBy("rank")  # ranked has the top k of each query
+    kept = first.withColumn("place", F.row_number().over(w)).withColumn("length", F.sum(F.length("text")).over(w)).where((F.col("place") <= passages) & (F.col("length") <= most))
+    a = kept.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "id", "text"))).alias("a"))
+    return a.select("query_id", F.array_join(F.transform("a", lambda x: x["text"]), "\n\n").alias("answer"), F.array_join(F.transform("a", lambda x: x["id"]), ",").alias("cited"))

@@ -129,6 +129,13 @@ def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
     return r.top_k(fused, ["query_id"], [F.col("score").desc(), F.col("id")], TOP).select("query_id", F.col("id").alias("passage_id"), "score", "signals", "rank")
 
 
+def extractive_answers(spark: SparkSession, d: str) -> DataFrame:
+    """An answer to each question from its best passages."""
+    top = r.top_k(_keyword(spark, d), ["query_id"], [F.col("score").desc(), F.col("passage_id")], TOP)
+    texts = table(spark, d, "corpus", "passage_id", "text").distinct()
+    return r.extractive_answer(top.join(texts, "passage_id").withColumnRenamed("passage_id", "id"), "text", 2, 600)
+
+
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings", F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), F.col("label").alias("group"))
 
@@ -166,7 +173,7 @@ def feature_hash_embedding(spark: SparkSession, d: str) -> DataFrame:
     return r.feature_hash(table(spark, d, "corpus", "passage_id", "text").distinct(), "passage_id", "text", 64).withColumn("value", F.round("value", 6))
 
 
-QUERIES = {f.__name__: f for f in (text_chunks, chunk_digests, fixed_passages, word_boundary_passages, tidy_digests, object_types, pii_pattern_findings, secret_redaction, pseudonyms, canonical_times, passage_uuids, span_grounding, metadata_score_topk, bm25_topk, rrf_fusion, vector_exact_knn, max_similarity_per_label, ann_recall, vector_norms, feature_hash_embedding)}
+QUERIES = {f.__name__: f for f in (text_chunks, chunk_digests, fixed_passages, word_boundary_passages, tidy_digests, object_types, pii_pattern_findings, secret_redaction, pseudonyms, canonical_times, passage_uuids, span_grounding, metadata_score_topk, bm25_topk, rrf_fusion, extractive_answers, vector_exact_knn, max_similarity_per_label, ann_recall, vector_norms, feature_hash_embedding)}
 
 _Q = "q AS (SELECT * FROM (VALUES " + ", ".join(f"({i}::BIGINT, '{q}')" for i, q in enumerate(QUESTIONS)) + ") t(query_id, query))"
 _W = "list_filter(regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}]+'), lambda w: length(w) <= {1})"
@@ -193,6 +200,7 @@ SQL = {
     "metadata_score_topk": f"WITH {_Q}, {_META} SELECT query_id, passage_id, score, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, passage_id))::INT AS rank FROM m WHERE score > 0 QUALIFY rank <= {TOP}",
     "bm25_topk": f"WITH {_Q}, {_BM25} SELECT query_id, passage_id, score, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, passage_id))::INT AS rank FROM k QUALIFY rank <= {TOP}",
     "rrf_fusion": f"WITH {_Q}, {_META}, {_BM25}, g AS (SELECT query_id, passage_id, 'keyword' AS signal, 1.0::DOUBLE AS w, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, passage_id) AS rank FROM k QUALIFY rank <= 50 UNION ALL SELECT query_id, passage_id, 'metadata', 0.5::DOUBLE, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, passage_id) AS rank FROM m WHERE score > 0 QUALIFY rank <= 50), x AS (SELECT query_id, passage_id, round(sum(w / (60 + rank)), 9) AS score, string_agg(signal, ',' ORDER BY signal) AS signals FROM g GROUP BY 1, 2) SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, passage_id))::INT AS rank FROM x QUALIFY rank <= {TOP}",
+    "extractive_answers": f"WITH {_Q}, {_BM25}, t AS (SELECT query_id, passage_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, passage_id)) AS rank FROM k QUALIFY rank <= {TOP}), u AS (SELECT query_id, text, min(rank) AS rank, arg_min(passage_id, rank) AS id FROM t JOIN (SELECT DISTINCT passage_id, text FROM corpus) USING (passage_id) WHERE text IS NOT NULL GROUP BY 1, 2), v AS (SELECT *, row_number() OVER w AS place, sum(length(text)) OVER w AS n FROM u WINDOW w AS (PARTITION BY query_id ORDER BY rank)) SELECT query_id, string_agg(text, chr(10) || chr(10) ORDER BY rank) AS answer, string_agg(id, ',' ORDER BY rank) AS cited FROM v WHERE place <= 2 AND n <= 600 GROUP BY 1",
     "vector_exact_knn": f"WITH {_PAIRS} SELECT query_id, id, round(greatest(1 - cos, 0), 4) AS distance, (row_number() OVER (PARTITION BY query_id ORDER BY 1 - cos, id))::INT AS rank FROM c QUALIFY rank <= {TOP}",
     "max_similarity_per_label": f"WITH {_PAIRS} SELECT query_id, label, round(max(cos), 4) AS similarity FROM c GROUP BY 1, 2",
     "vector_norms": "SELECT label, count(*) AS vectors, count(*) FILTER (list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)) > 0) AS valid, 1.0::DOUBLE AS self_similarity FROM embeddings GROUP BY 1",

@@ -197,3 +197,17 @@ def test_chains_and_ancestry(spark):
     edges = [("r", None), ("a", "r"), ("b", "a"), ("c", "b"), ("lost", "nowhere"), ("x", "y"), ("y", "x"), ("z", "x")] + [(f"n{i}", f"n{i - 1}" if i else None) for i in range(40)]
     got = {x.node: (x.root, x.depth) for x in ledger.ancestry(spark.createDataFrame(edges, "node string, parent string"), 8).collect()}
     assert got["c"] == ("r", 3) and got["n39"] == ("n0", 39) and all(got[k] == (None, None) for k in ("lost", "x", "y", "z"))
+
+
+def test_hooks_and_unknowns(spark):
+    from lodestone.functions import hooks
+
+    df = spark.createDataFrame([(1, "12"), (2, "x"), (3, "345")], "id long, t string")
+    assert sorted((x.id, x.n) for x in hooks.apply(df, "tests.hook_samples:lengths", "t", "n", "long").collect()) == [(1, 2), (2, 1), (3, 3)]
+    got = {x.id: (x.n, x.n_error) for x in hooks.apply(df, "tests.hook_samples:numbers", "t", "n", "long", keep_errors=True).collect()}
+    assert got == {1: (12, None), 2: (None, "ValueError"), 3: (345, None)}
+    assert [x.id for x in hooks.pending(df, df.where("id < 3"), ["id"]).collect()] == [3]
+    b = spark.createDataFrame([(1,), (3,), (5000,)], "a int").select(hooks.backoff_seconds(F.col("a"), 0.5, 60.0).alias("s")).collect()
+    assert [x.s for x in b] == [0.5, 2.0, 60.0]
+    s = spark.createDataFrame([("a", 1), ("a", None), ("b", 2)], "k string, v int").groupBy("k").agg(hooks.sum_or_null(F.col("v")).alias("s")).collect()
+    assert {x.k: x.s for x in s} == {"a": None, "b": 2}
