@@ -1,7 +1,7 @@
 """Splitting long texts at natural boundaries, by lexical cohesion.
 
 At every gap between sentences or lines the words before and behind are compared: the cosine of the word counts of two blocks of
-BLOCK words. Where the similarity falls into a valley the topic changes; a valley's depth is how far it lies below the peaks on
+BLOCK words. A gap without a blank, as after an ideographic full stop, ends a piece only where the TAIL before it holds no blank. Where the similarity falls into a valley the topic changes; a valley's depth is how far it lies below the peaks on
 both sides. A piece ends at the deepest valley of its size window, which is the later half of the size limit; where no sentence ends
 there, at the last blank of the window, and only where there is no blank at all, at the limit itself. The next piece starts overlap code
 points before that end.
@@ -74,7 +74,9 @@ def natural_end(text: str, start: int, limit: int, at: list[int], depth: list[fl
     while first < len(at) and at[first] <= low:
         first += 1
     while first < len(at) and at[first] <= high:
-        if best is None or depth[first] >= depth[best]:
+        g = at[first]
+        blank = text[g - 1] in " \n\r" or text[g : g + 1] in (" ", "\n", "\r")
+        if (best is None or depth[first] >= depth[best]) and (blank or not _BLANK.search(text, max(start, g - TAIL), g)):
             best = first
         first += 1
     if best is not None:

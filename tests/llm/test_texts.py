@@ -142,7 +142,7 @@ def test_pieces_cover_the_text_and_end_naturally():
                 assert s == cut[i - 1][1] - 100
             if e < len(text):
                 natural = text[e - 1] in " \n\r" or text[e] in " \n\r"
-                assert natural or not any(b in text[max(s, e - 300) : e] for b in " \n\r") or text[e - 1] in "。！？"
+                assert natural or not any(b in text[max(s, e - 300) : e] for b in " \n\r")
 
 
 def test_deepest_valley_is_where_the_topic_changes():
