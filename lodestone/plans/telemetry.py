@@ -160,7 +160,51 @@ def sessions(spark: SparkSession, d: str) -> DataFrame:
     return s.groupBy("user_id").agg(F.count(F.lit(1)).alias("sessions"), F.max("n").alias("longest"))
 
 
-QUERIES = {f.__name__: f for f in (access_window_aggregate, access_recency, sliding_rate_window, bad_event_ratio, multi_window_alert, histogram_buckets, histogram_quantile, gap_and_coverage, slot_completeness, sustained_condition, max_concurrency_sweep, interval_overlap_join, attempt_chain_check, job_status_rollup, lag_state_transitions, load_evaluation, max_unless_unknown, ingestion_lag, sessions)}
+def audit_page(spark: SparkSession, d: str) -> DataFrame:
+    """The newest errors and purchases of January's second week behind a cursor (time, id), 100 a page."""
+    e = table(spark, d, "events", "event_id", "ts", "event_type", "user_id").where(F.col("event_type").isin("error", "purchase"))
+    e = e.where((F.col("ts") >= F.lit("2024-01-08").cast("timestamp_ntz")) & (F.col("ts") < F.lit("2024-01-15").cast("timestamp_ntz")))
+    mark = F.lit("2024-01-13 12:00:00").cast("timestamp_ntz")
+    e = e.where((F.col("ts") < mark) | ((F.col("ts") == mark) & (F.col("event_id") < 5000)))
+    return e.orderBy(F.col("ts").desc(), F.col("event_id").desc()).limit(100).select("event_id", "event_type", "user_id")
+
+
+def offset_page(spark: SparkSession, d: str) -> DataFrame:
+    """orders by price, the page from 200 to 250."""
+    return table(spark, d, "orders", "o_orderkey", "o_totalprice").orderBy(F.col("o_totalprice").desc(), "o_orderkey").offset(200).limit(50)
+
+
+def workload(spark: SparkSession, d: str) -> DataFrame:
+    """A reproducible workload of 10,000 requests: kinds by cycle, sizes by hash."""
+    h = F.conv(F.substring(F.sha2(F.concat(F.lit("w:"), F.col("id").cast("string")), 256), 1, 8), 16, 10).cast("long")
+    return spark.range(10_000).select("id", F.element_at(F.array(F.lit("put"), F.lit("get"), F.lit("head")), (F.col("id") % 3 + 1).cast("int")).alias("kind"), F.when(h % 100 < 50, 256).when(h % 100 < 80, 1024).otherwise(4096).alias("bytes"))
+
+
+def before_after(spark: SparkSession, d: str) -> DataFrame:
+    """Per metric the largest value before and after the middle of 2025, and whether it grew by a tenth at most."""
+    s = table(spark, d, "samples", "metric", "value", "observed_at").where("value IS NOT NULL AND NOT isnan(value)")
+    cut = F.lit("2025-06-30").cast("timestamp_ntz")
+    x = s.groupBy("metric").agg(F.max(F.when(F.col("observed_at") < cut, F.col("value"))).alias("before"), F.max(F.when(F.col("observed_at") >= cut, F.col("value"))).alias("after"))
+    return x.withColumn("bounded", F.col("after") * 100 <= F.col("before") * 110)
+
+
+def evidence_join(spark: SparkSession, d: str) -> DataFrame:
+    """Calls whose job has a call that was never verified, and jobs with verified calls alone."""
+    m = table(spark, d, "movement", "call_id", "job_id", "verified").distinct()
+    bad = m.where("NOT verified").select("job_id").distinct()
+    touched = m.join(bad, "job_id", "left_semi").agg(F.count(F.lit(1)).alias("n")).withColumn("what", F.lit("calls of jobs with an unverified call"))
+    clean = m.select("job_id").distinct().join(bad, "job_id", "left_anti").agg(F.count(F.lit(1)).alias("n")).withColumn("what", F.lit("jobs with verified calls alone"))
+    return touched.unionByName(clean)
+
+
+def eligible_slots(spark: SparkSession, d: str) -> DataFrame:
+    """Five-hour slots of each kind with at least 20 events whose values are all positive."""
+    e = table(spark, d, "events", "event_type", "ts", "value")
+    x = e.groupBy("event_type", F.window("ts", "5 hours").alias("w")).agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("least"))
+    return x.where("n >= 20 AND least > 0").select("event_type", F.col("w.start").alias("start"), "n")
+
+
+QUERIES = {f.__name__: f for f in (access_window_aggregate, access_recency, sliding_rate_window, bad_event_ratio, multi_window_alert, histogram_buckets, histogram_quantile, gap_and_coverage, slot_completeness, sustained_condition, max_concurrency_sweep, interval_overlap_join, attempt_chain_check, job_status_rollup, lag_state_transitions, load_evaluation, max_unless_unknown, ingestion_lag, sessions, audit_page, offset_page, workload, before_after, evidence_join, eligible_slots)}
 
 _E = "e AS (SELECT event_id, user_id, event_type AS kind, epoch_us(ts) AS at_us, value, CASE WHEN value < 100 THEN 1.0::DOUBLE ELSE 0.25::DOUBLE END AS sample_rate, max(epoch_us(ts)) OVER () AS as_of FROM events)"
 _CELLS = ", ".join(
@@ -191,4 +235,10 @@ SQL = {
     "max_unless_unknown": "SELECT metric, max(value) AS most FROM samples WHERE NOT isnan(value) AND metric NOT IN (SELECT metric FROM samples WHERE value IS NULL) GROUP BY 1",
     "ingestion_lag": "SELECT metric, count(*) AS samples, max(g) AS most_us, (sum(g) // count(*))::BIGINT AS mean_us, count(*) FILTER (g > 86400000000) AS late FROM (SELECT metric, epoch_us(received_at) - epoch_us(observed_at) AS g FROM (SELECT DISTINCT sample_id, metric, observed_at, received_at FROM samples) WHERE observed_at IS NOT NULL AND received_at IS NOT NULL) GROUP BY 1",
     "sessions": "WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 2 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), p AS (SELECT user_id, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS part FROM g), s AS (SELECT user_id, part, count(*) AS n FROM p GROUP BY 1, 2) SELECT user_id, count(*) AS sessions, max(n) AS longest FROM s GROUP BY 1",
+    "audit_page": "SELECT event_id, event_type, user_id FROM events WHERE event_type IN ('error', 'purchase') AND ts >= '2024-01-08' AND ts < '2024-01-15' AND (ts < '2024-01-13 12:00:00' OR (ts = '2024-01-13 12:00:00' AND event_id < 5000)) ORDER BY ts DESC, event_id DESC LIMIT 100",
+    "offset_page": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 50 OFFSET 200",
+    "workload": "SELECT id, ['put', 'get', 'head'][id % 3 + 1] AS kind, CASE WHEN h % 100 < 50 THEN 256 WHEN h % 100 < 80 THEN 1024 ELSE 4096 END AS bytes FROM (SELECT id, ('0x' || substr(sha256('w:' || id), 1, 8))::BIGINT AS h FROM range(10000) r(id))",
+    "before_after": "SELECT metric, max(value) FILTER (observed_at < '2025-06-30') AS before, max(value) FILTER (observed_at >= '2025-06-30') AS after, max(value) FILTER (observed_at >= '2025-06-30') * 100 <= max(value) FILTER (observed_at < '2025-06-30') * 110 AS bounded FROM samples WHERE value IS NOT NULL AND NOT isnan(value) GROUP BY 1",
+    "evidence_join": "WITH m AS (SELECT DISTINCT call_id, job_id, verified FROM movement), b AS (SELECT DISTINCT job_id FROM m WHERE NOT verified) SELECT count(*) AS n, 'calls of jobs with an unverified call' AS what FROM m WHERE job_id IN (FROM b) UNION ALL SELECT count(DISTINCT job_id), 'jobs with verified calls alone' FROM m WHERE job_id NOT IN (FROM b)",
+    "eligible_slots": "SELECT event_type, time_bucket(INTERVAL '5 hours', ts, TIMESTAMP '1970-01-01') AS start, count(*) AS n FROM events GROUP BY 1, 2 HAVING count(*) >= 20 AND min(value) > 0",
 }
