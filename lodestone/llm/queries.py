@@ -5,11 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, lookalike, mixing, radix, splitting
+from lodestone.llm import bpe, lookalike, mixing, pii, radix, splitting
 from lodestone.session import cut, prepare_workers, worker
 from lodestone.sources.tables import table
 
 
+def _free_text(spark: SparkSession, d: str) -> DataFrame:
+    """Texts of golden and corpus; exact copies of a row once."""
+    g = table(spark, d, "golden", "id", "source_text").select(F.lit("golden").alias("table_name"), F.col("id").alias("record_id"), F.col("source_text").alias("text"))
+    c = table(spark, d, "corpus", "passage_id", "text").select(F.lit("corpus").alias("table_name"), F.col("passage_id").alias("record_id"), "text")
+    return g.unionByName(c).distinct()
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Where texts mention personal information."""
+    return pii.find_mentions(_free_text(spark, d), table(spark, d, "staff_directory")).select("table_name", "record_id", "kind", "start_codepoint").distinct()
+
+
+def p2_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """The texts with typed placeholders for personal information."""
+    return pii.redacted(_free_text(spark, d), table(spark, d, "staff_directory"))
+
+
 def _texts(spark: SparkSession, d: str) -> DataFrame:
     return splitting.one_text(table(spark, d, "golden", "id", "source_text").select(F.col("id").alias("document_id"), F.col("source_text").alias("text")))
 
@@ -82,7 +99,7 @@ def p9_canonical(spark: SparkSession, d: str) -> DataFrame:
     return c.select("doc_id", F.col("canonical").alias("text"), (~F.col("text").eqNullSafe(F.col("canonical"))).alias("changed"))
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_pieces, p6_percentiles, p6_daily, p6_days_together, p7_ids, p8_mixture, p8_shares, p9_found, p9_canonical)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_redacted, p5_found, p5_pieces, p6_percentiles, p6_daily, p6_days_together, p7_ids, p8_mixture, p8_shares, p9_found, p9_canonical)}
 
 _RANKED = """
 WITH v AS (SELECT sample_id, min({{cohort: cohort, metric: metric, day: observed_at::DATE, value: value}}) AS x FROM samples WHERE value IS NOT NULL AND NOT isnan(value) GROUP BY sample_id),
