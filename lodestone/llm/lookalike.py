@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.operators.skew import hot_keys, salted_join
+from lodestone.operators.skew import SALTS, hot_keys, salted_join
 from lodestone.session import cut, prepare_workers, worker
 
 #: Letters of other scripts and the Latin letter of the same shape, from the public list of confusable characters.
@@ -155,18 +155,24 @@ def same_look_pairs(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     """doc_id_a, doc_id_b (a < b): documents that look the same and are not equal character by character.
 
     Texts are compared by SHA-256. Documents are first counted per canonical form and exact text; only forms with at least two exact
-    texts go on, so a group of exact copies alone, however large, is left behind before anything is joined. Members of the
-    same form with another text are joined by form and text, a hot one spread by salt.
+    texts go on, so a group of exact copies alone, however large, is left behind before anything is joined. Texts are paired
+    first, then their documents; those of a text with at least hot_rows documents are spread by salt.
     """
     c = with_canonical(docs.where(F.col(text).isNotNull()).select(F.col(id_column).alias("id"), F.col(text).alias("text")))
     keyed = cut(c.where(F.col("canonical").rlike(r"(?U)\S")).select("id", F.unhex(F.sha2("canonical", 256)).alias("form"), F.unhex(F.sha2("text", 256)).alias("exact")))
     texts = keyed.groupBy("form", "exact").agg(F.count(F.lit(1)).alias("n"))
     several = texts.groupBy("form").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("form")
-    texts = texts.join(several, "form", "left_semi")
+    texts = cut(texts.join(several, "form", "left_semi"))
     hot = hot_keys(texts, ["form", "exact"], "n", hot_rows=hot_rows)
-    other = texts.alias("x").join(texts.select("form", F.col("exact").alias("other")).alias("y"), "form").where("exact <> other").select("form", "exact", "other")
+    # Each pair of texts once, the one with more documents first.
+    other = texts.select("form", F.col("exact").alias("other"), F.col("n").alias("m"))
+    pairs = texts.join(other, "form").where(F.struct("n", "exact") > F.struct("m", "other")).select("form", "exact", "other", (F.col("n") >= hot_rows).alias("spread"))
     members = keyed.join(texts.select("form", "exact"), ["form", "exact"], "left_semi")
-    # Each member meets the members of every other text of its form once from either side; a < b keeps one of the two.
-    left = members.join(other, ["form", "exact"]).select(F.col("id").alias("doc_id_a"), "form", F.col("other").alias("exact"))
-    pairs = left.join(members.select(F.col("id").alias("doc_id_b"), "form", "exact"), ["form", "exact"])
-    return pairs.where("doc_id_a < doc_id_b").select("doc_id_a", "doc_id_b").distinct()
+    salt = F.when(F.col("spread"), F.pmod(F.xxhash64("one"), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
+    first = salted_join(members.withColumnRenamed("id", "one"), pairs, ["form", "exact"], hot).select("one", "form", F.col("other").alias("exact"), salt.alias("salt"))
+    # Documents of the second text meet those of the first; where these are many they stand in SALTS parts, and the fewer are repeated.
+    repeated = pairs.where("spread").select("form", F.col("other").alias("exact"), F.lit(True).alias("repeated")).distinct()
+    parts = F.when(F.col("repeated"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    second = salted_join(members.withColumnRenamed("id", "two"), repeated, ["form", "exact"], hot, "left").select("two", "form", "exact", F.explode(parts).alias("salt"))
+    found = first.join(second, ["form", "exact", "salt"])
+    return found.select(F.least("one", "two").alias("doc_id_a"), F.greatest("one", "two").alias("doc_id_b")).where("doc_id_a < doc_id_b").distinct()
