@@ -16,12 +16,15 @@ from collections.abc import Iterable, Sequence
 import numpy as np
 
 #: A token is a code of capitals and digits, a run of digits, of ideographs or kana, of other letters (with apostrophes), or one sign.
-TOKEN = re.compile(r"(?<![A-Za-z0-9])(?=[A-Z]*[0-9])(?=[0-9]*[A-Z])[A-Z0-9]{6,12}(?![A-Za-z0-9])|\d+|[\u3040-\u30ff\u3400-\u9fff]+|(?:(?![\u3040-\u30ff\u3400-\u9fff_])[^\W\d]|[\u0300-\u036f])+(?:[’'](?:[^\W\d_]|[\u0300-\u036f])+)*|[^\w\s]|_")
+_LETTER, _MARK = r"[^\W\d_\u3040-\u30ff\u3400-\u9fff]", r"[\u0300-\u036f]"
+TOKEN = re.compile(rf"(?<![A-Za-z0-9])(?=[A-Z]*[0-9])(?=[0-9]*[A-Z])[A-Z0-9]{{6,12}}(?![A-Za-z0-9])|{_LETTER}+(?:{_MARK}+{_LETTER}*|[’']{_LETTER}+)*|\d+|[\u3040-\u30ff\u3400-\u9fff]+|[^\w\s]|_")
 #: Distances of the tokens whose features count, and the size of the weight table (features are placed by hash).
 REACH, TABLE = 3, 1 << 18
+#: Strings whose classes are kept in a process; beyond, they are collected anew.
+MOST_KNOWN = 600_000
 #: Tokens after which a longer paragraph is decoded in parts, at the next token that ends a sentence.
 LONGEST = 4096
-_PARAGRAPH = re.compile(r"\n[ \t\r]*\n\s*")
+_PARAGRAPH = re.compile(r"\n[ \t\r]*\n")
 
 
 def shape(token: str) -> str:
@@ -43,24 +46,60 @@ def coarse(token: str) -> int:
     return {",": 12, ".": 13, "@": 14, "(": 15, ")": 15, "-": 16, "/": 17, ":": 18}.get(token, 19)
 
 
+class _Classes:
+    """Numbers of strings by what features they have, with the hashes of the features one after the other; kept between batches."""
+
+    def __init__(self, features):
+        self.features, self.known, self.by_features = features, {}, {}
+        self.flat: list[int] = []
+        self.kind: list[int] = []  # the coarse shape of each class of tokens
+        self.begin: list[int] = []
+        self.number_of("")
+
+    def number_of(self, text: str) -> int:
+        names = self.features(text) if text else ["none"]
+        key = tuple(names)
+        n = self.by_features.get(key)
+        if n is None:
+            n = self.by_features[key] = len(self.begin)
+            self.begin.append(len(self.flat))
+            self.flat += [zlib.crc32(x.encode()) for x in names]
+            self.kind.append(int(names[4][2:]) if len(names) > 4 and names[4].startswith("k=") else 0)
+        self.known[text] = n
+        return n
+
+    def numbers(self, texts: Sequence[str]) -> np.ndarray:
+        known, new = self.known.get, self.number_of
+        return np.array([k if (k := known(t)) is not None else new(t) for t in texts], dtype=np.int32)
+
+
 class Features:
     """Features of tokens and runs, with lists of listed given and family names (lower case, single words)."""
 
     def __init__(self, given: Iterable[str] = (), family: Iterable[str] = ()):
         self.given = {g.casefold() for g in given}
         self.family = {part for f in family for part in re.split(r"[ -]", f.casefold()) if len(part) > 3} | {f.casefold() for f in family}
+        self.tables: dict[int, np.ndarray] = {}
+        self.weights: np.ndarray | None = None
+        self.restart()
+
+    def restart(self) -> None:
+        """Forgets the strings seen so far."""
+        self.tokens, self.runs = _Classes(self.of_token), _Classes(self.of_run)
+        self.tables.clear()
 
     def of_token(self, token: str) -> list[str]:
         w = unicodedata.normalize("NFC", token.casefold())
-        out = ["b", f"w={w}" if not w.isdigit() else f"n={len(w)}", f"s={shape(token)}", f"c={coarse(token)}"]
-        if len(w) > 3 and not w.isdigit():
+        kind = coarse(token)
+        if kind <= 6 or kind == 11:  # numbers and codes: only their shape tells
+            return ["b", f"n={len(w)}", f"s={shape(token)}", f"c={kind}", f"k={kind}"]
+        out = ["b", f"w={w}", f"s={shape(token)}", f"c={kind}", f"k={kind}"]
+        if len(w) > 3:
             out += [f"e={w[-3:]}", f"e={w[-4:]}"] if len(w) > 4 else [f"e={w[-3:]}"]
         if w in self.given:
-            out.append("given")
-            out.append(f"given{coarse(token)}")
+            out += ["given", f"given{kind}"]
         if w in self.family:
-            out.append("family")
-            out.append(f"family{coarse(token)}")
+            out += ["family", f"family{kind}"]
         return out
 
     @staticmethod
@@ -73,7 +112,7 @@ class Features:
             kind.append("at-word")
         digits = sum(c.isdigit() for c in core)
         kind.append(f"digits{min(digits, 12)}" if digits else "letters" if core.isalpha() else "signs")
-        if digits:
+        if digits and not any(c.isalpha() for c in core):
             kind.append("form=" + re.sub(r"\d+", lambda m: f"d{min(len(m.group()), 9)}", core)[:20])
         if "/" in core and not digits:
             kind.append("path")
@@ -88,93 +127,89 @@ class Features:
 
 
 class Encoded:
-    """Texts cut into sequences of tokens, with the numbers of their distinct tokens and runs."""
+    """Texts cut into sequences of tokens (paragraphs, very long ones in parts), with the classes of their tokens and runs."""
 
-    def __init__(self, texts: Sequence[str]):
-        self.tokens: dict[str, int] = {"": 0}
-        self.runs: dict[str, int] = {"": 0}
-        token, run, place, gap, start, end, text_of, first = [], [], [], [], [], [], [], [0]
+    def __init__(self, texts: Sequence[str], features: Features):
+        if len(features.tokens.known) + len(features.runs.known) > MOST_KNOWN:
+            features.restart()
+        token, run, place, gap, start, end, text_of, opens = ([] for _ in range(8))
         for k, text in enumerate(texts):
-            offset = 0
-            for part in [*_PARAGRAPH.finditer(text), None]:
-                stop = part.start() if part else len(text)
-                last_end, run_of, run_no, inside, since = offset, None, 0, 0, 0
-                for m in TOKEN.finditer(text, offset, stop):
-                    s, e = m.span()
-                    blank = text[last_end:s]
-                    if run_of is None or blank:
-                        run_end = s
-                        while run_end < stop and not text[run_end].isspace() and run_end - s < 80:
-                            run_end += 1
-                        run_no = self.runs.setdefault(text[s:run_end], len(self.runs))
-                        run_of, inside = s, 0
-                    word = m.group() if e - s <= 60 else text[s : s + 60]
-                    token.append(self.tokens.setdefault(word, len(self.tokens)))
-                    run.append(run_no)
-                    place.append(min(inside, 3))
-                    gap.append(0 if not blank and s > offset else 1 if blank == " " else 3 if "\n" in blank or s == offset else 2)
-                    start.append(s)
-                    end.append(e)
-                    text_of.append(k)
-                    last_end, inside, since = e, inside + 1, since + 1
-                    if since >= LONGEST and word in ".!?":
-                        first.append(len(token))
-                        since = 0
-                if first[-1] != len(token):
-                    first.append(len(token))
-                offset = part.end() if part else stop
-        self.token, self.run, self.place, self.gap = (np.array(x, dtype=np.int32) for x in (token, run, place, gap))
-        self.start, self.end, self.text_of = (np.array(x, dtype=np.int64) for x in (start, end, text_of))
-        self.first = np.array(first, dtype=np.int64)
-        self.coarse = np.array([0 if not t else coarse(t) for t in self.tokens], dtype=np.int32)
+            found = list(TOKEN.finditer(text))
+            n = len(found)
+            if not n:
+                continue
+            words = [m.group() for m in found]
+            s = np.array([m.start() for m in found], dtype=np.int64)
+            e = s + np.array([len(w) for w in words], dtype=np.int64)
+            chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+            between = np.empty(n, dtype=np.int64)
+            between[0], between[1:] = s[0], s[1:] - e[:-1]
+            sign = chars[np.maximum(s - 1, 0)]
+            kind = np.where(between == 0, 0, np.where(between == 1, np.where(sign == 32, 1, np.where((sign == 10) | (sign == 13), 3, 2)), 2)).astype(np.int32)
+            first = np.zeros(n, dtype=bool)
+            first[0] = True
+            for i in np.nonzero(between > 1)[0]:
+                blank = text[s[i] - between[i] : s[i]]
+                if "\n" in blank or "\r" in blank:
+                    kind[i] = 3
+                    first[i] |= bool(_PARAGRAPH.search(blank))
+            since = 0
+            if n > LONGEST:
+                for i in range(n):
+                    since = 0 if first[i] else since + 1
+                    if since >= LONGEST and words[i - 1] in ".!?":
+                        first[i], since = True, 0
+            kind[first] = 3
+            new_run = (between > 0) | first
+            number = np.cumsum(new_run) - 1
+            at = np.nonzero(new_run)[0]
+            stop = np.append(e[at[1:] - 1], e[-1])
+            runs = features.runs.numbers([text[x : min(y, x + 80)] for x, y in zip(s[at].tolist(), stop.tolist())])
+            token.append(features.tokens.numbers([w if len(w) <= 60 else w[:60] for w in words]))
+            run.append(runs[number])
+            place.append(np.minimum(np.arange(n) - at[number], 3).astype(np.int32))
+            gap.append(kind)
+            start.append(s)
+            end.append(e)
+            text_of.append(np.full(n, k, dtype=np.int64))
+            opens.append(first)
+        join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, dtype=kind)
+        self.token, self.run, self.place, self.gap = (join(x, np.int32) for x in (token, run, place, gap))
+        self.start, self.end, self.text_of = (join(x, np.int64) for x in (start, end, text_of))
+        opens = join(opens, bool)
+        self.first = np.append(np.nonzero(opens)[0], len(opens)).astype(np.int64)
+        self.sequence = np.cumsum(opens) - 1
 
     def neighbours(self, distance: int, of: np.ndarray) -> np.ndarray:
         """of shifted by distance within each sequence; 0 beyond its ends."""
-        out = np.zeros_like(of)
         if distance == 0:
             return of
-        n = len(of)
-        if abs(distance) < n:
-            if distance > 0:
-                out[:-distance] = of[distance:]
-            else:
-                out[-distance:] = of[:distance]
-        seq = np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
-        other = np.full(n, -1, dtype=seq.dtype)
+        out, n = np.zeros_like(of), len(of)
         if abs(distance) < n:
-            if distance > 0:
-                other[:-distance] = seq[distance:]
-            else:
-                other[-distance:] = seq[:distance]
-        out[other != seq] = 0
+            here, there = (slice(0, n - distance), slice(distance, n)) if distance > 0 else (slice(-distance, n), slice(0, n + distance))
+            out[here] = np.where(self.sequence[here] == self.sequence[there], of[there], 0)
         return out
 
 
-def _place(name: str) -> int:
-    return zlib.crc32(name.encode()) % TABLE
-
-
-def templates(e: Encoded, f: Features) -> list[tuple[np.ndarray, list[list[int]]]]:
-    """(number of each token's value, weight rows of each value) per template; a token's score sums its rows over all templates."""
-    own = [f.of_token(t) if t else ["none"] for t in e.tokens]
-    out = []
-    for d in range(-REACH, REACH + 1):
-        out.append((e.neighbours(d, e.token), [[_place(f"{d}|{x}") for x in xs] for xs in own]))
-    runs = [f.of_run(r) if r else ["none"] for r in e.runs]
-    count = len(runs)
-    placed = e.run.astype(np.int64) * 4 + e.place
-    out.append((placed, [[_place(f"r{p}|{x}") for x in runs[k]] for k in range(count) for p in range(4)]))
-    for d in (-1, 1):  # the run before and behind: that of the token just outside this run
-        out.append((_next_run(e, d), [[_place(f"r{d:+d}|{x}") for x in xs] for xs in runs]))
-        out.append((_next_run(e, 2 * d), [[_place(f"r{2 * d:+d}|{x}") for x in xs] for xs in runs]))
-    blank = e.gap.astype(np.int64) * 5 + np.where(e.neighbours(1, e.token) == 0, 4, e.neighbours(1, e.gap))
-    out.append((blank, [[_place(f"g|{a}|{b}"), _place(f"ga|{a}"), _place(f"gb|{b}")] for a in range(4) for b in range(5)]))
-    c = e.coarse[e.token]
-    for name, trio in (("t", (-1, 0, 1)), ("u", (0, 1, 2)), ("v", (-2, -1, 0))):
-        a, b, d = (e.neighbours(k, c) for k in trio)
-        joint = (a.astype(np.int64) * 20 + b) * 20 + d
-        values, number = np.unique(joint, return_inverse=True)
-        out.append((number, [[_place(f"{name}|{v}")] for v in values]))
+def _placed(base: np.ndarray, template: int) -> np.ndarray:
+    """The weight rows of feature hashes in a template."""
+    return (((base.astype(np.uint64) * np.uint64((2 * template + 1) * 2654435761) + np.uint64(template * 97531)) >> np.uint64(9)) % np.uint64(TABLE)).astype(np.int64)
+
+
+def templates(e: Encoded, f: Features) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(class of each token, first feature of each class, hashes of the features) per template, in a fixed order."""
+    tokens = (np.array(f.tokens.begin), np.array(f.tokens.flat, dtype=np.uint64))
+    runs = (np.array(f.runs.begin), np.array(f.runs.flat, dtype=np.uint64))
+    out = [(e.neighbours(d, e.token), *tokens) for d in range(-REACH, REACH + 1)]
+    out += [(np.where(e.place == p, e.run, 0), *runs) for p in range(4)]
+    out += [(_next_run(e, d), *runs) for d in (-1, 1, -2, 2)]
+    after = np.where(e.neighbours(1, np.ones(len(e.gap), dtype=np.int32)) == 0, 4, e.neighbours(1, e.gap))
+    pairs = np.array([[a * 5 + b + 1000, a + 2000, b + 3000] for a in range(4) for b in range(5)], dtype=np.uint64) * np.uint64(7919)
+    out.append((e.gap.astype(np.int64) * 5 + after, np.arange(0, 60, 3), pairs.ravel()))
+    c = np.array(f.tokens.kind, dtype=np.int32)[e.token]
+    for trio in ((-1, 0, 1), (0, 1, 2), (-2, -1, 0)):
+        x, y, z = (e.neighbours(k, c) for k in trio)
+        out.append(((x.astype(np.int64) * 20 + y) * 20 + z, np.arange(8000), np.arange(1, 8001, dtype=np.uint64) * np.uint64(104729)))
     return out
 
 
@@ -183,27 +218,27 @@ def _next_run(e: Encoded, steps: int) -> np.ndarray:
     n = len(e.run)
     if not n:
         return e.run
-    seq = np.repeat(np.arange(len(e.first) - 1), np.diff(e.first))
-    new = np.ones(n, dtype=bool)
-    new[1:] = (e.gap[1:] != 0) | (seq[1:] != seq[:-1])
+    new = (e.place == 0) & ((e.gap != 0) | (np.append(True, e.sequence[1:] != e.sequence[:-1])))
     number = np.cumsum(new) - 1
-    run, of = e.run[new], seq[new]
+    run, of = e.run[new], e.sequence[new]
     target = np.arange(len(run)) + steps
-    ok = (target >= 0) & (target < len(run))
-    there = np.zeros(len(run), dtype=e.run.dtype)
     inner = np.clip(target, 0, len(run) - 1)
-    ok &= of[inner] == of
-    there[ok] = run[inner[ok]]
+    there = np.where((target == inner) & (of[inner] == of), run[inner], 0).astype(e.run.dtype)
     return there[number]
 
 
 def scores(e: Encoded, f: Features, weights: np.ndarray) -> np.ndarray:
-    """The score of each token for each label."""
+    """The score of each token for each label. Classes seen before keep their scores; f belongs to one table of weights."""
+    if f.weights is not weights:
+        f.tables.clear()
+        f.weights = weights
     out = np.zeros((len(e.token), weights.shape[1]), dtype=np.float32)
-    for number, rows in templates(e, f):
-        flat = np.concatenate([np.array(r, dtype=np.int64) for r in rows]) if rows else np.zeros(0, dtype=np.int64)
-        begin = np.cumsum([0] + [len(r) for r in rows[:-1]])
-        table = np.add.reduceat(weights[flat], begin, axis=0)
+    for t, (number, begin, flat) in enumerate(templates(e, f)):
+        table = f.tables.get(t)
+        done = 0 if table is None else len(table)
+        if done < len(begin):
+            more = np.add.reduceat(weights[_placed(flat[begin[done] :], t)], begin[done:] - begin[done], axis=0)
+            table = f.tables[t] = more if table is None else np.concatenate([table, more])
         out += table[number]
     return out
 
@@ -222,6 +257,7 @@ def batches(first: np.ndarray, size: int = 60_000) -> Iterable[np.ndarray]:
 def viterbi(score: np.ndarray, first: np.ndarray, step: np.ndarray, opening: np.ndarray) -> np.ndarray:
     """The best labels of each token, sequences decoded side by side."""
     best = np.zeros(len(score), dtype=np.int8)
+    from_any = np.ascontiguousarray(step.T)[None]
     for group in batches(first):
         begin, length = first[group], first[group + 1] - first[group]
         width = int(length.max())
@@ -231,9 +267,10 @@ def viterbi(score: np.ndarray, first: np.ndarray, step: np.ndarray, opening: np.
         ends[length == 1] = at[length == 1]
         for t in range(1, width):
             live = int(np.searchsorted(length, t, side="right"))  # sequences are ordered by length
-            joint = at[live:, :, None] + step[None]
-            back[t, live:] = joint.argmax(axis=1)
-            at[live:] = joint.max(axis=1) + score[begin[live:] + t]
+            joint = at[live:, None, :] + from_any
+            choice = joint.argmax(axis=2)
+            back[t, live:] = choice
+            at[live:] = np.take_along_axis(joint, choice[:, :, None], 2)[:, :, 0] + score[begin[live:] + t]
             done = length == t + 1
             ends[done] = at[done]
         label = ends.argmax(axis=1)
@@ -252,24 +289,22 @@ def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
 
 def train(e: Encoded, f: Features, gold: np.ndarray, labels: int, rounds: int = 100, rate: float = 0.08, decay: float = 3e-5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Weights, label-to-label scores and opening scores that fit gold, the label of each token."""
-    parts = templates(e, f)
     token_row, weight_row = [], []
-    for number, rows in parts:
-        size = np.array([len(r) for r in rows])
-        flat = np.concatenate([np.array(r) for r in rows])
-        begin = np.cumsum(np.concatenate([[0], size[:-1]]))
+    for t, (number, begin, flat) in enumerate(templates(e, f)):
+        size = np.diff(np.append(begin, len(flat)))
         count = size[number]
         token_row.append(np.repeat(np.arange(len(number)), count))
         within = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        weight_row.append(flat[np.repeat(begin[number], count) + within])
+        weight_row.append(_placed(flat, t)[np.repeat(begin[number], count) + within])
     token_row, weight_row = np.concatenate(token_row), np.concatenate(weight_row)
+    places, weight_row = np.unique(weight_row, return_inverse=True)  # only these rows of the table are trained
     by_weight = np.argsort(weight_row, kind="stable")
     used, cut = np.unique(weight_row[by_weight], return_index=True)
     by_token = np.argsort(token_row, kind="stable")
     token_cut = np.searchsorted(token_row[by_token], np.arange(len(e.token)))
     forward_rows, backward_rows = weight_row[by_token], token_row[by_weight]
 
-    w, step, opening = np.zeros((TABLE, labels)), np.zeros((labels, labels)), np.zeros(labels)
+    w, step, opening = np.zeros((len(places), labels)), np.zeros((labels, labels)), np.zeros(labels)
     state = [[np.zeros_like(x), np.zeros_like(x)] for x in (w, step, opening)]
     groups = list(batches(e.first))
     one = np.eye(labels)
@@ -310,4 +345,6 @@ def train(e: Encoded, f: Features, gold: np.ndarray, labels: int, rounds: int =
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
             x += rate * (m / (1 - 0.9**turn)) / (np.sqrt(v / (1 - 0.99**turn)) + 1e-8)
-    return w.astype(np.float32), step.astype(np.float32), opening.astype(np.float32)
+    table = np.zeros((TABLE, labels), dtype=np.float32)
+    table[places] = w
+    return table, step.astype(np.float32), opening.astype(np.float32)

@@ -56,8 +56,8 @@ def gold(e: crf.Encoded, spans: list[list[tuple[int, int, str]]]) -> np.ndarray:
 def fit(sentences: list[str], rounds: int = 100) -> dict[str, np.ndarray]:
     """Trains on marked sentences."""
     parsed = [labelled.parse(s) for s in sentences]
-    e = crf.Encoded([t for t, _ in parsed])
     f = crf.Features(labelled.LISTED["given"], labelled.LISTED["family"])
+    e = crf.Encoded([t for t, _ in parsed], f)
     w, step, opening = crf.train(e, f, gold(e, [m for _, m in parsed]), len(LABELS), rounds)
     return {"weights": w, "step": step, "opening": opening}
 
@@ -72,6 +72,12 @@ def model() -> dict[str, np.ndarray]:
         return {"weights": used, "step": z["step"], "opening": z["opening"]}
 
 
+@lru_cache(maxsize=2)
+def features(given: tuple[str, ...], family: tuple[str, ...]) -> crf.Features:
+    """Features with a list of names; what they have seen is kept in the process."""
+    return crf.Features(given, family)
+
+
 _AT = re.compile(r"@|\bat\b", re.I)
 _DOT = re.compile(r"\.|\bdot\b", re.I)
 _SSN = re.compile(r"(\d{3})[- ]?(\d{2})[- ]?(\d{4})")
@@ -95,7 +101,7 @@ def holds(kind: str, text: str) -> bool:
 def mentions(texts: list[str], features: crf.Features, m: dict[str, np.ndarray] | None = None) -> list[list[tuple[int, int, str]]]:
     """(start, end, kind) of the mentions of each text, in code points."""
     m = m or model()
-    e = crf.Encoded(texts)
+    e = crf.Encoded(texts, features)
     out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
     if not len(e.token):
         return out
@@ -163,7 +169,7 @@ def _pieces(b: pd.DataFrame, text: str) -> Iterator[pd.DataFrame]:
 
 def mention_batches(batches: Iterator[pd.DataFrame], given: list[str], family: list[str]) -> Iterator[pd.DataFrame]:
     """For mapInPandas over table_name, record_id, text: the mentions."""
-    f = crf.Features(given, family)
+    f = features(tuple(given), tuple(family))
     for b in batches:
         for part in _pieces(b, "text"):
             texts = [t or "" for t in part["text"]]
@@ -182,7 +188,7 @@ def redact(text: str, found: list[tuple[int, int, str]]) -> str:
 
 def redact_batches(batches: Iterator[pd.DataFrame], given: list[str], family: list[str]) -> Iterator[pd.DataFrame]:
     """For mapInPandas over table_name, record_id, text: the redacted texts and how many mentions they had."""
-    f = crf.Features(given, family)
+    f = features(tuple(given), tuple(family))
     for b in batches:
         for part in _pieces(b, "text"):
             found = mentions([t or "" for t in part["text"]], f)

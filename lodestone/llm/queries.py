@@ -11,10 +11,10 @@ from lodestone.sources.tables import table
 
 
 def _free_text(spark: SparkSession, d: str) -> DataFrame:
-    """Texts of golden and corpus; exact copies of a row once."""
+    """Texts of golden and corpus, copies of rows too: the results are made distinct, which moves less than the texts."""
     g = table(spark, d, "golden", "id", "source_text").select(F.lit("golden").alias("table_name"), F.col("id").alias("record_id"), F.col("source_text").alias("text"))
     c = table(spark, d, "corpus", "passage_id", "text").select(F.lit("corpus").alias("table_name"), F.col("passage_id").alias("record_id"), "text")
-    return g.unionByName(c).distinct()
+    return g.unionByName(c)
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -24,7 +24,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_redacted(spark: SparkSession, d: str) -> DataFrame:
     """The texts with typed placeholders for personal information."""
-    return pii.redacted(_free_text(spark, d), table(spark, d, "staff_directory"))
+    return pii.redacted(_free_text(spark, d).distinct(), table(spark, d, "staff_directory"))
 
 
 def _texts(spark: SparkSession, d: str) -> DataFrame:
