@@ -19,12 +19,19 @@ def trailing_windows(events: DataFrame, keys: list[str], kinds: list[str], as_of
     events: keys, kind, at_us, sample_rate. A window is (as_of - w, as_of]; so is the retention. Later events do not count.
     """
     kept = events.where((F.col("at_us") > as_of_us - retention_hours * HOUR_US) & (F.col("at_us") <= as_of_us))
-    each = []
+    per_row = []
     for name, hours in windows.items():
+        here = F.col("at_us") > as_of_us - hours * HOUR_US
+        per_row += [F.count_if(here).alias(f"n_{name}"), F.coalesce(F.sum(F.when(here, 1 / F.col("sample_rate"))), F.lit(0.0)).alias(f"w_{name}")]
+    # First per kind, so that a row meets a window's condition once and not once for every kind.
+    k = kept.groupBy(*keys, "kind").agg(F.count(F.lit(1)).alias("n"), F.min("at_us").alias("first"), F.max("at_us").alias("last"), F.min("sample_rate").alias("least"), *per_row)
+    text = lambda v: "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    each = []
+    for name in windows:
         for kind in kinds:
-            here = (F.col("kind") == kind) & (F.col("at_us") > as_of_us - hours * HOUR_US)
-            each += [F.count_if(here).alias(f"{kind}_{name}"), F.round(F.coalesce(F.sum(F.when(here, 1 / F.col("sample_rate"))), F.lit(0.0)), 6).alias(f"{kind}_{name}_weight")]
-    return kept.groupBy(*keys).agg(F.count(F.lit(1)).alias("events"), F.min("at_us").alias("first_us"), F.max("at_us").alias("last_us"), F.min("sample_rate").alias("least_rate"), *each)
+            here = f"CASE WHEN kind = {text(kind)} THEN"
+            each += [F.expr(f"coalesce(sum({here} n_{name} END), 0) AS `{kind}_{name}`"), F.expr(f"round(coalesce(sum({here} w_{name} END), 0D), 6) AS `{kind}_{name}_weight`")]
+    return k.groupBy(*keys).agg(F.sum("n").alias("events"), F.min("first").alias("first_us"), F.max("last").alias("last_us"), F.min("least").alias("least_rate"), *each)
 
 
 def freshness(last_us: Column, as_of_us: Column, fresh_hours: int) -> Column:

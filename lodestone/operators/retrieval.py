@@ -25,11 +25,17 @@ def words(text: Column, most: int = 40) -> Column:
     return F.filter(F.regexp_extract_all(F.lower(text), F.lit(WORD), 0), lambda w: F.length(w) <= most)
 
 
-def field_score(query_words: Column, query: Column, field: Column, weight: float) -> Column:
-    """weight times the share of query words in the field, plus weight if the field holds the whole query."""
-    f = F.coalesce(field, F.lit(""))
-    hit = F.size(F.array_intersect(query_words, words(f, 1 << 20))) / F.greatest(F.size(query_words), F.lit(1))
-    return weight * hit + F.when(F.contains(F.lower(f), F.lower(query)), F.lit(weight)).otherwise(F.lit(0.0))
+def metadata_scores(docs: DataFrame, identity: str, fields: dict[str, float], questions: list[str]) -> DataFrame:
+    """query_id, identity, score of every row and question with a score above zero; the rows are read once for all questions.
+
+    Per field its weight times the share of the question's words that it has, and its weight again if it holds the whole question.
+    """
+    known = docs.select(identity, *[F.lower(F.coalesce(F.col(f), F.lit(""))).alias(f) for f in fields])
+    known = known.select("*", *[words(F.col(f), 1 << 20).alias(f"__{f}") for f in fields])
+    asked = F.array(*[F.struct(F.lit(i).cast("long").alias("query_id"), F.lit(q.lower()).alias("q"), words(F.lit(q)).alias("w")) for i, q in enumerate(questions)])
+    each = known.withColumn("x", F.explode(asked))
+    part = [f"{w}D * size(array_intersect(x.w, `__{f}`)) / greatest(size(x.w), 1) + CASE WHEN contains(`{f}`, x.q) THEN {w}D ELSE 0D END" for f, w in fields.items()]
+    return each.select("x.query_id", identity, F.expr(f"round({' + '.join(part)}, 6)").alias("score")).where("score > 0")
 
 
 def postings(docs: DataFrame, identity: str, text: str) -> DataFrame:

@@ -94,14 +94,7 @@ def _questions(spark: SparkSession) -> DataFrame:
 
 def _metadata(spark: SparkSession, d: str) -> DataFrame:
     g = table(spark, d, "corpus", "passage_id", "bucket", "object_key", "tier", "mime", F.col("metadata")["topic"].alias("topic"), F.col("metadata")["department"].alias("department")).distinct()
-    total = None
-    for q_id, q in enumerate(QUESTIONS):
-        score = F.lit(0.0)
-        for field, weight in (("bucket", 1.0), ("object_key", 4.0), ("tier", 1.0), ("mime", 1.0), ("topic", 2.0), ("department", 1.0)):
-            score = score + r.field_score(r.words(F.lit(q)), F.lit(q), F.col(field), weight)
-        part = g.select(F.lit(q_id).cast("long").alias("query_id"), "passage_id", F.round(score, 6).alias("score")).where("score > 0")
-        total = part if total is None else total.unionByName(part)
-    return total
+    return r.metadata_scores(g, "passage_id", {"bucket": 1.0, "object_key": 4.0, "tier": 1.0, "mime": 1.0, "topic": 2.0, "department": 1.0}, QUESTIONS)
 
 
 def metadata_score_topk(spark: SparkSession, d: str) -> DataFrame:

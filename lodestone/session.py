@@ -56,6 +56,15 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.parquet(folder)
 
 
+def spread(scan: DataFrame, *keys: str) -> DataFrame:
+    """A scan of few partitions laid out by keys over all cores, for work that costs more than moving its rows.
+
+    A scan with at least as many partitions as there are cores stays as it is: beyond some megabytes a core nothing is moved.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores, *keys) if scan._jdf.queryExecution().toRdd().getNumPartitions() < cores else scan
+
+
 def worker(module: str, name: str, *args) -> Callable:
     """A function for mapInPandas that imports module in the worker and runs module.name(batches, *args).
 
