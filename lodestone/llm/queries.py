@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import bpe, lookalike, mixing, pii, radix, splitting
-from lodestone.session import cut, prepare_workers, worker
+from lodestone.session import cut, prepare_workers, spread, worker
 from lodestone.sources.tables import table
 
 
 def _free_text(spark: SparkSession, d: str) -> DataFrame:
     """Texts of golden and corpus, copies of rows too: the results are made distinct, which moves less than the texts."""
-    g = table(spark, d, "golden", "id", "source_text").select(F.lit("golden").alias("table_name"), F.col("id").alias("record_id"), F.col("source_text").alias("text"))
-    c = table(spark, d, "corpus", "passage_id", "text").select(F.lit("corpus").alias("table_name"), F.col("passage_id").alias("record_id"), "text")
+    g = spread(table(spark, d, "golden", "id", "source_text"), "id").select(F.lit("golden").alias("table_name"), F.col("id").alias("record_id"), F.col("source_text").alias("text"))
+    c = spread(table(spark, d, "corpus", "passage_id", "text"), "passage_id").select(F.lit("corpus").alias("table_name"), F.col("passage_id").alias("record_id"), "text")
     return g.unionByName(c)
 
 
@@ -69,12 +69,12 @@ def p6_days_together(spark: SparkSession, d: str) -> DataFrame:
 def p7_ids(spark: SparkSession, d: str, folder: str = bpe.FOLDER, vocabulary: str = bpe.VOCABULARY) -> DataFrame:
     """The token ids of every document."""
     prepare_workers(spark)
-    return table(spark, d, "documents", "doc_id", "text").mapInPandas(worker(bpe.__name__, "encode_batches", "doc_id", "text", folder, vocabulary), "doc_id long, ids array<int>")
+    return spread(table(spark, d, "documents", "doc_id", "text"), "doc_id").mapInPandas(worker(bpe.__name__, "encode_batches", "doc_id", "text", folder, vocabulary), "doc_id long, ids array<int>")
 
 
 def _sizes(spark: SparkSession, d: str) -> DataFrame:
     prepare_workers(spark)
-    docs = table(spark, d, "documents", "doc_id", "source", "text").join(table(spark, d, "mix_targets", "source").distinct(), "source", "left_semi")
+    docs = spread(table(spark, d, "documents", "doc_id", "source", "text"), "doc_id").join(table(spark, d, "mix_targets", "source").distinct(), "source", "left_semi")
     return cut(docs.select("doc_id", "source", "text").mapInPandas(worker(bpe.__name__, "count_batches", "text", bpe.FOLDER, bpe.VOCABULARY), "doc_id long, source string, tokens long"))
 
 
@@ -90,7 +90,7 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of documents that look the same and differ in their characters."""
-    return lookalike.same_look_pairs(table(spark, d, "documents", "doc_id", "text"))
+    return lookalike.same_look_pairs(spread(table(spark, d, "documents", "doc_id", "text"), "doc_id"))
 
 
 def p9_canonical(spark: SparkSession, d: str) -> DataFrame:
