@@ -27,6 +27,12 @@ def chunk_digests(spark: SparkSession, d: str) -> DataFrame:
     return c.chunks(docs, "doc_id", "data", 256).groupBy("sha256").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
+def chunk_digests_all(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks of 256 bytes that occur more than once in all documents, whatever their letters; no SQL, as it cannot cut bytes."""
+    docs = table(spark, d, "documents", "doc_id", "text").select("doc_id", F.encode("text", "UTF-8").alias("data"))
+    return c.chunks(docs, "doc_id", "data", 256).groupBy("sha256").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
 def fixed_passages(spark: SparkSession, d: str) -> DataFrame:
     """Fixed-width passages of the texts of golden."""
     return c.fixed_passages(table(spark, d, "golden", "id", "source_text").distinct(), "id", "source_text")
@@ -166,7 +172,7 @@ def feature_hash_embedding(spark: SparkSession, d: str) -> DataFrame:
     return r.feature_hash(table(spark, d, "corpus", "passage_id", "text").distinct(), "passage_id", "text", 64).withColumn("value", F.round("value", 6))
 
 
-QUERIES = {f.__name__: f for f in (text_chunks, chunk_digests, fixed_passages, word_boundary_passages, tidy_digests, object_types, pii_pattern_findings, secret_redaction, pseudonyms, canonical_times, passage_uuids, span_grounding, metadata_score_topk, bm25_topk, rrf_fusion, extractive_answers, vector_exact_knn, max_similarity_per_label, ann_recall, vector_norms, feature_hash_embedding)}
+QUERIES = {f.__name__: f for f in (text_chunks, chunk_digests, chunk_digests_all, fixed_passages, word_boundary_passages, tidy_digests, object_types, pii_pattern_findings, secret_redaction, pseudonyms, canonical_times, passage_uuids, span_grounding, metadata_score_topk, bm25_topk, rrf_fusion, extractive_answers, vector_exact_knn, max_similarity_per_label, ann_recall, vector_norms, feature_hash_embedding)}
 
 _Q = "q AS (SELECT * FROM (VALUES " + ", ".join(f"({i}::BIGINT, '{q}')" for i, q in enumerate(QUESTIONS)) + ") t(query_id, query))"
 _W = "list_filter(regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}]+'), lambda w: length(w) <= {1})"
