@@ -86,6 +86,22 @@ def hash_chain_check(spark: SparkSession, d: str) -> DataFrame:
     return faults.where("fault <> 'edited'").groupBy("fault").agg(F.count(F.lit(1)).alias("entries"))
 
 
+def hash_chain_faults(spark: SparkSession, d: str) -> DataFrame:
+    """A ledger per user over all columns of events, read again after changes; what the chain tells of them, counted.
+
+    The tables hold no ledger, so it is made here, and the changes are put in by rule: one entry in 101 has its payload changed, one in 103 is
+    lost, one in 107 comes twice.
+    """
+    e = table(spark, d, "events", "event_id", "ts", "user_id", "event_type", "value", "props")
+    payload = F.to_json(F.struct("event_id", "ts", "user_id", "event_type", "value", "props"), {"ignoreNullFields": "false"})
+    made = ledger.chained(e.select(F.coalesce(F.col("user_id").cast("string"), F.lit("")).alias("owner"), payload.alias("payload"), "event_id"), ["event_id", "payload"])
+    number = F.get_json_object("payload", "$.event_id").cast("long")
+    left = made.withColumn("n", number).where("n IS NULL OR n % 103 <> 1")
+    changed = left.withColumn("payload", F.when(F.col("n") % 101 == 0, F.concat("payload", F.lit(" "))).otherwise(F.col("payload")))
+    read = changed.withColumn("times", F.explode(F.when(F.col("n") % 107 == 2, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))).drop("n", "times")
+    return ledger.chain_faults(read, by=("owner",)).groupBy("fault").agg(F.count(F.lit(1)).alias("entries"))
+
+
 def star_revenue(spark: SparkSession, d: str) -> DataFrame:
     """An eight-way join of the star tables: revenue by region and year."""
     li = table(spark, d, "lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice", "l_discount")
@@ -99,7 +115,7 @@ def star_revenue(spark: SparkSession, d: str) -> DataFrame:
     return x.groupBy(F.col("r_name").alias("region"), F.year("o_orderdate").alias("year")).agg(F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.countDistinct("s_nationkey").alias("supplier_nations"))
 
 
-QUERIES = {f.__name__: f for f in (confusion_metrics, class_balance, time_splits, stump_best_split, stump_predictions, minmax_objective_score, feature_vectors, duplicate_evidence, causal_ancestry, hash_chain_check, star_revenue)}
+QUERIES = {f.__name__: f for f in (confusion_metrics, class_balance, time_splits, stump_best_split, stump_predictions, minmax_objective_score, feature_vectors, duplicate_evidence, causal_ancestry, hash_chain_check, hash_chain_faults, star_revenue)}
 
 _M = "m AS (SELECT DISTINCT call_id, direction, cohort, attempt_number, size_bytes, started_at, completed_at, success, verified, epoch_us(started_at) AS at_us FROM movement WHERE started_at IS NOT NULL AND success IS NOT NULL)"
 _STUMP = "v AS (SELECT f AS feature, v::DOUBLE AS v, sum(success::INT) AS p, sum(1 - success::INT) AS n FROM ({0}) GROUP BY 1, 2), c AS (SELECT feature, v, sum(p) OVER w AS lp, sum(n) OVER w AS ln, sum(p) OVER (PARTITION BY feature) AS tp, sum(n) OVER (PARTITION BY feature) AS tn, lead(v) OVER w AS nv FROM v WINDOW w AS (PARTITION BY feature ORDER BY v)), g AS (SELECT *, round(coalesce((lp * tn)::DOUBLE * (ln * tp)::DOUBLE / nullif((lp * tn + ln * tp)::DOUBLE, 0), 0) + coalesce(((tp - lp) * tn)::DOUBLE * ((tn - ln) * tp)::DOUBLE / nullif(((tp - lp) * tn + (tn - ln) * tp)::DOUBLE, 0), 0), 3) AS impurity FROM c WHERE nv IS NOT NULL)"

@@ -5,7 +5,10 @@ from __future__ import annotations
 import hashlib
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 import __spark_entry__ as entry
+from lodestone.operators import ledger
 
 
 def put(spark, folder, name, rows, schema):
@@ -20,3 +23,34 @@ def test_chunk_digests_of_all_documents(spark, tmp_path):
     got = {r.sha256: r.n for r in entry.queries()["chunk_digests_all"](spark, str(tmp_path)).collect()}
     assert got == {h: n for h, n in want.items() if n > 1}
     assert len(got) == 3
+
+
+def test_chain_faults_of_real_payloads(spark, tmp_path):
+    rows = [(i, 7, "click", float(i), "{}") for i in range(1000)] + [(i, 8, "view", None, None) for i in range(1000, 1010)]
+    put(spark, tmp_path, "events", rows, "event_id long, user_id long, event_type string, value double, props string")
+    events = spark.read.parquet(f"{tmp_path}/events.parquet").withColumn("ts", F.timestamp_seconds("event_id"))
+    events.write.parquet(f"{tmp_path}/more/events.parquet")
+    got = {r.fault: r.entries for r in entry.queries()["hash_chain_faults"](spark, f"{tmp_path}/more").collect()}
+    left = [i for i, *_ in rows if i % 103 != 1]
+    edited = sum((2 if i % 107 == 2 else 1) for i in left if i % 101 == 0)
+    repeated = sum(i % 107 == 2 for i in left)
+    gaps = sum(i % 103 == 1 for i, *_ in rows)
+    assert got == {"edited": edited, "repeated": repeated, "gap": gaps, "broken_link": gaps + repeated}
+
+
+def test_ledger_against_events_and_tombstones(spark):
+    entries = [(1, "event", "fine", "a"), (2, "event", "lost", "a"), (3, "event", "edited", "a"), (4, "event", "kept out", "a"), (5, "retention", "kept out", "t"), (6, "event", "back", "a"), (7, "retention", "back", "t"), (8, "event", "bare", "a"), (9, "retention", "bare", "t"), (10, "baseline_tombstone", "old", "t"), (11, "retention", "unborn", "t"), (12, "event", "twice", "a"), (13, "event", "twice", "a")]
+    events = [("fine", "a"), ("edited", "b"), ("back", "a"), ("stray", "a"), ("twice", "a")]
+    tombstones = [("kept out", "t"), ("back", "t"), ("old", "x"), ("unborn", "t"), ("loose", "t")]
+    got = ledger.reconcile(spark.createDataFrame(entries, "sequence long, kind string, event_id string, payload_digest string"), *[spark.createDataFrame(x, "event_id string, digest string") for x in (events, tombstones)])
+    assert sorted(map(tuple, got.collect())) == [
+        ("back", "retained_event_reappeared"),
+        ("bare", "missing_tombstone"),
+        ("edited", "event_digest_mismatch"),
+        ("loose", "untracked_tombstone"),
+        ("lost", "missing_event"),
+        ("old", "tombstone_digest_mismatch"),
+        ("stray", "untracked_event"),
+        ("twice", "duplicate_event"),
+        ("unborn", "invalid_retention"),
+    ]
