@@ -117,6 +117,30 @@ def attempt_chain_check(spark: SparkSession, d: str) -> DataFrame:
     return x.select("logical_move_id", "calls", ((F.col("least") != 1) | (F.col("most") - F.col("least") + 1 != F.col("attempts"))).alias("holes"), (F.col("successes") > 1).alias("several"), F.coalesce(F.col("won") < F.col("most"), F.lit(False)).alias("early")).where("holes OR several OR early")
 
 
+def attempt_chain_faults(spark: SparkSession, d: str) -> DataFrame:
+    """Moves whose attempts have holes, several successes, a success before the last, times that fall, or a wrong end.
+
+    start_falls, end_falls: an attempt starts or ends before one of lower number; unknown times are passed over. wrong_end: an attempt whose
+    terminal state says otherwise than its success, or a terminal state before the last attempt.
+    """
+    m = table(spark, d, "movement", "call_id", "logical_move_id", "attempt_number", "started_at", "completed_at", "success", "terminal_state").distinct()
+    n = F.col("attempt_number")
+    agrees = F.coalesce(F.col("terminal_state") == "succeeded", F.lit(False)).eqNullSafe(F.col("success"))
+    x = m.groupBy("logical_move_id", "attempt_number").agg(F.count(F.lit(1)).alias("calls"), F.count_if("success").alias("successes"), F.min("started_at").alias("start"), F.max("started_at").alias("last_start"), F.min("completed_at").alias("end"), F.max("completed_at").alias("last_end"), F.bool_and(agrees).alias("agree"), F.count("terminal_state").alias("terminal"))
+    w = Window.partitionBy("logical_move_id").orderBy("attempt_number")  # a row per attempt of a move
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    x = x.select("*", (F.col("start") < F.max("last_start").over(before)).alias("sf"), (F.col("end") < F.max("last_end").over(before)).alias("ef"), F.lead(n).over(w).isNotNull().alias("followed"))
+    flags = {
+        "holes": (F.min(n) != 1) | (F.max(n) - F.min(n) + 1 != F.count(n)),
+        "several": F.sum("successes") > 1,
+        "early": F.coalesce(F.max(F.when(F.col("successes") > 0, n)) < F.max(n), F.lit(False)),
+        "start_falls": F.coalesce(F.bool_or("sf"), F.lit(False)),
+        "end_falls": F.coalesce(F.bool_or("ef"), F.lit(False)),
+        "wrong_end": F.bool_or(~F.col("agree") | (F.col("followed") & (F.col("terminal") > 0))),
+    }
+    return x.groupBy("logical_move_id").agg(F.sum("calls").alias("calls"), *[f.alias(k) for k, f in flags.items()]).where(" OR ".join(flags))
+
+
 def job_status_rollup(spark: SparkSession, d: str) -> DataFrame:
     """Per job its latest call, the number of calls and the most attempts."""
     m = table(spark, d, "movement", "call_id", "job_id", "attempt_number", "started_at", "success", "terminal_state").distinct()
@@ -204,7 +228,7 @@ def eligible_slots(spark: SparkSession, d: str) -> DataFrame:
     return x.where("n >= 20 AND least > 0").select("event_type", F.col("w.start").alias("start"), "n")
 
 
-QUERIES = {f.__name__: f for f in (access_window_aggregate, access_recency, sliding_rate_window, bad_event_ratio, multi_window_alert, histogram_buckets, histogram_quantile, gap_and_coverage, slot_completeness, sustained_condition, max_concurrency_sweep, interval_overlap_join, attempt_chain_check, job_status_rollup, lag_state_transitions, load_evaluation, max_unless_unknown, ingestion_lag, sessions, audit_page, offset_page, workload, before_after, evidence_join, eligible_slots)}
+QUERIES = {f.__name__: f for f in (access_window_aggregate, access_recency, sliding_rate_window, bad_event_ratio, multi_window_alert, histogram_buckets, histogram_quantile, gap_and_coverage, slot_completeness, sustained_condition, max_concurrency_sweep, interval_overlap_join, attempt_chain_check, attempt_chain_faults, job_status_rollup, lag_state_transitions, load_evaluation, max_unless_unknown, ingestion_lag, sessions, audit_page, offset_page, workload, before_after, evidence_join, eligible_slots)}
 
 _E = "e AS (SELECT event_id, user_id, event_type AS kind, epoch_us(ts) AS at_us, value, CASE WHEN value < 100 THEN 1.0::DOUBLE ELSE 0.25::DOUBLE END AS sample_rate, max(epoch_us(ts)) OVER () AS as_of FROM events)"
 _CELLS = ", ".join(
@@ -229,6 +253,7 @@ SQL = {
     "max_concurrency_sweep": f"WITH e AS (SELECT job_id, epoch_us(started_at) AS t, 1 AS d FROM {_CALLS} WHERE started_at IS NOT NULL AND (completed_at IS NULL OR completed_at > started_at) UNION ALL SELECT job_id, epoch_us(completed_at), -1 FROM {_CALLS} WHERE completed_at > started_at), n AS (SELECT job_id, t, sum(d) AS d FROM e GROUP BY 1, 2) SELECT job_id, max(p)::BIGINT AS peak FROM (SELECT job_id, sum(d) OVER (PARTITION BY job_id ORDER BY t) AS p FROM n) GROUP BY 1",
     "interval_overlap_join": "WITH months AS (SELECT m::DATE AS m FROM range(DATE '2023-12-01', DATE '2026-06-02', INTERVAL 1 MONTH) r(m)), phases AS (SELECT epoch_us((m + (k * 10)::INT)::TIMESTAMP) AS s, CASE WHEN k < 2 THEN epoch_us((m + (k * 10 + 10)::INT)::TIMESTAMP) ELSE epoch_us((m + INTERVAL 1 MONTH)::TIMESTAMP) END AS e FROM months, range(3) r(k)) SELECT s AS r_start, count(*) AS calls FROM phases p JOIN (SELECT DISTINCT call_id, epoch_us(started_at) AS a, epoch_us(completed_at) AS b FROM movement WHERE completed_at > started_at) c ON c.a < p.e AND p.s < c.b GROUP BY 1",
     "attempt_chain_check": "SELECT * FROM (SELECT logical_move_id, count(*) AS calls, min(attempt_number) <> 1 OR max(attempt_number) - min(attempt_number) + 1 <> count(DISTINCT attempt_number) AS holes, count(*) FILTER (success) > 1 AS several, coalesce(max(attempt_number) FILTER (success) < max(attempt_number), FALSE) AS early FROM (SELECT DISTINCT call_id, logical_move_id, attempt_number, started_at, success FROM movement) GROUP BY 1) WHERE holes OR several OR early",
+    "attempt_chain_faults": "WITH m AS (SELECT DISTINCT call_id, logical_move_id AS l, attempt_number AS a, started_at AS s, completed_at AS e, success, terminal_state AS t FROM movement), p AS (SELECT DISTINCT y.l, y.s < x.s AS sf, y.e < x.e AS ef, x.t IS NOT NULL AS bt FROM m x JOIN m y ON x.l = y.l AND x.a < y.a), q AS (SELECT l, coalesce(bool_or(sf), FALSE) AS start_falls, coalesce(bool_or(ef), FALSE) AS end_falls, bool_or(bt) AS bt FROM p GROUP BY 1), g AS (SELECT l, count(*) AS calls, min(a) <> 1 OR max(a) - min(a) + 1 <> count(DISTINCT a) AS holes, count(*) FILTER (success) > 1 AS several, coalesce(max(a) FILTER (success) < max(a), FALSE) AS early, bool_or(coalesce(t = 'succeeded', FALSE) IS DISTINCT FROM success) AS bad FROM m GROUP BY 1) SELECT * FROM (SELECT g.l AS logical_move_id, calls, holes, several, early, coalesce(start_falls, FALSE) AS start_falls, coalesce(end_falls, FALSE) AS end_falls, bad OR coalesce(bt, FALSE) AS wrong_end FROM g LEFT JOIN q ON g.l = q.l) WHERE holes OR several OR early OR start_falls OR end_falls OR wrong_end",
     "job_status_rollup": f"SELECT job_id, coalesce(arg_max(coalesce(terminal_state, 'open'), (coalesce(epoch_us(started_at), -1), attempt_number, call_id)), 'open') AS state, arg_max(call_id, (coalesce(epoch_us(started_at), -1), attempt_number, call_id)) AS last_call, count(*) AS calls, max(attempt_number) AS most_attempts FROM (SELECT DISTINCT call_id, job_id, attempt_number, started_at, success, terminal_state FROM movement) GROUP BY 1",
     "lag_state_transitions": "SELECT before AS from_kind, kind AS to_kind, count(*) AS n FROM (SELECT event_type AS kind, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events) WHERE before IS NOT NULL GROUP BY 1, 2",
     "load_evaluation": "SELECT cohort, metric, count(*) AS samples, count(*) FILTER (value = -1) AS failed, (count(*) - count(*) FILTER (value = -1)) * 1000 >= count(*) * 990 AS enough FROM (SELECT DISTINCT sample_id, cohort, metric, value FROM samples) WHERE cohort IS NOT NULL AND value IS NOT NULL AND NOT isnan(value) GROUP BY 1, 2",

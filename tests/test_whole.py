@@ -54,3 +54,12 @@ def test_ledger_against_events_and_tombstones(spark):
         ("twice", "duplicate_event"),
         ("unborn", "invalid_retention"),
     ]
+
+
+def test_attempts_whose_times_fall_or_end_disagrees(spark, tmp_path):
+    rows = [("ok", 1, 1, 2, False, None), ("ok", 2, 3, 4, True, "succeeded"), ("falls", 1, 5, 6, False, None), ("falls", 2, None, None, False, None), ("falls", 3, 4, 7, True, "succeeded"), ("ends", 1, 1, 9, False, None), ("ends", 2, 2, 8, True, "succeeded"), ("state", 1, 1, 2, True, None), ("state2", 1, 1, 2, False, "succeeded"), ("before", 1, 1, 2, False, "failed"), ("before", 2, 2, 3, True, "succeeded")]
+    schema = "logical_move_id string, attempt_number int, s int, e int, success boolean, terminal_state string"
+    m = spark.createDataFrame(rows, schema).select(F.concat("logical_move_id", "attempt_number").alias("call_id"), "*", F.timestamp_seconds("s").alias("started_at"), F.timestamp_seconds("e").alias("completed_at"))
+    m.write.parquet(f"{tmp_path}/movement.parquet")
+    got = {r.logical_move_id: {k for k, v in r.asDict().items() if v is True} for r in entry.queries()["attempt_chain_faults"](spark, str(tmp_path)).collect()}
+    assert got == {"falls": {"start_falls"}, "ends": {"end_falls"}, "state": {"wrong_end"}, "state2": {"wrong_end"}, "before": {"wrong_end"}}
