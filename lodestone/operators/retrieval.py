@@ -6,7 +6,11 @@ a block of query vectors of bounded size goes to every partition, which keeps it
 
 from __future__ import annotations
 
+import hashlib
+import re
+import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -140,6 +144,40 @@ def feature_hash(docs: DataFrame, identity: str, text: str, dimensions: int) ->
     return v.join(norm, identity).select(identity, "bucket", (F.col("n") / F.col("norm")).alias("value"))
 
 
+_TOKEN = re.compile(r"\w+")
+
+
+@lru_cache(maxsize=1 << 17)
+def _placed(feature: str) -> tuple[int, float]:
+    digest = hashlib.sha256(feature.encode("utf-8", "surrogatepass")).digest()
+    return int.from_bytes(digest[:8], "big"), 1.0 if digest[8] & 1 else -1.0
+
+
+def feature_vector(text: str | None, dimensions: int) -> np.ndarray:
+    """The unit vector of the signed counts of tokens, token pairs and a bias; tokens of composed, case-folded text, of any length."""
+    tokens = _TOKEN.findall(unicodedata.normalize("NFC", text or "").casefold())
+    out = np.zeros(dimensions)
+    for feature in ("__bias__", *tokens, *(f"{a}\x1f{b}" for a, b in zip(tokens, tokens[1:]))):
+        number, sign = _placed(feature)
+        out[number % dimensions] += sign
+    norm = np.sqrt((out * out).sum())
+    if norm == 0:  # all features cancel
+        out[0] = norm = 1.0
+    return out / norm
+
+
+def feature_vector_batches(batches: Iterator[pd.DataFrame], dimensions: int) -> Iterator[pd.DataFrame]:
+    """For mapInPandas over id, text."""
+    for b in batches:
+        yield pd.DataFrame({"id": b["id"], "vector": [feature_vector(t, dimensions) for t in b["text"]]})
+
+
+def feature_vectors(docs: DataFrame, dimensions: int) -> DataFrame:
+    """id, vector of every row of docs (id string, text); no text is as an empty one."""
+    prepare_workers(docs.sparkSession)
+    return docs.select("id", "text").mapInPandas(worker(__name__, "feature_vector_batches", dimensions), "id string, vector array<double>")
+
+
 def nearest_centre_batches(batches: Iterator[pd.DataFrame], centres: np.ndarray, probes: int) -> Iterator[pd.DataFrame]:
     """For mapInPandas over id, vector: the nearest centres of each vector, as cell and place."""
     for b in batches:

@@ -172,7 +172,14 @@ def feature_hash_embedding(spark: SparkSession, d: str) -> DataFrame:
     return r.feature_hash(table(spark, d, "corpus", "passage_id", "text").distinct(), "passage_id", "text", 64).withColumn("value", F.round("value", 6))
 
 
-QUERIES = {f.__name__: f for f in (text_chunks, chunk_digests, chunk_digests_all, fixed_passages, word_boundary_passages, tidy_digests, object_types, pii_pattern_findings, secret_redaction, pseudonyms, canonical_times, passage_uuids, span_grounding, metadata_score_topk, bm25_topk, rrf_fusion, extractive_answers, vector_exact_knn, max_similarity_per_label, ann_recall, vector_norms, feature_hash_embedding)}
+def feature_hash_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Every text of the corpus as 64 hashed features of tokens, token pairs and a bias; the buckets that are not zero."""
+    docs = table(spark, d, "corpus", F.col("passage_id").alias("id"), "text").distinct()
+    v = r.feature_vectors(docs, 64).select(F.col("id").alias("passage_id"), F.posexplode("vector").alias("bucket", "value"))
+    return v.where("value <> 0").select("passage_id", F.col("bucket").cast("long").alias("bucket"), F.round("value", 6).alias("value"))
+
+
+QUERIES = {f.__name__: f for f in (text_chunks, chunk_digests, chunk_digests_all, fixed_passages, word_boundary_passages, tidy_digests, object_types, pii_pattern_findings, secret_redaction, pseudonyms, canonical_times, passage_uuids, span_grounding, metadata_score_topk, bm25_topk, rrf_fusion, extractive_answers, vector_exact_knn, max_similarity_per_label, ann_recall, vector_norms, feature_hash_embedding, feature_hash_vectors)}
 
 _Q = "q AS (SELECT * FROM (VALUES " + ", ".join(f"({i}::BIGINT, '{q}')" for i, q in enumerate(QUESTIONS)) + ") t(query_id, query))"
 _W = "list_filter(regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}]+'), lambda w: length(w) <= {1})"

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import hashlib
+import math
+import re
+import unicodedata
 from collections import Counter
 
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from lodestone.operators import ledger
+from lodestone.operators import ledger, retrieval
 
 
 def put(spark, folder, name, rows, schema):
@@ -63,3 +66,29 @@ def test_attempts_whose_times_fall_or_end_disagrees(spark, tmp_path):
     m.write.parquet(f"{tmp_path}/movement.parquet")
     got = {r.logical_move_id: {k for k, v in r.asDict().items() if v is True} for r in entry.queries()["attempt_chain_faults"](spark, str(tmp_path)).collect()}
     assert got == {"falls": {"start_falls"}, "ends": {"end_falls"}, "state": {"wrong_end"}, "state2": {"wrong_end"}, "before": {"wrong_end"}}
+
+
+def hashed(text, d=64):
+    """H10 word for word."""
+    t = re.findall(r"[\w]+", unicodedata.normalize("NFC", text or "").casefold())
+    v = [0.0] * d
+    for f in ["__bias__", *t, *[f"{a}\x1f{b}" for a, b in zip(t, t[1:])]]:
+        h = hashlib.sha256(f.encode()).digest()
+        v[int.from_bytes(h[:8], "big") % d] += 1.0 if h[8] & 1 else -1.0
+    n = math.sqrt(sum(x * x for x in v))
+    return [x / n for x in v] if n else [1.0] + v[1:]
+
+
+CORPUS = "passage_id string, bucket string, object_key string, tier string, mime string, metadata map<string,string>, text string"
+
+
+def test_feature_hash_of_every_text(spark, tmp_path):
+    texts = ["tape cold", "cold tape", "", None, "?!", "x" * 60, "Straße E\u0301", "strasse é", "cold_tape"]
+    put(spark, tmp_path, "corpus", [(str(i), "b", "k", "t", "m", {}, t) for i, t in enumerate(texts)], CORPUS)
+    got = {}
+    for r in entry.queries()["feature_hash_vectors"](spark, str(tmp_path)).collect():
+        got.setdefault(int(r.passage_id), {})[r.bucket] = r.value
+    assert got == {i: {b: round(x, 6) for b, x in enumerate(hashed(t)) if x} for i, t in enumerate(texts)}
+    assert got[0] != got[1] and got[2] == got[3] == got[4] and got[6] == got[7]
+    cancels = next(w for w in map(str, range(99)) if retrieval._placed(w)[1] != retrieval._placed("__bias__")[1])
+    assert list(retrieval.feature_vector(cancels, 1)) == [1.0]
