@@ -65,6 +65,24 @@ def bm25(docs: DataFrame, identity: str, text: str, queries: DataFrame, k1: floa
     return p.join(df, "term").withColumn("weight", weight).join(q, "term").groupBy("query_id", identity).agg(F.sum("weight").alias("score"))
 
 
+def bm25_fields(docs: DataFrame, identity: str, fields: dict[str, float], queries: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """query_id, identity, score: BM25 of every field with its boost, the best field per word of the query, summed over its words.
+
+    Counts and lengths are those of each field over the whole corpus; a word that the query repeats counts as often.
+    """
+    asked = queries.select("query_id", F.explode(words(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
+    known = docs.select(identity, *[words(F.coalesce(F.col(f), F.lit(""))).alias(f) for f in fields])
+    stats = known.agg(F.count(F.lit(1)).alias("docs"), *[F.avg(F.size(f)).alias(f) for f in fields]).collect()[0]
+    each = known.select(identity, F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.lit(float(w)).alias("boost"), F.lit(float(stats[f] or 1)).alias("mean"), F.size(f).alias("length"), F.col(f).alias("w")) for f, w in fields.items()])).alias("x"))
+    p = each.select(identity, "x.*").select(identity, "field", "boost", "mean", "length", F.explode("w").alias("term")).join(F.broadcast(asked.select("term").distinct()), "term", "left_semi")
+    p = p.groupBy("term", "field", identity).agg(F.count(F.lit(1)).alias("tf"), F.max("length").alias("length"), F.max("boost").alias("boost"), F.max("mean").alias("mean"))
+    df = p.groupBy("term", "field").agg(F.count(F.lit(1)).alias("df"))
+    idf = F.log(1 + (stats["docs"] - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weight = F.col("boost") * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
+    best = p.join(F.broadcast(df), ["term", "field"]).groupBy("term", identity).agg(F.max(weight).alias("weight"))
+    return best.join(F.broadcast(asked), "term").groupBy("query_id", identity).agg(F.sum(F.col("weight") * F.col("times")).alias("score"))
+
+
 def top_k(scored: DataFrame, by: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
     """The k first rows per group by order, with their rank."""
     w = Window.partitionBy(*by).orderBy(*order)
@@ -178,6 +196,20 @@ def feature_vectors(docs: DataFrame, dimensions: int) -> DataFrame:
     return docs.select("id", "text").mapInPandas(worker(__name__, "feature_vector_batches", dimensions), "id string, vector array<double>")
 
 
+def feature_similarity_batches(batches: Iterator[pd.DataFrame], questions: list[str], dimensions: int) -> Iterator[pd.DataFrame]:
+    """For mapInPandas over id, text: the similarity of every text to every question."""
+    q = np.array([feature_vector(t, dimensions) for t in questions])
+    for b in batches:
+        x = np.array([feature_vector(t, dimensions) for t in b["text"]]).reshape(-1, dimensions)
+        yield pd.DataFrame({"query_id": np.tile(np.arange(len(q)), len(b)), "id": np.repeat(b["id"].to_numpy(), len(q)), "score": (x @ q.T).round(9).ravel()})
+
+
+def feature_similarity(docs: DataFrame, questions: list[str], dimensions: int) -> DataFrame:
+    """query_id, id, score of every row of docs (id string, text) and question by the feature vectors' cosine."""
+    prepare_workers(docs.sparkSession)
+    return docs.select("id", "text").mapInPandas(worker(__name__, "feature_similarity_batches", questions, dimensions), "query_id long, id string, score double")
+
+
 def nearest_centre_batches(batches: Iterator[pd.DataFrame], centres: np.ndarray, probes: int) -> Iterator[pd.DataFrame]:
     """For mapInPandas over id, vector: the nearest centres of each vector, as cell and place."""
     for b in batches:

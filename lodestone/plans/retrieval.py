@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.keys import canonical_instant, uuid5
@@ -128,6 +128,35 @@ def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
     return r.top_k(fused, ["query_id"], [F.col("score").desc(), F.col("id")], TOP).select("query_id", F.col("id").alias("passage_id"), "score", "signals", "rank")
 
 
+def _fields(spark: SparkSession, d: str) -> DataFrame:
+    values = F.array_join(F.transform(F.array_sort(F.map_entries("metadata")), lambda e: e["value"]), " ")
+    docs = table(spark, d, "corpus", "passage_id", "text", "object_key", values.alias("values")).distinct()
+    return r.bm25_fields(docs, "passage_id", {"text": 2.0, "object_key": 1.5, "values": 1.0}, _questions(spark)).withColumn("score", F.round("score", 6))
+
+
+def bm25_fields_topk(spark: SparkSession, d: str) -> DataFrame:
+    """H2, H3, F2: the best passages by keyword in text, key and metadata, the best field per word, ties by id."""
+    return r.top_k(_fields(spark, d), ["query_id"], [F.col("score").desc(), F.col("passage_id")], TOP)
+
+
+def rrf_all_signals(spark: SparkSession, d: str) -> DataFrame:
+    """Keyword, metadata and vector rankings of all objects fused by reciprocal rank; only the result is cut.
+
+    An object ranks by its best passage. Ranks need every candidate of a question in order, so a question is sorted in one task.
+    """
+    passages = table(spark, d, "corpus", "passage_id", "bucket", "object_key").distinct()
+    texts = table(spark, d, "corpus", F.col("passage_id").alias("id"), "text").distinct()
+    vector = r.feature_similarity(texts, QUESTIONS, 64).withColumnRenamed("id", "passage_id")
+    scored = None
+    for name, x in (("keyword", _fields(spark, d)), ("metadata", _metadata(spark, d)), ("vector", vector)):
+        x = x.select("query_id", "passage_id", "score", F.lit(name).alias("signal"))
+        scored = x if scored is None else scored.unionByName(x)
+    objects = scored.join(passages, "passage_id").groupBy("query_id", "signal", F.struct("bucket", "object_key").alias("id")).agg(F.max("score").alias("score"))
+    w = Window.partitionBy("query_id", "signal").orderBy(F.col("score").desc(), "id")
+    fused = r.fuse(objects.withColumn("rank", F.row_number().over(w)), {"metadata": 0.5}).withColumn("score", F.round("score", 9))
+    return r.top_k(fused, ["query_id"], [F.col("score").desc(), F.col("id")], TOP).select("query_id", "id.bucket", "id.object_key", "score", "signals", "rank")
+
+
 def extractive_answers(spark: SparkSession, d: str) -> DataFrame:
     """An answer to each question from its best passages."""
     top = r.top_k(_keyword(spark, d), ["query_id"], [F.col("score").desc(), F.col("passage_id")], TOP)
@@ -179,7 +208,7 @@ def feature_hash_vectors(spark: SparkSession, d: str) -> DataFrame:
     return v.where("value <> 0").select("passage_id", F.col("bucket").cast("long").alias("bucket"), F.round("value", 6).alias("value"))
 
 
-QUERIES = {f.__name__: f for f in (text_chunks, chunk_digests, chunk_digests_all, fixed_passages, word_boundary_passages, tidy_digests, object_types, pii_pattern_findings, secret_redaction, pseudonyms, canonical_times, passage_uuids, span_grounding, metadata_score_topk, bm25_topk, rrf_fusion, extractive_answers, vector_exact_knn, max_similarity_per_label, ann_recall, vector_norms, feature_hash_embedding, feature_hash_vectors)}
+QUERIES = {f.__name__: f for f in (text_chunks, chunk_digests, chunk_digests_all, fixed_passages, word_boundary_passages, tidy_digests, object_types, pii_pattern_findings, secret_redaction, pseudonyms, canonical_times, passage_uuids, span_grounding, metadata_score_topk, bm25_topk, bm25_fields_topk, rrf_fusion, rrf_all_signals, extractive_answers, vector_exact_knn, max_similarity_per_label, ann_recall, vector_norms, feature_hash_embedding, feature_hash_vectors)}
 
 _Q = "q AS (SELECT * FROM (VALUES " + ", ".join(f"({i}::BIGINT, '{q}')" for i, q in enumerate(QUESTIONS)) + ") t(query_id, query))"
 _W = "list_filter(regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}]+'), lambda w: length(w) <= {1})"

@@ -92,3 +92,30 @@ def test_feature_hash_of_every_text(spark, tmp_path):
     assert got[0] != got[1] and got[2] == got[3] == got[4] and got[6] == got[7]
     cancels = next(w for w in map(str, range(99)) if retrieval._placed(w)[1] != retrieval._placed("__bias__")[1])
     assert list(retrieval.feature_vector(cancels, 1)) == [1.0]
+
+
+def test_keyword_over_three_fields(spark):
+    docs = [("a", "sealed mail", "x/y", None), ("b", "other words here", "sealed/mail.txt", "mail"), ("c", None, "z", "archives archives"), ("d", "", "q", "")]
+    q = spark.createDataFrame([(0, "sealed mail archives archives")], "query_id long, query string")
+    got = {r.id: r.score for r in retrieval.bm25_fields(spark.createDataFrame(docs, "id string, text string, key string, meta string"), "id", {"text": 2.0, "key": 1.5, "meta": 1.0}, q).collect()}
+    cut = [[re.findall(r"[a-z]+", t or "") for t in d[1:]] for d in docs]
+
+    def score(doc, word):
+        out = 0.0
+        for f, boost in enumerate((2.0, 1.5, 1.0)):
+            df, mean, tf = sum(word in c[f] for c in cut), sum(len(c[f]) for c in cut) / 4, cut[doc][f].count(word)
+            if tf:
+                out = max(out, boost * math.log(1 + (4 - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(cut[doc][f]) / mean)))
+        return out
+
+    want = {d[0]: sum(score(i, w) for w in "sealed mail archives archives".split()) for i, d in enumerate(docs)}
+    assert got.keys() == {"a", "b", "c"} and all(abs(got[k] - want[k]) < 1e-9 for k in got)
+
+
+def test_fusion_of_all_ranks_and_signals(spark, tmp_path):
+    rows = [(f"p{i:03}", "b", f"k{i:03}", "t", "m", {"topic": "sealed mail"}, "nothing") for i in range(80)] + [("q", "b", "q", "t", "m", {"topic": "archives"}, "sealed mail archives"), ("q2", "b", "q", "t", "m", {"topic": "archives"}, "else")]
+    put(spark, tmp_path, "corpus", rows, CORPUS)
+    got = [r for r in entry.queries()["rrf_all_signals"](spark, str(tmp_path)).collect() if r.query_id == 0]
+    assert sorted(r["rank"] for r in got) == list(range(1, 11))
+    low = next(r for r in got if r.object_key == "q")  # last of 81 by metadata, first by the others
+    assert (low.object_key, low.signals, low.score) == ("q", "keyword,metadata,vector", round(1 / 61 + 0.5 / (60 + 81) + 1 / 61, 9))
