@@ -11,7 +11,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from lodestone.operators import ledger, retrieval
+from lodestone.operators import content, ledger, retrieval
 
 
 def put(spark, folder, name, rows, schema):
@@ -119,3 +119,21 @@ def test_fusion_of_all_ranks_and_signals(spark, tmp_path):
     assert sorted(r["rank"] for r in got) == list(range(1, 11))
     low = next(r for r in got if r.object_key == "q")  # last of 81 by metadata, first by the others
     assert (low.object_key, low.signals, low.score) == ("q", "keyword,metadata,vector", round(1 / 61 + 0.5 / (60 + 81) + 1 / 61, 9))
+
+
+def test_every_kind_of_secret_is_redacted(spark):
+    cases = {
+        "a -----BEGIN RSA PRIVATE KEY-----\nMII\n-----END RSA PRIVATE KEY----- b": "a [REDACTED] b",
+        "Cookie: sid=abc; theme=x\nnext": "Cookie: [REDACTED]\nnext",
+        "Set-Cookie: sid=abc": "Set-Cookie: [REDACTED]",
+        "Authorization: Digest abc": "Authorization: [REDACTED]",
+        "run --password x --verbose y": "run --password [REDACTED] --verbose y",
+        "run --api-key=x -p x": "run --api-key=[REDACTED] -p [REDACTED]",
+        '{"password": "x y", "name": "z"}': '{"password": "[REDACTED]", "name": "z"}',
+        "clientSecret=x, awsSecretAccessKey: y": "clientSecret=[REDACTED], awsSecretAccessKey: [REDACTED]",
+        "a=token=abc": "a=token=[REDACTED]",
+        "max_tokens=5 token_count: 3 idempotency_key=k": "max_tokens=5 token_count: 3 idempotency_key=k",
+        "ftp://user@h/?sig=1;code=2&page=3": "ftp://[REDACTED]@h/?sig=[REDACTED];code=[REDACTED]&page=3",
+    }
+    df = spark.createDataFrame([(k, v) for k, v in cases.items()] + [(None, None)], "t string, want string")
+    assert [(r.got, r.want) for r in df.select(content.redact_secrets(F.col("t")).alias("got"), "want").collect() if r.got != r.want] == []
