@@ -24,6 +24,8 @@ REACH, TABLE = 3, 1 << 18
 MOST_KNOWN = 600_000
 #: Tokens after which a longer paragraph is decoded in parts, at the next token that ends a sentence.
 LONGEST = 4096
+#: Signs that part the words of a long run without a blank.
+_BORDER = re.compile("[\\u3000-\\u30ff\\u3400-\\u9fff\\uff00-\\uffef,;<>\"“”]")
 _PARAGRAPH = re.compile(r"\n[ \t\r]*\n")
 
 
@@ -126,6 +128,19 @@ class Features:
         return kind
 
 
+def _around(text: str, start: int, end: int, first: int, stop: int, most: int = 80) -> str:
+    """Of a run of more than most characters, what surrounds a token: the part between signs that part words, at most so much."""
+    if end - start >= most:
+        return text[start : start + most]
+    low, high = max(first, end - most), min(stop, start + most)
+    left = max((m.end() for m in _BORDER.finditer(text, low, start)), default=low)
+    right = m.start() if (m := _BORDER.search(text, end, high)) else high
+    if right - left > most:
+        left = max(left, start - most // 2)
+        right = min(right, left + most)
+    return text[left:right]
+
+
 class Encoded:
     """Texts cut into sequences of tokens (paragraphs, very long ones in parts), with the classes of their tokens and runs."""
 
@@ -164,9 +179,12 @@ class Encoded:
             number = np.cumsum(new_run) - 1
             at = np.nonzero(new_run)[0]
             stop = np.append(e[at[1:] - 1], e[-1])
-            runs = features.runs.numbers([text[x : min(y, x + 80)] for x, y in zip(s[at].tolist(), stop.tolist())])
-            token.append(features.tokens.numbers([w if len(w) <= 60 else w[:60] for w in words]))
-            run.append(runs[number])
+            runs = features.runs.numbers([text[x : min(y, x + 80)] for x, y in zip(s[at].tolist(), stop.tolist())])[number]
+            far = np.nonzero((stop - s[at] > 80)[number])[0]
+            if len(far):
+                runs[far] = features.runs.numbers([_around(text, *x) for x in zip(s[far].tolist(), e[far].tolist(), s[at][number[far]].tolist(), stop[number[far]].tolist())])
+            token.append(features.tokens.numbers([w if len(w) <= 60 else w[:30] + w[-30:] for w in words]))
+            run.append(runs)
             place.append(np.minimum(np.arange(n) - at[number], 3).astype(np.int32))
             gap.append(kind)
             start.append(s)
@@ -220,7 +238,8 @@ def _next_run(e: Encoded, steps: int) -> np.ndarray:
         return e.run
     new = (e.place == 0) & ((e.gap != 0) | (np.append(True, e.sequence[1:] != e.sequence[:-1])))
     number = np.cumsum(new) - 1
-    run, of = e.run[new], e.sequence[new]
+    near = new if steps > 0 else np.append(new[1:], True)  # parts of a long run differ: its end that is nearer counts
+    run, of = e.run[near], e.sequence[new]
     target = np.arange(len(run)) + steps
     inner = np.clip(target, 0, len(run) - 1)
     there = np.where((target == inner) & (of[inner] == of), run[inner], 0).astype(e.run.dtype)
