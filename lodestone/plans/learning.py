@@ -79,7 +79,7 @@ def causal_ancestry(spark: SparkSession, d: str) -> DataFrame:
 
 
 def hash_chain_check(spark: SparkSession, d: str) -> DataFrame:
-    """A ledger over budget definitions whose links are digests of what comes before; a copy of an entry is a fault."""
+    """Part of E5: the order of events by their id, as a chain of links without payloads; a copy is a fault (whole: hash_chain_faults)."""
     b = table(spark, d, "events", "event_id", "event_type").select((F.col("event_id") + 1).alias("sequence"), "event_type")
     linked = b.select("sequence", F.sha2(F.concat(F.lit("p"), (F.col("sequence") - 1).cast("string")), 256).alias("previous_hash"), F.sha2(F.concat(F.lit("p"), F.col("sequence").cast("string")), 256).alias("entry_hash"), F.col("event_type").alias("payload"))
     faults = ledger.chain_faults(linked)

@@ -22,7 +22,7 @@ def text_chunks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def chunk_digests(spark: SparkSession, d: str) -> DataFrame:
-    """Chunks of 256 bytes that occur more than once in the ASCII documents."""
+    """Part of I1, I2: chunks of 256 bytes that occur more than once in the ASCII documents (whole: chunk_digests_all)."""
     docs = table(spark, d, "documents", "doc_id", "text").where(F.col("text").rlike("^\\p{ASCII}*$")).select("doc_id", F.encode("text", "UTF-8").alias("data"))
     return c.chunks(docs, "doc_id", "data", 256).groupBy("sha256").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
@@ -114,12 +114,12 @@ def _keyword(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    """H2, H3, F2: the best passages by keyword, statistics over the whole corpus, ties by id."""
+    """H2, part of H3: the best passages by keyword in texts alone, statistics over the whole corpus (whole: bm25_fields_topk)."""
     return r.top_k(_keyword(spark, d), ["query_id"], [F.col("score").desc(), F.col("passage_id")], TOP)
 
 
 def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
-    """Both rankings fused by reciprocal rank."""
+    """Part of H6, J16: two rankings of 50 passages each fused by reciprocal rank (whole: rrf_all_signals)."""
     signals = None
     for name, scored in (("keyword", _keyword(spark, d)), ("metadata", _metadata(spark, d))):
         top = r.top_k(scored, ["query_id"], [F.col("score").desc(), F.col("passage_id")], 50).select("query_id", F.col("passage_id").alias("id"), F.lit(name).alias("signal"), "rank")
@@ -197,7 +197,7 @@ def vector_norms(spark: SparkSession, d: str) -> DataFrame:
 
 
 def feature_hash_embedding(spark: SparkSession, d: str) -> DataFrame:
-    """Texts of the corpus as 64 hashed features."""
+    """Part of H10: words of the corpus as 64 hashed features (whole: feature_hash_vectors)."""
     return r.feature_hash(table(spark, d, "corpus", "passage_id", "text").distinct(), "passage_id", "text", 64).withColumn("value", F.round("value", 6))
 
 

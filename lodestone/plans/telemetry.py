@@ -111,7 +111,7 @@ def interval_overlap_join(spark: SparkSession, d: str) -> DataFrame:
 
 
 def attempt_chain_check(spark: SparkSession, d: str) -> DataFrame:
-    """Moves whose attempts have holes, several successes, a success before the last, or times that fall."""
+    """Part of T16, E6: moves whose attempts have holes, several successes or a success before the last (whole: attempt_chain_faults)."""
     m = table(spark, d, "movement", "call_id", "logical_move_id", "attempt_number", "started_at", "success").distinct()
     x = m.groupBy("logical_move_id").agg(F.count(F.lit(1)).alias("calls"), F.countDistinct("attempt_number").alias("attempts"), F.min("attempt_number").alias("least"), F.max("attempt_number").alias("most"), F.count_if("success").alias("successes"), F.max(F.when(F.col("success"), F.col("attempt_number"))).alias("won"))
     return x.select("logical_move_id", "calls", ((F.col("least") != 1) | (F.col("most") - F.col("least") + 1 != F.col("attempts"))).alias("holes"), (F.col("successes") > 1).alias("several"), F.coalesce(F.col("won") < F.col("most"), F.lit(False)).alias("early")).where("holes OR several OR early")
