@@ -11,7 +11,6 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from lodestone.llm import crf, labelled, pii
 from lodestone.operators import content, ledger, retrieval
 
 
@@ -138,18 +137,3 @@ def test_every_kind_of_secret_is_redacted(spark):
     }
     df = spark.createDataFrame([(k, v) for k, v in cases.items()] + [(None, None)], "t string, want string")
     assert [(r.got, r.want) for r in df.select(content.redact_secrets(F.col("t")).alias("got"), "want").collect() if r.got != r.want] == []
-
-
-def test_run_features_behind_the_eightieth_character():
-    """What surrounds a token tells its features, not the first 80 characters of a run without a blank."""
-    f = crf.Features(labelled.LISTED["given"], labelled.LISTED["family"])
-    lead = "照合サービスは1.2GiBのマニフェストを確認した。" * 4
-    text = f"{lead}mailto:jurgen.penalver+holds@kiln.invalid"
-    e = crf.Encoded([text], f)
-    assert len(lead) > 80
-    at = e.run[[text[s] for s in e.start].index("@")]
-    ends = [*f.runs.begin, len(f.runs.flat)]
-    got = f.runs.flat[ends[at] : ends[at + 1]]
-    assert got == [crf.zlib.crc32(x.encode()) for x in f.of_run("mailto:jurgen.penalver+holds@kiln.invalid")]
-    assert [(k, text[s:z]) for s, z, k in pii.mentions([text], f)[0]] == [("email", "jurgen.penalver+holds@kiln.invalid")]
-    assert crf._around("x" * 300, 0, 200, 0, 300) == "x" * 80 and crf._around("x" * 300, 150, 151, 0, 300) == "x" * 80
