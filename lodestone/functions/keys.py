@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 #: The blanks that do not count at the ends of a key.
@@ -14,21 +14,32 @@ def plain_key(c: Column) -> Column:
     return F.lower(F.btrim(c, F.lit(OUTER_BLANKS)))
 
 
+def require_utc() -> None:
+    """Fails where the session's zone is not UTC: times without a zone mean UTC, and Spark reads them in the session's zone."""
+    spark = SparkSession.getActiveSession()
+    zone = spark.conf.get("spark.sql.session.timeZone") if spark else "UTC"
+    if zone not in ("UTC", "Etc/UTC", "Z", "GMT", "Etc/GMT", "+00:00", "UTC+00:00"):
+        raise ValueError(f"spark.sql.session.timeZone is {zone}: times without a zone mean UTC, set it to UTC")
+
+
 def instant_us(c: Column) -> Column:
     """Microseconds since 1970 UTC of an ISO 8601 text in any offset; null if it names no instant.
 
     Text without an offset means UTC, as the session's zone must be.
     """
+    require_utc()
     return F.unix_micros(c.try_cast("timestamp"))
 
 
 def micros(c: Column) -> Column:
     """Microseconds since 1970 UTC of a timestamp with or without zone; one without zone means UTC."""
+    require_utc()
     return F.unix_micros(c.cast("timestamp"))
 
 
 def canonical_instant(c: Column) -> Column:
     """The canonical text of an instant: YYYY-MM-DDTHH:MM:SS.ffffffZ; null if c names none."""
+    require_utc()
     return F.date_format(c.try_cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
 
 

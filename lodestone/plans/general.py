@@ -7,20 +7,31 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.keys import instant_us, micros, plain_key
 from lodestone.operators import copydiff, intervals, references
+from lodestone.session import folder, stored
 from lodestone.sources.tables import table
 
 
-def _references(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    refs = references.catalog_references(
-        table(spark, d, "object_contents", "object_id", "manifest_id", "updated_at"),
-        table(spark, d, "content_manifest_chunks", "manifest_id", "chunk_index", "chunk_sha256"),
-        table(spark, d, "content_manifests", "manifest_id", "created_at"),
-        table(spark, d, "budget_reservations", "budget_id", "move_id", "attempt", "created_at"),
-    )
-    records = references.catalog_records(
+def _records(spark: SparkSession, d: str) -> DataFrame:
+    return references.catalog_records(
         table(spark, d, "content_manifests", "manifest_id", "created_at"), table(spark, d, "content_blobs", "sha256", "created_at", "unreferenced_at"), table(spark, d, "budget_definitions", "budget_id", "created_at")
     )
-    state = references.fold(references.reference_deltas(refs), references.existence_deltas(records))
+
+
+def _refs(spark: SparkSession, d: str) -> DataFrame:
+    """All references with their times, stored once: both the state and the orphans are made from them."""
+    return stored(
+        references.catalog_references(
+            table(spark, d, "object_contents", "object_id", "manifest_id", "updated_at"),
+            table(spark, d, "content_manifest_chunks", "manifest_id", "chunk_index", "chunk_sha256"),
+            table(spark, d, "content_manifests", "manifest_id", "created_at"),
+            table(spark, d, "budget_reservations", "budget_id", "move_id", "attempt", "created_at"),
+        )
+    )
+
+
+def _references(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    refs = _refs(spark, d)
+    state = references.fold(references.reference_deltas(refs), references.existence_deltas(_records(spark, d)))
     return refs, references.orphans(refs, state)
 
 
@@ -34,6 +45,27 @@ def p1_report(spark: SparkSession, d: str) -> DataFrame:
     return references.orphan_report(_references(spark, d)[1])
 
 
+#: The instant that parts the two batches of p1_after_changes: 2025-01-01 UTC.
+BATCH_US = 1_735_689_600_000_000
+
+
+def p1_after_changes(spark: SparkSession, d: str) -> DataFrame:
+    """The orphan keys after two batches of changes: those up to BATCH_US make the state, those behind it are added to what was published.
+
+    Changes: a reference at its time, a record at its creation and again where it was reclaimed; what has no readable time is in the first batch.
+    """
+    refs, root = _refs(spark, d), folder(spark, "reference-state")
+    m = table(spark, d, "content_manifests", "manifest_id", "created_at").select(F.lit("content_manifests").alias("target"), plain_key(F.col("manifest_id")).alias("key"), instant_us(F.col("created_at")).alias("at_us"), F.lit(1).alias("delta"))
+    b = table(spark, d, "content_blobs", "sha256", "created_at", "unreferenced_at").select(F.lit("content_blobs").alias("target"), plain_key(F.col("sha256")).alias("key"), F.explode(F.array(F.struct(instant_us(F.col("created_at")).alias("at_us"), F.lit(1).alias("delta")), F.when(F.col("unreferenced_at").isNotNull(), F.struct(instant_us(F.col("unreferenced_at")).alias("at_us"), F.lit(-1).alias("delta"))))).alias("c")).where("c IS NOT NULL").select("target", "key", "c.*")
+    g = table(spark, d, "budget_definitions", "budget_id", "created_at").select(F.lit("budget_definitions").alias("target"), plain_key(F.col("budget_id")).alias("key"), instant_us(F.col("created_at")).alias("at_us"), F.lit(1).alias("delta"))
+    records = m.unionByName(b).unionByName(g).where("key IS NOT NULL").withColumn("created_us", F.col("at_us"))
+    state = None
+    for late in (False, True):
+        batch = [x.where((F.col(at) > BATCH_US) if late else (F.col(at).isNull() | (F.col(at) <= BATCH_US))) for x, at in ((refs, "ref_us"), (records, "at_us"))]
+        state = references.advance(root, references.reference_deltas(batch[0]), references.existence_deltas(batch[1]))
+    return references.orphan_keys(state).select("target", "key", "refs", "exists")
+
+
 def _holdings(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     compared = [plain_key(F.col("tier")).alias("tier"), F.col("size"), plain_key(F.col("checksum")).alias("checksum")]
     inventory = table(spark, d, "inventory", "bucket", "object_key", "tier", "size", "checksum", "updated_at").select("bucket", "object_key", *compared, "updated_at")
@@ -81,7 +113,7 @@ def p4_coverage(spark: SparkSession, d: str) -> DataFrame:
     return _named(out)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p3_found, p3_summary, p4_found, p4_coverage)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_after_changes, p3_found, p3_summary, p4_found, p4_coverage)}
 
 _REFS = r"""
 WITH manifests AS (SELECT lower(trim(manifest_id, E' \t\r\n ')) AS key, min(created_at::TIMESTAMPTZ) AS made FROM content_manifests GROUP BY 1),
@@ -126,6 +158,15 @@ x AS (SELECT *, lead(s) OVER (PARTITION BY table_name, entity_key ORDER BY s) AS
 SQL = {
     "p1_found": _REFS + "SELECT DISTINCT table_name, record_key, ref_key FROM found",
     "p1_report": _REFS + "SELECT table_name, strftime(timezone('UTC', seen), '%Y-%m') AS month, count(*) AS orphans, count(DISTINCT lower(trim(ref_key, E' \\t\\r\\n\\u00a0'))) AS keys FROM found GROUP BY 1, 2",
+    "p1_after_changes": r"""
+WITH refs AS (
+  SELECT 'content_manifests' AS target, lower(trim(manifest_id, E' \t\r\n ')) AS key, 1 AS r, 0 AS e FROM object_contents WHERE manifest_id IS NOT NULL
+  UNION ALL SELECT 'content_blobs', lower(trim(chunk_sha256, E' \t\r\n ')), 1, 0 FROM content_manifest_chunks WHERE chunk_sha256 IS NOT NULL
+  UNION ALL SELECT 'budget_definitions', lower(trim(budget_id, E' \t\r\n ')), 1, 0 FROM budget_reservations WHERE budget_id IS NOT NULL
+  UNION ALL SELECT 'content_manifests', lower(trim(manifest_id, E' \t\r\n ')), 0, 1 FROM content_manifests
+  UNION ALL SELECT 'content_blobs', lower(trim(sha256, E' \t\r\n ')), 0, CASE WHEN unreferenced_at IS NULL THEN 1 ELSE 0 END FROM content_blobs
+  UNION ALL SELECT 'budget_definitions', lower(trim(budget_id, E' \t\r\n ')), 0, 1 FROM budget_definitions)
+SELECT target, key, sum(r)::BIGINT AS refs, sum(e)::BIGINT AS exists FROM refs GROUP BY 1, 2 HAVING sum(r) > 0 AND sum(e) <= 0""",
     "p3_found": _DIFF + "SELECT * FROM found",
     "p3_summary": _DIFF + "SELECT bucket, difference, count(*) AS objects FROM found GROUP BY 1, 2",
     "p4_found": _SPANS + "SELECT table_name, entity_key, 'merged' AS kind, s AS start_us, CASE WHEN e = 9223372036854775807 THEN -1 ELSE e END AS end_us FROM x WHERE n >= 2 UNION ALL SELECT table_name, entity_key, 'gap', e, next_s FROM x WHERE next_s IS NOT NULL",

@@ -26,19 +26,36 @@ def build(master: str = "local[8]", shuffle_partitions: int = 8, **conf: str) ->
     return SparkSession.builder.master(master).config(map=settings).getOrCreate()
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """The folder of spark.checkpoint.dir, which all executors share; a folder of ours only in local mode."""
+def _remove_at_end(spark: SparkSession, folder: str) -> None:
+    """Has the file system remove a folder when the driver's JVM ends."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """The folder for checkpoints within spark.checkpoint.dir, which all executors share; a folder of ours only in local mode.
+
+    What is set here is removed when the driver ends.
+    """
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not (sc.master == "local" or sc.master.startswith("local[")):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        import tempfile
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared:
+            if not (sc.master == "local" or sc.master.startswith("local[")):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            import tempfile
+
+            shared = tempfile.mkdtemp(prefix="lodestone-checkpoint-")
+        sc.setCheckpointDir(shared)
+        _remove_at_end(spark, sc._jsc.sc().getCheckpointDir().get())
+    return sc._jsc.sc().getCheckpointDir().get()
 
-        shared = tempfile.mkdtemp(prefix="lodestone-checkpoint-")
-    sc.setCheckpointDir(shared)
+
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder within the shared checkpoint folder, which is removed when the driver ends."""
+    at = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _remove_at_end(spark, at)
+    return at
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -48,12 +65,13 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """Cuts lineage by a Parquet table in the shared folder: smaller than a checkpoint where strings repeat, and read by column."""
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
-    df.write.parquet(folder)
-    return spark.read.parquet(folder)
+    """Cuts lineage by a Parquet table in the shared folder: smaller than a checkpoint where strings repeat, and read by column.
+
+    The table is removed when the driver ends.
+    """
+    at = folder(df.sparkSession, "table")
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
 def spread(scan: DataFrame, *keys: str) -> DataFrame:
@@ -81,23 +99,27 @@ def worker(module: str, name: str, *args) -> Callable:
 
 
 def prepare_workers(spark: SparkSession) -> None:
-    """On a cluster, sends the package to the executors through the shared folder; nothing to do in local mode."""
+    """On a cluster, sends the package to the executors through the shared folder, on whatever file system it is; nothing to do in local mode."""
     sc = spark.sparkContext
     if sc.master.startswith("local[") or sc.master == "local" or getattr(sc, "_lodestone_sent", False):
         return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared and shared.startswith("file:"):
-        import zipfile
-
-        folder = shared.removeprefix("file://").removeprefix("file:")
-        os.makedirs(folder, exist_ok=True)
-        target = os.path.join(folder, f"lodestone-{sc.applicationId}.zip")
-        package = os.path.join(ROOT, "lodestone")
-        with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
-            for at, _, files in os.walk(package):
-                for f in files:
-                    if not f.endswith(".pyc"):
-                        full = os.path.join(at, f)
-                        z.write(full, os.path.relpath(full, ROOT))
-        sc.addPyFile(target)
+    import io
+    import zipfile
+
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as z:
+        for at, _, files in os.walk(os.path.join(ROOT, "lodestone")):
+            for f in files:
+                if not f.endswith(".pyc"):
+                    z.write(os.path.join(at, f), os.path.relpath(os.path.join(at, f), ROOT))
+    send(spark, f"{ensure_checkpoint_dir(spark)}/lodestone-{sc.applicationId}.zip", data.getvalue())
     sc._lodestone_sent = True
+
+
+def send(spark: SparkSession, target: str, data: bytes) -> None:
+    """Writes a package to target, a path of any Hadoop file system, and has all workers import from it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(target)
+    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
+    out.write(bytearray(data))
+    out.close()
+    spark.sparkContext.addPyFile(target)

@@ -6,7 +6,6 @@ folder; started again with the same folders it goes on where it stopped, and wha
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -14,13 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.session import ensure_checkpoint_dir
-
-
-def folder(spark: SparkSession, name: str) -> str:
-    """A new folder within the shared checkpoint folder."""
-    ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+from lodestone.session import folder
 
 
 def source(spark: SparkSession, path: str, name: str, files_at_once: int = 1) -> DataFrame:
@@ -31,14 +24,12 @@ def source(spark: SparkSession, path: str, name: str, files_at_once: int = 1) ->
     return stream.parquet(f"{path}/{name}") if is_folder else stream.option("pathGlobFilter", name).parquet(path)
 
 
-def run(stream: DataFrame, mode: str = "append", target: str | None = None, seconds: int = 600) -> DataFrame:
-    """Runs stream over all that is there and gives what it wrote."""
+def run(stream: DataFrame, mode: str = "append", target: str | None = None) -> DataFrame:
+    """Runs stream over all that is there, however long that takes, and gives what it wrote."""
     spark = stream.sparkSession
     target = target or folder(spark, "stream")
     query = stream.writeStream.format("parquet").outputMode(mode).option("path", f"{target}/out").option("checkpointLocation", f"{target}/state").trigger(availableNow=True).start()
-    if not query.awaitTermination(seconds):
-        query.stop()
-        raise TimeoutError("the stream did not end in time")
+    query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{target}/out")
 
 
@@ -53,13 +44,11 @@ def windowed(stream: DataFrame, keys: list[str], time: str, length: str, late: s
     return stream.withWatermark(time, late).groupBy(*keys, w.alias("w")).agg(F.count(F.lit(1)).alias("n")).select(*keys, F.col("w.start").alias("start"), "n")
 
 
-def each_batch(stream: DataFrame, change: Callable[[DataFrame, int], None], target: str | None = None, seconds: int = 600) -> None:
+def each_batch(stream: DataFrame, change: Callable[[DataFrame, int], None], target: str | None = None) -> None:
     """Gives every micro-batch to change(batch, number), which must do the same if it sees a number again."""
     target = target or folder(stream.sparkSession, "batches")
     query = stream.writeStream.foreachBatch(change).option("checkpointLocation", f"{target}/state").trigger(availableNow=True).start()
-    if not query.awaitTermination(seconds):
-        query.stop()
-        raise TimeoutError("the stream did not end in time")
+    query.awaitTermination()
 
 
 STATE = T.StructType([T.StructField("since", T.LongType()), T.StructField("last", T.LongType()), T.StructField("samples", T.LongType())])
