@@ -1,13 +1,16 @@
 """Differences between two copies of a table, by hierarchical checksums.
 
-The space of keys is laid out on a line by a 64-bit hash and cut into 2**depth leaf ranges. Each side has one checksum per
-leaf: its rows and two sums of 64-bit row hashes. The sums of neighbouring ranges give the checksum of their union, so the tree
-above the leaves costs no further pass over the rows. From the root on, ranges whose checksums differ are split again and equal
-ones are left alone; fields are compared only for the rows of leaf ranges that still differ, and only those rows are read again.
-At most 2**depth leaf numbers are broadcast, whatever the size of the tables.
+The keys are laid out on a line by a 64-bit hash, so that ranges of the line hold about as many keys each, whatever the keys look like.
+Each side is brought to one row per key once, of which its place on the line and a hash of the whole row are kept. The checksum of a
+range is its rows and the sums of two numbers made of each row's hash; sums of neighbouring ranges add up. From the root on, ranges
+whose checksums differ are split into 2**STEP parts and equal ones are left alone; each level sums only what stands under ranges that
+differed on the level above. The depth follows from the number of rows, so that a last range holds one row or none: fields are
+compared only for the rows of the last ranges that differ, about those that do differ, and only those rows are read again.
 
-Hashes decide nothing alone: equal sums of two independent 64-bit hashes and equal counts make a range equal; the chance that a
-difference hides in them is below 2**-100 for any one range.
+Ranges that differ are broadcast as long as they are counted to be few; more of them are joined.
+
+Hashes decide nothing alone: equal sums of two numbers of 64 bits and equal counts make a range equal; the chance that a
+difference hides in them is about 2**-64 for any one range.
 
 Defined cases: of several rows of a key the one with the latest time counts (at equal times the greatest values, in the order of
 the fields); null differs from any value but not from null; null keys are keys; empty tables are one side that misses all.
@@ -15,13 +18,17 @@ the fields); null differs from any value but not from null; null keys are keys;
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.session import cut
+from lodestone.session import cut, stored
 
-#: Bits of a leaf's number, and bits by which a range is split at each step down.
-DEPTH, STEP = 16, 4
+#: Bits by which a range is split at each step down, and by which last ranges outnumber the rows.
+STEP, SPARE = 12, 2
+#: Ranges that differ of which so many may be broadcast: 8 bytes each.
+BROADCAST_RANGES = 2_000_000
 _SUMS = ["n", "h1_lo", "h1_hi", "h2_lo", "h2_hi"]
 
 
@@ -31,44 +38,54 @@ def latest(df: DataFrame, keys: list[str], fields: list[str], time: str) -> Data
     return df.groupBy(*keys).agg(best).select(*keys, *[F.col(f"__best.{n}").alias(n) for n in fields])
 
 
-def leaf_of(keys: list[str], depth: int = DEPTH) -> Column:
-    """The number of the leaf range that a key falls into."""
-    return F.shiftrightunsigned(F.xxhash64(*keys), 64 - depth)
+def place_of(keys: list[str]) -> Column:
+    """Where a key lies on the line."""
+    return F.xxhash64(*keys)
+
 
+def range_of(place: Column | str, depth: int) -> Column:
+    """The number of the range of a level of 2**depth ranges that a place falls into."""
+    return F.shiftrightunsigned(place, 64 - depth) if depth else F.lit(0).cast("long")
 
-def leaf_sums(rows: DataFrame, keys: list[str], fields: list[str], depth: int = DEPTH) -> DataFrame:
-    """The checksum of each leaf range of rows (one per key): count and sums of two row hashes, by halves so that none overflows."""
+
+def placed(rows: DataFrame, keys: list[str], fields: list[str], sign: int) -> DataFrame:
+    """place, h, sign of rows (one per key): h is a hash of the whole row, in which null is no value."""
     nulls = [F.col(c).isNull() for c in [*keys, *fields]]
-    hashes = {"h1": F.xxhash64(F.lit(1), *keys, *fields, *nulls), "h2": F.xxhash64(F.lit(2), *nulls, *reversed(fields), *keys)}
-    rows = rows.select(leaf_of(keys, depth).alias("leaf"), *[h.alias(n) for n, h in hashes.items()])
-    halves = [F.sum(F.col(h).bitwiseAND(F.lit((1 << 32) - 1))).alias(f"{h}_lo") for h in hashes] + [F.sum(F.shiftright(h, 32)).alias(f"{h}_hi") for h in hashes]
-    return rows.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), *halves)
+    return rows.select(place_of(keys).alias("place"), F.xxhash64(F.lit(1), *keys, *fields, *nulls).alias("h"), F.lit(sign).cast("byte").alias("sign"))
+
+
+def _sums(rows: DataFrame, depth: int) -> DataFrame:
+    """Signed checksums of the ranges of a level; halves of the hashes are summed, so that none overflows."""
+    numbers = {"h1": F.col("h"), "h2": F.xxhash64(F.lit(2), "h", "place")}
+    halves = [f(numbers[h]) * F.col("sign") for h in numbers for f in (lambda x: x.bitwiseAND(F.lit((1 << 32) - 1)), lambda x: F.shiftright(x, 32))]
+    return rows.groupBy(range_of("place", depth).alias("range")).agg(F.sum("sign").alias("n"), *[F.sum(x).alias(name) for x, name in zip(halves, _SUMS[1:])])
 
 
-def differing_leaves(left_sums: DataFrame, right_sums: DataFrame, depth: int = DEPTH, step: int = STEP) -> DataFrame:
-    """The leaves under which both sides differ, by descent from the root into ranges with different checksums."""
-    signed = left_sums.unionByName(right_sums.select("leaf", *[(-F.col(c)).alias(c) for c in _SUMS]))
-    total = [F.sum(c).alias(c) for c in _SUMS]
-    leaves = cut(signed.groupBy("leaf").agg(*total).coalesce(1))  # at most 2**depth rows
+def _under(rows: DataFrame, place: Column, ranges: DataFrame, depth: int, few: bool) -> DataFrame:
+    """The rows whose place lies under one of the ranges of a level."""
+    return rows.join(F.broadcast(ranges) if few else ranges, range_of(place, depth) == ranges["range"], "left_semi")
+
+
+def differing_ranges(both: DataFrame, rows: int, step: int = STEP, broadcast_ranges: int = BROADCAST_RANGES) -> tuple[DataFrame, int, bool]:
+    """(the last ranges in which the sides differ, their depth, whether they are few), by descent from the root; both: placed rows of the two sides."""
+    last = min(63, max(0, math.ceil(math.log2(max(1, rows)))) + SPARE)
     differs = F.greatest(*[F.col(c) != 0 for c in _SUMS])
-    frontier = None
-    for level in [*range(0, depth, step), depth]:
-        nodes = leaves.groupBy(F.shiftright("leaf", depth - level).alias("leaf")).agg(*total) if level < depth else leaves
-        if frontier is not None:
-            nodes = nodes.join(F.broadcast(frontier), F.shiftright(nodes["leaf"], level - above) == frontier["parent"], "left_semi")
-        frontier, above = nodes.where(differs).select(F.col("leaf").alias("parent")), level
-    return frontier.select(F.col("parent").alias("leaf"))
+    depth, left, ranges, few = 0, both, None, True
+    while depth < last or ranges is None:
+        depth = min(last, depth + step)
+        ranges = cut(_sums(left, depth).where(differs).select("range"))
+        few = ranges.count() <= broadcast_ranges
+        if depth < last:
+            left = _under(both, F.col("place"), ranges, depth, few)
+    return ranges, depth, few
 
 
-def differences(left: DataFrame, right: DataFrame, keys: list[str], fields: list[str], left_time: str, right_time: str, names: tuple[str, str] = ("left", "right"), depth: int = DEPTH) -> DataFrame:
+def differences(left: DataFrame, right: DataFrame, keys: list[str], fields: list[str], left_time: str, right_time: str, names: tuple[str, str] = ("left", "right"), step: int = STEP, broadcast_ranges: int = BROADCAST_RANGES) -> DataFrame:
     """keys, difference: missing_in_<name> for keys of one side only, and the name of each field that differs, one row each.
 
     left and right: keys, fields (already in the form in which they are compared) and a time. Which rows of a key count is said above.
     """
-    clean = [df.select(*keys, *fields, t) for df, t in ((left, left_time), (right, right_time))]
-    sums = [leaf_sums(latest(df, keys, fields, t), keys, fields, depth) for df, t in zip(clean, (left_time, right_time))]
-    bad = F.broadcast(cut(differing_leaves(*sums, depth=depth)))
-    a, b = (latest(df.join(bad, leaf_of(keys, depth) == bad["leaf"], "left_semi"), keys, fields, t) for df, t in zip(clean, (left_time, right_time)))
+    a, b = under_differing_ranges(left, right, keys, fields, left_time, right_time, step, broadcast_ranges)
     a = a.select(*keys, F.struct(*fields).alias("__a"), F.lit(True).alias("__in_a"))
     b = b.select(*[F.col(k).alias(f"__{k}") for k in keys], F.struct(*fields).alias("__b"), F.lit(True).alias("__in_b"))
     same = F.lit(True)
@@ -80,3 +97,13 @@ def differences(left: DataFrame, right: DataFrame, keys: list[str], fields: list
     )
     shown = [F.when(F.col("__in_a").isNull(), F.col(f"__{k}")).otherwise(F.col(k)).alias(k) for k in keys]
     return pairs.select(*shown, F.explode(found).alias("difference"))
+
+
+def under_differing_ranges(left: DataFrame, right: DataFrame, keys: list[str], fields: list[str], left_time: str, right_time: str, step: int = STEP, broadcast_ranges: int = BROADCAST_RANGES) -> tuple[DataFrame, DataFrame]:
+    """The rows of both sides, one per key, that stand under last ranges in which the sides differ: what is left to be compared."""
+    clean = [df.select(*keys, *fields, t) for df, t in ((left, left_time), (right, right_time))]
+    ones = [placed(latest(df, keys, fields, t), keys, fields, sign) for df, t, sign in zip(clean, (left_time, right_time), (1, -1))]
+    both = stored(ones[0].unionByName(ones[1]))
+    ranges, depth, few = differing_ranges(both, both.count() // 2, step, broadcast_ranges)
+    a, b = (latest(_under(df, place_of(keys), ranges, depth, few), keys, fields, t) for df, t in zip(clean, (left_time, right_time)))
+    return a, b

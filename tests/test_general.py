@@ -63,19 +63,28 @@ def brute_diff(left, right):
     return {(k, "missing_in_r") for k in a.keys() - b.keys()} | {(k, "missing_in_l") for k in b.keys() - a.keys()} | {(k, "v") for k in a.keys() & b.keys() if a[k] != b[k]}
 
 
-@pytest.mark.parametrize("depth", [4, 6, 16])
-def test_copydiff_is_brute_force(spark, depth):
-    r = random.Random(depth)
+@pytest.mark.parametrize(("step", "broadcast_ranges"), [(1, 10**6), (4, 0), (12, 10**6)])
+def test_copydiff_is_brute_force(spark, step, broadcast_ranges):
+    r = random.Random(step)
     keys = [f"k{i}" for i in range(300)] + [None, ""]
     left = [(k, r.choice(["x", "y", None]), 1) for k in keys if r.random() < 0.97]
     right = [(k, v if r.random() < 0.95 else "z", 1) for k, v, _ in left if r.random() < 0.97] + [("only", None, 5)]
     right += right[:50] + [(k, "newer", 9) for k, _, _ in right[:3]]
     a = spark.createDataFrame(left, "k string, v string, t long")
     b = spark.createDataFrame(right, "k string, v string, t long")
-    got = {tuple(x) for x in copydiff.differences(a, b, ["k"], ["v"], "t", "t", ("l", "r"), depth).collect()}
+    got = {tuple(x) for x in copydiff.differences(a, b, ["k"], ["v"], "t", "t", ("l", "r"), step, broadcast_ranges).collect()}
     assert got == brute_diff(left, right)
 
 
+def test_copydiff_reads_few_rows_again(spark):
+    """Of 50,000 keys on each side, of which 500 differ, fewer than twice so many come to the comparison of fields."""
+    a = spark.range(50_000).selectExpr("concat('key/', id) AS k", "id AS v", "1 AS t")
+    b = a.selectExpr("k", "CASE WHEN v % 100 = 7 THEN v + 1 ELSE v END AS v", "t")
+    left, right = copydiff.under_differing_ranges(a, b, ["k"], ["v"], "t", "t")
+    assert 500 <= left.count() < 1000 and 500 <= right.count() < 1000
+    assert copydiff.differences(a, b, ["k"], ["v"], "t", "t").count() == 500
+
+
 def test_copydiff_of_equal_and_empty(spark):
     a = spark.createDataFrame([("k", 1, "v")], "k string, t long, v string")
     none = a.limit(0)
@@ -96,6 +105,36 @@ def test_orphans_with_and_without_salting(spark, hot_rows):
     assert {(x.key) for x in references.suspects(more).collect()} == {"late"}
 
 
+def test_a_published_state_takes_later_batches(spark, tmp_path):
+    """Batches added one after another give the state of all of them at once."""
+    r = random.Random(4)
+    refs = [("A", r.choice("pqrs"), r.randint(0, 9), r.choice([1, 1, 1, -1])) for _ in range(60)]
+    records = [("A", r.choice("pqrstu"), r.randint(0, 9), r.choice([1, 1, -1])) for _ in range(20)]
+    make = lambda a, b: (references.reference_deltas(spark.createDataFrame(a, "target string, key string, ref_us long, delta int")), references.existence_deltas(spark.createDataFrame(b, "target string, key string, created_us long, delta int")))
+    root = f"{tmp_path}/state"
+    for k in range(3):
+        state = references.advance(root, *make(refs[k * 20 : k * 20 + 20], records[k * 7 : k * 7 + 7]))
+    key = lambda df: sorted(map(tuple, df.collect()), key=str)
+    assert key(state) == key(references.fold(*make(refs, records)))
+    assert key(references.orphan_keys(state)) == [x for x in key(state) if x[2] > 0 and x[3] <= 0]
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+@pytest.mark.parametrize("hot_rows", [1, 3, 1000])
+def test_skew_joins_are_plain_joins(spark, how, hot_rows):
+    """With copies, hot keys and keys without a partner."""
+    from lodestone.operators import skew
+
+    r = random.Random(7)
+    big = spark.createDataFrame([(r.choice(["a", "a", "a", "b", "c", None, "x"]), r.randint(0, 4)) for _ in range(200)], "k string, v int")
+    one = spark.createDataFrame([("a", 1.0), ("b", 2.0), ("y", 3.0)], "k string, w double")
+    hot = skew.hot_keys(big.where("k IS NOT NULL").groupBy("k").count(), ["k"], "count", hot_rows)
+    want = sorted(map(str, big.join(one, "k", how).collect()))
+    assert sorted(map(str, skew.skew_join(big, one, ["k"], hot, how).collect())) == want
+    assert sorted(map(str, skew.salted_join(big, one, ["k"], hot, how).collect())) == want
+    assert {x["__salts"] for x in skew.hot_keys(big.groupBy("k").count().where("k = 'a'"), ["k"], "count", 10).collect()} == {-(-big.where("k = 'a'").count() // 10)}
+
+
 def test_references_of_empty_tables(spark):
     refs = spark.createDataFrame([], "table_name string, target string, record_key string, key string, ref_us long")
     records = spark.createDataFrame([], "target string, key string, created_us long, gone boolean")
