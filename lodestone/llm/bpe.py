@@ -20,6 +20,7 @@ from functools import lru_cache
 
 import pandas as pd
 import regex
+from pyspark.sql import SparkSession
 
 #: Fixed value: the pattern by which the public vocabulary splits text before its merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -163,12 +164,25 @@ class Encoding:
 
 @lru_cache(maxsize=4)
 def encoder(folder: str = FOLDER, vocabulary: str = VOCABULARY) -> PrefixEncoder:
-    """The encoder of a vocabulary file, loaded once a process."""
-    with open(os.path.join(folder, f"{vocabulary}.tiktoken"), "rb") as f:
+    """The encoder of a vocabulary file, loaded once a process: from folder, or where that is not, from what ship() sent."""
+    path = os.path.join(folder, f"{vocabulary}.tiktoken")
+    if not os.path.exists(path):
+        from pyspark import SparkFiles
+
+        path = SparkFiles.get(os.path.basename(path))
+    with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     return PrefixEncoder(ranks, PATTERN)
 
 
+def ship(spark: SparkSession, folder: str, vocabulary: str) -> None:
+    """On a cluster, sends the vocabulary to workers that may not have the driver's folder."""
+    sc, path = spark.sparkContext, os.path.join(folder, f"{vocabulary}.tiktoken")
+    if not sc.master.startswith("local[") and sc.master != "local" and os.path.exists(path) and path not in (sent := getattr(sc, "_lodestone_vocabularies", set())):
+        sc.addFile(path)
+        sc._lodestone_vocabularies = sent | {path}
+
+
 def encode_batches(batches: Iterator[pd.DataFrame], id_column: str, text: str, folder: str, vocabulary: str) -> Iterator[pd.DataFrame]:
     """For mapInPandas: id and ids of each row."""
     e = encoder(folder, vocabulary)

@@ -1,9 +1,13 @@
 """Linear-chain conditional random field over word-shape features, in numpy.
 
 A token's score for a label is a sum of weights: of the features of the tokens around it (each by its distance), of the blank before
-it, of the shapes of three neighbours together, and of the run of non-blank characters it stands in. Features depend on a token or
-run alone, so each distinct token is scored once for every distance and texts are scored by gathering rows.
-Training maximises the regularised likelihood (forward-backward over padded batches, Adam); decoding is Viterbi over padded batches.
+it, of the shapes and word classes of three neighbours together, of the run of non-blank characters and the chunk of numbers it stands
+in, and of how far back a word announces a number, an address or a name. Features depend on a token, run or chunk alone, so each
+distinct one is scored once for every place and texts are scored by gathering rows. Tokens, runs, chunks and paragraphs count whole,
+whatever their length.
+
+Training maximises the regularised likelihood (forward-backward over padded batches, AdaGrad); features that are rare in the labelled
+table get no weight, so that its names are not learnt by heart. Decoding is Viterbi over padded batches.
 """
 
 from __future__ import annotations
@@ -19,21 +23,44 @@ import numpy as np
 _LETTER, _MARK = r"[^\W\d_\u3040-\u30ff\u3400-\u9fff]", r"[\u0300-\u036f]"
 TOKEN = re.compile(rf"(?<![A-Za-z0-9])(?=[A-Z]*[0-9])(?=[0-9]*[A-Z])[A-Z0-9]{{6,12}}(?![A-Za-z0-9])|{_LETTER}+(?:{_MARK}+{_LETTER}*|[’']{_LETTER}+)*|\d+|[\u3040-\u30ff\u3400-\u9fff]+|[^\w\s]|_")
 #: Distances of the tokens whose features count, and the size of the weight table (features are placed by hash).
-REACH, TABLE = 3, 1 << 18
-#: Strings whose classes are kept in a process; beyond, they are collected anew.
+REACH, TABLE = 3, 1 << 19
+#: A feature that the labelled table has less often gets no weight.
+LEAST_SEEN = 4
+#: Strings whose classes are kept in a process; beyond, they are collected anew. They save time and change no result.
 MOST_KNOWN = 600_000
-#: Tokens after which a longer paragraph is decoded in parts, at the next token that ends a sentence.
-LONGEST = 4096
-#: Signs that part the words of a long run without a blank.
-_BORDER = re.compile("[\\u3000-\\u30ff\\u3400-\\u9fff\\uff00-\\uffef,;<>\"“”]")
+#: Signs and scripts that part the words of a long run without a blank.
+_BORDER = re.compile("[\\u3000-\\u30ff\\u3400-\\u9fff\\uff00-\\uffef,;<>\"“”|]")
 _PARAGRAPH = re.compile(r"\n[ \t\r]*\n")
+#: Numbers with the signs and single blanks that join them.
+CHUNK = re.compile(r"[+(]*\d+(?:[ \u00a0.\-–/()]{1,2}\d+)*")
+
+#: Word classes of everyday language that tell what a word is, whatever the text is about.
+CLASSES = {
+    "title": "mr mrs ms miss dr prof professor sir madam judge captain nurse officer herr frau monsieur madame mme mlle señor señora sr sra don doña signor signora",
+    "street": "street st avenue ave road rd lane ln drive dr boulevard blvd court ct place square terrace way close crescent gardens parkway row walk grove quay mews rise hill highway rue allée impasse quai chemin calle avenida av plaza paseo camino carrer ronda via viale piazza rua straße strasse str weg platz gasse damm ufer chaussee laan straat gracht plein postfach apartado",
+    "unit": "apt apartment unit suite ste flat room floor piso planta bis ter etage stock building",
+    "phone": "phone tel telephone telefon téléphone teléfono mobile cell fax call dial text ring handy rückruf appelez llame number ext extension whatsapp hotline reach",
+    "identity": "ssn social security nino insurance tax tin passport reisepass pass passeport pasaporte dni nie nif id identity identification steuer steuernummer personalausweis identité pesel bsn cpf ahv nir national idnr versichertennummer sozialversicherungsnummer fiscal",
+    "mail": "mail e-mail email mailto mailbox courriel correo write cc bcc subscribe reply",
+    "address": "address adresse anschrift dirección lives live lived habite réside vive wohnt wohnhaft moved located residence resident deliver ship visit office house parcel",
+    "person": "name nombre nom contact signed by dear hello hi hey regards sincerely cheers thanks liebe lieber cher chère querido estimada from with for owner author attn guest tenant patient colleague sister brother neighbour teacher lawyer called said wrote",
+    "place": "in at near to of north south east west lake mount port town city city's nach bei aus à en hasta desde vers",
+    "month": "january february march april may june july august september october november december januar februar märz mai juni juli oktober dezember monday tuesday wednesday thursday friday saturday sunday",
+    "particle": "van von der den de la le du des di da del della dos el al bin ben mc mac st o y",
+    "verbal": "at dot",
+    "thing": "order ticket invoice serial batch part case booking tracking article code key version build page chapter section rack port line isbn file path digest hash checksum commit size total sum between",
+}
+_CLASS_OF = {w: c for c, words in reversed(CLASSES.items()) for w in words.split()}
+#: Classes whose distance back counts.
+_ANNOUNCE = ("phone", "identity", "mail", "address", "person", "street", "title", "thing")
+_KINDS = ["other", "Capital", "given", "family", "both", "small given", "initial", ".", ",", "number", "sign", "CAPITALS", "@", "code", "(", "-", *CLASSES]
 
 
 def shape(token: str) -> str:
     """The shape of a token: capitals, small letters, digits and others, runs of more than three shortened; digits keep their number."""
     if token.isdigit():
-        return f"d{len(token)}" if len(token) < 12 else "d+"
-    out = "".join("X" if c.isupper() else "x" if c.isalpha() else "d" if c.isdigit() else c for c in token[:40])
+        return f"d{len(token)}"
+    out = "".join("X" if c.isupper() else "x" if c.isalpha() else "d" if c.isdigit() else c for c in token)
     return re.sub(r"(.)\1{2,}", r"\1\1\1", out)
 
 
@@ -54,19 +81,19 @@ class _Classes:
     def __init__(self, features):
         self.features, self.known, self.by_features = features, {}, {}
         self.flat: list[int] = []
-        self.kind: list[int] = []  # the coarse shape of each class of tokens
+        self.kind: list[tuple[int, int, int]] = []
         self.begin: list[int] = []
         self.number_of("")
 
     def number_of(self, text: str) -> int:
-        names = self.features(text) if text else ["none"]
-        key = tuple(names)
+        kind, names = self.features(text) if text else ((0, 0, 0), ["none"])
+        key = (kind, *names)
         n = self.by_features.get(key)
         if n is None:
             n = self.by_features[key] = len(self.begin)
             self.begin.append(len(self.flat))
-            self.flat += [zlib.crc32(x.encode()) for x in names]
-            self.kind.append(int(names[4][2:]) if len(names) > 4 and names[4].startswith("k=") else 0)
+            self.flat += [zlib.crc32(x.encode("utf-8", "surrogatepass")) for x in names]
+            self.kind.append(kind)
         self.known[text] = n
         return n
 
@@ -75,47 +102,75 @@ class _Classes:
         return np.array([k if (k := known(t)) is not None else new(t) for t in texts], dtype=np.int32)
 
 
+def plain_word(word: str) -> str:
+    """The form in which words are compared with lists."""
+    return unicodedata.normalize("NFC", word.casefold())
+
+
+def family_words(name: str) -> set[str]:
+    """The words of a family name that tell it: all that are longer than three letters, and the name itself."""
+    f = plain_word(name)
+    return {part for part in re.split(r"[ -]", f) if len(part) > 3} | {f}
+
+
 class Features:
-    """Features of tokens and runs, with lists of listed given and family names (lower case, single words)."""
+    """Features of tokens, runs and chunks, with lists of listed given and family names."""
 
     def __init__(self, given: Iterable[str] = (), family: Iterable[str] = ()):
-        self.given = {g.casefold() for g in given}
-        self.family = {part for f in family for part in re.split(r"[ -]", f.casefold()) if len(part) > 3} | {f.casefold() for f in family}
+        self.given = {plain_word(part) for g in given for part in (g, *g.split("-"))}
+        self.family = {w for f in family for w in family_words(f)}
         self.tables: dict[int, np.ndarray] = {}
         self.weights: np.ndarray | None = None
         self.restart()
 
     def restart(self) -> None:
         """Forgets the strings seen so far."""
-        self.tokens, self.runs = _Classes(self.of_token), _Classes(self.of_run)
+        self.tokens, self.runs, self.chunks = _Classes(self.of_token), _Classes(self.of_run), _Classes(self.of_chunk)
         self.tables.clear()
 
-    def of_token(self, token: str) -> list[str]:
-        w = unicodedata.normalize("NFC", token.casefold())
-        kind = coarse(token)
-        if kind <= 6 or kind == 11:  # numbers and codes: only their shape tells
-            return ["b", f"n={len(w)}", f"s={shape(token)}", f"c={kind}", f"k={kind}"]
-        out = ["b", f"w={w}", f"s={shape(token)}", f"c={kind}", f"k={kind}"]
-        if len(w) > 3:
-            out += [f"e={w[-3:]}", f"e={w[-4:]}"] if len(w) > 4 else [f"e={w[-3:]}"]
-        if w in self.given:
-            out += ["given", f"given{kind}"]
-        if w in self.family:
-            out += ["family", f"family{kind}"]
-        return out
+    def of_token(self, token: str) -> tuple[tuple[int, int, int], list[str]]:
+        """((coarse shape, kind of word, class that announces), features)."""
+        w = plain_word(token)
+        rough = coarse(token)
+        if rough <= 6 or rough == 11:  # numbers and codes: only their shape tells
+            return (rough, _KINDS.index("number" if rough <= 6 else "code"), 0), ["b", f"n={min(len(w), 12)}", f"s={shape(token)}", f"c={rough}"]
+        g, f, cls = w in self.given, w in self.family, _CLASS_OF.get(w)
+        out = ["b", f"w={w}", f"s={shape(token)}", f"c={rough}"]
+        if rough in (7, 8, 9, 10):
+            out.append(f"len={min(len(w), 12)}")
+            if len(w) > 4:
+                out += [f"e={w[-3:]}", f"e={w[-2:]}"]
+        if cls:
+            out += [f"L={cls}", f"L={cls}{rough}"]
+        if g:
+            out += ["given", f"given{rough}"]
+        if f:
+            out += ["family", f"family{rough}"]
+        if g and cls:
+            out.append(f"given{cls}")
+        capital = rough in (7, 9)
+        if g or f:
+            kind = ("both" if g and f else "given" if g else "family") if capital else "small given"
+        elif cls and not (capital and cls in ("particle", "place") and len(w) > 3):
+            kind = cls
+        else:
+            kind = {7: "CAPITALS", 8: "initial", 9: "Capital", 10: "other", 12: ",", 13: ".", 14: "@", 15: "(", 16: "-"}.get(rough, "sign")
+        return (rough, _KINDS.index(kind), 1 + _ANNOUNCE.index(cls) if cls in _ANNOUNCE else 0), out
 
     @staticmethod
-    def of_run(run: str) -> list[str]:
+    def of_run(run: str) -> tuple[tuple[int, int, int], list[str]]:
         core = run.strip("()<>[]{},;:.“”\"'")
         kind = []
         if "@" in core:
-            kind.append("at-in" if re.fullmatch(r"[^@\s]+@[^@\s]+\.[^@\s]+", core.removeprefix("mailto:")) else "at-bare")
-        if re.search(r"[\[(](at|dot)[\])]", run.casefold()):
+            kind.append("at-in" if re.fullmatch(r"[^@\s]+@[^@\s]+\.[^@\s]+", core.removeprefix("mailto:")) else "at-start" if core.startswith("@") else "at-end" if core.endswith("@") else "at-bare")
+        if re.search(r"[\[({](at|dot)[\])}]", run.casefold()):
             kind.append("at-word")
+        if re.fullmatch(r"[\w-]+(\.[\w-]+)*\.[a-z]{2,}", core):
+            kind.append("host")
         digits = sum(c.isdigit() for c in core)
-        kind.append(f"digits{min(digits, 12)}" if digits else "letters" if core.isalpha() else "signs")
+        kind.append(f"digits{min(digits, 20)}" if digits else "letters" if core.isalpha() else "signs")
         if digits and not any(c.isalpha() for c in core):
-            kind.append("form=" + re.sub(r"\d+", lambda m: f"d{min(len(m.group()), 9)}", core)[:20])
+            kind.append("form=" + re.sub(r"\d+", lambda m: f"d{min(len(m.group()), 9)}", core))
         if "/" in core and not digits:
             kind.append("path")
         if "/" in core and "." in core and any(c.isalpha() for c in core):
@@ -123,31 +178,31 @@ class Features:
         if len(core) > 24:
             kind.append("long")
         elif digits and core.isalnum() and core.isupper():
-            kind.append(f"code{len(core)}")
-        kind.append("w=" + core.casefold()[:12] if core.isalpha() else "mixed")
-        return kind
-
+            kind += [f"code{len(core)}", "code=" + re.sub(r"[A-Z]", "X", re.sub(r"\d", "0", core))]
+        elif digits and core.isalnum() and not core.isdigit():
+            kind.append("mixed-code")
+        if re.search(r"straße|strasse|weg|allee|platz|gasse|damm|ufer|straat|laan|gracht|vägen|gatan", core.casefold()):
+            kind.append("street-end")
+        kind.append("w=" + core.casefold() if core.isalpha() else "mixed")
+        return (0, 0, 0), kind
 
-def _around(text: str, start: int, end: int, first: int, stop: int, most: int = 80) -> str:
-    """Of a run of more than most characters, what surrounds a token: the part between signs that part words, at most so much."""
-    if end - start >= most:
-        return text[start : start + most]
-    low, high = max(first, end - most), min(stop, start + most)
-    left = max((m.end() for m in _BORDER.finditer(text, low, start)), default=low)
-    right = m.start() if (m := _BORDER.search(text, end, high)) else high
-    if right - left > most:
-        left = max(left, start - most // 2)
-        right = min(right, left + most)
-    return text[left:right]
+    @staticmethod
+    def of_chunk(chunk: str) -> tuple[tuple[int, int, int], list[str]]:
+        groups = re.findall(r"\d+", chunk)
+        digits = sum(map(len, groups))
+        lead = "+" if chunk[0] == "+" else "(" if chunk[0] == "(" else "00" if chunk.startswith("00") else "0" if chunk[0] == "0" else "1"
+        signs = "".join(sorted(set(re.sub(r"[\d+]", "", chunk))))
+        form = re.sub(r"\d+", lambda m: f"d{min(len(m.group()), 12)}", chunk)
+        return (0, 0, 0), [f"form={form}", f"digits={min(digits, 24)}", f"groups={min(len(groups), 8)}", f"both={min(digits, 24)},{min(len(groups), 8)}", f"lead={lead}", f"lead={lead},{min(digits, 16)}", f"signs={signs}", f"sizes={','.join(str(min(len(g), 9)) for g in groups)}"]
 
 
 class Encoded:
-    """Texts cut into sequences of tokens (paragraphs, very long ones in parts), with the classes of their tokens and runs."""
+    """Texts cut into sequences of tokens (paragraphs), with the classes of their tokens, runs and chunks."""
 
     def __init__(self, texts: Sequence[str], features: Features):
-        if len(features.tokens.known) + len(features.runs.known) > MOST_KNOWN:
+        if len(features.tokens.known) + len(features.runs.known) + len(features.chunks.known) > MOST_KNOWN:
             features.restart()
-        token, run, place, gap, start, end, text_of, opens = ([] for _ in range(8))
+        token, run, place, chunk, spot, gap, start, end, text_of, opens, fresh = ([] for _ in range(11))
         for k, text in enumerate(texts):
             found = list(TOKEN.finditer(text))
             n = len(found)
@@ -168,33 +223,38 @@ class Encoded:
                 if "\n" in blank or "\r" in blank:
                     kind[i] = 3
                     first[i] |= bool(_PARAGRAPH.search(blank))
-            since = 0
-            if n > LONGEST:
-                for i in range(n):
-                    since = 0 if first[i] else since + 1
-                    if since >= LONGEST and words[i - 1] in ".!?":
-                        first[i], since = True, 0
             kind[first] = 3
-            new_run = (between > 0) | first
+            border = np.array([_BORDER.match(w) is not None for w in words])
+            new_run = (between > 0) | first | border | np.append(False, border[:-1])
             number = np.cumsum(new_run) - 1
             at = np.nonzero(new_run)[0]
-            stop = np.append(e[at[1:] - 1], e[-1])
-            runs = features.runs.numbers([text[x : min(y, x + 80)] for x, y in zip(s[at].tolist(), stop.tolist())])[number]
-            far = np.nonzero((stop - s[at] > 80)[number])[0]
-            if len(far):
-                runs[far] = features.runs.numbers([_around(text, *x) for x in zip(s[far].tolist(), e[far].tolist(), s[at][number[far]].tolist(), stop[number[far]].tolist())])
-            token.append(features.tokens.numbers([w if len(w) <= 60 else w[:30] + w[-30:] for w in words]))
+            last = e[np.append(at[1:] - 1, n - 1)]
+            runs = features.runs.numbers([text[x:y] for x, y in zip(s[at].tolist(), last.tolist())])[number]
+            here, where = np.zeros(n, dtype=np.int32), np.zeros(n, dtype=np.int32)
+            spans = [(m.start(), m.end()) for m in CHUNK.finditer(text)]
+            if spans:
+                of = features.chunks.numbers([text[x:y] for x, y in spans])
+                low, high = np.array(spans, dtype=np.int64).T
+                which = np.searchsorted(low, s, side="right") - 1
+                inside = (which >= 0) & (s < high[np.maximum(which, 0)])
+                here[inside] = of[which[inside]]
+                order = np.arange(n) - np.maximum.accumulate(np.where(np.append(True, which[1:] != which[:-1]), np.arange(n), 0))
+                where[inside] = np.minimum(order[inside], 2)
+            token.append(features.tokens.numbers(words))
             run.append(runs)
             place.append(np.minimum(np.arange(n) - at[number], 3).astype(np.int32))
+            chunk.append(here)
+            spot.append(where)
             gap.append(kind)
             start.append(s)
             end.append(e)
             text_of.append(np.full(n, k, dtype=np.int64))
             opens.append(first)
+            fresh.append(new_run)
         join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, dtype=kind)
-        self.token, self.run, self.place, self.gap = (join(x, np.int32) for x in (token, run, place, gap))
+        self.token, self.run, self.place, self.chunk, self.spot, self.gap = (join(x, np.int32) for x in (token, run, place, chunk, spot, gap))
         self.start, self.end, self.text_of = (join(x, np.int64) for x in (start, end, text_of))
-        opens = join(opens, bool)
+        opens, self.fresh = join(opens, bool), join(fresh, bool)
         self.first = np.append(np.nonzero(opens)[0], len(opens)).astype(np.int64)
         self.sequence = np.cumsum(opens) - 1
 
@@ -208,42 +268,60 @@ class Encoded:
             out[here] = np.where(self.sequence[here] == self.sequence[there], of[there], 0)
         return out
 
+    def since(self, marked: np.ndarray) -> np.ndarray:
+        """How far back the last marked token of the sequence is: 1 next, 2 up to three, 3 up to six, 4 up to twelve tokens, else 0."""
+        n = len(marked)
+        at = np.arange(n)
+        before = np.append(-1, np.maximum.accumulate(np.where(marked, at, -1))[:-1]) if n else at
+        far = np.where(before >= self.first[self.sequence] if n else False, at - before, 1 << 30)
+        return np.where(far > 12, 0, np.searchsorted(np.array([1, 3, 6, 12]), far, side="left") + 1)
+
 
 def _placed(base: np.ndarray, template: int) -> np.ndarray:
     """The weight rows of feature hashes in a template."""
     return (((base.astype(np.uint64) * np.uint64((2 * template + 1) * 2654435761) + np.uint64(template * 97531)) >> np.uint64(9)) % np.uint64(TABLE)).astype(np.int64)
 
 
+def _own(size: int, salt: int) -> tuple[np.ndarray, np.ndarray]:
+    """One feature for each of size classes."""
+    return np.arange(size), np.arange(1, size + 1, dtype=np.uint64) * np.uint64(104729 + 2 * salt)
+
+
 def templates(e: Encoded, f: Features) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(class of each token, first feature of each class, hashes of the features) per template, in a fixed order."""
-    tokens = (np.array(f.tokens.begin), np.array(f.tokens.flat, dtype=np.uint64))
-    runs = (np.array(f.runs.begin), np.array(f.runs.flat, dtype=np.uint64))
+    tokens, runs, chunks = ((np.array(x.begin), np.array(x.flat, dtype=np.uint64)) for x in (f.tokens, f.runs, f.chunks))
     out = [(e.neighbours(d, e.token), *tokens) for d in range(-REACH, REACH + 1)]
     out += [(np.where(e.place == p, e.run, 0), *runs) for p in range(4)]
     out += [(_next_run(e, d), *runs) for d in (-1, 1, -2, 2)]
+    out += [(np.where(e.spot == p, e.chunk, 0), *chunks) for p in range(3)]
+    out += [(e.neighbours(d, e.chunk), *chunks) for d in (-2, 2)]
     after = np.where(e.neighbours(1, np.ones(len(e.gap), dtype=np.int32)) == 0, 4, e.neighbours(1, e.gap))
     pairs = np.array([[a * 5 + b + 1000, a + 2000, b + 3000] for a in range(4) for b in range(5)], dtype=np.uint64) * np.uint64(7919)
     out.append((e.gap.astype(np.int64) * 5 + after, np.arange(0, 60, 3), pairs.ravel()))
-    c = np.array(f.tokens.kind, dtype=np.int32)[e.token]
+    kinds = np.array(f.tokens.kind, dtype=np.int64)[e.token].reshape(-1, 3)
+    rough, kind, announces = kinds[:, 0], kinds[:, 1] + 1, kinds[:, 2]
+    m = len(_KINDS) + 1
     for trio in ((-1, 0, 1), (0, 1, 2), (-2, -1, 0)):
-        x, y, z = (e.neighbours(k, c) for k in trio)
-        out.append(((x.astype(np.int64) * 20 + y) * 20 + z, np.arange(8000), np.arange(1, 8001, dtype=np.uint64) * np.uint64(104729)))
+        x, y, z = (e.neighbours(k, rough) for k in trio)
+        out.append(((x * 20 + y) * 20 + z, *_own(8000, 1)))
+        x, y, z = (e.neighbours(k, kind) for k in trio)
+        out.append(((x * m + y) * m + z, *_own(m**3, 2)))
+    for c in range(1, len(_ANNOUNCE) + 1):
+        back = e.since(announces == c)
+        out.append((back * m + kind, *_own(5 * m, 3)))
+        out.append((back * 20 + rough, *_own(100, 4)))
     return out
 
 
 def _next_run(e: Encoded, steps: int) -> np.ndarray:
     """The run so many runs away from each token's own, 0 beyond the sequence."""
-    n = len(e.run)
-    if not n:
+    if not len(e.run):
         return e.run
-    new = (e.place == 0) & ((e.gap != 0) | (np.append(True, e.sequence[1:] != e.sequence[:-1])))
-    number = np.cumsum(new) - 1
-    near = new if steps > 0 else np.append(new[1:], True)  # parts of a long run differ: its end that is nearer counts
-    run, of = e.run[near], e.sequence[new]
+    number = np.cumsum(e.fresh) - 1
+    run, of = e.run[e.fresh], e.sequence[e.fresh]
     target = np.arange(len(run)) + steps
     inner = np.clip(target, 0, len(run) - 1)
-    there = np.where((target == inner) & (of[inner] == of), run[inner], 0).astype(e.run.dtype)
-    return there[number]
+    return np.where((target == inner) & (of[inner] == of), run[inner], 0).astype(e.run.dtype)[number]
 
 
 def scores(e: Encoded, f: Features, weights: np.ndarray) -> np.ndarray:
@@ -306,64 +384,80 @@ def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
     return np.squeeze(m, axis) + np.log(np.exp(x - m).sum(axis=axis))
 
 
-def train(e: Encoded, f: Features, gold: np.ndarray, labels: int, rounds: int = 100, rate: float = 0.08, decay: float = 3e-5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Weights, label-to-label scores and opening scores that fit gold, the label of each token."""
+def _expected(score: np.ndarray, first: np.ndarray, step: np.ndarray, opening: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The expected labels of each token, label pairs and opening labels, by forward-backward."""
+    out, pairs, opens = np.zeros_like(score), np.zeros_like(step), np.zeros_like(opening)
+    for group in batches(first):
+        begin, length = first[group], first[group + 1] - first[group]
+        width = int(length.max())
+        pos = begin[:, None] + np.minimum(np.arange(width), length[:, None] - 1)
+        x, live = score[pos], np.arange(width) < length[:, None]
+        alpha = np.zeros_like(x)
+        alpha[:, 0] = x[:, 0] + opening
+        for t in range(1, width):
+            alpha[:, t] = np.where(live[:, t, None], _logsum(alpha[:, t - 1, :, None] + step, 1) + x[:, t], alpha[:, t - 1])
+        beta = np.zeros_like(x)
+        for t in range(width - 2, -1, -1):
+            beta[:, t] = np.where(live[:, t + 1, None], _logsum(step + (x[:, t + 1] + beta[:, t + 1])[:, None, :], 2), 0)
+        z = _logsum(alpha[:, -1], 1)
+        p = np.exp(alpha + beta - z[:, None, None])
+        out[pos[live]] = p[live]
+        for t in range(1, width):
+            on = live[:, t]
+            pairs += np.exp(alpha[on, t - 1, :, None] + step + (x[on, t] + beta[on, t])[:, None, :] - z[on, None, None]).sum(axis=0)
+        opens += p[:, 0].sum(axis=0)
+    return out, pairs, opens
+
+
+def train(e: Encoded, f: Features, gold: np.ndarray, labels: int, rounds: int = 14, rate: float = 0.25, decay: float = 2e-5, least: int = LEAST_SEEN, part: int = 8_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Weights, label-to-label scores and opening scores that fit gold, the label of each token; part tokens or so a step."""
     token_row, weight_row = [], []
     for t, (number, begin, flat) in enumerate(templates(e, f)):
-        size = np.diff(np.append(begin, len(flat)))
-        count = size[number]
-        token_row.append(np.repeat(np.arange(len(number)), count))
+        count = np.diff(np.append(begin, len(flat)))[number]
+        token_row.append(np.repeat(np.arange(len(number), dtype=np.int32), count))
         within = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        weight_row.append(_placed(flat, t)[np.repeat(begin[number], count) + within])
+        weight_row.append(_placed(flat, t)[np.repeat(begin[number], count) + within].astype(np.int32))
     token_row, weight_row = np.concatenate(token_row), np.concatenate(weight_row)
+    often = np.bincount(weight_row, minlength=TABLE)
+    keep = often[weight_row] >= least
+    token_row, weight_row = token_row[keep], weight_row[keep]
     places, weight_row = np.unique(weight_row, return_inverse=True)  # only these rows of the table are trained
-    by_weight = np.argsort(weight_row, kind="stable")
-    used, cut = np.unique(weight_row[by_weight], return_index=True)
-    by_token = np.argsort(token_row, kind="stable")
-    token_cut = np.searchsorted(token_row[by_token], np.arange(len(e.token)))
-    forward_rows, backward_rows = weight_row[by_token], token_row[by_weight]
-
+    weight_row = weight_row.astype(np.int32)
+    order = np.argsort(token_row, kind="stable")
+    token_row, weight_row = token_row[order], weight_row[order]
+    token_cut = np.searchsorted(token_row, np.arange(len(e.token) + 1))
+    bounds, since = [0], 0
+    for k in range(1, len(e.first)):
+        if e.first[k] - e.first[since] >= part or k == len(e.first) - 1:
+            bounds.append(k)
+            since = k
+    parts = []
+    for a, b in zip(bounds, bounds[1:]):
+        lo, hi = e.first[a], e.first[b]
+        rows = weight_row[token_cut[lo] : token_cut[hi]]
+        by_weight = np.argsort(rows, kind="stable")
+        used, cut = np.unique(rows[by_weight], return_index=True)
+        parts.append((lo, hi, e.first[a : b + 1] - lo, rows, token_cut[lo:hi] - token_cut[lo], token_row[token_cut[lo] : token_cut[hi]][by_weight] - lo, used, cut))
     w, step, opening = np.zeros((len(places), labels)), np.zeros((labels, labels)), np.zeros(labels)
-    state = [[np.zeros_like(x), np.zeros_like(x)] for x in (w, step, opening)]
-    groups = list(batches(e.first))
-    one = np.eye(labels)
-    for turn in range(1, rounds + 1):
-        score = np.add.reduceat(w[forward_rows], token_cut, axis=0)
-        expected = np.zeros_like(score)
-        d_step, d_open = np.zeros_like(step), np.zeros_like(opening)
-        for group in groups:
-            begin, length = e.first[group], e.first[group + 1] - e.first[group]
-            width = int(length.max())
-            pos = begin[:, None] + np.minimum(np.arange(width), length[:, None] - 1)
-            x, live = score[pos], np.arange(width) < length[:, None]
-            alpha = np.zeros_like(x)
-            alpha[:, 0] = x[:, 0] + opening
-            for t in range(1, width):
-                alpha[:, t] = np.where(live[:, t, None], _logsum(alpha[:, t - 1, :, None] + step, 1) + x[:, t], alpha[:, t - 1])
-            beta = np.zeros_like(x)
-            for t in range(width - 2, -1, -1):
-                beta[:, t] = np.where(live[:, t + 1, None], _logsum(step + (x[:, t + 1] + beta[:, t + 1])[:, None, :], 2), 0)
-            z = _logsum(alpha[:, -1], 1)
-            p = np.exp(alpha + beta - z[:, None, None])
-            expected[pos[live]] = p[live]
-            for t in range(1, width):
-                on = live[:, t]
-                joint = alpha[on, t - 1, :, None] + step + (x[on, t] + beta[on, t])[:, None, :] - z[on, None, None]
-                d_step -= np.exp(joint).sum(axis=0)
-            d_open -= p[:, 0].sum(axis=0)
-        diff = one[gold] - expected
-        inner = np.ones(len(gold), dtype=bool)
-        inner[e.first[:-1]] = False
-        np.add.at(d_step, (gold[:-1][inner[1:]], gold[1:][inner[1:]]), 1)
-        np.add.at(d_open, gold[e.first[:-1]], 1)
-        d_w = np.zeros_like(w)
-        d_w[used] = np.add.reduceat(diff[backward_rows], cut, axis=0)
-        n = len(e.first) - 1
-        for x, d, (m, v) in zip((w, step, opening), (d_w, d_step, d_open), state):
-            g = d / n - decay * x
-            m += 0.1 * (g - m)
-            v += 0.01 * (g * g - v)
-            x += rate * (m / (1 - 0.9**turn)) / (np.sqrt(v / (1 - 0.99**turn)) + 1e-8)
+    seen_w, seen_step, seen_open = np.full_like(w, 1e-6), np.full_like(step, 1e-6), np.full_like(opening, 1e-6)
+    one, g = np.eye(labels), np.random.default_rng(1)
+    for _ in range(rounds):
+        for k in g.permutation(len(parts)):
+            lo, hi, first, rows, cut_t, tokens, used, cut = parts[k]
+            y = gold[lo:hi]
+            expected, pairs, opens = _expected(np.add.reduceat(w[rows], cut_t, axis=0), first, step, opening)
+            inner = np.ones(hi - lo, dtype=bool)
+            inner[first[:-1]] = False
+            d_step, d_open = -pairs, -opens
+            np.add.at(d_step, (y[:-1][inner[1:]], y[1:][inner[1:]]), 1)
+            np.add.at(d_open, y[first[:-1]], 1)
+            n = len(first) - 1
+            d_w = np.add.reduceat((one[y] - expected)[tokens], cut, axis=0) / n - decay * w[used]
+            seen_w[used] += d_w * d_w
+            w[used] += rate * d_w / np.sqrt(seen_w[used])
+            for x, d, seen in ((step, d_step / n - decay * step, seen_step), (opening, d_open / n - decay * opening, seen_open)):
+                seen += d * d
+                x += rate * d / np.sqrt(seen)
     table = np.zeros((TABLE, labels), dtype=np.float32)
     table[places] = w
     return table, step.astype(np.float32), opening.astype(np.float32)

@@ -1,7 +1,8 @@
 """The labelled table from which the mention model is trained: sentences with the mentions marked as [kind|text].
 
-Sentence forms with slots are filled by rule from the value lists, in turn, so that the table stays small and readable. All persons,
-numbers and places are invented. The gazetteer of the training lists only a part of the names, as staff lists do.
+A small grammar of everyday letters, forms, chats and notices in four languages is filled by rule: most names are put together from
+syllables, so that the model learns how a mention is built and what stands around it, and not a list of words. Nothing here is taken
+from the tables of a test: no sentence and no person's name of theirs stands in it (tests/llm/test_pii.py looks for them).
 """
 
 from __future__ import annotations
@@ -11,295 +12,339 @@ import re
 
 KINDS = ("email", "phone", "identity_number", "street_address", "person_name")
 
-GIVEN = "Berit Odalys Tarquin Ines Jörg Noé Anne-Sophie Maël Piotr Sunniva Kwame Leilani Rashid Ottoline April Mark Grace Luca Ravi Siobhán Wanda Zuzana Emrys Bex Jasko Kofi Helena Tomás Stella Amar Dorian".split(" ")
-FAMILY = "Hallowmere|Brightwater|O’Farrell|Le Strand|van den Berk|van der Moor|de la Cour|Quarrington-Vey|Ostrovane|Müllerhain|Peñaranda-Luz|Vaults|Thimblewood|Korvash|Åkerlind|Nakamoro|Dunmarrow|Szelenko|Castelvorro|Fairquill|Elskerrin|Harrowgate|Lindmark|Marblewick|Dwyforth|Iverstone|Omberlane|Rutherglen|Salcott-Orme|Kestermann".split("|")
-#: Names that the training's staff list has; the others stand for persons that no list has.
-LISTED = {"given": set(GIVEN[::1]) - {"Emrys", "Bex", "Jasko", "Leilani", "Ottoline"}, "family": set(FAMILY[:21])}
-
-DOMAIN = "post.millbrook.example|k7.test|lab.quint.example|marsh-records.example|northway.example|kilnhouse.invalid|büro-nord.example|mail.harbour.test|sub.office.example".split("|")
-STREET = "Thornberry|Juniper|Ropewalker|Saltmarch|Old Mill|Weir|Candlewright|Halfmoon|Quarry|Elm Park|Station|Kirk".split("|")
-STREET_KIND = "Street|St|Avenue|Ave.|Road|Lane|Terrace|Close|Blvd|Court|Drive|Way|Square".split("|")
-TOWN = "Drumford|Port Tarn|Oakmoor|Fernholt|Upper Wexley|East Hollow".split("|")
-RUE = "des Vieux Ponts|des Tonneliers|des Cordes|du Moulin|de la Halle|des Cordeliers|des Tanneries".split("|")
-CALLE = "del Sauco|del Pozuelo|del Molinar|de la Fuente|Mayor".split("|")
-STRASSE = "Mühlgassen|Kupferstraße|Lindenweg|Torfallee|Am Kanal|Hafengasse|Steinweg|Am Hang|Birkenallee|Marktplatz|Silberstraße".split("|")
-#: Numbers by form: 9 is any digit but zero, 0 any digit, X a letter or digit, L a letter; the label stands before the #.
-PHONE = "+12025550199|+1 202-555-0199|+1 (900) 555 0199|(900) 555-0199|900.555.0199|+1-900-555-0199 ext. 999|+1-900-555-0199 ext. 99|030/90000-000|+49 30 90000 000|0044 20 9000 0000|+44 20 9000 0000|020 9000 0000|01.99.00.00.00|+33 1 99 00 00 00".split("|")
-IDENTITY = "#900-90-9000|#900 90 9000|#900-90-9000|#900 90 9000|SSN #900909000|SSN #900-90-9000|passport #LXXX9XXX9|passport #LXXXXXX99|Pass-Nr. #LXXXX9999|passport no. #L9X9XX9X9|passport #LLXXXXXX9|Pass-Nr. #LLXXXLX99|passport #LXXLXX9XX|passport no. #L90009X99|Pass-Nr. #LX99XX0X9|NI number #QQ 00 00 00 L|insurance no. #QQ 00 00 00 L|tax id #90 000 000 000|Steuer-ID #90 000 000 000|national id #90000000L|DNI #90000000L".split("|")
-
-FORMS = """Witness {P} confirmed the digest by phone ({T}).
-Witness {P} confirmed the checksum by phone ({T}). Seek time fell to 7.4 ms.
-The custodian is Ms {F} ({E}).
-The custodian is Mr {F} ({E}). The catalog lists 141 files.
-“Mr {F} never received the bundle,” the note says.
-“Ms {F} never received the archive,” the note says.
-Dear {P},
-your archive request was promoted.
-Dear {P},
-your archive request was cancelled. Restore drills read 1 file.
-Forwarded by <{E}> on behalf of {P}.
-Forwarded by <{E}> on behalf of {P}. Every chunk keeps its quota for 9 days.
-Dr. {P} signed the transfer; reach them on {T}.
-{P} signed the transfer; reach them on {T}. Job h1b51be waited 26 s.
-Merci de prévenir {P} ({E}) ou d’appeler le {T}.
-Merci de prévenir {P} ({E}) ou d’appeler le {T}. At 05.34 the mover reported 4 files.
-Questions about the hold go to {P} at {E} or {T}.
-Questions about the hold go to {P} at {E} or {T}. The night shift asked for 7 files.
-ID on file is {I}.
-ID on file is {I}. Build 4.2.04.2713 replaced 4.7.11.9673.
-ID on file is {I}.
-Operators at Port Tarn should move the file and note the 40413eb1 entry.
-Contact {P}, {A}, before release.
-Contact {P}, {A}, before release. Run hec29be finished quietly: 145 checked, 3 busy.
-The form shows {I} next to the signature of {P}.
-The form shows {I} next to the signature of {P}. In April the mover moved 3 objects.
-The form shows {I} next to the signature of {P}.
-Hold req_3ce covers q1/scans-21288.pdf and blocks any attempt.
-Ansprechpartner ist {P}, Telefon {T}, Anschrift {A}.
-Ansprechpartner ist {P}, Telefon {T}, Anschrift {A}. Größe 40.0 MiB, Fingerabdruck 2fde1bc3.
-Requested by {P}, {I}.
-Requested by {P}, {I}. Nothing in warm storage was moved.
-Caller left {T} and asked for a copy.
-Keep the profile at 231.7 USD. Caller left {T} and asked for a copy. Rack 5 at Oakmoor ran at 8.3 °C.
-The scanned letter lists {A} as the delivery point.
-Digest 73b2950042a71594 belongs to box 17. The scanned letter lists {A} as the delivery point.
-Avise a {P}, {A}, correo {E}.
-Avise a {P}, {A}, correo {E}. El índice revisó 6 claves.
-Exhibit owner {P} moved from {A} to {A}.
-Exhibit owner {P} moved from {A} to {A}. During phase II the share fell from 15% to 22%.
-mailto:{E} bounced, so the notice went to {A}.
-As planned confirmed. mailto:{E} bounced, so the notice went to {A}. Thanks.
-cc {E}; {E}
-cc {E}; {E} The mover was flagged.
-hi {P} here, pls call {T} asap
-hi {P} here, pls call {T} asap Contact {P}, {A}, before release.
-hi {P} here, pls call {T} asap Every scan page keeps its quota for 1 days.
-Escalate to {G} or {G} if the index was rebuilding.
-Escalate to {G} or {G} if clock skew exceeded the limit. Mark the blob as sealed.
-Name: {P}
-Phone: {T}
-Address: {A}
-Id: {I}
-Name: {P}
-Phone: {T}
-Address: {A}
-Id: {I} If the queue was saturated, the lease keeper must not move anything.
-Employee record: {P} / {I} / {T}
-Employee record: {P} / {I} / {T}
-Requested by {P}, {I}.
-Employee record: {P} / {I} / {T} The blob was released. 🗂️
-Thanks,
-{G}
-The queue was full.
-Thanks,
-{G} Täglich werden 52 Schlüssel unter q1/tickets-05745.xml abgeglichen.
-Reply-To: {E}
-Reply-To: {E} Le coût estimé s’élève à 0.11 USD pour 6 clés.
-Please call {P} on {T} or write to {E}.
-Send it to {P}, {A}, and ask {G} for the key.
-Frau {F} wohnt {A}; Telefon {T}.""".split("\n")
-
-#: Sentences without mentions. Numbers that only the exact check can tell from identity numbers are left out of the training.
-NOTHING = """A parameter like user@ or @domain alone is rejected.
-Notify @oncall and pin data@v9 of the blob.
-Notify @oncall and pin data@v14 of the lab notebook. 🚨
-Build 4.2.04.2713 replaced 4.7.11.9673.
-Build 4.19.05.6301 replaced 4.4.08.7485. Node 192.0.2.6 answered in 20.396 ms.
-Node 192.0.2.13 answered in 1.744 ms. “Late again,” the note says.
-The path /home/road/988/street.csv holds 24 rows.
-The street-level map tile set takes 0.2 GiB.
-The path /home/road/35/street.csv holds 1996 rows. Lane 17 of the shuffle stalled for 1174 s.
-Lane 3 of the shuffle stalled for 22 s.
-Legal Hold and Cold Tier are headings, Amber Heron is the project name.
-Silver Fox is the project name, Warm Pool and Audit Desk are headings.
-Mark the restore image as sealed when the grace period of 5040 days ends.
-Mark the blob as sealed when the grace period of 2 days ends.
-In April the policy runner restored 2 export bundles.
-In April the extractor quarantined 4337 objects. Since March nothing moved.
-Counter reached 4116244591 in pool vault-19; the vault stayed closed.
-Counter reached 7305518842 in pool vault-3; the vault stayed closed.
-Rate limit 555-6 per 1000; code 007/1479-16.
-Rate limit 555-3 per 1000; code 005/4574-3. The mover stopped.
-Between 2024-03-112 and 2025 the survey folders doubled.
-Digest 73b2950042a71594 belongs to box 17.
-Digest bb9a44f8b4e2173e3c508fff belongs to box 6.
-Rack 11 at Årsand ran at 0.30 °C and drew 0.348 kWh.
-Rack 17 at Sankt Brunn ran at 2.5 °C and drew 0.668 kWh.
-Cost for Łubenko came to 3.501 USD, carbon to 0.5 gCO2e, both in order confirmed.
-Cost for Ciudad Nora came to 0.29 USD, carbon to 0.175 gCO2e, both twice confirmed.
-Cost for Drumford came to 58.7 USD, carbon to 0.838 gCO2e, both without notice confirmed.
-Operators at Třebinov should rehash the file as planned and note the 5ada66a0 entry. 💾
-Operators at Port Tarn should cancel the quota in order and note the 786b18bbca0fa5d8 entry.
-In Évranville the finance operations offloaded a misfiled calendar and the lease keeper recovered by hand.
-In Drumford the records office quarantined a truncated workflow and the gateway recovered twice.
-No partial export bundle may leave Pérouville unless the lab archive has rewritten its fingerprint.
-No oversized restore image may leave Møllehaven unless the legal liaison has rehashed its offset.
-At 14:33:28 UTC the scheduler reported 1 partial move jobs in q4/invoices/nightly/lab-notes-06020.csv.
-At 2025-05-07T19:15Z the extractor reported 10 partial snapshots in raw/thumbs/raw-27875.tar.gz.
-At 05.34 the mover reported 4 expired restore images in raw/lab-notes/lab-notes/scans-21288.pdf.
-The catalog lists 141 reservations; storage shows 8269; 205 of them are truncated.
-The storage team asked for 1039 move jobs, got 7117, and can’t explain the rest.
-The capacity planners asked for 26 files, got 11213, and can’t explain the rest.
-The legal liaison asked for 27 files, got 10, and can’t explain the rest.
-Hold job-958c15 covers telemetry/invoices/invoices-80911.xml and blocks any attempt to repartition the index generation.
-Budget req_0be3b9 reserves 6.13 USD for 28496 files and releases the remainder after review.
-Budget run/f4e148 reserves 13.897 USD for 4566 build artefacts and releases the remainder in order.
-Query latency stayed under 53 ms at p99 while the reconciler rehashed reservations.
-Passages 9 to 28569 of models/thumbs/models/drafts-72712.xml were embedded during the drill with revision 66a669eb.
-Passages 41 to 342 of thumbs/q2/q4/ledger-91075.xml were embedded quietly with revision 60f223cd8149ea3c.
-qF6TKtSXhe6M4y5EPQgkfgQmbMa4YAd8wNyn8dXhgtZEnfsXYc9DNCRTGHaATgky1mrCeQ0bFB2Hk3Mk==
-A locked ledger page of 57.37 KB was flagged by hand; its digest starts with cac9c16195967678.
-An orphaned passage batch of 45.171 GiB was rehashed under load; its digest starts with 7aa183cd.
-Sampling one in 8 reads was enough to rank the orphaned files.
-Every build artefact keeps its offset for 601 days, then the mover may audit it.
-During phase IX the share of inflated invoice scans fell from 4% to 7%.
-During wave VII the share of fresh placements fell from 35.40 % to 54.18 %.
-Run mv-9e89f1 finished twice: 1031 checked, 714 rejected, 1753 quiet.
-Job hd7ea05 waited 1106 s, then two workers held the same fence, so attempt 10 was audited.
-Keep the backfill at 0.147 KiB; a larger one makes the extractor reclaim restore images only once.
-The next review looks at half-written objects, the confirmation, and why no fresh locality evidence existed.
-The reconciler pages through nightly/payroll/nightly/models-99881.pdf in steps of 2168 and stores the cursor within minutes.
-It’s safe to flag a passage batch only after the scan worker has reclaimed the threshold.
-It didn’t, since clock skew exceeded the limit.
-Why did the report exporter not throttle the object?
-Please release every stale mail archive below telemetry/contracts-24829.log before the quota closes.
-Both copies agree on size, yet the cut-off differs from 06:44 onward.
-We’ve seen the deadline grow to 4.7 IOPS when the extractor was mismatched.
-The deadline was promoted after review, although the legal liaison had expected a redundant scan page.
-The placement engine released 3 manifests from cool to warm because the source generation had changed.
-Seek time fell to 19.7 µs after the calendar was reclaimed.
-Restore drills read 20 files out of invoices/payroll-65883.pdf and compare 3 digests.
-Nothing in archive storage was reconciled, as an operator had paused the pool.
-If metadata arrived out of order, the placement engine must not compact anything in the hot tier. 🔥
-Größe 40.0 MiB, Fingerabdruck 2fde1bc3, Übergabe in Třebinov bestätigt.
-Größe 0.742 TiB, Fingerabdruck b9ad3af1, Übergabe in Val-d’Ivry bestätigt.
-Der Dienst Katalog hat 6 Einträge geprüft, weil ein gültiger Aufbewahrungsvermerk vorliegt.
-Der Dienst Planer hat 29 Einträge zurückgestellt, weil die Zählung unvollständig blieb.
-Der Dienst Indexdienst hat 37742 Einträge verschoben, weil die Prüfsumme abwich.
-Der Dienst Prüfer hat 4149 Einträge wiederhergestellt, weil der Zielspeicher voll war.
-Täglich werden 37742 Einträge gezählt und 310 Schlüssel verworfen.
-Run run/bff4d0 finished before midnight: 1 checked, 34912 flagged, 3325 expired.
-Run job-521d25 finished as planned: 49 checked, 12 offloaded, 34584 half-written.
-Run req_b411 finished only once: 20625 checked, 1 copied, 14 replicated.
-Run mv-c5cf68 finished on the next pass: 69 checked, 12167 rewritten, 87 pending.
-Run h71812 finished within minutes: 14 checked, 15292 indexed, 145 signed.
-Le catalogue a traité 2 entrées, mais la réserve était déjà engagée.
-El planificador revisó 19584 claves, pero el índice se estaba rehaciendo.
-Die Rückführung von Objekt h1b51be dauerte 6 Sekunden länger als üblich.
-Das Prüfprotokoll in q2/drafts/mail-27764.png wurde um 01:37 geprüft. 📦
-Bitte Archivband h17f18e nicht löschen, solange der Zielspeicher voll war.
-Für die kühle Stufe gilt: 122 Tage Mindestverweildauer, danach wird geprüft.
-Täglich werden 23 Schlüssel unter ledger/mail/eu/apac-17535.parquet abgeglichen.
-Le service d’index a traité 10708 entrées, mais la file était saturée.
-Empreinte 319194bb66d4e836 relevée à Łubenko, contrôle terminé.
-Le coût estimé s’élève à 660.11 USD pour 16 clés.
-Dès que le planificateur répond, l’opérateur vérifie le dossier gelé h9f583d.
-L’relevé d’accès hbaa415 reste bloqué parce que un gel juridique protège le préfixe.
-À 08:05, un dossier gelé de 0.5 TiB a été restauré à temps vers le niveau chaud.
-Según el informe run/b05874, el año fiscal aún no cerró.
-El catálogo revisó 6 claves, pero la suma no coincidió.
-La huella 48e795d9 quedó registrada en Drumford.
-A las 05:45:05 UTC un registro de auditoría de 411.6 TiB fue movido al nivel tibio.
-¿Cuántas réplicas quedan? Quedan 42, según el verificador.
-Cada año se concilian 1200 claves bajo q1/mail-00017.csv en la región.
-- Cost for Oakmoor came to 91.796 USD, carbon to 220.9 gCO2e, both as planned confirmed.
-## Budget job-83e5f4 reserves 138.77 USD for 1039 files and releases the remainder on the next pass.""".split("\n")
-
-_SLOT = re.compile(r"\{([PFGETIA])\}")
-
-
-def _forms() -> list[str]:
-    """FORMS with lines of one sentence put together: a line that opens a block takes those behind it up to the next opener."""
-    text, out = "\n".join(FORMS), []
-    for block in re.findall(r"(?:Dear \{P\},\n.*|Name: \{P\}\nPhone: .*\nAddress: .*\nId: .*|Thanks,\n\{G\}(?: .*|\n.*)|ID on file is \{I\}\.\nOperators.*|The form shows .*\nHold .*|.+)", text):
-        out.append(block)
-    return out
-
-
-def _person(r: random.Random, form: int) -> str:
-    g, f = r.choice(GIVEN), r.choice(FAMILY)
-    full = (f"{g} {f}", f"{g} {f}", f"{f}, {g}", f"{g[0]}. {f}", f"{g} {r.choice('ABDEHKLST')}. {f}", f"{g}  {f}", f"{g} {f}".upper(), f"{g} {f}".lower(), f"{g} {f}", f"{g}  {f}")[form % 10]
-    return full
-
-
-def _number(r: random.Random, form: str) -> str:
-    pick = {"9": "123456789", "0": "0123456789", "L": "ABCDEFGHKLMNCFGHK", "X": "0123456789ABCDEF"}
-    label, _, form = form.rpartition("#")
-    fixed = form[:5] if form.startswith(("+1202", "+33 1", "+44 2", "+49 3")) else form[:3] if form[:3] in ("030", "020", "01.", "+1 ", "+1-", "QQ ") else "0044 20" if form.startswith("0044") else ""
-    rest = "".join(r.choice(pick[c]) if c in pick else c for c in form[len(fixed) :])
-    return (f"{label}[identity_number|" if label or form[0] in "9Q" else "") + fixed + rest
-
-
-def _email(r: random.Random) -> str:
-    g, f = (re.sub(r"[^a-z]", "", x.lower().translate(_PLAIN)) for x in (r.choice(GIVEN), r.choice(FAMILY)))
-    local = r.choice([f"{g}.{f}", f"{g}.{f}+holds", f"{g[0]}{f}", f"{g}{r.randint(10, 99)}", f"{f}_{g}", f])
-    domain = r.choice(DOMAIN)
-    style = r.random()
-    if style < 0.6:
-        out = f"{local}@{domain}"
-        return out.upper() if r.random() < 0.15 else out
-    if style < 0.78:
-        return (local.replace(".", " dot ") if r.random() < 0.7 else local) + " at " + domain.replace(".", " dot ")
-    if style < 0.9:
-        return f"{local} [at] " + domain.replace(".", " [dot] ")
-    return f"{local}(at){domain}"
-
-
-def _address(r: random.Random) -> str:
-    style = r.random()
-    number = str(r.randint(1, 399))
-    if style < 0.42:
-        out = f"{number}{r.choice(['', '', '', r.choice('ABCabc')])} {r.choice(STREET)} {r.choice(STREET_KIND)}"
-        out += r.choice(["", f", Apt {r.randint(1, 40)}", "", f", Unit {r.randint(1, 9)}"])
-        return out + r.choice(["", f", {r.choice(TOWN)}", f", {r.choice(TOWN)} {r.randint(10000, 99999)}"])
-    if style < 0.56:
-        return f"{r.choice(['PO Box', 'P.O. Box'])} {r.randint(10, 2999)}, {r.choice(TOWN)}"
-    if style < 0.72:
-        return f"{r.randint(1, 99)} {r.choice(['', 'bis ', 'ter '])}rue {r.choice(RUE)}, {r.randint(10000, 99999)} Valmer"
-    if style < 0.86:
-        return f"Calle {r.choice(CALLE)} {r.randint(1, 99)}, {r.randint(1, 9)}.º {r.choice('ABCD')}"
-    return f"{r.choice(STRASSE)} {r.randint(1, 99)}, {r.randint(10000, 99999)} Norbeck"
-
-
-_PLAIN = str.maketrans("åäéèáñöüíë", "aaeeanouie")
-_DONE = "checked|rejected|quiet|indexed|moved|copied|verified|deferred|rewritten|demoted|stale|sealed|audited|pending|duplicate|promoted|abandoned".split("|")
-
-
-def _varied(r: random.Random, nothing: str) -> str:
-    """A sentence without mentions, with other digits and participles."""
-    if re.match("Build|Node|Rate", nothing):
-        return nothing
-    nothing = re.sub(r"\b(checked|rejected|quiet|busy)\b", lambda _: r.choice(_DONE), nothing)
-    return re.sub(r"(?<![\w.])\d+(?![\w.])", lambda m: str(r.randint(1, 10 ** len(m.group()))), nothing)
-
-
-def sentences(rounds: int = 24, seed: int = 20) -> list[str]:
-    """The labelled sentences, the same in every run."""
-    r, out = random.Random(seed), []
-
-    def fill(m: re.Match) -> str:
-        slot = m.group(1)
-        if slot == "P":
-            return f"[person_name|{_person(r, r.randrange(10))}]"
-        if slot in "FG":
-            return f"[person_name|{r.choice(FAMILY if slot == 'F' else GIVEN)}]"
-        if slot == "E":
-            return f"[email|{_email(r)}]"
-        if slot == "A":
-            return f"[street_address|{_address(r)}]"
-        if slot == "T":
-            return f"[phone|{_number(r, r.choice(PHONE)).replace('[identity_number|', '')}]"
-        form = r.choice(IDENTITY)
-        return _number(r, form) + "]"
-
-    forms = _forms()
-    for turn in range(rounds):
-        filled = [_SLOT.sub(fill, f) for f in forms]
-        nothing = [_varied(r, n) for n in r.sample(NOTHING, len(NOTHING))]
-        # Sentences stand alone, or in a paragraph with others before and behind, as in the texts.
-        mixed = [f"{r.choice(nothing)} {f} {r.choice(nothing)}" if r.random() < 0.4 else f"{r.choice(nothing)} {f}" if r.random() < 0.3 else f for f in filled]
-        out += mixed + (nothing if turn % 4 == 0 else r.sample(nothing, 25))
-    return out
+#: Well-known given and family names; most persons of the table have names made from syllables instead.
+GIVEN = "Michael Jennifer Christopher Jessica Matthew Ashley Joshua Amanda Andrew Nicole Anthony Stephanie Brian Melissa Kevin Rebecca Timothy Laura Jeffrey Sharon Gary Cynthia Edward Kathleen George Angela Kenneth Deborah Steven Barbara Charles Patricia Joseph Linda Richard Susan William Elizabeth Robert Mary James Emma Liam Noah Sophia Isabella Ethan Mia Lucas Harper Benjamin Evelyn Hans Günter Monika Ursula Dieter Gisela Uwe Brigitte Stefan Petra Wolfgang Renate Pierre Nathalie Jacques Sylvie François Isabelle Thierry Véronique Guillaume Amélie Carlos Carmen Miguel Pilar Alejandro Dolores Sergio Consuelo Ignacio Raúl Giovanni Francesca Paolo Chiara Olga Dmitri Svetlana Igor Tatiana Agnieszka Krzysztof Małgorzata Zofia Jan Wei Ming Hiroshi Yuki Sakura Kenji Arjun Deepak Lakshmi Sanjay Anjali Mohammed Aisha Khalid Leila Hassan Zainab Kwabena Abena Oluwaseun Ngozi Thandiwe Sipho Mehmet Ayşe Emre Elif Dimitris Eleni Björn Freya Lars Astrid Jonas Joana Thiago Beatriz".split()
+FAMILY = "Smith|Johnson|Williams|Brown|Jones|Miller|Davis|Wilson|Anderson|Taylor|Thomas|Moore|Martin|Jackson|Thompson|Harris|Clark|Lewis|Robinson|Walker|Allen|Wright|Scott|Nguyen|Adams|Nelson|Baker|Campbell|Mitchell|Roberts|Phillips|Evans|Turner|Parker|Collins|Edwards|Stewart|Morris|Murphy|Cook|Rogers|Müller|Schmidt|Schneider|Fischer|Weber|Wagner|Schulz|Hoffmann|Bauer|Koch|Richter|Wolf|Dubois|Durand|Lefèvre|Moreau|Girard|Bonnet|Rousseau|García|Rodríguez|Martínez|López|Sánchez|Pérez|Gómez|Díaz|Romero|Álvarez|Rossi|Bianchi|Ricci|Ivanov|Petrov|Kowalski|Wiśniewski|Zieliński|Novák|Dvořák|Wang|Chen|Zhang|Liu|Yang|Tanaka|Suzuki|Watanabe|Yamamoto|Sharma|Gupta|Patel|Singh|Kumar|Khan|Ahmed|Ali|Hussein|Mensah|Okonkwo|Nkosi|Dlamini|Yılmaz|Kaya|Papadopoulos|Hansen|Johansson|Andersson|Nilsson|Jensen|da Silva|dos Santos|de Souza|O’Brien|O'Connor|McCarthy|MacDonald|van Dijk|de Vries|van den Heuvel|de la Cruz|di Stefano|Le Goff|von Stein|el-Sayed|ben Amar".split("|")
+#: Names that are words as well; both uses are in the table.
+WORD_NAMES = "Will Rose Bill Grant Hope Frank Jack Dawn Faith Summer Art Pat Chase Miles Wade Reed Rich Sue Jasmine Ivy Olive Ruby Pearl Victor Max Guy Ray Gene Robin".split()
+
+_ONSET = "b br c ch cl d dr f fl g gr h j k kl l m n p pr r s sh sk st t th tr v w y z".split()
+_VOWEL = "a e i o u a e i o ai ea ie ou ei á é í ö ü å".split()
+_CODA = ["", "", "", "l", "n", "r", "s", "m", "nd", "th", "ck", "rt", "x"]
+_GIVEN_END = "a en in el ia ina is o us ette an ey iel ika lyn mar ric son us wen yn ita ine ou é".split()
+_FAMILY_END = "son sen man mann berg feld stein wood ford ley ton well field burn quist ström gren ski sky wicz ová enko ov ini elli etti ez ier eau aux court worth more dale hart brook hurst combe idis akis oglu yan ura moto tani wala".split()
+_TOWN_END = "ford ton ville stadt burg ham by mouth haven field minster brunn hausen court sur-Mer castle port lund vik bridge wick ness ingen".split()
+
+_TEXT = {
+    "noun": "garden invoice kitchen server contract meeting parcel report window engine lesson ticket budget train bridge printer recipe forest archive folder battery camera harbour factory market library elevator concert schedule bicycle catalogue storage backup database index queue pipeline cluster sensor turbine pump valve licence warranty shipment order delivery account balance policy claim survey study sample lecture exam chapter poem novel painting museum ferry tunnel road street lane square court drive box letter phone mail card form note file record list table plan job run test build version release branch page line key value entry object copy snapshot bucket batch chunk volume disk node rack shelf label manifest checksum digest review audit hold request answer message reply".split(),
+    "adj": "old new green small late early broken empty heavy quiet yearly partial public private frozen warm cold sealed stale damaged missing spare main second final wooden modern silent golden silver amber crimson hidden northern rapid legal internal external open closed annual weekly nightly shared common strict basic global local".split(),
+    "verb": "opened closed arrived failed started stopped moved waited grew fell broke finished changed returned stayed expired passed turned vanished improved froze".split(),
+    "did": "repaired sold checked counted painted ordered cancelled moved measured replaced cleaned delivered copied rejected archived restored printed translated reviewed merged released deleted renamed verified tested scanned".split(),
+    "who": "the manager|the teacher|our team|the committee|a neighbour|the operator|the engineers|the night crew|the council|a visitor|the supplier|the bank|the postman|the tax office|the museum|an assistant|the front desk|nobody|everyone".split("|"),
+    "unit": "kg km m cm mm g l ml s ms h min MB GB GiB TB KiB kWh W V A °C % EUR USD GBP rpm Hz bar pt px lines rows files days hours minutes weeks items pages votes points".split(),
+    "month": "January February March April May June July August September October November December".split(),
+    "day": "Monday Tuesday Wednesday Thursday Friday Saturday Sunday".split(),
+    "animal": "Heron Falcon Otter Badger Lynx Raven Cedar Maple Comet Harbor Anchor Lantern Horizon Summit Glacier Canyon Meadow Ember Tiger Dolphin".split(),
+    "colour": "Blue Red Green Silver Golden Amber Black White Crimson Purple Grey Scarlet Copper".split(),
+    "org": "Bank|Clinic|University|Library|Museum|Institute|Insurance|Airlines|Foods|Logistics|Council|Institute of Technology|Town Hall|Station|Airport|Hospital|Theatre".split("|"),
+    "head": "Annual|Open|Legal|Cold|Warm|Internal|Monthly|Change|Risk|Data|Access|Service|Project|Audit|Quality|Safety|Release|Storage".split("|"),
+    "head2": "Report|Issues|Hold|Tier|Review|Summary|Desk|Pool|Log|Plan|Notes|Policy|Register|Window|Board|Budget|Overview|Calendar".split("|"),
+    "haus": "Haus Garten Schule Woche Tage Monate Zahl Seiten Zimmer Strecke Brote Wasser Holz Fenster Tür Motor Preis Kosten Wetter Regen Menge Höhe Breite Länge Dauer Abfahrt Ankunft Meldung Antwort Frage Sitzung Prüfung Sendung Karte Kasse Halle Messung Stunden Minuten Meter Bücher Wartezeit Öffnungszeit Lieferfrist Gesamtsumme Werkstatt Eintrittskarten Handschuhe Rückgabe Druckerei Kündigung".split(),
+    "path": "usr var home data tmp logs export images report street road lane photos raw final notes".split(),
+    "ext": "csv pdf txt log xml json png jpg gz parquet docx".split(),
+}
+
+
+class Grammar:
+    """Random values by rule; every choice comes from one seeded generator."""
+
+    def __init__(self, seed: int):
+        self.r = random.Random(seed)
+        pool = {"given": list(GIVEN), "family": list(FAMILY)}
+        while len(pool["given"]) < 700:
+            pool["given"].append(self._syllables(1, 2) + self._c(_GIVEN_END))
+        while len(pool["family"]) < 700:
+            pool["family"].append(self._syllables(1, 2) + self._c(_FAMILY_END))
+        pool["given"] = [g[0].upper() + g[1:] for g in pool["given"]]
+        pool["family"] = [f if " " in f or "-" in f else f[0].upper() + f[1:] for f in pool["family"]]
+        self.pool = pool
+        # A staff list has most names, not all: of the names made from syllables four in five, of the well-known ones half.
+        listed = lambda names, known: {n for n in names if self.r.random() < (0.5 if n in known else 0.8)}
+        self.listed = {"given": listed(pool["given"], set(GIVEN)) | set(WORD_NAMES), "family": listed(pool["family"], set(FAMILY))}
+
+    def _c(self, options):
+        return self.r.choice(options)
+
+    def _p(self, chance: float) -> bool:
+        return self.r.random() < chance
+
+    def _n(self, low: int, high: int) -> str:
+        return str(self.r.randint(low, high))
+
+    def _digits(self, n: int, first: str = "123456789") -> str:
+        return self._c(first) + "".join(self._c("0123456789") for _ in range(n - 1)) if n else ""
+
+    def _hex(self, n: int) -> str:
+        return "".join(self._c("0123456789abcdef") for _ in range(n))
+
+    def _syllables(self, low: int, high: int) -> str:
+        return "".join(self._c(_ONSET) + self._c(_VOWEL) + self._c(_CODA) for _ in range(self.r.randint(low, high)))
+
+    def given(self) -> str:
+        x = self.r.random()
+        if x < 0.16:
+            return self._c(WORD_NAMES)
+        if x < 0.4:
+            return self._c(GIVEN)
+        name = self._c(self.pool["given"])
+        return f"{name}-{self._c(self.pool['given'])}" if x > 0.95 else name
+
+    def family(self) -> str:
+        x = self.r.random()
+        name = self._c(FAMILY) if x < 0.3 else self._c(self.pool["family"])
+        if x > 0.94:
+            return f"{name.split()[-1]}-{self._c(self.pool['family']).split()[-1]}"
+        if x > 0.86:
+            return self._c(["van ", "van der ", "van den ", "de ", "de la ", "von ", "Le ", "La ", "di ", "O’", "O'", "Mc", "al-", "St. "]) + self._c(self.pool["family"]).split()[-1]
+        return name
+
+    def town(self) -> str:
+        t = self._syllables(1, 2).capitalize() + self._c([*_TOWN_END, "", "a", "o", "ov", "ice", "ola", "ín", "es", "ia"])
+        if self._p(0.2):
+            t = t.translate(str.maketrans({self._c("rnlszo"): self._c("řñłšžø")}))
+        return self._c(["", "", "", "", "", "North ", "Upper ", "New ", "Saint ", "Port ", "Bad ", "Val-de-", "Sankt ", "San ", "Ciudad ", "Villa ", "Rio "]) + t
+
+    def haus(self) -> str:
+        """A German noun, joined of two at times: all of them have capitals."""
+        n = self._c(_TEXT["haus"])
+        return n + self._c(["", "s", "en"]) + self._c(_TEXT["haus"]).lower() if self._p(0.5) else n
+
+    def person(self) -> str:
+        g, f, x = self.given(), self.family(), self.r.random()
+        if x < 0.5:
+            out = f"{g} {f}"
+        elif x < 0.59:
+            out = f"{f}, {g}"
+        elif x < 0.68:
+            out = f"{g[0]}. {f}" if self._p(0.85) else f"{g[0]}.{self._c('ABDEHJKLMS')}. {f}"
+        elif x < 0.75:
+            out = f"{g} {self._c('ABCDEFGHJKLMNPRSTW')}. {f}"
+        elif x < 0.79:
+            out = f"{g} {self.given()} {f}"
+        elif x < 0.83:
+            out = f"{g}  {f}"
+        elif x < 0.87:
+            out = f"{f} {g}"
+        elif x < 0.91:
+            out = f"{g} {f}".upper()
+        elif x < 0.975:
+            out = (f"{g} {f}" if self._p(0.85) else f"{f}, {g}" if self._p(0.5) else f"{g[0]}. {f}").lower()
+        else:
+            out = f"{f.upper()} {g}"
+        return f"[person_name|{out}]"
+
+    def email(self) -> str:
+        plain = lambda s: re.sub(r"[^a-z]", "", s.lower().translate(str.maketrans("áéíóúöüåäèêëïñçøł", "aeiououaaeeeincol")))
+        g, f = plain(self.given()) or "info", plain(self.family()) or "desk"
+        sep = self._c([".", ".", ".", "_", "-", ""])
+        local = self._c([f"{g}{sep}{f}", f"{g}{sep}{f}", f"{g[0]}{sep}{f}", f"{g}{self._n(1, 99)}", f"{f}{sep}{g}", f"{g}", f"{f}", f"{g}{sep}{f}{self._n(1, 2000)}", self._c("info office sales support billing hr news team records admin contact".split())])
+        if self._p(0.15):
+            local += "+" + self._c(_TEXT["noun"])
+        host = self._c([self._syllables(1, 3), self._c(_TEXT["noun"]) + self._c(["", "-"]) + self._c(_TEXT["noun"]), self._c(_TEXT["noun"]) + self._n(1, 9), self._syllables(1, 2) + "-" + self._c(_TEXT["noun"])])
+        host = self._c(["", "", "", "mail.", "post.", "eu.", "staff."]) + host + "." + self._c("com org net example test invalid co.uk de fr es edu gov io co.jp example example invalid test".split())
+        x = self.r.random()
+        if x < 0.6:
+            out = f"{local}@{host}"
+            out = out.upper() if self._p(0.1) else out.title() if self._p(0.05) else out
+        elif x < 0.76:
+            at, dot = self._c([(" at ", " dot "), (" at ", " dot "), (" AT ", " DOT "), (" at ", ".")])
+            out = (local.replace(".", dot) if self._p(0.7) else local) + at + host.replace(".", dot)
+        elif x < 0.9:
+            at, dot = self._c([(" [at] ", " [dot] "), (" (at) ", " (dot) "), ("[at]", "[dot]"), ("(at)", "(dot)"), (" [at] ", "."), ("(at)", "."), (" {at} ", " {dot} "), (" <at> ", " <dot> ")])
+            out = (local.replace(".", dot) if self._p(0.4) else local) + at + host.replace(".", dot)
+        else:
+            out = f"{local} @ {host}" if self._p(0.4) else f"{local}@{host}"
+        return f"[email|{out.replace('[at]', '⟦at⟧').replace('[dot]', '⟦dot⟧')}]"
+
+    def phone(self) -> str:
+        d, sep = self._digits, self._c([" ", " ", "-", ".", "-", ""])
+        x = self.r.random()
+        if x < 0.2:  # North America
+            area = self._c([f"({d(3)}) ", f"({d(3)})", d(3) + (sep or "-"), f"1{sep or '-'}{d(3)}{sep or '-'}", f"+1 {d(3)} ", f"+1 ({d(3)}) ", f"+1-{d(3)}-", f"+1.{d(3)}."])
+            out = area + d(3) + (sep or "-") + d(4, "0123456789")
+        elif x < 0.3:
+            out = self._c([f"+{self._c(['1', '44', '49', '33', '34', '39', '31', '48', '81'])}{d(self.r.randint(9, 10))}", f"00{self._c(['44', '49', '33', '34'])}{sep}{d(3)}{sep}{d(7)}", d(10, "2345678")])
+        elif x < 0.52:  # groups behind a country code
+            s = sep or " "
+            out = self._c(["+", "+", "00"]) + self._c("44 49 33 34 39 31 32 41 43 45 46 47 48 61 81 91 351 353 420".split()) + s + s.join(d(self.r.randint(2, 4), "0123456789") for _ in range(self.r.randint(2, 4)))
+            out += "" if sum(c.isdigit() for c in out) > 8 else s + d(4)
+        elif x < 0.6:
+            s = sep or " "
+            out = f"+{self._c(['44', '49', '43', '41'])} (0){self._c(['', ' '])}{d(2)}{s}{d(4)}{s}{d(4)}"
+        elif x < 0.8:  # trunk zero
+            s = sep or " "
+            out = self._c([f"0{d(2)}{s}{d(4)}{s}{d(4)}", f"0{d(3)}{s}{d(3)}{s}{d(4)}", f"0{d(4)}{s}{d(6)}", f"(0{d(2)}) {d(4)} {d(4)}", f"0{d(2)}/{d(5)}{self._c(['', '-' + d(2)])}", f"0{d(3)}/{d(4)}-{d(3)}", f"(0{d(3)}) {d(6)}", f"0{d(2)} {d(3)} {d(2)} {d(2)}", f"0{d(9)}"])
+        elif x < 0.92:  # pairs or threes
+            s = sep or " "
+            out = self._c([f"0{self._n(1, 9)}{s}" + s.join(d(2, "0123456789") for _ in range(4)), f"{self._c('679')}{d(2)}{s}{d(3)}{s}{d(3)}", f"{self._c('69')}{d(2)} {d(2)} {d(2)} {d(2)}", f"{d(3)}{s}{d(3)}{s}{d(4)}"])
+        else:
+            out = f"{d(4)}{sep or '-'}{d(4)}" if self._p(0.6) else f"{d(3)}-{d(4)}"
+        if self._p(0.12):
+            out += self._c([" ext. ", " ext ", " x", " Ext. ", ", ext. ", " extension ", "-x"]) + self._n(2, 9999)
+        return f"[phone|{out}]"
+
+    def identity(self) -> tuple[str, str]:
+        """(label, number): the label may stand before the number."""
+        d, letter = self._digits, lambda n: "".join(self._c("ABCDEFGHJKLMNPRSTWXYZ") for _ in range(n))
+        z = lambda n: d(n, "0123456789")
+        code = lambda n: "".join(self._c("0123456789ABCDEFGHJKLMNPRTVWXYZ") for _ in range(n))
+        mixed = lambda n: self._c([letter(1) + code(n - 2) + self._c("0123456789"), letter(2) + z(n - 2), letter(1) + z(n - 1), code(n - 1) + self._c("0123456789")])
+        kind = self._c(["ssn", "ssn", "ssn", "ni", "ni", "tax", "tax", "passport", "passport", "passport", "national", "national", "insurance"])
+        if kind == "ssn":
+            s = self._c(["-", "-", "-", " "])
+            first = f"{self._c([self.r.randint(1, 665), self.r.randint(667, 899)]):03d}"
+            number = f"{first}{s}{self.r.randint(1, 99):02d}{s}{self.r.randint(1, 9999):04d}"
+            number = number.replace(s, "") if self._p(0.2) else number
+            label = self._c("SSN|SSN|social security number|Social Security No.|soc. sec. no.|social security|ID|identity number|".split("|"))
+            return (label or "number") if s not in number else label, number
+        if kind == "ni":
+            s = self._c([" ", " ", ""])
+            return self._c("NI number|National Insurance number|NINO|national insurance no.|insurance no.|insurance number|".split("|")), f"{letter(2)}{s}{z(2)}{s}{z(2)}{s}{z(2)}{s}{self._c('ABCD')}"
+        if kind == "tax":
+            return self._c("tax id|Tax ID|TIN|tax number|tax no.|Steuer-ID|Steuernummer|numéro fiscal|NIF|tax file number|IdNr.|Steuer-Nr.".split("|")), self._c([f"{d(2)} {z(3)} {z(3)} {z(3)}", f"{d(2)} {z(3)} {z(3)} {z(3)}", d(11), f"{d(3)} {z(3)} {z(3)}", f"{d(2)}/{z(3)}/{z(5)}", f"{d(2)}-{z(7)}", f"{d(10)}"])
+        if kind == "passport":
+            return self._c("passport|passport no.|passport number|Passport No|Passport|Pass-Nr.|Reisepass|Reisepass Nr.|passeport n°|pasaporte|pasaporte n.º|travel document".split("|")), self._c([mixed(9), mixed(9), mixed(8), mixed(9), d(9)])
+        if kind == "insurance":
+            return self._c("insurance number|insurance no.|health insurance no.|AHV-Nr.|Versichertennummer|n° de sécurité sociale|Sozialversicherungsnummer|NIR".split("|")), self._c([f"756.{z(4)}.{z(4)}.{z(2)}", f"{letter(1)}{z(9)}", f"{self._c('12')} {z(2)} {z(2)} {z(2)} {z(3)} {z(3)} {z(2)}", f"{z(2)} {z(6)} {letter(1)} {z(3)}", f"{z(2)}{z(6)}{letter(1)}{z(3)}"])
+        return self._c("national id|national ID no.|DNI|NIE|ID card|ID no.|identity card|Personalausweis|carte d’identité|PESEL|BSN|CPF|personal number|ID number|documento".split("|")), self._c([f"{d(8)}{letter(1)}", f"{d(8)}-{letter(1)}", f"{self._c('XYZ')}{z(7)}{letter(1)}", f"{d(6)}-{z(4)}", d(11), f"{d(3)}.{z(3)}.{z(3)}-{z(2)}", f"{letter(3)}{z(6)}", f"{d(4)} {z(4)} {z(4)}", d(9)])
+
+    def address(self) -> str:
+        name = lambda: self._c([self._syllables(1, 2).capitalize(), self._c(_TEXT["animal"]), self._c(_TEXT["noun"]).capitalize(), self._c("Oak Elm Pine Church Mill Park High Station Victoria King’s Queen Chapel School Spring Hill River Lake Washington Lincoln Market Bridge".split()), self._c(self.pool["family"]).split()[-1]])
+        n = self._n(1, 399) + (self._c("ABCDabc") if self._p(0.25) else "") if self._p(0.9) else self._n(400, 19999)
+        end = lambda: self._c(["", "", f", {self.town()}", f", {self.town()} {self._n(10000, 99999)}", f", {self.town()}, {self._c('CA NY TX OR WA MA IL OH FL'.split())} {self._n(10000, 99999)}", f", {self.town()} {self._c('ABLMSNE')}{self._c('ABELSW')}{self._n(1, 28)} {self._n(1, 9)}{self._c('ABDHJ')}{self._c('BDHQX')}", f", {self.town()}"])
+        unit = lambda: self._c(["", "", "", f", {self._c(['Apt', 'Apt.', 'Unit', 'Suite', 'Flat', 'Room', 'Floor', 'Ste'])} {self._c([self._n(1, 400), self._n(1, 20) + self._c('ABC'), self._c('ABCD')])}", f" #{self._n(1, 99)}"])
+        x = self.r.random()
+        if x < 0.44:
+            kind = self._c("Street St St. Avenue Ave Ave. Road Rd Rd. Lane Ln Drive Dr Boulevard Blvd Court Ct Place Square Terrace Way Close Crescent Gardens Parkway Row Walk Grove Quay Mews Rise Hill".split())
+            two = f"{self._c(['North', 'South', 'East', 'West', 'Old', 'Upper', 'N', 'W.'])} " if self._p(0.12) else ""
+            out = f"{n} {two}{name()}{' ' + name() if self._p(0.12) else ''} {kind}{self._c([' NW', ' SE', ' N']) if self._p(0.05) else ''}"
+            out = out.upper() if self._p(0.04) else out.lower() if self._p(0.03) else out
+            out += unit() + end()
+        elif x < 0.54:
+            out = f"{self._c(['PO Box', 'P.O. Box', 'P. O. Box', 'Post Office Box', 'P.O.Box', 'PO box'])} {self._n(1, 9999)}{end()}"
+        elif x < 0.58:
+            out = self._c([f"Postfach {self._n(10, 9999)}, {self._n(10000, 99999)} {self.town()}", f"BP {self._n(10, 999)}, {self._n(10000, 99999)} {self.town()}", f"Apartado {self._n(10, 999)}, {self.town()}"])
+        elif x < 0.74:
+            kind = self._c("rue avenue boulevard place chemin allée impasse quai route Rue Avenue Boulevard cours".split())
+            of = self._c(["de la ", "du ", "des ", "de l’", "de ", "", "d’", "de l'"])
+            out = f"{self._n(1, 199)}{self._c(['', '', ',', ' bis', ' ter', ' B'])} {kind} {of}{name()}{' ' + name() if self._p(0.15) else ''}{self._c(['', f', {self._n(10000, 99999)} {self.town()}', f', {self._n(10000, 99999)} {self.town()}', f' à {self.town()}'])}"
+        elif x < 0.86:
+            kind = self._c("Calle Avenida Av. Plaza Paseo Camino C/ Carrer Ronda Via Viale Piazza calle plaza Rua".split())
+            of = self._c(["de la ", "del ", "de los ", "de ", "", "", "della "])
+            more = self._c(["", "", f", {self._n(1, 9)}.º {self._c('ABCD')}", f", {self._n(1, 9)}º {self._c('ABCD')}", f", piso {self._n(1, 9)}", f", {self._n(1, 9)}ª planta"])
+            out = f"{kind}{'' if kind == 'C/' and self._p(0.5) else ' '}{of}{name()}{self._c([' ', ' ', ', ', ', n.º '])}{self._n(1, 199)}{more}{self._c(['', f', {self._n(10000, 99999)} {self.town()}', f', {self.town()}'])}"
+        else:
+            stem = self._syllables(1, 2).capitalize()
+            street = self._c([stem + self._c("straße strasse str. weg allee platz gasse damm ring ufer hof steig graben wall pfad".split()), f"{self._c(['Am', 'An der', 'Im', 'Auf dem', 'Zum', 'Unter den', 'Alte', 'Neue', 'Lange'])} {self._c(['Markt', 'Bach', 'Kirche', 'Linden', 'Hafen', 'Berg', 'Tor', 'Gasse', 'Ufer', 'Straße', stem])}", f"{stem}er {self._c(['Straße', 'Weg', 'Allee', 'Platz', 'Str.', 'Chaussee'])}", f"{stem}{self._c(['straat', 'laan', 'gracht', 'weg', 'gatan', 'vägen', 'plein'])}"])
+            out = f"{street} {self._n(1, 199)}{self._c(['', '', 'a', ' b', '–' + self._n(2, 9)])}{self._c(['', f', {self._n(10000, 99999)} {self.town()}', f', {self._n(1000, 9999)} {self.town()}', f' in {self._n(10000, 99999)} {self.town()}'])}"
+        return f"[street_address|{out}]"
+
+    # Text without mentions.
+
+    def number(self) -> str:
+        n, d = self._n, self._digits
+        return self._c([n(0, 9), n(10, 99), n(100, 99999), f"{n(1, 99)}.{n(0, 999)}", f"{n(1, 99)},{n(100, 999)}", f"{n(1, 99)},{n(100, 999)},{n(100, 999)}", f"{n(1, 100)}%", f"{n(1, 100)} %", d(self.r.randint(6, 12))])
+
+    def thing(self) -> str:
+        """A number or name of something that is no mention."""
+        n, d, h = self._n, self._digits, self._hex
+        date = f"{n(1990, 2030)}-{self.r.randint(1, 12):02d}-{self.r.randint(1, 28):02d}"
+        w = lambda: self._c(_TEXT["noun"])
+        return self._c([
+            date, f"{date}T{self.r.randint(0, 23):02d}:{self.r.randint(0, 59):02d}Z", f"{n(1, 28)}.{n(1, 12)}.{n(1990, 2030)}", f"{n(1, 12)}/{n(1, 28)}/{n(1990, 2030)}", f"{self.r.randint(0, 23):02d}:{self.r.randint(0, 59):02d}", f"{self.r.randint(0, 23):02d}.{self.r.randint(0, 59):02d}", f"{self.r.randint(0, 23):02d}:{self.r.randint(0, 59):02d}:{self.r.randint(0, 59):02d} UTC",
+            f"{n(0, 12)}.{n(0, 30)}.{n(0, 99)}", f"{n(0, 12)}.{n(0, 30)}.{n(0, 99)}.{n(1000, 9999)}", f"v{n(1, 9)}.{n(0, 20)}", f"{n(1, 255)}.{n(0, 255)}.{n(0, 255)}.{n(1, 254)}", f"{n(10, 192)}.{n(0, 2)}.{n(0, 9)}.{n(1, 254)}", h(8), h(16), h(24), h(32), h(40), f"{h(8)}-{h(4)}-{h(4)}-{h(4)}-{h(12)}", f"{w()}-{h(6)}", f"{w()[0]}{h(6)}", f"{w()[:3]}_{h(4)}", f"{w()}/{h(6)}", f"{w()[:2]}-{h(6)}",
+            f"/{self._c(_TEXT['path'])}/{self._c(_TEXT['path'])}/{n(1, 999)}/{w()}.{self._c(_TEXT['ext'])}", f"{w()}/{w()}-{self._digits(5, '0123456789')}.{self._c(_TEXT['ext'])}", f"{w()}/{w()}/{w()}/{w()}-{self._digits(5, '0123456789')}.{self._c(_TEXT['ext'])}", f"{w()}.{self._c(_TEXT['ext'])}", f"{w()}_{n(1, 99)}.{self._c(_TEXT['ext'])}", f"https://{w()}.example/{w()}/{n(1, 999)}", f"www.{w()}.org",
+            f"{self._c(['@', '#'])}{w()}", f"{w()}@{n(1, 9)}.{n(0, 9)}", f"{w()}@v{n(1, 99)}", f"{w()}@", f"@{w()}.{w()}", f"@{w()}", f"--{w()}", f"{w()}-{n(1, 99)}", f"{n(100, 999)}-{n(1, 9)} per {n(10, 1000)}", f"{n(0, 9)}{n(0, 9)}{n(0, 9)}/{n(1000, 9999)}-{n(1, 99)}", f"{n(1, 9)}-{n(1, 9)}", f"{n(1900, 2030)}/{n(10, 99)}", f"{n(1900, 2030)}–{n(1900, 2030)}", f"{n(1990, 2030)}-{self.r.randint(1, 12):02d}-{n(100, 140)}",
+            f"{w().upper()[:3]}{d(7)}", f"{d(4)}-{d(4)}", f"{d(10)}", f"{d(10)}", f"{d(12)}", f"{d(3)}-{d(1)}", f"#{d(5)}", f"{d(5)}/{d(2)}", f"{n(1, 90)}.{d(4)}, {n(1, 90)}.{d(4)}", f"{n(1, 99)} {self._c(_TEXT['unit'])}", f"{n(1, 99)}.{n(0, 999)} {self._c(_TEXT['unit'])}", f"{n(1, 9)} x {n(10, 99)} {self._c(_TEXT['unit'])}", f"{n(0, 9)}:{n(0, 9)}", f"{self._c('ABCR')}{n(1, 99)}", f"ISBN {n(900, 999)}-{n(0, 9)}-{n(10, 99)}-{d(6)}-{n(0, 9)}", self._c("I II III IV V VI VII VIII IX X XI".split()), f"0x{h(6)}", f"{h(32)}{h(32)}", "".join(self._c("ABCDEFGHKLMNPQRSTabcdefghklmnpqrst0123456789+/") for _ in range(self.r.randint(30, 90))) + self._c(["", "=", "=="]),
+        ])
+
+    def proper(self) -> str:
+        """A capitalised name of something that is no person."""
+        t, c = self.town, self._c
+        return c([
+            f"Project {c(_TEXT['colour'])} {c(_TEXT['animal'])}", f"{c(_TEXT['colour'])} {c(_TEXT['animal'])}", f"{t()} {c(_TEXT['org'])}", f"{c(_TEXT['head'])} {c(_TEXT['head2'])}", f"{c(_TEXT['head'])} {c(_TEXT['head2'])}", f"the {t()} {c(_TEXT['noun'])}", f"the {c(_TEXT['colour'])} {c(_TEXT['animal'])} Hotel", f"Lake {t()}", f"Mount {t()}", f"{t()}", f"{t()}", f"{c(_TEXT['noun']).capitalize()} {c(_TEXT['noun']).capitalize()}", f"{self._syllables(1, 2).capitalize()} {c(['Inc.', 'Ltd', 'GmbH', 'AG', 'Corp', 'SA', '& Sons'])}", f"{self._syllables(1, 2).capitalize()} {c(['Pro', 'Max', 'Cloud', 'Server', 'Linux', 'Drive', '3000'])}",
+        ])
+
+    def plain(self) -> str:
+        """A sentence without mentions."""
+        c, t = self._c, self.thing
+        noun, adj, verb, did = (lambda k=k: c(_TEXT[k]) for k in ("noun", "adj", "verb", "did"))
+        who = c(_TEXT["who"])
+        Who = who[0].upper() + who[1:]
+        month, day, town, w = c(_TEXT["month"]), c(_TEXT["day"]), self.town(), c(WORD_NAMES)
+        num, unit = self.number, c(_TEXT["unit"])
+        return c([
+            lambda: f"The {adj()} {noun()} {verb()} after {num()} {unit}.", lambda: f"{Who} {did()} {num()} {adj()} {noun()}s.", lambda: f"{Who} {did()} the {noun()} {t()}, and the {adj()} {noun()} {verb()}.", lambda: f"In {town} {who} {did()} {num()} {noun()}s.", lambda: f"{noun().capitalize()} {t()} {verb()} at {t()}.", lambda: f"{noun().capitalize()} {t()} {verb()}; {num()} of {num()} {noun()}s were {did()}.",
+            lambda: f"In {month} {who} {did()} {num()} {noun()}s.", lambda: f"Since {month} nothing {verb()}.", lambda: f"The {month} {noun()} {verb()} on {day}.", lambda: f"On {day} the {noun()} at {town} {verb()} by {num()} {unit}.", lambda: f"{month} {self._n(1, 28)}: the {noun()} {verb()}.", lambda: f"From {month} to {c(_TEXT['month'])} the {noun()} {verb()}.",
+            lambda: f"{self.proper()} and {self.proper()} are {c(['two chapters', 'films', 'teams', 'two sections', 'songs', 'places', 'brands'])}.", lambda: f"{self.proper()} is {c(['a code name', 'the working title', 'a product', 'a chapter', 'a film', 'a ship', 'a town', 'our team', 'a brand', 'the next song'])}.", lambda: f"{c(['See', 'Read', 'Open', 'Visit'])} {self.proper()} for the {noun()}.", lambda: f"{Who} {c(['works at', 'visited', 'left', 'joined', 'wrote to', 'sued'])} {self.proper()}.", lambda: f"{self.proper()} {c(['opened', 'closed', 'lies', 'stands', 'ships'])} {c(['in', 'near', 'north of'])} {town}.", lambda: f"{Who} travelled from {town} to {self.town()} in {num()} hours.", lambda: f"{town} had {num()} inhabitants in {self._n(1800, 2030)}.", lambda: f"{c(['Snow', 'Rain', 'Traffic', 'Prices', 'Visitors'])} near {town} rose by {num()} {unit}.", lambda: f"The {noun()} of {town} {verb()} in {self._n(1800, 2030)}.", lambda: f"Tickets to {town} cost {num()} EUR, children pay {num()}.", lambda: f"{c(['Prices', 'Rents', 'Fares', 'Taxes', 'Plans', 'The forecast', 'The bill', 'The map'])} for {town} {c(['rose to', 'fell below', 'show', 'came in at'])} {num()} {unit}.", lambda: f"{town}, {self.town()} and {self.town()} {c(['lie', 'grew', 'voted'])} {c(['inland', 'together', 'twice'])}.",
+            lambda: f"{c(['Bill', 'Grant', 'Chase', 'Frank', 'Sue', 'Pat', 'Will'])} the {noun()} {c(['first', 'for', 'at', 'into', 'with'])} {adj()} {noun()}s.", lambda: f"{c(['Chase', 'Grant', 'Bill', 'Sue', 'Pat'])} {c(['every', 'all', 'each', 'any', 'a', 'no', 'our'])} {noun()} that {verb()}.", lambda: f"{Who} will {c(['grant', 'bill', 'chase', 'hope'])} {num()} {noun()}s in {month}.", lambda: f"{c(['Hope', 'Faith', 'Dawn', 'Summer', 'Art', 'Rose', 'Ivy', 'Pearl'])} {c(['is', 'was', 'and'])} {c(['not', 'a', 'the', 'early', 'only'])} {noun()} for {who}.", lambda: f"{num()} days later the {noun()} {verb()}.", lambda: f"Will the {noun()} be {did()} in {month}?", lambda: f"The {c(['rose', 'dawn', 'summer', 'ruby', 'olive', 'art', 'grant', 'bill', 'reed', 'jack', 'ray', 'gene', 'robin'])} {verb()} near the {noun()}.", lambda: f"{c(['A', 'The'])} {w.lower()} {noun()} {verb()}.",
+            lambda: f"The {c(['total', 'meter', 'odometer', 'epoch', 'sum', 'balance'])} {c(['came to', 'read', 'was', 'exceeded'])} {self._digits(self.r.randint(9, 11))} {c(['', unit, noun() + 's'])}.", lambda: f"The {noun()} id is {self._digits(self.r.randint(8, 12))}.", lambda: f"{c(['Order', 'Ticket', 'Invoice', 'Serial number', 'Batch', 'Part', 'Case', 'Booking', 'Tracking number', 'Article', 'Code', 'Key'])} {c(['', 'no. ', 'number ', '# '])}{t()} was {did()}.", lambda: f"{c(['Section', 'Ratio', 'Score', 'Paragraph', 'Rule', 'Exercise'])} {t()}, {c(['answer', 'grade', 'level'])} {t()}.", lambda: f"The commit {self._hex(12)} weighs {num()} {unit}.", lambda: f"Between {self._digits(9)} and {self._digits(10)}{c(['', '000'])} nothing {verb()}.",
+            lambda: f"{c(['Lane', 'Drive', 'Street', 'Square', 'Court', 'Box', 'Room', 'Floor', 'Platform', 'Way', 'Row', 'Unit', 'Road', 'Place'])} {self._n(1, 40)} of the {noun()} {verb()} for {num()} {unit}.", lambda: f"{c(['Street', 'Road', 'Square', 'Court', 'Lane'])} {noun()}s {c(['cost', 'need', 'weigh'])} {num()} {unit}.", lambda: f"Under {t()} there are {num()} {noun()}s.", lambda: f"The road to {town} is {num()} km long.", lambda: f"{Who} counted {num()} streets, {num()} lanes and {num()} squares in {town}.", lambda: f"The {noun()} has {num()} rooms on {num()} floors.", lambda: f"Box {num()} and drive {num()} were {did()} by {who}.",
+            lambda: f"Look at the {noun()} at {t()}, not at the dot.", lambda: f"The dot at the end of {t()} is {adj()}.", lambda: f"Follow @{noun()} and install {noun()}@{c(['v', '', '^'])}{self._n(1, 20)}.{self._n(0, 9)} from the {noun()}.", lambda: f"{c(['Type', 'Add', 'Use'])} {c(['@', 'git@', 'root@', '@all'])} before the {noun()}.", lambda: f"{Who} arrived at {town} at {t()}.", lambda: f"The {noun()} at {noun()}.{c(_TEXT['ext'])} was {did()}.",
+            lambda: f"“{c(['Not', 'Never', 'Maybe'])} {c(['again', 'yet', 'today'])},” {who} {c(['said', 'wrote'])}.", lambda: f"When will {who} {c(['open', 'paint', 'sell', 'print'])} the {noun()}?", lambda: f"It {verb()} although the {noun()} {verb()}.", lambda: f"{c(['We’ve', 'They have', 'I’ve', 'Nobody has'])} {did()} the {adj()} {noun()}, but don’t {c(['like', 'need', 'want'])} it.", lambda: f"{c(['Please', 'Do not', 'Always', 'Never'])} {c(['open', 'close', 'move', 'delete', 'copy'])} their {adj()} {noun()} near {t()} until {who} {c(['agrees', 'returns', 'pays'])}.", lambda: f"{num()} {noun()}s and {num()} {noun()}s {verb()} until {t()}.", lambda: f"{noun().capitalize()}s {self._n(1, 99)} and {self._n(100, 9999)} {c(['look', 'feel', 'seem'])} {adj()}.",
+            lambda: f"- {noun().capitalize()} {t()} {verb()}", lambda: f"## {c(_TEXT['head'])} {c(_TEXT['head2'])}", lambda: f"{noun()}_{noun()} = {t()}", lambda: f"{noun()}: {t()}", lambda: f"[{t()}] INFO {noun()}.{noun()} {did()} {num()} {noun()}s", lambda: f"{noun()}={num()} {noun()}={t()} state={verb()}", lambda: f'{{"{noun()}": "{t()}", "{noun()}": {num()}}}', lambda: f"{noun()};{num()};{t()};{verb()}",
+            lambda: f"Der {c(['Bericht', 'Server', 'Zug', 'Vertrag', 'Dienst', 'Antrag', 'Schlüssel'])} {t()} wurde in {town} um {t()} {c(['geprüft', 'gelöscht', 'verschoben', 'bestätigt', 'gedruckt'])}.", lambda: f"{c(['Die', 'Eine'])} {c(['Brücke', 'Lieferung', 'Prüfsumme', 'Rechnung', 'Sicherung', 'Tabelle'])} hat {num()} {c(['Einträge', 'Seiten', 'Meter', 'Zeilen'])}, obwohl {c(['der Keller', 'die Halle', 'das Regal', 'der Wagen'])} leer ist.", lambda: f"Größe {num()} {unit}, {c(['Übergabe', 'Abnahme', 'Kontrolle'])} in {town} {c(['bestätigt', 'verweigert'])}.", lambda: f"{c(['Wir brauchen', 'Es fehlen', 'Bestellt sind', 'Gezählt wurden'])} {num()} {c(_TEXT['haus'])} und {num()} {c(_TEXT['haus'])}.", lambda: f"Ab {num()} {c(_TEXT['haus'])} {c(_TEXT['haus'])} wird die {c(_TEXT['haus'])} {c(['teurer', 'geschlossen', 'verlegt'])}.", lambda: f"{c(_TEXT['haus'])} {t()}: {num()} {c(_TEXT['haus'])}, {c(_TEXT['haus'])} {t()}, {c(_TEXT['haus'])} aus {town}.", lambda: f"{c(['Die', 'Der', 'Das'])} {c(_TEXT['haus'])} {c(['von', 'ohne', 'der', 'mit'])} {c(_TEXT['haus'])} {t()} {c(['kostet', 'dauert', 'misst', 'braucht'])} {num()} {c(_TEXT['haus'])} mehr.", lambda: f"{c(['Bitte', 'Morgen', 'Danach', 'Nach'])} {num()} {c(_TEXT['haus'])} {c(['Pause', 'Fahrt', 'Ruhe'])} {c(['halten', 'machen', 'warten'])}; {c(_TEXT['haus'])} {t()} bleibt zu.", lambda: f"{self.haus()} {c(['bisher', 'heute', 'neu', 'laut Plan'])}: {num()} {self.haus()} {self.haus()}, {c(['sonst', 'dann', 'später'])} {c(['gratis', 'teurer', 'zu', 'wird es eng'])}.", lambda: f"{self.haus()}: {num()} {self.haus()}, {self.haus()} {t()}, {c(['erledigt', 'offen', 'neu'])}.", lambda: f"Im {c(['Januar', 'März', 'Mai', 'Juli', 'Oktober'])} wurden {num()} {c(['Dateien', 'Blumen', 'Bücher', 'Anträge'])} {c(['gezählt', 'verkauft', 'verworfen'])}.",
+            lambda: f"Le {c(['train', 'rapport', 'service', 'dossier', 'serveur', 'contrat'])} {t()} a {c(['traité', 'perdu', 'vérifié', 'déplacé'])} {num()} {c(['entrées', 'pages', 'clés', 'copies'])} à {town}.", lambda: f"{c(['Le matin', 'Depuis'])} {t()}, {c(['le jardin', 'la porte', 'le pont', 'la place'])} {c(['reste libre', 'semble vide', 'attend'])} pour {num()} {unit}.", lambda: f"{c(['La maison', 'La facture', 'Une copie'])} {t()} vient de {town}.", lambda: f"{c(['Prix', 'Pluie', 'Arrivée', 'Visite', 'Départ', 'Marché', 'Facture'])} {c(['à', 'de', 'pour'])} {town} : {num()} {unit}, {c(['entrée libre', 'complet', 'billets en vente', 'fin à midi'])}.", lambda: f"{c(['Precio', 'Lluvia', 'Llegada', 'Visita'])} {c(['en', 'a', 'de'])} {town}: {num()} {unit}.", lambda: f"El {c(['tren', 'informe', 'barco', 'servidor', 'contrato'])} {t()} {c(['llevó', 'perdió', 'movió'])} {num()} {c(['claves', 'páginas', 'copias'])} en {town}.", lambda: f"{c(['Hasta', 'Desde'])} el {c(['lunes', 'viernes', 'mes'])} {t()}, {c(['la puerta', 'el barco', 'la tienda'])} no {c(['abrió', 'salió', 'llegó'])}.", lambda: f"La {c(['carta', 'factura', 'puerta'])} {t()} está {c(['perdida', 'cerrada', 'rota'])} en {town}.",
+        ])()
+
+    # Text with mentions.
+
+    def marked(self) -> str:
+        """A sentence or a few lines with mentions."""
+        c, P, E, T, A = self._c, self.person, self.email, self.phone, self.address
+        G, F = (lambda: f"[person_name|{self.given()}]"), (lambda: f"[person_name|{self.family()}]")
+        noun, adj, did = (lambda k=k: c(_TEXT[k]) for k in ("noun", "adj", "did"))
+
+        def ident(labelled: float = 0.75) -> str:
+            label, number = self.identity()
+            bare = re.fullmatch(r"\d{3}[- ]\d\d[- ]\d{4}|[A-Z]{2} ?\d\d ?\d\d ?\d\d ?[A-D]|\d\d \d{3} \d{3} \d{3}|\d{8}[A-Z]", number)
+            shown = f"[identity_number|{number}]"
+            return shown if bare and not self._p(labelled) or not label else label + c([" ", " ", ": ", " is ", " number " if "n" not in label[-4:] and " " not in label else " ", "# " if label.isupper() else " "]) + shown
+
+        num_only = lambda: f"[identity_number|{self.identity()[1]}]"
+        title = lambda: c(["Mr", "Mr.", "Mrs", "Mrs.", "Ms", "Ms.", "Dr", "Dr.", "Prof.", "Professor", "Miss", "Sir", "Judge", "Captain", "Herr", "Frau", "Monsieur", "Madame", "Mme", "Señor", "Señora", "Sra.", "Sr.", "Don", "Nurse", "Officer"])
+        role = lambda: c("the tenant|the patient|the driver|our accountant|the owner|a lawyer|a witness|the caller|the applicant|my colleague|my sister|our neighbour|the author|the guardian|the new engineer|the reviewer|the buyer|the teacher|a student named|the sender|the trustee|the painter|the heir".split("|"))
+        said = lambda: c("said|wrote|called|asked|confirmed|signed the form|left early|moved out|has agreed|will come later|lost the key|sent a note|explained the plan|approved the budget|has not replied|joined us|reported the damage|works here|lives nearby|answered|checked the list|paid the bill|noted the time|handed over the keys".split("|"))
+        when = lambda: c(["", "", f" on {c(_TEXT['day'])}", " yesterday", " this morning", f" in {c(_TEXT['month'])}", " twice", " by phone", " last week", " asap", " before noon"])
+        end = lambda: c([".", ".", ".", "", "!", "?"])
+        about = lambda: f"about the {adj()} {noun()}"
+        who = lambda: c([P, P, P, G, lambda: f"{title()} {F()}", lambda: f"{title()} {P()}"])()
+        reach = lambda: c([lambda: f"({E()})", lambda: f"({T()})", lambda: f"at {E()}", lambda: f"on {T()}", lambda: f"at {T()}", lambda: f"under {T()}", lambda: f"by mail to {E()}", lambda: f"<{E()}>", lambda: f"at {E()} or {T()}", lambda: f"on {T()} or at {E()}", lambda: f", {T()}", lambda: f"via {E()}"])()
+        field = {
+            "Name": lambda: P(), "Full name": lambda: P(), "Contact": lambda: P(), "Guest": lambda: P(), "Owner": lambda: P(), "Attn": lambda: P(), "From": lambda: c([P, lambda: f"{P()} <{E()}>", E])(), "To": lambda: c([P, E, lambda: f"{E()}, {E()}"])(), "Cc": lambda: c([E, lambda: f"{E()}; {E()}", lambda: f"{P()} <{E()}>"])(), "Answer to": lambda: E(), "E-mail": lambda: E(), "Email": lambda: E(), "Mail": lambda: E(), "Phone": lambda: T(), "Tel.": lambda: T(), "Tel": lambda: T(), "Mobile": lambda: T(), "Fax": lambda: T(), "Address": lambda: A(), "Street": lambda: A(), "Ship to": lambda: c([A, lambda: f"{P()}, {A()}"])(), "Residence": lambda: A(), "Telefon": lambda: T(), "Anschrift": lambda: A(), "Adresse": lambda: A(), "Téléphone": lambda: T(), "Courriel": lambda: E(), "Correo": lambda: E(), "Teléfono": lambda: T(), "Dirección": lambda: A(), "Kunde": lambda: P(), "Nombre": lambda: P(), "Nom": lambda: P(), "ID": lambda: num_only(), "Id": lambda: num_only(), "SSN": lambda: num_only(), "Passport": lambda: num_only(), "Tax ID": lambda: num_only(),
+        }
+        any_field = lambda: (lambda k: f"{k}{c([': ', ': ', ':', ' - ', ' = '])}{field[k]()}")(c(list(field)))
+        one = lambda: c([P, P, E, T, A, ident, num_only])()
+        return c([
+            lambda: f"{who()} {said()}{when()}{end()}", lambda: f"{who()} {said()} {about()}{when()}{end()}", lambda: f"{who()} {said()} {reach()}{end()}", lambda: f"{c(['I spoke with', 'We met', 'She lives with', 'They hired', 'Ask', 'Ask for', 'Call', 'Contact', 'Notify', 'Thank', 'Tell', 'Remind', 'Look for', 'He works with', 'It belongs to', 'I’ll inform', 'Please inform', 'Turn to', 'Hand it to', 'A copy goes to'])} {who()} {about()}{when()}{end()}", lambda: f"{c(['Ask', 'Call', 'Invite', 'Please call', 'Turn to', 'Wake', 'Send it to', 'Pass it to', 'Wait for', 'Report to'])} {c([P, G])()} {c(['or', 'and'])} {c([P, G])()} {c(['when the', 'once the', 'before the', 'because the'])} {noun()} {c(_TEXT['verb'])}{end()}",
+            lambda: f"{c(['Ask', 'Call', 'Contact', 'Please contact', 'Reach', 'Questions? Ask', 'Write to'])} {who()} {reach()}{when()}{end()}", lambda: f"{c(['The', 'Our', 'Your', 'A'])} {noun()} was {did()} by {who()}{when()}{end()}", lambda: f"The {noun()} {c(['for', 'of', 'from', 'by', 'with'])} {who()} was {did()}{when()}{end()}", lambda: f"{(lambda x: x[0].upper() + x[1:])(role())} {c(['', 'is ', 'was '])}{who()}{c(['', ' ' + reach(), ', ' + A()])}{end()}", lambda: f"{(lambda x: x[0].upper() + x[1:])(role())}, {who()}, {said()}{when()}{end()}", lambda: f"{c('Driver|Attorney|Engineer|Teacher|Student|Author|Tenant|Curator|Plaintiff|Applicant|Passenger|Coach|Claimant|Chairman|Detective|Poet|Painter|Customer|Member|Senator'.split('|'))} {P()} {said()}{when()}{end()}", lambda: f"The {c('driver|attorney|engineer|signature of|mother of|desk of|office of|estate of|student|letter to|claim of|coach'.split('|'))} {P()} {c(['was', 'is', 'stays'])} {adj()}{end()}", lambda: f"{noun().capitalize()} for {P()}: {c([T, E, A, ident])()}",  lambda: f"{(lambda x: x[0].upper() + x[1:])(role())} {P()} {said()} {c(['and', 'but'])} {P()} {said()}{end()}",
+            lambda: f"“{title()} {F()} {said()},” {c(['she', 'he', 'they'])} {c(['said', 'told us'])}.", lambda: f"“{c(['I saw', 'Ask', 'It was'])} {c([G, P])()},” {c(['said', 'wrote'])} {c([G, P])()}.", lambda: f"{c(['Dear', 'Hello', 'Hi', 'Good morning', 'Hey', 'Liebe', 'Lieber', 'Sehr geehrte Frau', 'Sehr geehrter Herr', 'Cher', 'Chère', 'Querido', 'Estimada'])} {c([P, G, F])()},{c([chr(10), ' ', chr(10)])}{c(['your', 'the', 'our'])} {noun()} was {did()}.", lambda: f"{c(['Thanks', 'Regards', 'Best regards', 'Yours', 'Cheers', 'Kind regards', 'Sincerely', 'Best', 'Grüße', 'Cordialement', 'Saludos'])},{c([chr(10), ' ', chr(10)])}{c([G, G, P])()}{c(['', '', chr(10) + self.plain(), chr(10) + T(), ' ' + self.plain()])}", lambda: f"{c(['hi', 'hey', 'hello', 'ok', 'yo'])} {c(['its', 'this is', ''])} {P()}{c([' here', ' again', ' speaking'])}{c([',', '.', ' -'])} {c(['can u', 'please', 'could you'])} {c(['text', 'ping', 'ring', 'call me on', 'try'])} {T()} {c(['tonight', 'today', 'thx', ''])}".replace("  ", " "),
+            lambda: f"{c(['Call', 'Dial', 'Phone', 'Text', 'Ring', 'Try'])} {T()} {c(['now', 'for help', 'after six', 'and ask for ' + G(), 'or write to ' + E()])}{end()}", lambda: f"{c(['The caller', 'A customer', 'She', 'He', 'Somebody', 'The visitor'])} left {T()} and {c(['hung up', 'wants a reply', 'needs help', 'nothing else'])}{end()}", lambda: f"{c(['My', 'Her', 'His', 'Our', 'The'])} {c(['number', 'phone', 'phone number', 'new number', 'mobile', 'fax', 'cell', 'direct line'])} {c(['is', 'was', 'remains'])} {T()}{end()}", lambda: f"Either {T()} or {T()} {c(['works', 'is right', 'reaches us'])}{end()}",
+            lambda: f"{c(['Write to', 'Send the ' + noun() + ' to', 'Reply to', 'Mail', 'Forward this to', 'Copy', 'Subscribe at', 'Sent by', 'From', 'Mail us:', 'mailto:' if self._p(0.5) else 'Contact'])} {E()}{when()}{end()}".replace("mailto: ", "mailto:"), lambda: f"{c(['My', 'Her', 'His', 'Our', 'The'])} {c(['address', 'e-mail', 'mail address', 'email address', 'mailbox'])} is {E()}{end()}", lambda: f"{c(['cc', 'cc:', 'bcc', 'to', 'for'])} {E()}{c([';', ',', ' and'])} {E()}", lambda: f"{c(['mailto:', '<', '(', '“'])}{E()}{c([' is full', '> wrote:', ')', '”', ' failed'])}{end()}", lambda: f"{P()} <{E()}> {c(['wrote', 'schrieb', 'a écrit', 'escribió'])}:",
+            lambda: f"{c(['He', 'She', 'The tenant', 'Our office', 'The family', 'The shop', 'I', 'The firm'])} {c(['moved to', 'lives at', 'is at', 'is located at', 'sits at', 'left', 'bought', 'was seen at', 'moved from ' + A() + ' to'])} {A()}{when()}{end()}", lambda: f"{who()} {c(['moved', 'drove', 'cycled', 'walked', 'commutes'])} from {A()} to {A()}{when()}{end()}", lambda: f"{who()} {c(['moved to', 'lives at', 'rents', 'sold'])} {A()}{when()}{end()}", lambda: f"{c(['Deliver', 'Ship', 'Send', 'Mail', 'Post'])} {c(['it', 'the ' + noun(), 'everything', 'a copy'])} to {c([A, lambda: f'{P()}, {A()}'])()}{when()}{end()}", lambda: f"The {c(['parcel', 'letter', 'card', 'form', 'invoice', 'lease', 'map'])} {c(['lists', 'names', 'shows', 'was left at', 'went to', 'gives'])} {A()}{c(['', ' on its back', ' and ' + T()])}{end()}", lambda: f"{c(['Visit us at', 'Meet at', 'Our address:', 'Find us at', 'Return to', 'The house at', 'Office:'])} {A()}{end()}", lambda: f"{c([P, who])()}, {A()}{c(['', ', ' + T(), ', ' + E(), ', before ' + c(_TEXT['day'])])}{end()}",
+            lambda: f"{c(['My', 'Her', 'His', 'The', 'Your', 'Their'])} {ident(1)}{end()}", lambda: f"{ident()} {c(['belongs to', 'was issued to', 'is that of', 'was given by'])} {P()}{end()}", lambda: f"{P()}{c([', ', ' / ', ' (', ' – ', '; ', ' | '])}{ident()}{c(['', ' / ' + T(), '.', ', ' + A()])}", lambda: f"{c(['The scan has', 'Number on the card:', 'ID given:', 'It says', 'He typed', 'The card reads', 'We have', 'Identity checked:', 'The identity number is', 'Verified with', 'Please enter'])} {c([ident, num_only])()}{c(['', ' for ' + P(), ' and ' + P()])}{end()}", lambda: f"{c(['Passport', 'The passport', 'A passport'])} {num_only()} {c(['expires in', 'was issued in', 'is valid until'])} {self._n(2020, 2035)}.",
+            lambda: any_field(), lambda: any_field(), lambda: c(["\n", "\n", "; ", ", ", " | "]).join(any_field() for _ in range(self.r.randint(2, 5))), lambda: c([" / ", ";", "\t", ", ", " | ", " - "]).join(one() for _ in range(self.r.randint(2, 4))), lambda: f"{c(['Record', 'Entry', 'Row', 'Tenant', 'Client', 'Guest', 'Applicant', 'Member'])}{c([': ', ' ' + self._n(1, 999) + ': '])}{P()}{c([' / ', ', ', '; '])}{one()}{c(['', ' / ' + one()])}", lambda: f'{{"name": "{P()}", "{c(["mail", "phone", "address"])}": "{c([E, T, A])()}"}}', lambda: f"{c(['Signed by', 'Approved by', 'Seen by', 'Owner:', 'Author:', 'Assigned to', 'Reviewed by', 'Written by', 'Signed,', 'Present:', 'Paid by'])} {c([P, who])()}{c(['', ', ' + ident(), ' ' + reach(), ', ' + T(), '.'])}",
+            lambda: f"{c(['Im Vorstand sitzt', 'Der Antrag kam von', 'Wir danken', 'Zuständig ist', 'Fragen beantwortet', 'Der Brief ging an', 'Bitte informieren Sie', 'Der Schlüssel liegt bei'])} {c([P, lambda: f'Frau {F()}', lambda: f'Herr {F()}', P])()}{c(['.', f', Telefon {T()}.', f', {A()}.', f', Tel. {T()}, E-Mail {E()}.', f' ({E()}).'])}", lambda: f"{c(['Bitte rufen Sie', 'Rückruf erbeten unter', 'Sie erreichen uns unter', 'Telefon', 'Handy'])} {T()}{c([' an', '', ' oder ' + E()])}.", lambda: f"{c(['Herr', 'Frau', 'Familie', 'Dr.'])} {F()} {c(['wohnt in der', 'wohnt', 'zog um nach', 'Anschrift'])} {A()}.", lambda: f"{c(['Die Adresse lautet', 'Unsere Anschrift:', 'Lieferung an', 'Wohnhaft'])} {A()}.", lambda: f"{P()} {c(['hat angerufen', 'ist krank', 'unterschrieb den Vertrag', 'bestätigt die Lieferung', 'zieht um'])}.",
+            lambda: f"{c(['Veuillez contacter', 'Il faut rappeler', 'Le dossier de', 'Bonjour', 'La demande vient de', 'Adressez-vous à', 'La lettre de', 'Prière d’informer'])} {c([P, lambda: f'M. {F()}', lambda: f'Mme {F()}', P])()}{c(['.', f' au {T()}.', f' ({E()}).', f', {A()}.', f', joignable au {T()}.'])}", lambda: f"{c(['M.', 'Mme', 'Madame', 'Monsieur'])} {c([F, P])()} {c(['habite', 'habite au', 'demeure', 'réside au'])} {A()}.", lambda: f"{c(['Appelez le', 'Téléphone :', 'Joignable au', 'Écrivez à'])} {c([T, E])()}.", lambda: f"{P()} {c(['a appelé', 'a signé le contrat', 'est absente', 'confirme la livraison'])}.",
+            lambda: f"{c(['Llame a', 'Pregunte por', 'El señor', 'La señora', 'Escriba a', 'La carta es de', 'Firmado por', 'El contrato de'])} {P()}{c(['.', f', {A()}.', f', teléfono {T()}.', f', correo {E()}.', f' al {T()}.'])}", lambda: f"{c(['Mi dirección es', 'Vive en', 'Enviar a', 'La oficina está en'])} {A()}.", lambda: f"{c(['Mi teléfono es', 'Llame al', 'Mi correo es'])} {c([T, E])()}.", lambda: f"{P()} {c(['llamó ayer', 'firmó el contrato', 'vive aquí', 'confirmó la entrega'])}.",
+        ])()
+
+    def text(self) -> str:
+        """A sentence with or without mentions, alone or among others."""
+        if self._p(0.4):
+            return " ".join(self.plain() for _ in range(self.r.randint(1, 2)))
+        parts = [self.marked()]
+        if self._p(0.35):
+            parts.insert(0, self.plain())
+        if self._p(0.4):
+            parts.append(self.plain() if self._p(0.7) else self.marked())
+        return self._c([" ", " ", " ", "\n"]).join(parts) + (self._c([" 🙂", " ✅", " 🎉"]) if self._p(0.03) else "")
+
+
+def sentences(count: int = 15_000, seed: int = 20) -> tuple[list[str], dict[str, set[str]]]:
+    """The labelled sentences and the staff list that goes with them, the same in every run."""
+    g = Grammar(seed)
+    return [g.text() for _ in range(count)], g.listed
 
 
 _MARK = re.compile(r"\[(%s)\|" % "|".join(KINDS))
@@ -310,11 +355,9 @@ def parse(marked: str) -> tuple[str, list[tuple[int, int, str]]]:
     plain, spans, at = "", [], 0
     for m in _MARK.finditer(marked):
         plain += marked[at : m.start()]
-        end, depth = m.end(), 1
-        while depth:
-            depth += {"[": 1, "]": -1}.get(marked[end], 0)
-            end += 1
-        spans.append((len(plain), len(plain) + end - 1 - m.end(), m.group(1)))
-        plain += marked[m.end() : end - 1]
-        at = end
+        end = marked.index("]", m.end())
+        inner = marked[m.end() : end].replace("⟦", "[").replace("⟧", "]")
+        spans.append((len(plain), len(plain) + len(inner), m.group(1)))
+        plain += inner
+        at = end + 1
     return plain + marked[at:], spans

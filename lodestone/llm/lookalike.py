@@ -24,16 +24,18 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.operators.skew import SALTS, hot_keys, salted_join
+from lodestone.operators.skew import HOT_ROWS, hot_keys, salted_join, skew_join
 from lodestone.session import cut, prepare_workers, worker
 
-#: Letters of other scripts and the Latin letter of the same shape, from the public list of confusable characters.
+#: Letters of other scripts and the Latin letter of the same shape, as the public list of confusable characters has them.
 SAME_SHAPE = {
-    "Cyrillic": {"А": "A", "В": "B", "Е": "E", "З": "3", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "Х": "X", "Ѕ": "S", "І": "I", "Ј": "J", "Ү": "Y", "Һ": "h", "Ԍ": "G", "Ԛ": "Q", "Ԝ": "W", "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "ѕ": "s", "і": "i", "ј": "j", "һ": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w", "ү": "y", "ѵ": "v", "Ѵ": "V", "Ӏ": "I", "ӏ": "l", "ԍ": "G"},
-    "Greek": {"Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "ο": "o", "ν": "v", "ϳ": "j", "Ϳ": "J", "Ϲ": "C", "ϲ": "c"},
-    "Armenian": {"Օ": "O", "օ": "o", "Տ": "S", "Ս": "U", "ս": "u", "հ": "h", "ո": "n", "զ": "q", "ց": "g", "Լ": "L"},
+    "Cyrillic": {"А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "Х": "X", "Ѕ": "S", "І": "I", "Ј": "J", "Ү": "Y", "Ԍ": "G", "Ԛ": "Q", "Ԝ": "W", "Ѵ": "V", "Ӏ": "I", "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "ѕ": "s", "і": "i", "ј": "j", "һ": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w", "ү": "y", "ѵ": "v", "ӏ": "l"},
+    "Greek": {"Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "Ϳ": "J", "Ϲ": "C", "ο": "o", "ν": "v", "ϳ": "j", "ϲ": "c"},
+    "Armenian": {"Օ": "O", "Տ": "S", "Ս": "U", "Լ": "L", "օ": "o", "ս": "u", "հ": "h", "ո": "n", "զ": "q", "ց": "g"},
+    "Cherokee": {"Ꭺ": "A", "Ᏼ": "B", "Ꮯ": "C", "Ꭼ": "E", "Ꮋ": "H", "Ꭻ": "J", "Ꮶ": "K", "Ꮮ": "L", "Ꮇ": "M", "Ꮲ": "P", "Ꮪ": "S", "Ꭲ": "T", "Ꮩ": "V", "Ꮃ": "W", "Ꮓ": "Z"},
+    "Coptic": {"Ⲏ": "H", "Ⲓ": "I", "Ⲕ": "K", "Ⲙ": "M", "Ⲛ": "N", "Ⲟ": "O", "Ⲣ": "P", "Ⲥ": "C", "Ⲧ": "T", "Ⲩ": "Y", "Ⲭ": "X", "ⲟ": "o", "ⲣ": "p", "ⲥ": "c"},
+    "Lisu": {"ꓐ": "B", "ꓑ": "P", "ꓓ": "D", "ꓔ": "T", "ꓖ": "G", "ꓗ": "K", "ꓙ": "J", "ꓚ": "C", "ꓜ": "Z", "ꓝ": "F", "ꓟ": "M", "ꓠ": "N", "ꓡ": "L", "ꓢ": "S", "ꓣ": "R", "ꓦ": "V", "ꓧ": "H", "ꓪ": "W", "ꓫ": "X", "ꓬ": "Y", "ꓮ": "A", "ꓰ": "E", "ꓲ": "I", "ꓳ": "O", "ꓴ": "U"},
 }
-del SAME_SHAPE["Cyrillic"]["З"], SAME_SHAPE["Cyrillic"]["Һ"], SAME_SHAPE["Cyrillic"]["ԍ"]
 _LATIN = {ord(a): b for letters in SAME_SHAPE.values() for a, b in letters.items()}
 #: Characters whose one-character compatibility form looks the same, beside the Roman numerals U+2160 to U+217F.
 _SAME_LOOK_ALONE = {0xB5}
@@ -151,28 +153,51 @@ def with_canonical(df: DataFrame, text: str = "text", to: str = "canonical") ->
     return df.mapInPandas(worker(__name__, "canonical_batches", text, to), f"{fields}, `{to}` string")
 
 
-def same_look_pairs(docs: DataFrame, id_column: str = "doc_id", text: str = "text", hot_rows: int = 100_000) -> DataFrame:
-    """doc_id_a, doc_id_b (a < b): documents that look the same and are not equal character by character.
+#: Exact texts of one form from which the pairs of a form are spread, and of which a part has about as many.
+MANY_TEXTS = 1_000
+
+
+def _looks(docs: DataFrame, id_column: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(id, form, exact of each document with something to see; form, exact, n documents, least id of the texts that share their form).
 
-    Texts are compared by SHA-256. Documents are first counted per canonical form and exact text; only forms with at least two exact
-    texts go on, so a group of exact copies alone, however large, is left behind before anything is joined. Texts are paired
-    first, then their documents; those of a text with at least hot_rows documents are spread by salt.
+    Texts are compared by SHA-256. Only forms with at least two exact texts are left, so a group of exact copies alone, however large,
+    stays behind before anything is joined.
     """
     c = with_canonical(docs.where(F.col(text).isNotNull()).select(F.col(id_column).alias("id"), F.col(text).alias("text")))
     keyed = cut(c.where(F.col("canonical").rlike(r"(?U)\S")).select("id", F.unhex(F.sha2("canonical", 256)).alias("form"), F.unhex(F.sha2("text", 256)).alias("exact")))
-    texts = keyed.groupBy("form", "exact").agg(F.count(F.lit(1)).alias("n"))
+    texts = cut(keyed.groupBy("form", "exact").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least")))
     several = texts.groupBy("form").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("form")
-    texts = cut(texts.join(several, "form", "left_semi"))
-    hot = hot_keys(texts, ["form", "exact"], "n", hot_rows=hot_rows)
-    # Each pair of texts once, the one with more documents first.
+    return keyed, cut(texts.join(several, "form", "left_semi"))
+
+
+def same_look_pairs(docs: DataFrame, id_column: str = "doc_id", text: str = "text", hot_rows: int = HOT_ROWS, many_texts: int = MANY_TEXTS) -> DataFrame:
+    """doc_id_a, doc_id_b (a < b): documents that look the same and are not equal character by character.
+
+    Exact texts are paired first, then their documents. The texts of a form with many, and the documents of a text with many, are spread
+    over parts by their number, while the fewer on the other side are repeated for each part.
+    """
+    keyed, texts = _looks(docs, id_column, text)
+    crowded = hot_keys(texts.groupBy("form").agg(F.count(F.lit(1)).alias("texts")), ["form"], "texts", many_texts)
     other = texts.select("form", F.col("exact").alias("other"), F.col("n").alias("m"))
-    pairs = texts.join(other, "form").where(F.struct("n", "exact") > F.struct("m", "other")).select("form", "exact", "other", (F.col("n") >= hot_rows).alias("spread"))
-    members = keyed.join(texts.select("form", "exact"), ["form", "exact"], "left_semi")
-    salt = F.when(F.col("spread"), F.pmod(F.xxhash64("one"), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
-    first = salted_join(members.withColumnRenamed("id", "one"), pairs, ["form", "exact"], hot).select("one", "form", F.col("other").alias("exact"), salt.alias("salt"))
-    # Documents of the second text meet those of the first; where these are many they stand in SALTS parts, and the fewer are repeated.
-    repeated = pairs.where("spread").select("form", F.col("other").alias("exact"), F.lit(True).alias("repeated")).distinct()
-    parts = F.when(F.col("repeated"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    second = salted_join(members.withColumnRenamed("id", "two"), repeated, ["form", "exact"], hot, "left").select("two", "form", "exact", F.explode(parts).alias("salt"))
-    found = first.join(second, ["form", "exact", "salt"])
+    marked = texts.select("form", "exact", "n").join(F.broadcast(crowded), "form", "left")
+    marked = marked.select("form", "exact", "n", F.coalesce(F.pmod(F.xxhash64("exact"), F.col("__salts")).cast("int"), F.lit(0)).alias("part"))
+    other = other.join(F.broadcast(crowded), "form", "left").select("form", "other", "m", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("__salts") - 1, F.lit(0)))).alias("part"))
+    # Each pair of texts once, the one with more documents first; it says into how many parts its documents are spread.
+    pairs = cut(marked.join(other, ["form", "part"]).where(F.struct("n", "exact") > F.struct("m", "other")).select("form", "exact", "other", F.ceil(F.col("n") / F.lit(hot_rows)).cast("int").alias("parts")))
+    hot = cut(hot_keys(texts, ["form", "exact"], "n", hot_rows))
+    members = cut(keyed.join(texts.select("form", "exact"), ["form", "exact"], "left_semi"))
+    first = salted_join(members.withColumnRenamed("id", "one"), pairs, ["form", "exact"], hot).select("one", "form", F.col("other").alias("exact"), F.pmod(F.xxhash64("one"), F.col("parts")).cast("int").alias("part"))
+    repeated = pairs.groupBy("form", F.col("other").alias("exact")).agg(F.max("parts").alias("parts"))
+    second = salted_join(members.withColumnRenamed("id", "two"), repeated, ["form", "exact"], hot).select("two", "form", "exact", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    found = first.join(second, ["form", "exact", "part"])
     return found.select(F.least("one", "two").alias("doc_id_a"), F.greatest("one", "two").alias("doc_id_b")).where("doc_id_a < doc_id_b").distinct()
+
+
+def same_look_classes(docs: DataFrame, id_column: str = "doc_id", text: str = "text", hot_rows: int = HOT_ROWS) -> DataFrame:
+    """doc_id, class_id, texts, links: each document with a double of other characters, the least id of its class, the class's different
+    texts, and how many documents look the same as it and differ. One row per document, whatever the size of a class."""
+    keyed, texts = _looks(docs, id_column, text)
+    forms = texts.groupBy("form").agg(F.min("least").alias("class_id"), F.count(F.lit(1)).alias("texts"), F.sum("n").alias("documents"))
+    known = cut(texts.select("form", "exact", "n").join(forms, "form"))
+    joined = skew_join(keyed, known, ["form", "exact"], cut(hot_keys(known, ["form", "exact"], "n", hot_rows)))
+    return joined.select(F.col("id").alias("doc_id"), "class_id", "texts", (F.col("documents") - F.col("n")).alias("links")).distinct()

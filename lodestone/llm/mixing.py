@@ -5,9 +5,9 @@ are put in random order by a hash of their id; distributed prefix sums of the si
 has been spent before it, and the source is cut where its budget ends. A source smaller than its budget is repeated, in whole
 epochs and a cut last one, at most max_repeats times; what it then still lacks is reported.
 
-The random order is laid out in 2**BLOCK_BITS blocks per source by the leading bits of the hash, so that a source with a third of all
-rows is many even tasks: sizes are summed per block, prefix sums run over the blocks of a source (a bounded number) and then
-within each block.
+The random order is laid out in blocks per source by the leading bits of the hash, as many that a block has about BLOCK_ROWS rows if
+all documents were of one source; so a source with a third of all rows is many even tasks. Sizes are summed per block, prefix sums run
+over the blocks of a source and then within each block. The number of blocks changes no result.
 
 The cut falls between documents: the last document is taken whole if more than half of it fits, so a source misses its budget by half
 a document at most, and max_repeats is never exceeded.
@@ -19,11 +19,15 @@ one with the greatest share counts; null sources are no sources; equal documents
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Blocks of a source's random order.
-BLOCK_BITS = 12
+from lodestone.session import cut
+
+#: Rows of a block of a source's random order, if all rows were of that source.
+BLOCK_ROWS = 20_000
 
 
 def _targets(targets: DataFrame) -> DataFrame:
@@ -32,9 +36,10 @@ def _targets(targets: DataFrame) -> DataFrame:
 
 
 def shuffled(sizes: DataFrame, seed: int = 0) -> DataFrame:
-    """sizes (doc_id, source, tokens) with a hash-random place: key and block, the same in every run."""
+    """sizes (doc_id, source, tokens; read twice, so it should be cut) with a hash-random place: key and block, the same in every run."""
     key = F.xxhash64(F.lit(seed), "doc_id")
-    return sizes.where(F.col("tokens") > 0).select("doc_id", "source", "tokens", key.alias("key")).withColumn("block", F.shiftrightunsigned("key", 64 - BLOCK_BITS).cast("int"))
+    bits = max(4, math.ceil(math.log2(max(1, sizes.count()) / BLOCK_ROWS)))
+    return sizes.where(F.col("tokens") > 0).select("doc_id", "source", "tokens", key.alias("key")).withColumn("block", F.shiftrightunsigned("key", 64 - bits))
 
 
 def budgets(placed: DataFrame, targets: DataFrame, total_tokens: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -53,23 +58,29 @@ def budgets(placed: DataFrame, targets: DataFrame, total_tokens: int | None = No
     return plan.withColumn("rest", F.col("grant") - F.col("epochs") * F.col("tokens")), starts
 
 
-def mixture(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = 0) -> DataFrame:
-    """doc_id, source, tokens, repeats: how often each document stands in the mixture; documents that do not are left out."""
-    named = _targets(targets).select("source")
-    placed = shuffled(sizes.join(named, "source", "left_semi"), seed)
+def _mixed(sizes: DataFrame, targets: DataFrame, total_tokens: int | None, seed: int) -> tuple[DataFrame, DataFrame]:
+    """The plan per source, and doc_id, source, tokens, repeats."""
+    placed = shuffled(sizes.join(F.broadcast(_targets(targets).select("source")), "source", "left_semi"), seed)
     plan, starts = budgets(placed, targets, total_tokens)
+    plan = cut(plan)  # a row per named source
     offsets = starts.join(plan.select("source", "epochs", "rest", "max_repeats"), "source")
     order = Window.partitionBy("source", "block").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     rows = placed.withColumn("in_block", F.coalesce(F.sum("tokens").over(order), F.lit(0))).join(offsets, ["source", "block"])
     spent = F.col("before") + F.col("in_block")
     last = (2 * (F.col("rest") - spent) > F.col("tokens")).cast("int")
-    return rows.withColumn("repeats", F.least(F.col("epochs") + last, F.col("max_repeats")).cast("int")).where(F.col("repeats") > 0).select("doc_id", "source", "tokens", "repeats")
+    repeats = F.least(F.col("epochs") + last, F.col("max_repeats")).cast("int")
+    return plan, rows.withColumn("repeats", repeats).where(F.col("repeats") > 0).select("doc_id", "source", "tokens", "repeats")
+
+
+def mixture(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = 0) -> DataFrame:
+    """doc_id, source, tokens, repeats: how often each document stands in the mixture; documents that do not are left out."""
+    return _mixed(sizes, targets, total_tokens, seed)[1]
 
 
 def shares(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = 0) -> DataFrame:
-    """Per named source: target and reached share, budget and tokens taken, documents, and how often they are repeated at most."""
-    plan, _ = budgets(shuffled(sizes.join(_targets(targets).select("source"), "source", "left_semi"), seed), targets, total_tokens)
-    taken = mixture(sizes, targets, total_tokens, seed).groupBy("source").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("taken_tokens"), F.sum("repeats").alias("taken_docs"), F.max("repeats").alias("most_repeats"))
-    x = plan.select("source", "target_share", "max_repeats", F.col("docs").alias("source_docs"), F.col("tokens").alias("source_tokens"), F.col("budget").alias("budget_tokens")).join(taken, "source", "left").na.fill(0, ["taken_tokens", "taken_docs", "most_repeats"])
+    """Per named source: target and reached share, budget and tokens taken, documents, how often they are repeated at most, and what could be taken."""
+    plan, mixed = _mixed(sizes, targets, total_tokens, seed)
+    taken = mixed.groupBy("source").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("taken_tokens"), F.sum("repeats").alias("taken_docs"), F.max("repeats").alias("most_repeats"), F.max("tokens").alias("largest"))
+    x = plan.select("source", "target_share", "max_repeats", F.col("docs").alias("source_docs"), F.col("tokens").alias("source_tokens"), F.col("budget").alias("budget_tokens"), F.col("grant").alias("granted_tokens")).join(taken, "source", "left").na.fill(0, ["taken_tokens", "taken_docs", "most_repeats", "largest"])
     everything = F.sum("taken_tokens").over(Window.partitionBy())  # a row per named source
     return x.withColumn("reached_share", F.when(everything > 0, F.col("taken_tokens") / everything).otherwise(F.lit(0.0))).withColumn("missing_tokens", F.greatest(F.col("budget_tokens") - F.col("taken_tokens"), F.lit(0)))

@@ -25,12 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm import crf, labelled
+from lodestone.operators.skew import hot_keys, salted_join
 from lodestone.session import prepare_workers, worker
 
 LABELS = ["O"] + [f"{p}-{k}" for k in labelled.KINDS for p in "BI"]
 WEIGHTS = "pii_weights.npz"
-#: A staff list of more names than this is not sent to the workers.
-MOST_NAMES = 1_000_000
+#: A staff list of at most so many persons is sent to the workers; a longer one is joined with the words of the texts.
+MOST_SHIPPED = 100_000
 #: Characters of text that a worker labels at a time.
 CHARACTERS = 400_000
 
@@ -53,12 +54,12 @@ def gold(e: crf.Encoded, spans: list[list[tuple[int, int, str]]]) -> np.ndarray:
     return out
 
 
-def fit(sentences: list[str], rounds: int = 100) -> dict[str, np.ndarray]:
-    """Trains on marked sentences."""
+def fit(sentences: list[str], listed: dict[str, set[str]], **options) -> dict[str, np.ndarray]:
+    """Trains on marked sentences with a staff list."""
     parsed = [labelled.parse(s) for s in sentences]
-    f = crf.Features(labelled.LISTED["given"], labelled.LISTED["family"])
+    f = crf.Features(listed["given"], listed["family"])
     e = crf.Encoded([t for t, _ in parsed], f)
-    w, step, opening = crf.train(e, f, gold(e, [m for _, m in parsed]), len(LABELS), rounds)
+    w, step, opening = crf.train(e, f, gold(e, [m for _, m in parsed]), len(LABELS), **options)
     return {"weights": w, "step": step, "opening": opening}
 
 
@@ -129,35 +130,26 @@ def mentions(texts: list[str], features: crf.Features, m: dict[str, np.ndarray]
     return out
 
 
-_LOCAL = re.compile(r"[\w.+%-]+$")
-_WORDS_BEFORE = re.compile(r"[\w.+%-]+(?: dot [\w+%-]+)* $")
-_DIGITS_BEFORE = re.compile(r"(?<![\w-])(?:[\d-]+|\d{3} (?=$))$")
 #: A sign after which no number or address starts: it would be the inside of a longer code.
 _INSIDE = re.compile(r"[A-Za-z0-9+/=]$")
-_HALF_NAME = re.compile(r"[^\W\d_][\w’']*-$")
+_IN_LOCAL = re.compile(r"[\w.+%-]")
 
 
 def _trimmed(text: str, s: int, z: int, kind: str) -> tuple[int, int]:
-    """The mention from its first sign on: cut or extended where its beginning is given by the form of its kind."""
+    """The mention from its first sign on: a sign that belongs to it but is no token of it is taken in, one that does not is left out."""
     if kind == "phone":
         while s < z and not (text[s].isdigit() or text[s] in "+("):
             s += 1
+        if text[s : s + 1] == "(" and ")" not in text[s:z]:  # a bracket around the mention
+            s += 1
         return s - (s > 0 and text[s - 1] == "+"), z
     while s < z and not text[s].isalnum():
         s += 1
-    before = text[max(0, s - 80) : s]
-    if kind == "identity_number":
-        if (m := _DIGITS_BEFORE.search(before)) and (m.group()[-1] != " " or re.match(r"\d\d[ -]\d{4}\b", text[s:])):
-            s -= len(m.group())
-    elif kind == "person_name" and (m := _HALF_NAME.search(before)):
-        s -= len(m.group())
-    elif kind == "email":
-        if m := _LOCAL.search(before):
-            s -= len(m.group())
-        elif re.match(r"(?:at|dot)\b", text[s:z], re.I) and (m := _WORDS_BEFORE.search(before)):
-            s -= len(m.group())
-        elif (m := re.search(r"[\w+%-]+(?: dot [\w+%-]+)* dot $", before)) and re.search(r"\bat\b", text[s:z]):
-            s -= len(m.group())
+    if kind == "email":  # the local part goes back to its beginning, however long it is
+        while s > 0 and _IN_LOCAL.match(text[s - 1]):
+            s -= 1
+        while s < z and not text[s].isalnum():
+            s += 1
     return s, z
 
 
@@ -167,13 +159,60 @@ def _pieces(b: pd.DataFrame, text: str) -> Iterator[pd.DataFrame]:
         yield part
 
 
-def mention_batches(batches: Iterator[pd.DataFrame], given: list[str], family: list[str]) -> Iterator[pd.DataFrame]:
-    """For mapInPandas over table_name, record_id, text: the mentions."""
-    f = features(tuple(given), tuple(family))
+def names(staff: DataFrame, most: int = MOST_SHIPPED) -> tuple[list[str], list[str]] | None:
+    """Given and family names of a staff list that is short enough to be sent to the workers; None if it is longer."""
+    one = staff.select("given_name", "family_name").distinct().limit(most + 1).collect()
+    if len(one) > most:
+        return None
+    return sorted({x.given_name for x in one if x.given_name}), sorted({x.family_name for x in one if x.family_name})
+
+
+def word_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """For mapInPandas over text_key, text: each text's distinct words in the form of lists of names."""
+    for b in batches:
+        rows = [(k, w) for k, t in zip(b["text_key"], b["text"]) for w in {crf.plain_word(m.group()) for m in crf.TOKEN.finditer(t or "") if m.group()[0].isalpha()}]
+        yield pd.DataFrame(rows, columns=["text_key", "word"])
+
+
+def name_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """For mapInPandas over given_name, family_name: the words that a list of them adds, with what they are."""
     for b in batches:
-        for part in _pieces(b, "text"):
-            texts = [t or "" for t in part["text"]]
-            rows = [(a, r, k, s, z, t[s:z]) for a, r, t, ms in zip(part["table_name"], part["record_id"], texts, mentions(texts, f)) for s, z, k in ms]
+        f = crf.Features([g for g in b["given_name"] if g], [n for n in b["family_name"] if n])
+        yield pd.DataFrame([(w, True, False) for w in sorted(f.given)] + [(w, False, True) for w in sorted(f.family)], columns=["word", "given", "family"])
+
+
+def with_listed(texts: DataFrame, staff: DataFrame) -> DataFrame:
+    """texts with listed: the words of each text that a staff list of any length has; the words are joined with the list.
+
+    Equal texts are looked up once. A word that stands in a third of all texts is spread by salt.
+    """
+    keyed = texts.select("table_name", "record_id", "text", F.sha2("text", 256).alias("text_key"))
+    words = keyed.where(F.length("text") > 0).groupBy("text_key").agg(F.first("text").alias("text")).mapInPandas(worker(__name__, "word_batches"), "text_key string, word string")
+    listed = staff.select("given_name", "family_name").mapInPandas(worker(__name__, "name_batches"), "word string, given boolean, family boolean").groupBy("word").agg(F.max("given").alias("given"), F.max("family").alias("family"))
+    hot = hot_keys(words.groupBy("word").agg(F.count(F.lit(1)).alias("n")), ["word"], "n")
+    found = salted_join(words, listed, ["word"], hot).groupBy("text_key").agg(F.collect_list(F.struct("word", "given", "family")).alias("listed"))
+    return keyed.join(found, "text_key", "left").select("table_name", "record_id", "text", "listed")
+
+
+def _parts(b: pd.DataFrame, staff: tuple[list[str], list[str]] | None) -> Iterator[tuple[pd.DataFrame, list]]:
+    """Parts of a batch with the mentions of their texts; without a staff list each batch brings the listed words of its texts."""
+    for part in _pieces(b, "text"):
+        if staff is None:
+            f = crf.Features()
+            for words in part["listed"]:
+                for w in words if words is not None else ():
+                    f.given |= {w["word"]} if w["given"] else set()
+                    f.family |= {w["word"]} if w["family"] else set()
+        else:
+            f = features(*map(tuple, staff))
+        yield part, mentions([t or "" for t in part["text"]], f)
+
+
+def mention_batches(batches: Iterator[pd.DataFrame], staff: tuple[list[str], list[str]] | None) -> Iterator[pd.DataFrame]:
+    """For mapInPandas over table_name, record_id, text (and listed, if staff is None): the mentions."""
+    for b in batches:
+        for part, found in _parts(b, staff):
+            rows = [(a, r, k, s, z, t[s:z]) for a, r, t, ms in zip(part["table_name"], part["record_id"], part["text"], found) for s, z, k in ms]
             yield pd.DataFrame(rows, columns=["table_name", "record_id", "kind", "start_codepoint", "end_codepoint", "mention"])
 
 
@@ -186,39 +225,33 @@ def redact(text: str, found: list[tuple[int, int, str]]) -> str:
     return "".join(out) + text[at:]
 
 
-def redact_batches(batches: Iterator[pd.DataFrame], given: list[str], family: list[str]) -> Iterator[pd.DataFrame]:
-    """For mapInPandas over table_name, record_id, text: the redacted texts and how many mentions they had."""
-    f = features(tuple(given), tuple(family))
+def redact_batches(batches: Iterator[pd.DataFrame], staff: tuple[list[str], list[str]] | None) -> Iterator[pd.DataFrame]:
+    """For mapInPandas over table_name, record_id, text (and listed): the redacted texts and how many mentions they had."""
     for b in batches:
-        for part in _pieces(b, "text"):
-            found = mentions([t or "" for t in part["text"]], f)
+        for part, found in _parts(b, staff):
             yield pd.DataFrame({"table_name": part["table_name"], "record_id": part["record_id"], "text": [None if t is None else redact(t, x) for t, x in zip(part["text"], found)], "mentions": [len(x) for x in found]})
 
 
-def names(staff: DataFrame) -> tuple[list[str], list[str]]:
-    """Given and family names of a staff list whose size is checked first."""
-    one = staff.select("given_name", "family_name").distinct().limit(MOST_NAMES + 1).collect()
-    if len(one) > MOST_NAMES:
-        raise ValueError("the staff list is too long to be sent to the workers")
-    return sorted({x.given_name for x in one if x.given_name}), sorted({x.family_name for x in one if x.family_name})
+def _through(texts: DataFrame, staff: DataFrame, name: str, schema: str, most_shipped: int) -> DataFrame:
+    prepare_workers(texts.sparkSession)
+    rows, listed = texts.select("table_name", "record_id", "text"), names(staff, most_shipped)
+    return (rows if listed is not None else with_listed(rows, staff)).mapInPandas(worker(__name__, name, listed), schema)
 
 
-def find_mentions(texts: DataFrame, staff: DataFrame) -> DataFrame:
+def find_mentions(texts: DataFrame, staff: DataFrame, most_shipped: int = MOST_SHIPPED) -> DataFrame:
     """table_name, record_id, kind, start_codepoint, end_codepoint, mention of texts (table_name, record_id, text)."""
-    prepare_workers(texts.sparkSession)
-    rows = texts.select("table_name", "record_id", "text").where(F.length("text") > 0)
-    return rows.mapInPandas(worker(__name__, "mention_batches", *names(staff)), "table_name string, record_id string, kind string, start_codepoint long, end_codepoint long, mention string")
+    schema = "table_name string, record_id string, kind string, start_codepoint long, end_codepoint long, mention string"
+    return _through(texts.where(F.length("text") > 0), staff, "mention_batches", schema, most_shipped)
 
 
-def redacted(texts: DataFrame, staff: DataFrame) -> DataFrame:
+def redacted(texts: DataFrame, staff: DataFrame, most_shipped: int = MOST_SHIPPED) -> DataFrame:
     """table_name, record_id, text with placeholders, number of mentions."""
-    prepare_workers(texts.sparkSession)
-    return texts.select("table_name", "record_id", "text").mapInPandas(worker(__name__, "redact_batches", *names(staff)), "table_name string, record_id string, text string, mentions int")
+    return _through(texts, staff, "redact_batches", "table_name string, record_id string, text string, mentions int", most_shipped)
 
 
 if __name__ == "__main__":
     from pathlib import Path
 
-    m = fit(labelled.sentences())
-    rows = np.nonzero(np.abs(m["weights"]).max(axis=1) > 0.02)[0]
+    m = fit(*labelled.sentences())
+    rows = np.nonzero(np.abs(m["weights"]).max(axis=1) > 0.03)[0]
     np.savez_compressed(Path(__file__).with_name(WEIGHTS), rows=rows.astype(np.int32), values=m["weights"][rows].astype(np.float16), step=m["step"], opening=m["opening"])

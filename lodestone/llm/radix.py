@@ -8,7 +8,7 @@ the value lies in a known range of doubles. A histogram is a sum of counts, so h
 The percentile p of n values is the value of rank ceil(n * p), by integer arithmetic (percentiles are given in thousandths).
 
 No group meets in one task: histograms are summed map-side and have at most 65,536 rows per group or followed digit. The digits
-followed are broadcast only if they are few (groups times percentiles, counted); otherwise they are joined, hot ones salted.
+followed are broadcast only if they are few (groups times percentiles, counted); otherwise they are joined, rows of hot ones staying in place.
 
 Defined cases: null and NaN are no values, infinities are; -0.0 counts as 0.0; null groups are groups; of several rows of an id the one
 with the least (groups, value) counts; groups without values do not come out; empty tables give no rows.
@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.operators.skew import HOT_ROWS, hot_keys, salted_join
+from lodestone.operators.skew import HOT_ROWS, hot_keys, skew_join
 from lodestone.session import cut, stored
 
 #: Thousandths: the median and the 90th, 95th, 99th and 99.9th percentile.
@@ -100,19 +100,26 @@ def estimate(hist: DataFrame, groups: list[str], bits: int, percentiles: tuple[i
 
 
 def radix_select(rows: DataFrame, groups: list[str], percentiles: tuple[int, ...] = PERCENTILES, broadcast_rows: int = BROADCAST_ROWS, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """groups (coded), p, count, value: the exact percentiles of rows as from keyed, which are read once per digit."""
+    """groups (coded), p, count, value: the exact percentiles of rows as from keyed, of which all are read for the first two digits.
+
+    For the later digits only what the second kept is left: the keys under the first digits followed, each with its number.
+    """
     hist = histogram(rows, groups, DIGIT)
     at = cut(_followed(hist, _ranked(hist, groups, percentiles), groups, "prefix"))
     few = at.count() <= broadcast_rows
+    left = None
     for bits in range(2 * DIGIT, 65, DIGIT):
-        places = at.groupBy(*groups, "prefix").agg(F.max("m").alias("m"))
-        known = rows.withColumn("prefix", F.shiftright("key", 64 - bits + DIGIT))
+        places = cut(at.groupBy(*groups, "prefix").agg(F.max("m").alias("m")))
+        known = (rows.withColumn("k", F.lit(1).cast("long")) if left is None else left).withColumn("prefix", F.shiftright("key", 64 - bits + DIGIT))
         if few:
             kept = known.join(F.broadcast(places.drop("m")), [*groups, "prefix"])
         else:
-            kept = salted_join(known, places.drop("m"), [*groups, "prefix"], hot_keys(places, [*groups, "prefix"], "m", hot_rows=hot_rows))
+            kept = skew_join(known, places.drop("m"), [*groups, "prefix"], cut(hot_keys(places, [*groups, "prefix"], "m", hot_rows)))
+        if left is None:
+            left = stored(kept.groupBy(*groups, "key").agg(F.sum("k").alias("k")))
+            kept = left.withColumn("prefix", F.shiftright("key", 64 - bits + DIGIT))
         digit = F.shiftright("key", 64 - bits).bitwiseAND(F.lit((1 << DIGIT) - 1)).alias("digit")
-        hist = kept.groupBy(*groups, "prefix", digit).agg(F.count(F.lit(1)).alias("n"))
+        hist = kept.groupBy(*groups, "prefix", digit).agg(F.sum("k").alias("n"))
         at = _followed(hist, at.drop("m"), [*groups, "prefix"], "digit")
         at = cut(at.withColumn("prefix", F.shiftleft("prefix", DIGIT).bitwiseOR(F.col("digit"))).drop("digit"))
     return at.select(*groups, "p", "count", key_value(F.col("prefix")).alias("value"))

@@ -1,12 +1,14 @@
 """Splitting long texts at natural boundaries, by lexical cohesion.
 
 At every gap between sentences or lines the words before and behind are compared: the cosine of the word counts of two blocks of
-BLOCK words. A gap without a blank, as after an ideographic full stop, ends a piece only where the TAIL before it holds no blank. Where the similarity falls into a valley the topic changes; a valley's depth is how far it lies below the peaks on
-both sides. A piece ends at the deepest valley of its size window, which is the later half of the size limit; where no sentence ends
-there, at the last blank of the window, and only where there is no blank at all, at the limit itself. The next piece starts overlap code
-points before that end.
+BLOCK words. A gap without a blank, as after an ideographic full stop, ends a piece only where the TAIL before it holds no blank. Where
+the similarity falls into a valley the topic changes; a valley's depth is how far it lies below the peaks on both sides. A piece ends at
+the natural boundary of its size window, which is the later half of the size limit: at the deepest valley; where no sentence
+ends there, at the last blank; and only where there is no blank at all, at the limit itself. The next piece starts overlap code points
+before that end.
 
-The audit of stored pieces searches the same windows for natural boundaries.
+The audit of stored pieces runs the same search over the TAIL before each stored end that is no boundary itself: if it finds a natural
+boundary there, the stored end is faulty, and what was found is proposed in its place.
 
 Defined cases: null and empty texts have no pieces; a text within the limit is one piece; pieces are cut from the text as it is and
 give it back when joined without their overlaps; blanks are spaces and line breaks.
@@ -24,13 +26,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.operators.skew import HOT_ROWS, hot_keys, salted_join
-from lodestone.session import prepare_workers, worker
+from lodestone.session import cut, prepare_workers, worker
 
 LIMIT, OVERLAP, BLOCK, TAIL = 1000, 100, 40, 300
 #: Stored passages of one document that follow each other within a block; the order of blocks carries over their ends.
 INDEX_BLOCK = 1024
 _WORD = re.compile(r"\w+")
 _GAP = re.compile(r"(?<=[.!?。！？…])[ \r\n]+|[\r\n]+|(?<=[。！？])(?=[^ \r\n])")
+_BLANKS = " \n\r"
 _BLANK = re.compile(r"[ \r\n]+")
 
 
@@ -52,37 +55,46 @@ def depths(text: str, at: list[int], block: int = BLOCK) -> list[float]:
         a, b = Counter(words[max(0, k - block) : k]), Counter(words[k : k + block])
         dot = sum(n * b[w] for w, n in a.items() if w in b)
         similar.append(dot / math.sqrt(sum(n * n for n in a.values()) * sum(n * n for n in b.values())) if dot else 0.0)
-    out = []
-    for i, s in enumerate(similar):
-        left, right = s, s
-        j = i
-        while j > 0 and similar[j - 1] >= left:
-            j -= 1
-            left = similar[j]
-        j = i
-        while j + 1 < len(similar) and similar[j + 1] >= right:
-            j += 1
-            right = similar[j]
-        out.append(left + right - 2 * s)
-    return out
+    n = len(similar)
+    left, right = similar[:], similar[:]  # the peaks to both sides: one pass each, as a peak beyond a neighbour that is no lower is that neighbour's
+    for i in range(1, n):
+        if similar[i - 1] >= similar[i]:
+            left[i] = left[i - 1]
+    for i in range(n - 2, -1, -1):
+        if similar[i + 1] >= similar[i]:
+            right[i] = right[i + 1]
+    return [a + b - 2 * s for a, b, s in zip(left, right, similar)]
 
 
-def natural_end(text: str, start: int, limit: int, at: list[int], depth: list[float], first: int = 0) -> int:
-    """The natural end of a piece from start: the deepest valley in the later half of the limit, else the last blank there, else the limit."""
-    low, high = start + limit // 2, start + limit
+def is_boundary(text: str, at: int) -> bool:
+    """Whether text can end at a place by itself: at its own end, or beside a blank."""
+    return at >= len(text) or text[at] in _BLANKS or (at > 0 and text[at - 1] in _BLANKS)
+
+
+def natural_boundary(text: str, low: int, high: int, at: list[int], depth: list[float], floor: int, first: int = 0) -> int | None:
+    """The natural boundary behind low and up to high: the deepest valley of cohesion, the later of equal ones, else the last blank; None if there is none.
+
+    at, depth: the gaps of the text and their depths, looked at from the first one on. A gap without a blank is none if there is a blank in the
+    TAIL before it, back to floor.
+    """
     best = None
     while first < len(at) and at[first] <= low:
         first += 1
     while first < len(at) and at[first] <= high:
         g = at[first]
-        blank = text[g - 1] in " \n\r" or text[g : g + 1] in (" ", "\n", "\r")
-        if (best is None or depth[first] >= depth[best]) and (blank or not _BLANK.search(text, max(start, g - TAIL), g)):
+        if (best is None or depth[first] >= depth[best]) and (is_boundary(text, g) or not _BLANK.search(text, max(floor, g - TAIL), g)):
             best = first
         first += 1
     if best is not None:
         return at[best]
-    end = max(text.rfind(b, low, high) for b in " \n\r") + 1
-    return end if end > low else high
+    end = max(text.rfind(b, low, high) for b in _BLANKS) + 1
+    return end if end > low else None
+
+
+def natural_end(text: str, start: int, limit: int, at: list[int], depth: list[float], first: int = 0) -> int:
+    """The end of a piece from start: the natural boundary of the later half of the limit, else the limit."""
+    found = natural_boundary(text, start + limit // 2, start + limit, at, depth, start, first)
+    return start + limit if found is None else found
 
 
 def pieces(text: str | None, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int]]:
@@ -142,42 +154,60 @@ def in_order(passages: DataFrame) -> DataFrame:
     p = p.withColumn("in_block", F.lag("end_codepoint").over(within)).withColumn("place", F.row_number().over(within)).withColumn("last_here", F.lead(F.lit(1)).over(within).isNull())
     p = p.join(blocks, ["document_id", "block"])
     inner = F.col("place") > 1
-    return p.select("document_id", *order, F.when(inner, F.col("in_block")).otherwise(F.col("carried")).alias("prev_end"), (~inner & ~F.col("has_before")).alias("is_first"), (F.col("last_here") & F.col("last_block")).alias("is_last"))
+    return p.select("document_id", "block", "place", *order, F.when(inner, F.col("in_block")).otherwise(F.col("carried")).alias("prev_end"), (~inner & ~F.col("has_before")).alias("is_first"), (F.col("last_here") & F.col("last_block")).alias("is_last"))
+
+
+def faulty_end(source: str, start: int, end: int, tail: int = TAIL) -> int | None:
+    """The natural boundary that a piece source[start:end] should have ended at; None if it ends naturally or there is none in its tail."""
+    if is_boundary(source, end):
+        return None
+    piece, low = source[start:end], max(0, end - start - tail)
+    window = gaps(piece)
+    return None if (found := natural_boundary(piece, low, len(piece), window, depths(piece, window), 0)) is None else start + found
 
 
 def audit_batches(batches: Iterator[pd.DataFrame], limit: int, overlap: int, tail: int) -> Iterator[pd.DataFrame]:
-    """For mapInPandas: the faults of each stored passage and the end that the cohesion of its window proposes."""
+    """For mapInPandas over document_id, whole, stored (passages in order, with what stands before them): the faults of each passage
+    and the end that the search of its window proposes."""
     for b in batches:
         rows = []
-        for r in b.itertuples(index=False):
-            source = r.source  # the text from start to one code point behind end
-            size, faults = r.end_codepoint - r.start_codepoint, []
-            if size > limit:
-                faults.append("too_long")
-            if source is None or r.text != source[: max(0, size)] or r.start_codepoint < 0 or size < 0:
-                faults.append("other_text")
-            if r.start_codepoint != (0 if r.is_first else r.prev_end - overlap):
-                faults.append("wrong_start")
-            if r.is_last and r.end_codepoint != r.source_length:
-                faults.append("open_end")
-            proposed = r.end_codepoint
-            if source and 0 < size < len(source):
-                piece = source[:size]
-                if not (source[size - 1] in " \r\n" or source[size] in " \r\n") and _BLANK.search(piece[-tail:]):
-                    faults.append("unnatural_end")
-                    at = [g for g in gaps(piece)]
-                    proposed = r.start_codepoint + natural_end(piece, max(0, size - limit), min(limit, size), at, depths(piece, at))
-            rows.append((r.document_id, r.passage_index, faults, proposed))
+        for document, whole, stored in zip(b["document_id"], b["whole"], b["stored"]):
+            length = len(whole) if whole is not None else -1
+            for r in stored:
+                start, end, faults = r["start_codepoint"], r["end_codepoint"], []
+                if end - start > limit:
+                    faults.append("too_long")
+                if whole is None or start < 0 or end < start or end > length + (start > length) or r["text"] != whole[start:end]:
+                    faults.append("other_text")
+                if start != (0 if r["is_first"] else (r["prev_end"] if r["prev_end"] is not None else 0) - overlap):
+                    faults.append("wrong_start")
+                if r["is_last"] and end != length:
+                    faults.append("open_end")
+                proposed = None
+                if whole is not None and 0 <= start < end < length:
+                    proposed = faulty_end(whole, start, end, tail)
+                    if proposed is not None:
+                        faults.append("unnatural_end")
+                if faults:
+                    rows.append((document, r["passage_index"], faults, end if proposed is None else proposed))
         yield pd.DataFrame(rows, columns=["document_id", "passage_index", "faults", "proposed_end"])
 
 
-def audit(passages: DataFrame, texts: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, tail: int = TAIL, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """document_id, passage_index, faults, proposed_end of each stored passage that breaks the rules; texts: document_id, text."""
+#: Stored passages of one document that are audited together, with one copy of the document's text.
+TOGETHER = 256
+
+
+def audit(passages: DataFrame, texts: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, tail: int = TAIL, hot_rows: int = HOT_ROWS, together: int = TOGETHER) -> DataFrame:
+    """document_id, passage_index, faults, proposed_end of each stored passage that breaks the rules; texts: document_id, text.
+
+    A document's text goes to each group of so many of its passages once and is sliced there.
+    """
     prepare_workers(passages.sparkSession)
-    p = in_order(passages)
-    hot = hot_keys(passages.groupBy("document_id").agg(F.count(F.lit(1)).alias("n")), ["document_id"], "n", hot_rows=hot_rows)
-    joined = salted_join(p, one_text(texts).withColumnRenamed("text", "whole"), ["document_id"], hot, "left")
-    size = F.greatest(F.col("end_codepoint") - F.col("start_codepoint"), F.lit(0))
-    sliced = joined.select("document_id", "passage_index", "start_codepoint", "end_codepoint", "text", F.coalesce("prev_end", F.lit(0)).alias("prev_end"), "is_first", "is_last", F.when(F.col("start_codepoint") >= 0, F.substring("whole", (F.col("start_codepoint") + 1).cast("int"), (size + 1).cast("int"))).alias("source"), F.coalesce(F.length("whole"), F.lit(-1)).cast("long").alias("source_length"))
-    out = sliced.mapInPandas(worker(__name__, "audit_batches", limit, overlap, tail), "document_id string, passage_index long, faults array<string>, proposed_end long")
-    return out.where(F.size("faults") > 0)
+    p = in_order(passages).withColumn("part", F.expr(f"(place - 1) div {together}"))
+    each = F.struct("passage_index", "start_codepoint", "end_codepoint", "text", "prev_end", "is_first", "is_last")
+    grouped = p.groupBy("document_id", "block", "part").agg(F.collect_list(each).alias("stored"))
+    counts = passages.groupBy("document_id").agg(F.ceil(F.count(F.lit(1)) / F.lit(together)).alias("n"))
+    hot = cut(hot_keys(counts, ["document_id"], "n", max(1, hot_rows // together)))
+    joined = salted_join(grouped, one_text(texts).withColumnRenamed("text", "whole"), ["document_id"], hot, "left")
+    schema = "document_id string, passage_index long, faults array<string>, proposed_end long"
+    return joined.select("document_id", "whole", "stored").mapInPandas(worker(__name__, "audit_batches", limit, overlap, tail), schema)

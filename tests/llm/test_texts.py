@@ -122,9 +122,39 @@ def test_pairs_are_brute_force(spark):
     rows = [(i, t) for i, t in enumerate([x for p in SAME + OTHER for x in p] + ["file IV 20 °C"] * 5 + ["f​ile IV 20 °C", None, "", "​", " ", " "])]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     want = {(a, b) for a, s in rows for b, t in rows if a < b and s and t and s != t and lookalike.canonical_whole(s) == lookalike.canonical_whole(t) and lookalike.canonical_whole(s).strip()}
-    for hot in (1, 100_000):
-        assert {tuple(x) for x in lookalike.same_look_pairs(df, hot_rows=hot).collect()} == want
+    for hot, many in ((1, 1), (2, 1_000), (100_000, 1), (100_000, 1_000)):
+        assert {tuple(x) for x in lookalike.same_look_pairs(df, hot_rows=hot, many_texts=many).collect()} == want
     assert lookalike.same_look_pairs(df.limit(0)).collect() == []
+    partners = {}
+    for a, b in want:
+        partners.setdefault(a, set()).add(b)
+        partners.setdefault(b, set()).add(a)
+    text = dict(rows)
+    members = lambda d: {x for x in text if text[x] and text[x].strip() and lookalike.canonical_whole(text[x]) == lookalike.canonical_whole(text[d])}
+    classes = {(d, min(members(d)), len({text[x] for x in members(d)}), len(p)) for d, p in partners.items()}
+    for hot in (1, 100_000):
+        assert {tuple(x) for x in lookalike.same_look_classes(df, hot_rows=hot).collect()} == classes
+    assert lookalike.same_look_classes(df.limit(0)).collect() == []
+
+
+def test_a_form_with_many_texts(spark):
+    """All pairs of one form's texts, whatever the parts they are spread over."""
+    rows = [(i, "word" + "\u200b" * i) for i in range(70)] + [(70 + i, "word") for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {(a, b) for a, s in rows for b, t in rows if a < b and s != t}
+    for hot, many in ((7, 9), (100_000, 1_000)):
+        assert {tuple(x) for x in lookalike.same_look_pairs(df, hot_rows=hot, many_texts=many).collect()} == want
+
+
+def test_every_document_is_canonical_as_a_whole(spark, data):
+    """On the texts of the tables: splices equal the normalisation of every character, and doing it again changes nothing."""
+    from lodestone.llm.queries import p9_canonical
+
+    docs = {x.doc_id: x.text for x in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    rows = p9_canonical(spark, data).collect()
+    assert len(rows) == len(docs)
+    for r in rows:
+        assert r.text == (docs[r.doc_id] and lookalike.canonical_whole(docs[r.doc_id])) and r.changed == (r.text != docs[r.doc_id]) and lookalike.canonical(r.text) == r.text
 
 
 def test_pieces_cover_the_text_and_end_naturally():
@@ -153,6 +183,37 @@ def test_deepest_valley_is_where_the_topic_changes():
     assert abs(end - len(a) - 1) <= 2
 
 
+def test_depths_are_those_of_climbing_both_ways():
+    """Peaks found in one pass are those of climbing from each gap, and equal sentences take no longer than others."""
+
+    def climbed(similar):
+        out = []
+        for i, s in enumerate(similar):
+            peaks = []
+            for step in (-1, 1):
+                j = i
+                while 0 <= j + step < len(similar) and similar[j + step] >= similar[j]:
+                    j += step
+                peaks.append(similar[j])
+            out.append(sum(peaks) - 2 * s)
+        return out
+
+    r = random.Random(8)
+    for _ in range(60):
+        text = " ".join(" ".join(r.choice("ab cd ef gh".split()) for _ in range(r.randint(1, 9))) + "." for _ in range(r.randint(0, 40)))
+        at = splitting.gaps(text)
+        words = [(m.group().casefold(), m.end()) for m in splitting._WORD.finditer(text)]
+        similar = []
+        for g in at:
+            k = sum(e <= g for _, e in words)
+            a, b = (splitting.Counter(w for w, _ in part) for part in (words[max(0, k - 40) : k], words[k : k + 40]))
+            dot = sum(n * b[w] for w, n in a.items())
+            similar.append(dot / math.sqrt(sum(n * n for n in a.values()) * sum(n * n for n in b.values())) if dot else 0.0)
+        assert splitting.depths(text, at) == climbed(similar)
+    at = splitting.gaps(text := "The same sentence again. " * 20_000)
+    assert len(splitting.depths(text, at)) == len(at) == 19_999
+
+
 def test_audit_is_brute_force(spark):
     r = random.Random(2)
     texts = {f"d{k}": "".join(r.choice(["ab ", "cd\n", "e" * 350, "👍 "]) for _ in range(r.randint(0, 200))) for k in range(12)} | {"null": None}
@@ -179,13 +240,16 @@ def test_audit_is_brute_force(spark):
 
     p = spark.createDataFrame(stored, "document_id string, passage_index long, start_codepoint long, end_codepoint long, text string")
     t = spark.createDataFrame(list(texts.items()), "document_id string, text string")
-    for hot in (1, 100_000):
-        got = {(x.document_id, x.passage_index) for x in splitting.audit(p, t, hot_rows=hot).collect()}
-        assert got == bad(stored)
+    for hot, together in ((1, 2), (100_000, 256), (100_000, 1)):
+        got = splitting.audit(p, t, hot_rows=hot, together=together).collect()
+        assert {(x.document_id, x.passage_index) for x in got} == bad(stored)
+        for x in got:  # what the search proposes is a boundary of the text
+            if "unnatural_end" in x.faults:
+                assert splitting.is_boundary(texts[x.document_id], x.proposed_end)
     assert splitting.audit(p.limit(0), t).collect() == []
 
 
-@pytest.mark.parametrize("limits", [{}, {"broadcast_rows": 0, "hot_rows": 1}])
+@pytest.mark.parametrize("limits", [{}, {"broadcast_rows": 0, "hot_rows": 1}, {"broadcast_rows": 0}])
 def test_percentiles_are_exact(spark, limits):
     r = random.Random(4)
     values = [0.0, -0.0, -1.0, 1e-4, 1e14, math.inf, -math.inf, 5e-324, math.nan, None]
