@@ -59,9 +59,10 @@ def pending(df: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     return df.join(done.select(*keys).distinct(), keys, "left_anti")
 
 
-def backoff_seconds(attempt: Column, base: float, most: float) -> Column:
-    """min(most, base * 2**(attempt - 1)) for attempts from 1."""
-    return F.least(F.lit(most), F.lit(base) * F.pow(F.lit(2.0), F.least(attempt - 1, F.lit(1000))))
+def backoff_seconds(attempt: Column, base: float, most: float, jitter: float = 0.0, u: Column | None = None) -> Column:
+    """min(most, base * 2**(attempt - 1)) for attempts from 1, times 1 - jitter to 1 + jitter as u goes from 0 to 1."""
+    wait = F.least(F.lit(most), F.lit(base) * F.pow(F.lit(2.0), F.least(attempt - 1, F.lit(1000))))
+    return wait if u is None else wait * (1 + F.lit(jitter) * (2 * u - 1))
 
 
 def sum_or_null(c: Column) -> Column:

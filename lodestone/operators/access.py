@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.operators import order
+
 HOUR_US = 3_600_000_000
 #: Trailing windows in hours.
 WINDOWS = {"1h": 1, "24h": 24, "7d": 168}
@@ -58,15 +60,16 @@ def gaps_over(df: DataFrame, keys: list[str], at_us: str, block_us: int = 24 * H
     return b.groupBy(*keys).agg(F.sum("n").alias("events"), F.sum("times").alias("times"), F.coalesce(F.max(F.greatest("gap", "between")), F.lit(0)).alias("longest_gap_us"))
 
 
-def sustained(samples: DataFrame, keys: list[str], at_us: str, holds: Column, least_us: int, reset_us: int) -> DataFrame:
+def sustained(samples: DataFrame, keys: list[str], at_us: str, holds: Column, least_us: int, reset_us: int, block_us: int = 24 * HOUR_US) -> DataFrame:
     """Stretches over which holds was true at every sample for at least least_us, without a pause of more than reset_us.
 
-    keys, start_us, end_us, samples. Gaps and islands by two prefix sums; a window runs over one key, so keys should be many.
+    keys, start_us, end_us, samples. Gaps and islands by two prefix sums, in blocks of time and over a key's blocks.
     """
-    w = Window.partitionBy(*keys).orderBy("t")
+    block = F.expr(f"t div {block_us}")
     x = samples.select(*keys, F.col(at_us).alias("t"), holds.alias("ok")).where("t IS NOT NULL").groupBy(*keys, "t").agg(F.min("ok").alias("ok"))
-    breaks = ~F.col("ok") | (F.col("t") - F.lag("t").over(w) > reset_us) | ~F.lag("ok").over(w)
-    x = x.withColumn("part", F.sum(F.coalesce(breaks, F.lit(True)).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    x = order.with_before(x, keys, ["t"], ["t", "ok"], block)
+    breaks = ~F.col("ok") | (F.col("t") - F.col("before.t") > reset_us) | ~F.col("before.ok")
+    x = order.with_running(x.withColumn("breaks", F.coalesce(breaks, F.lit(True)).cast("int")), keys, ["t"], "breaks", block, "part")
     runs = x.where("ok").groupBy(*keys, "part").agg(F.min("t").alias("start_us"), F.max("t").alias("end_us"), F.count(F.lit(1)).alias("samples"))
     return runs.where(F.col("end_us") - F.col("start_us") >= least_us).drop("part")
 

@@ -85,16 +85,22 @@ def prefixes_of(key: Column, longest: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.least(F.length(key), F.lit(longest))), lambda n: F.substring(key, F.lit(1), n))
 
 
-def prefix_join(objects: DataFrame, scopes: DataFrame, bucket: str = "bucket", key: str = "object_key") -> DataFrame:
+#: Lengths of scopes' prefixes up to which a key is cut at those lengths alone.
+FEW_LENGTHS = 256
+
+
+def prefix_join(objects: DataFrame, scopes: DataFrame, bucket: str = "bucket", key: str = "object_key", few_lengths: int = FEW_LENGTHS) -> DataFrame:
     """objects joined with scopes (scope_bucket or null, scope_prefix) that hold them, as an equi-join on prefixes.
 
-    Each key is taken only at the lengths that some scope's prefix has (found first: as many numbers as there are lengths), so a
-    theta join's pairs never come up.
+    Each key is cut at the lengths that some scope's prefix has, so a theta join's pairs never come up; where the lengths are more than
+    few_lengths, at every length up to the longest prefix.
     """
-    lengths = [r[0] for r in scopes.select(F.length(F.coalesce("scope_prefix", F.lit("")))).distinct().limit(4097).collect()]
-    if len(lengths) > 4096:
-        raise ValueError("scopes have prefixes of more than 4,096 different lengths")
-    at = F.array(*[F.when(F.length(key) >= n, F.substring(F.col(key), 1, n)) for n in sorted(lengths)]) if lengths else F.array().cast("array<string>")
+    lengths = [r[0] for r in scopes.select(F.length(F.coalesce("scope_prefix", F.lit(""))).alias("n")).distinct().orderBy("n").limit(few_lengths + 1).collect()]
+    if len(lengths) > few_lengths:
+        longest = scopes.agg(F.max(F.length("scope_prefix"))).collect()[0][0]
+        at = prefixes_of(F.col(key), longest)
+    else:
+        at = F.array(*[F.when(F.length(key) >= n, F.substring(F.col(key), 1, n)) for n in lengths]) if lengths else F.array().cast("array<string>")
     o = objects.withColumn("__prefix", F.explode(F.array_compact(at))).withColumn("__bucket", F.explode(F.array(F.col(bucket), F.lit(None).cast("string"))))
     s = scopes.withColumn("__p", F.coalesce("scope_prefix", F.lit("")))
     return o.join(s, (F.col("__prefix") == F.col("__p")) & F.col("__bucket").eqNullSafe(F.col("scope_bucket"))).drop("__prefix", "__bucket", "__p")

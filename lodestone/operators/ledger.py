@@ -106,15 +106,16 @@ def chain_faults(entries: DataFrame, block: int = 100_000, by: tuple[str, ...] =
     return e.select(*by, "sequence", F.explode(faults).alias("fault"))
 
 
-def ancestry(edges: DataFrame, rounds: int = 20) -> DataFrame:
+def ancestry(edges: DataFrame) -> DataFrame:
     """node, root, depth of a forest (node, parent or null) by pointer doubling: each round doubles the distance looked back.
 
-    Nodes on or below a cycle, or whose parent is unknown, have root null. rounds bounds the depth at 2**rounds.
+    Nodes on or below a cycle, or whose parent is unknown, have root null. Rounds go on until all are done; a node that is open after
+    as many rounds as the number of nodes has binary digits looks back further than there are nodes, so it is on or below a cycle.
     """
     known = edges.select("node", "parent").distinct()
     p = known.join(known.select(F.col("node").alias("parent"), F.lit(1).alias("there")), "parent", "left").select("node", F.when(F.col("parent").isNull(), F.col("node")).when(F.col("there") == 1, F.col("parent")).alias("up"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("depth"), F.col("parent").isNull().alias("done"))
     p = cut(p)
-    for _ in range(rounds):
+    for _ in range(p.count().bit_length() + 1):
         open_now = p.where("NOT done AND up IS NOT NULL")
         if open_now.isEmpty():
             break

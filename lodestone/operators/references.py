@@ -51,9 +51,11 @@ def advance(root: str, *deltas: DataFrame) -> DataFrame:
 
     What is read is the state and the batch, not the rows of earlier batches. Keys without references and existence stay, with their times.
     """
-    old = sinks.current(deltas[0].sparkSession, root)
-    sinks.publish(fold(*deltas) if old is None else fold(old, *deltas), root)
-    return sinks.current(deltas[0].sparkSession, root)
+    spark = deltas[0].sparkSession
+    number = sinks.latest(spark, root)
+    old = sinks.current(spark, root, number)
+    sinks.publish(fold(*deltas) if old is None else fold(old, *deltas), root, number)
+    return sinks.current(spark, root)
 
 
 def orphan_keys(state: DataFrame) -> DataFrame:

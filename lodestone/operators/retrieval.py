@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.session import prepare_workers, worker
+from lodestone.session import prepare_workers, stored, worker
 
 WORD = r"[\p{L}\p{N}]+"
 #: Query vectors that go to a partition at once.
@@ -42,44 +42,33 @@ def metadata_scores(docs: DataFrame, identity: str, fields: dict[str, float], qu
     return each.select("x.query_id", identity, F.expr(f"round({' + '.join(part)}, 6)").alias("score")).where("score > 0")
 
 
-def postings(docs: DataFrame, identity: str, text: str) -> DataFrame:
-    """term, identity, tf, length: an inverted index."""
-    d = docs.select(identity, words(F.coalesce(F.col(text), F.lit(""))).alias("w")).withColumn("length", F.size("w"))
-    return d.select(identity, "length", F.explode("w").alias("term")).groupBy("term", identity).agg(F.count(F.lit(1)).alias("tf"), F.max("length").alias("length"))
+def bm25(docs: DataFrame, identity: str, text: str, queries: DataFrame, k1: float = 1.2, b: float = 0.75, keep: Column | None = None) -> DataFrame:
+    """query_id, identity, score of every document with a word of the query (queries: query_id, query); one row per document.
 
+    Only postings of query words are made, before anything is grouped; counts and lengths are those of the whole corpus, whatever keep, a
+    filter, leaves: it changes which documents come out and not their scores.
+    """
+    return bm25_fields(docs, identity, {text: 1.0}, queries, k1, b, keep, once=True)
 
-def bm25(docs: DataFrame, identity: str, text: str, queries: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """query_id, identity, score of every document with a word of the query (queries: query_id, query).
 
-    Only postings of query words are made; counts and lengths are those of the whole corpus, whatever filters come later.
-    """
-    q = queries.select("query_id", F.explode(F.array_distinct(words(F.col("query")))).alias("term"))
-    lengths = docs.select(F.size(words(F.coalesce(F.col(text), F.lit("")))).alias("n"))
-    stats = lengths.agg(F.count(F.lit(1)).alias("docs"), F.avg("n").alias("mean"))
-    p = postings(docs, identity, text).join(q.select("term").distinct(), "term", "left_semi")
-    df = p.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    n = stats.select("docs").scalar()
-    mean = stats.select("mean").scalar()
-    idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / mean))
-    return p.join(df, "term").withColumn("weight", weight).join(q, "term").groupBy("query_id", identity).agg(F.sum("weight").alias("score"))
-
-
-def bm25_fields(docs: DataFrame, identity: str, fields: dict[str, float], queries: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+def bm25_fields(docs: DataFrame, identity: str, fields: dict[str, float], queries: DataFrame, k1: float = 1.2, b: float = 0.75, keep: Column | None = None, once: bool = False) -> DataFrame:
     """query_id, identity, score: BM25 of every field with its boost, the best field per word of the query, summed over its words.
 
-    Counts and lengths are those of each field over the whole corpus; a word that the query repeats counts as often.
+    Counts and lengths are those of each field over the whole corpus; a word that the query repeats counts as often, or once. keep: a filter
+    over docs that changes no score. The words of the queries are broadcast: their number is that of the questions asked.
     """
-    asked = queries.select("query_id", F.explode(words(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
-    known = docs.select(identity, *[words(F.coalesce(F.col(f), F.lit(""))).alias(f) for f in fields])
+    times = F.max(F.lit(1)) if once else F.count(F.lit(1))
+    asked = queries.select("query_id", F.explode(words(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(times.alias("times"))
+    kept = F.coalesce(keep, F.lit(False)) if keep is not None else F.lit(True)
+    known = docs.select(identity, kept.alias("__kept"), *[words(F.coalesce(F.col(f), F.lit(""))).alias(f) for f in fields])
     stats = known.agg(F.count(F.lit(1)).alias("docs"), *[F.avg(F.size(f)).alias(f) for f in fields]).collect()[0]
-    each = known.select(identity, F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.lit(float(w)).alias("boost"), F.lit(float(stats[f] or 1)).alias("mean"), F.size(f).alias("length"), F.col(f).alias("w")) for f, w in fields.items()])).alias("x"))
-    p = each.select(identity, "x.*").select(identity, "field", "boost", "mean", "length", F.explode("w").alias("term")).join(F.broadcast(asked.select("term").distinct()), "term", "left_semi")
-    p = p.groupBy("term", "field", identity).agg(F.count(F.lit(1)).alias("tf"), F.max("length").alias("length"), F.max("boost").alias("boost"), F.max("mean").alias("mean"))
+    each = known.select(identity, "__kept", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.lit(float(w)).alias("boost"), F.lit(float(stats[f] or 1)).alias("mean"), F.size(f).alias("length"), F.col(f).alias("w")) for f, w in fields.items()])).alias("x"))
+    p = each.select(identity, "__kept", "x.*").select(identity, "__kept", "field", "boost", "mean", "length", F.explode("w").alias("term")).join(F.broadcast(asked.select("term").distinct()), "term", "left_semi")
+    p = p.groupBy("term", "field", identity).agg(F.count(F.lit(1)).alias("tf"), F.max("length").alias("length"), F.max("boost").alias("boost"), F.max("mean").alias("mean"), F.max("__kept").alias("__kept"))
     df = p.groupBy("term", "field").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (stats["docs"] - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = F.col("boost") * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
-    best = p.join(F.broadcast(df), ["term", "field"]).groupBy("term", identity).agg(F.max(weight).alias("weight"))
+    best = p.where("__kept").join(F.broadcast(df), ["term", "field"]).groupBy("term", identity).agg(F.max(weight).alias("weight"))
     return best.join(F.broadcast(asked), "term").groupBy("query_id", identity).agg(F.sum(F.col("weight") * F.col("times")).alias("score"))
 
 
@@ -108,30 +97,34 @@ def knn_batches(batches: Iterator[pd.DataFrame], ids: np.ndarray, matrix: np.nda
         yield pd.DataFrame({"query_id": np.repeat(ids, best_d.shape[1]), "id": best_i.ravel(), "distance": best_d.ravel()})
 
 
+def _query_blocks(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, unit vectors) of queries (id, vector) in blocks of at most QUERY_BLOCK, in the order of ids; vectors without a direction are left out."""
+    known, after = queries.where(F.col("vector").isNotNull()).select("id", "vector").orderBy("id"), None
+    while block := (known if after is None else known.where(F.col("id") > after)).limit(QUERY_BLOCK).collect():
+        m = np.array([r.vector for r in block], dtype=np.float64)
+        norm = np.linalg.norm(m, axis=1)
+        ok = norm > 0
+        if ok.any():
+            yield np.array([r.id for r in block], dtype=np.int64)[ok], m[ok] / norm[ok, None]
+        after = block[-1].id
+        if len(block) < QUERY_BLOCK:
+            return
+
+
 def exact_knn(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """query_id, id, distance, rank of the k nearest of each query by cosine distance, ties by id (corpus and queries: id, vector).
 
-    Queries are taken in blocks of QUERY_BLOCK; each goes to all partitions of the corpus as one matrix of bounded size.
+    Queries are taken in blocks of QUERY_BLOCK; each goes to all partitions of the corpus as one matrix of bounded size, and its result is
+    stored before the next one is taken, so plan and driver hold one block at a time.
     """
     prepare_workers(corpus.sparkSession)
-    known = queries.where(F.col("vector").isNotNull()).select("id", "vector").orderBy("id")
-    found, after = None, None
-    while True:
-        block = (known if after is None else known.where(F.col("id") > after)).limit(QUERY_BLOCK).collect()
-        if not block:
-            break
-        ids = np.array([r.id for r in block], dtype=np.int64)
-        m = np.array([r.vector for r in block], dtype=np.float64)
-        norm = np.linalg.norm(m, axis=1)
-        ids, m = ids[norm > 0], m[norm > 0] / norm[norm > 0, None]
-        part = corpus.select("id", "vector").where(F.col("vector").isNotNull()).mapInPandas(worker(__name__, "knn_batches", ids, m, k), "query_id long, id long, distance double")
+    found, rows = None, corpus.select("id", "vector").where(F.col("vector").isNotNull())
+    for ids, m in _query_blocks(queries):
+        part = top_k(rows.mapInPandas(worker(__name__, "knn_batches", ids, m, k), "query_id long, id long, distance double"), ["query_id"], [F.col("distance"), F.col("id")], k)
+        if found is not None or len(ids) >= QUERY_BLOCK:
+            part = stored(part)
         found = part if found is None else found.unionByName(part)
-        after = block[-1].id
-        if len(block) < QUERY_BLOCK:
-            break
-    if found is None:
-        return corpus.sparkSession.createDataFrame([], "query_id long, id long, distance double, rank int")
-    return top_k(found, ["query_id"], [F.col("distance"), F.col("id")], k)
+    return corpus.sparkSession.createDataFrame([], "query_id long, id long, distance double, rank int") if found is None else found
 
 
 def fuse(signals: DataFrame, weights: dict[str, float] | None = None, k: int = 60) -> DataFrame:
@@ -211,12 +204,13 @@ def feature_similarity(docs: DataFrame, questions: list[str], dimensions: int) -
 
 
 def nearest_centre_batches(batches: Iterator[pd.DataFrame], centres: np.ndarray, probes: int) -> Iterator[pd.DataFrame]:
-    """For mapInPandas over id, vector: the nearest centres of each vector, as cell and place."""
+    """For mapInPandas over id, vector: the nearest centres of each vector as cell, and the unit vector with them."""
     for b in batches:
         x = np.vstack(b["vector"].to_numpy()).astype(np.float64) if len(b) else np.zeros((0, centres.shape[1]))
-        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)
+        norm = np.linalg.norm(x, axis=1)
+        x, own = x[norm > 0] / norm[norm > 0, None], b["id"].to_numpy()[norm > 0]
         cells = np.argsort(-(x @ centres.T), axis=1, kind="stable")[:, :probes]
-        yield pd.DataFrame({"id": np.repeat(b["id"].to_numpy(), cells.shape[1]), "cell": cells.ravel()})
+        yield pd.DataFrame({"id": np.repeat(own, cells.shape[1]), "cell": cells.ravel(), "u": list(np.repeat(x, cells.shape[1], axis=0))})
 
 
 def fit_cells(corpus: DataFrame, cells: int, sample: int = 20_000, rounds: int = 10) -> np.ndarray:
@@ -234,19 +228,73 @@ def fit_cells(corpus: DataFrame, cells: int, sample: int = 20_000, rounds: int =
     return c
 
 
-def cell_knn(corpus: DataFrame, queries: DataFrame, k: int, centres: np.ndarray, probes: int) -> DataFrame:
-    """Approximate neighbours: every vector lies in the cell of its nearest centre; a query looks into its nearest probes cells."""
+def cell_knn(corpus: DataFrame, queries: DataFrame, k: int, centres: np.ndarray, probes: int, part_rows: int = 50_000) -> DataFrame:
+    """Approximate neighbours: every vector lies in the cell of its nearest centre; a query looks into its nearest probes cells.
+
+    A cell with many vectors is spread over parts of about part_rows; its queries, the fewer, are repeated for each.
+    """
     prepare_workers(corpus.sparkSession)
 
     def placed(df: DataFrame, n: int) -> DataFrame:
-        return df.where(F.col("vector").isNotNull()).select("id", "vector").mapInPandas(worker(__name__, "nearest_centre_batches", centres, n), "id long, cell long").join(df.select("id", unit(F.col("vector")).alias("u")), "id")
+        return df.where(F.col("vector").isNotNull()).select("id", "vector").mapInPandas(worker(__name__, "nearest_centre_batches", centres, n), "id long, cell long, u array<double>")
 
-    c = placed(corpus, 1).select("cell", "id", F.col("u").alias("cu"))
-    q = placed(queries, probes).select("cell", F.col("id").alias("query_id"), F.col("u").alias("qu"))
-    near = c.join(q, "cell").select("query_id", "id", (1 - dot(F.col("cu"), F.col("qu"))).alias("distance"))
+    c = stored(placed(corpus, 1).select("cell", "id", F.col("u").alias("cu")))
+    parts = F.broadcast(c.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(part_rows)).alias("parts")))  # a row per centre
+    q = placed(queries, probes).join(parts, "cell").select("cell", F.col("id").alias("query_id"), F.col("u").alias("qu"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    near = c.join(parts, "cell").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts"))).join(q, ["cell", "part"]).select("query_id", "id", (1 - dot(F.col("cu"), F.col("qu"))).alias("distance"))
     return top_k(near, ["query_id"], [F.col("distance"), F.col("id")], k)
 
 
+def sketches(vectors: np.ndarray, bits: int) -> np.ndarray:
+    """The signs of vectors on so many random directions, the same in every run, packed into 64-bit numbers."""
+    directions = np.random.default_rng(bits).normal(size=(vectors.shape[1], bits))
+    return np.packbits(vectors @ directions > 0, axis=1).view(np.int64)
+
+
+def sketch_batches(batches: Iterator[pd.DataFrame], bits: int) -> Iterator[pd.DataFrame]:
+    """For mapInPandas over id, vector: the sketch of each vector that has a direction."""
+    for b in batches:
+        x = np.vstack(b["vector"].to_numpy()).astype(np.float64) if len(b) else np.zeros((0, 1))
+        ok = np.linalg.norm(x, axis=1) > 0
+        yield pd.DataFrame({"id": b["id"].to_numpy()[ok], "sketch": list(sketches(x[ok], bits))})
+
+
+def sketch_index(corpus: DataFrame, bits: int = 512) -> DataFrame:
+    """id, sketch of every vector of corpus (id, vector): an index that is fitted on nothing and is an eighth of the vectors' size or less."""
+    prepare_workers(corpus.sparkSession)
+    return stored(corpus.where(F.col("vector").isNotNull()).select("id", "vector").mapInPandas(worker(__name__, "sketch_batches", bits), "id long, sketch array<long>"))
+
+
+def near_sketch_batches(batches: Iterator[pd.DataFrame], ids: np.ndarray, wanted: np.ndarray, candidates: int) -> Iterator[pd.DataFrame]:
+    """For mapInPandas over id, sketch: within the partition the candidates of each query with the fewest different signs, ties by id."""
+    best_d, best_i = np.zeros((len(ids), 0), dtype=np.int64), np.zeros((len(ids), 0), dtype=np.int64)
+    for b in batches:
+        for at in range(0, len(b), 1024):
+            part = b.iloc[at : at + 1024]
+            x, own = np.vstack(part["sketch"].to_numpy()), part["id"].to_numpy(dtype=np.int64)
+            d = np.concatenate([best_d, np.bitwise_count((wanted[:, None, :] ^ x[None, :, :]).view(np.uint64)).sum(axis=2, dtype=np.int64)], axis=1)
+            i = np.concatenate([best_i, np.broadcast_to(own, (len(ids), len(own)))], axis=1)
+            order = np.lexsort((i, d), axis=1)[:, :candidates]
+            best_d, best_i = np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
+    if best_d.shape[1]:
+        yield pd.DataFrame({"query_id": np.repeat(ids, best_d.shape[1]), "id": best_i.ravel(), "signs": best_d.ravel()})
+
+
+def sketch_knn(corpus: DataFrame, queries: DataFrame, k: int, index: DataFrame | None = None, bits: int = 512, candidates: int = 200) -> DataFrame:
+    """query_id, id, distance, rank: approximate neighbours. The candidates with the fewest different signs are found over the index of all
+    rows, and their vectors, joined by id, are compared exactly. Queries go to the partitions in blocks of QUERY_BLOCK."""
+    index = sketch_index(corpus, bits) if index is None else index
+    found = None
+    for ids, m in _query_blocks(queries):
+        part = index.mapInPandas(worker(__name__, "near_sketch_batches", ids, sketches(m, bits), candidates), "query_id long, id long, signs long")
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        return corpus.sparkSession.createDataFrame([], "query_id long, id long, distance double, rank int")
+    few = top_k(found, ["query_id"], [F.col("signs"), F.col("id")], candidates, "place").select("query_id", "id")
+    near = few.join(corpus.select("id", unit(F.col("vector")).alias("cu")), "id").join(queries.select(F.col("id").alias("query_id"), unit(F.col("vector")).alias("qu")), "query_id")
+    return top_k(near.select("query_id", "id", (1 - dot(F.col("cu"), F.col("qu"))).alias("distance")), ["query_id"], [F.col("distance"), F.col("id")], k)
+
+
 def best_per_group_batches(batches: Iterator[pd.DataFrame], ids: np.ndarray, matrix: np.ndarray) -> Iterator[pd.DataFrame]:
     """For mapInPandas over id, group, vector: the best similarity of each query in each group within the partition."""
     best: dict[int, np.ndarray] = {}
@@ -263,17 +311,13 @@ def best_per_group_batches(batches: Iterator[pd.DataFrame], ids: np.ndarray, mat
 def best_per_group(corpus: DataFrame, queries: DataFrame) -> DataFrame:
     """query_id, group, similarity: the best cosine similarity per group of corpus (id, group, vector), queries in bounded blocks."""
     prepare_workers(corpus.sparkSession)
-    known = queries.where(F.col("vector").isNotNull()).select("id", "vector").orderBy("id")
-    found, after = None, None
-    while block := (known if after is None else known.where(F.col("id") > after)).limit(QUERY_BLOCK).collect():
-        m = np.array([r.vector for r in block], dtype=np.float64)
-        m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-30)
-        rows = corpus.select("id", "group", "vector").where(F.col("vector").isNotNull() & F.col("group").isNotNull())
-        part = rows.mapInPandas(worker(__name__, "best_per_group_batches", np.array([r.id for r in block], dtype=np.int64), m), "query_id long, group int, similarity double")
-        found, after = part if found is None else found.unionByName(part), block[-1].id
-    if found is None:
-        return corpus.sparkSession.createDataFrame([], "query_id long, group int, similarity double")
-    return found.groupBy("query_id", "group").agg(F.max("similarity").alias("similarity"))
+    rows, found = corpus.select("id", "group", "vector").where(F.col("vector").isNotNull() & F.col("group").isNotNull()), None
+    for ids, m in _query_blocks(queries):
+        part = rows.mapInPandas(worker(__name__, "best_per_group_batches", ids, m), "query_id long, group int, similarity double").groupBy("query_id", "group").agg(F.max("similarity").alias("similarity"))
+        if found is not None or len(ids) >= QUERY_BLOCK:
+            part = stored(part)
+        found = part if found is None else found.unionByName(part)
+    return corpus.sparkSession.createDataFrame([], "query_id long, group int, similarity double") if found is None else found
 
 
 def extractive_answer(ranked: DataFrame, text: str, passages: int = 2, most: int = 4000) -> DataFrame:

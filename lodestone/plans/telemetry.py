@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.keys import micros
 from lodestone.operators import access as a
+from lodestone.operators import order
 from lodestone.sources.tables import table
 
 KINDS = ["click", "error", "purchase", "signup", "view"]
@@ -103,9 +104,10 @@ def max_concurrency_sweep(spark: SparkSession, d: str) -> DataFrame:
 
 
 def interval_overlap_join(spark: SparkSession, d: str) -> DataFrame:
-    """Closed calls that ran while a phase did; phases are the thirds of the months. Counted per phase."""
+    """Closed calls that ran while a phase did; phases are the thirds of the months, from the first start to the last end. Counted per phase."""
     m = table(spark, d, "movement", "call_id", "started_at", "completed_at").distinct().select("call_id", micros(F.col("started_at")).alias("l_start"), micros(F.col("completed_at")).alias("l_end")).where("l_start IS NOT NULL AND l_end IS NOT NULL")
-    days = spark.sql("SELECT explode(sequence(DATE'2023-12-01', DATE'2026-06-01', INTERVAL 1 MONTH)) AS month")
+    month = lambda c: F.trunc(F.timestamp_micros(c), "month")
+    days = m.where("l_end > l_start").agg(F.min("l_start").alias("a"), F.max("l_end").alias("b")).select(F.explode(F.sequence(month(F.col("a")), month(F.col("b")), F.expr("INTERVAL 1 MONTH"))).alias("month"))
     phases = days.select(F.explode(F.array(*[F.struct((F.unix_micros(F.date_add("month", k * 10).cast("timestamp"))).alias("r_start"), F.unix_micros((F.date_add("month", k * 10 + 10) if k < 2 else F.add_months("month", 1)).cast("timestamp")).alias("r_end")) for k in range(3)])).alias("p")).select("p.*")
     return a.overlap_join(m, phases, 10 * 24 * a.HOUR_US).groupBy("r_start").agg(F.count(F.lit(1)).alias("calls"))
 
@@ -151,9 +153,8 @@ def job_status_rollup(spark: SparkSession, d: str) -> DataFrame:
 def lag_state_transitions(spark: SparkSession, d: str) -> DataFrame:
     """How often an event of one kind follows one of another kind of the same user."""
     e = _events(spark, d)
-    w = Window.partitionBy("user_id").orderBy("at_us", "event_id")
-    x = e.withColumn("before", F.lag("kind").over(w)).where("before IS NOT NULL")
-    return x.groupBy(F.col("before").alias("from_kind"), F.col("kind").alias("to_kind")).agg(F.count(F.lit(1)).alias("n"))
+    x = order.with_before(e, ["user_id"], ["at_us", "event_id"], ["kind"], F.expr(f"at_us div {24 * a.HOUR_US}")).where("before.kind IS NOT NULL")
+    return x.groupBy(F.col("before.kind").alias("from_kind"), F.col("kind").alias("to_kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def load_evaluation(spark: SparkSession, d: str) -> DataFrame:
@@ -251,7 +252,7 @@ SQL = {
     "slot_completeness": "SELECT kind, max(slot) - min(slot) + 1 AS expected, count(DISTINCT slot) AS seen, round(count(DISTINCT slot) / (max(slot) - min(slot) + 1), 6) AS coverage FROM (SELECT event_type AS kind, epoch_us(ts) // 3600000000 AS slot FROM events) GROUP BY 1",
     "sustained_condition": f"WITH {_E}, t AS (SELECT user_id, at_us AS t, bool_and(value > 40) AS ok FROM e GROUP BY 1, 2), b AS (SELECT *, coalesce(NOT ok OR t - lag(t) OVER w > 86400000000 OR NOT lag(ok) OVER w, TRUE) AS brk FROM t WINDOW w AS (PARTITION BY user_id ORDER BY t)), p AS (SELECT *, sum(brk::INT) OVER (PARTITION BY user_id ORDER BY t) AS part FROM b) SELECT user_id, min(t) AS start_us, max(t) AS end_us, count(*) AS samples FROM p WHERE ok GROUP BY user_id, part HAVING max(t) - min(t) >= 3600000000",
     "max_concurrency_sweep": f"WITH e AS (SELECT job_id, epoch_us(started_at) AS t, 1 AS d FROM {_CALLS} WHERE started_at IS NOT NULL AND (completed_at IS NULL OR completed_at > started_at) UNION ALL SELECT job_id, epoch_us(completed_at), -1 FROM {_CALLS} WHERE completed_at > started_at), n AS (SELECT job_id, t, sum(d) AS d FROM e GROUP BY 1, 2) SELECT job_id, max(p)::BIGINT AS peak FROM (SELECT job_id, sum(d) OVER (PARTITION BY job_id ORDER BY t) AS p FROM n) GROUP BY 1",
-    "interval_overlap_join": "WITH months AS (SELECT m::DATE AS m FROM range(DATE '2023-12-01', DATE '2026-06-02', INTERVAL 1 MONTH) r(m)), phases AS (SELECT epoch_us((m + (k * 10)::INT)::TIMESTAMP) AS s, CASE WHEN k < 2 THEN epoch_us((m + (k * 10 + 10)::INT)::TIMESTAMP) ELSE epoch_us((m + INTERVAL 1 MONTH)::TIMESTAMP) END AS e FROM months, range(3) r(k)) SELECT s AS r_start, count(*) AS calls FROM phases p JOIN (SELECT DISTINCT call_id, epoch_us(started_at) AS a, epoch_us(completed_at) AS b FROM movement WHERE completed_at > started_at) c ON c.a < p.e AND p.s < c.b GROUP BY 1",
+    "interval_overlap_join": "WITH months AS (SELECT m::DATE AS m FROM (SELECT unnest(generate_series(date_trunc('month', min(started_at)), date_trunc('month', max(completed_at)), INTERVAL 1 MONTH)) AS m FROM movement WHERE completed_at > started_at)), phases AS (SELECT epoch_us((m + (k * 10)::INT)::TIMESTAMP) AS s, CASE WHEN k < 2 THEN epoch_us((m + (k * 10 + 10)::INT)::TIMESTAMP) ELSE epoch_us((m + INTERVAL 1 MONTH)::TIMESTAMP) END AS e FROM months, range(3) r(k)) SELECT s AS r_start, count(*) AS calls FROM phases p JOIN (SELECT DISTINCT call_id, epoch_us(started_at) AS a, epoch_us(completed_at) AS b FROM movement WHERE completed_at > started_at) c ON c.a < p.e AND p.s < c.b GROUP BY 1",
     "attempt_chain_check": "SELECT * FROM (SELECT logical_move_id, count(*) AS calls, min(attempt_number) <> 1 OR max(attempt_number) - min(attempt_number) + 1 <> count(DISTINCT attempt_number) AS holes, count(*) FILTER (success) > 1 AS several, coalesce(max(attempt_number) FILTER (success) < max(attempt_number), FALSE) AS early FROM (SELECT DISTINCT call_id, logical_move_id, attempt_number, started_at, success FROM movement) GROUP BY 1) WHERE holes OR several OR early",
     "attempt_chain_faults": "WITH m AS (SELECT DISTINCT call_id, logical_move_id AS l, attempt_number AS a, started_at AS s, completed_at AS e, success, terminal_state AS t FROM movement), p AS (SELECT DISTINCT y.l, y.s < x.s AS sf, y.e < x.e AS ef, x.t IS NOT NULL AS bt FROM m x JOIN m y ON x.l = y.l AND x.a < y.a), q AS (SELECT l, coalesce(bool_or(sf), FALSE) AS start_falls, coalesce(bool_or(ef), FALSE) AS end_falls, bool_or(bt) AS bt FROM p GROUP BY 1), g AS (SELECT l, count(*) AS calls, min(a) <> 1 OR max(a) - min(a) + 1 <> count(DISTINCT a) AS holes, count(*) FILTER (success) > 1 AS several, coalesce(max(a) FILTER (success) < max(a), FALSE) AS early, bool_or(coalesce(t = 'succeeded', FALSE) IS DISTINCT FROM success) AS bad FROM m GROUP BY 1) SELECT * FROM (SELECT g.l AS logical_move_id, calls, holes, several, early, coalesce(start_falls, FALSE) AS start_falls, coalesce(end_falls, FALSE) AS end_falls, bad OR coalesce(bt, FALSE) AS wrong_end FROM g LEFT JOIN q ON g.l = q.l) WHERE holes OR several OR early OR start_falls OR end_falls OR wrong_end",
     "job_status_rollup": f"SELECT job_id, coalesce(arg_max(coalesce(terminal_state, 'open'), (coalesce(epoch_us(started_at), -1), attempt_number, call_id)), 'open') AS state, arg_max(call_id, (coalesce(epoch_us(started_at), -1), attempt_number, call_id)) AS last_call, count(*) AS calls, max(attempt_number) AS most_attempts FROM (SELECT DISTINCT call_id, job_id, attempt_number, started_at, success, terminal_state FROM movement) GROUP BY 1",

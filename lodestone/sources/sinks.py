@@ -1,7 +1,8 @@
 """Sinks: published generations, upserts, canonical JSON with digests, metrics.
 
-A table is a folder of generations and a pointer file. A rebuild writes a new generation and then moves the pointer, so readers see
-the old or the new rows and never a mixture; a lost executor or a failed job leaves the pointer where it was.
+A table is a folder of generations and numbered pointer files. A rebuild writes a new generation, writes its name beside the pointers and
+gives that file the next number, which only one writer can: a rename does not replace a file that is there. Readers take the highest number, so
+they see the old or the new rows and never nothing or a mixture; a lost executor or a failed job leaves the pointers as they were.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-POINTER = "_current"
+POINTER = "_current-"
 
 
 def _fs(spark: SparkSession, path: str):
@@ -19,25 +20,40 @@ def _fs(spark: SparkSession, path: str):
     return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def publish(df: DataFrame, root: str) -> str:
-    """Writes df as the next generation of root and makes it the current one."""
+def latest(spark: SparkSession, root: str) -> int:
+    """The highest pointer of root; 0 if there is none."""
+    at, fs = _fs(spark, root)
+    names = [f.getPath().getName() for f in fs.listStatus(at)] if fs.exists(at) else []
+    return max((int(n.removeprefix(POINTER)) for n in names if n.startswith(POINTER) and n.removeprefix(POINTER).isdigit()), default=0)
+
+
+def publish(df: DataFrame, root: str, after: int | None = None) -> str:
+    """Writes df as the next generation of root and makes it the current one.
+
+    after: the pointer that df was made from; another writer's pointer behind it is an error, as publishing would lose its rows.
+    """
     spark, name = df.sparkSession, f"generation-{uuid.uuid4().hex}"
     df.write.parquet(f"{root}/{name}")
-    fresh, fs = _fs(spark, f"{root}/{POINTER}-{name}")
-    out = fs.create(fresh, True)
+    fresh, fs = _fs(spark, f"{root}/_{name}")
+    out = fs.create(fresh, False)
     out.write(bytearray(name.encode()))
     out.close()
-    pointer, _ = _fs(spark, f"{root}/{POINTER}")
-    fs.delete(pointer, False)
-    fs.rename(fresh, pointer)
-    return name
-
-
-def current(spark: SparkSession, root: str) -> DataFrame | None:
-    """The current generation of root; None if there is none."""
-    pointer, fs = _fs(spark, f"{root}/{POINTER}")
-    if not fs.exists(pointer):
+    while True:
+        number = (latest(spark, root) if after is None else after) + 1
+        pointer, _ = _fs(spark, f"{root}/{POINTER}{number:012d}")
+        if not fs.exists(pointer) and fs.rename(fresh, pointer):
+            return name
+        if after is not None:
+            fs.delete(fresh, False)
+            raise RuntimeError(f"another generation of {root} was published meanwhile")
+
+
+def current(spark: SparkSession, root: str, number: int | None = None) -> DataFrame | None:
+    """The current generation of root, or that of a pointer; None if there is none."""
+    number = latest(spark, root) if number is None else number
+    if not number:
         return None
+    pointer, fs = _fs(spark, f"{root}/{POINTER}{number:012d}")
     stream = fs.open(pointer)
     name = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
     stream.close()
@@ -47,12 +63,13 @@ def current(spark: SparkSession, root: str) -> DataFrame | None:
 def upsert(changes: DataFrame, root: str, keys: list[str], deleted: str | None = None) -> str:
     """Publishes a generation in which rows of changed keys are replaced; keys whose deleted column is true are only removed.
 
-    Changes have one row per key. Doing the same change again gives the same rows.
+    Changes have one row per key. Doing the same change again gives the same rows. Of two upserts at one time the later one fails.
     """
     spark = changes.sparkSession
     new = changes.where(~F.coalesce(F.col(deleted), F.lit(False))).drop(deleted) if deleted else changes
-    old = current(spark, root)
-    return publish(new if old is None else old.join(changes.select(*keys), keys, "left_anti").unionByName(new), root)
+    number = latest(spark, root)
+    old = current(spark, root, number)
+    return publish(new if old is None else old.join(changes.select(*keys), keys, "left_anti").unionByName(new), root, number)
 
 
 def canonical_json(df: DataFrame) -> Column:

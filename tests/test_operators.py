@@ -36,7 +36,7 @@ def test_salted_join_is_a_join(spark, how):
     r = random.Random(1)
     big = [(r.choice(["hot", "a", "b", None]), i) for i in range(500)]
     b, u = spark.createDataFrame(big, "k string, i long"), spark.createDataFrame([("hot", 1), ("a", 2), ("z", 3)], "k string, v long")
-    hot = skew.hot_keys(b.groupBy("k").agg(F.count(F.lit(1)).alias("n")), ["k"], "n", top=2, hot_rows=1)
+    hot = skew.hot_keys(b.groupBy("k").agg(F.count(F.lit(1)).alias("n")), ["k"], "n", most=2, hot_rows=1)
     got = [(x.i, x.v) for x in skew.salted_join(b, u, ["k"], hot, how).collect()]
     table = {"hot": 1, "a": 2}
     assert len(got) == len(set(got)) and set(got) == {(i, table.get(k)) for k, i in big if how == "left" or k in table}
@@ -195,7 +195,7 @@ def test_chains_and_ancestry(spark):
         bad[3] = (*bad[3][:3], "edited")
         assert {tuple(x) for x in ledger.chain_faults(spark.createDataFrame(bad, schema), block).collect()} == {(4, "edited"), (10, "gap"), (10, "broken_link")}
     edges = [("r", None), ("a", "r"), ("b", "a"), ("c", "b"), ("lost", "nowhere"), ("x", "y"), ("y", "x"), ("z", "x")] + [(f"n{i}", f"n{i - 1}" if i else None) for i in range(40)]
-    got = {x.node: (x.root, x.depth) for x in ledger.ancestry(spark.createDataFrame(edges, "node string, parent string"), 8).collect()}
+    got = {x.node: (x.root, x.depth) for x in ledger.ancestry(spark.createDataFrame(edges, "node string, parent string")).collect()}
     assert got["c"] == ("r", 3) and got["n39"] == ("n0", 39) and all(got[k] == (None, None) for k in ("lost", "x", "y", "z"))
 
 
