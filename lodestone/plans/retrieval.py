@@ -227,6 +227,19 @@ SQL = {
     "text_chunks": "SELECT doc_id, k AS chunk_index, k * 256 AS byte_offset, least(256, n - k * 256) AS byte_length FROM (SELECT doc_id, n, unnest(range((n + 255) // 256)) AS k FROM (SELECT doc_id, octet_length(encode(text)) AS n FROM documents WHERE text IS NOT NULL))",
     "chunk_digests": "SELECT sha256(substr(text, (k * 256 + 1)::BIGINT, 256)) AS sha256, count(*) AS n FROM (SELECT text, unnest(range((length(text) + 255) // 256)) AS k FROM documents WHERE octet_length(encode(text)) = length(text) AND length(text) > 0) GROUP BY 1 HAVING count(*) > 1",
     "fixed_passages": "SELECT id, k AS passage_index, k * 900 AS start_codepoint, least(n, k * 900 + 1000) AS end_codepoint FROM (SELECT id, n, unnest(range(greatest(1, ceil((n - 100) / 900)::BIGINT))) AS k FROM (SELECT DISTINCT id, length(source_text) AS n FROM golden WHERE length(source_text) > 0))",
+    "word_boundary_passages": r"""
+WITH RECURSIVE g AS (SELECT DISTINCT id, source_text AS t, length(source_text) AS n FROM golden WHERE length(source_text) > 0),
+w AS (
+  SELECT id, t, n, 0::BIGINT AS a, 0::BIGINT AS b FROM g
+  UNION ALL
+  SELECT id, t, n, a, CASE WHEN a + 1200 >= n THEN n WHEN length(x2) > 0 THEN a + 600 + length(x2) WHEN length(x1) > 0 THEN a + 600 + length(x1) WHEN length(x0) > 0 THEN a + 600 + length(x0) ELSE a + 1200 END AS b
+  FROM (SELECT id, t, n, a, regexp_extract(z, '(?s)^.*\n\n') AS x2, regexp_extract(z, '(?s)^.*\n') AS x1, regexp_extract(z, '(?s)^.* ') AS x0 FROM (SELECT id, t, n, a, substring(t, a + 601, 600) AS z FROM (SELECT id, t, n, CASE WHEN b = 0 THEN 0 ELSE greatest(a + 1, b - 120) END AS a FROM w WHERE b < n)))),
+p AS (SELECT id, a, b, substring(t, a + 1, b - a) AS x FROM w WHERE b > 0),
+q AS (SELECT id, a + length(regexp_extract(x, '^[\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}]*')) AS s, b - length(regexp_extract(x, '[\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}]*$')) AS e FROM p)
+SELECT id, (row_number() OVER (PARTITION BY id ORDER BY s, e) - 1)::BIGINT AS ordinal, s AS start_codepoint, e AS end_codepoint FROM q WHERE e > s""",
+    "passage_uuids": """
+WITH p AS (SELECT DISTINCT document_id, passage_index, sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode(document_id || ':' || passage_index)) AS h FROM embedding_passages)
+SELECT document_id, passage_index, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || ['8', '9', 'a', 'b'][('0x' || substr(h, 17, 1))::INT % 4 + 1] || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS uuid FROM p""",
     "tidy_digests": r"""SELECT doc_id, sha256(t) AS sha256, t <> text AS changed FROM (SELECT doc_id, text, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(nfc_normalize(text), '\r\n?', chr(10), 'g'), '\t', ' ', 'g'), '[\x00-\x09\x0B-\x1F\x7F]', '', 'g'), ' +', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(10)) AS t FROM documents WHERE text IS NOT NULL)""",
     "object_types": "SELECT mime, CASE lower(split_part(key, '.', -1)) " + " ".join(f"WHEN '{s}' THEN '{m}'" for s, m in c.TYPES.items()) + " ELSE 'application/octet-stream' END AS by_name, CASE WHEN lower(split_part(key, '.', -1)) IN (" + ", ".join(f"'{s}'" for s in c.TYPES) + ") THEN 'name' ELSE 'fallback' END AS source, count(*) AS objects FROM (SELECT DISTINCT id, key, mime FROM golden) GROUP BY ALL",
     "pseudonyms": "SELECT person_id, CASE WHEN team IN ('night shift', 'lab archive') THEN '[REDACTED:' || sha256(family_name) || ']' ELSE family_name END AS name FROM staff_directory",
