@@ -28,8 +28,8 @@ REACH, TABLE = 3, 1 << 19
 LEAST_SEEN = 4
 #: Strings whose classes are kept in a process; beyond, they are collected anew. They save time and change no result.
 MOST_KNOWN = 600_000
-#: Signs and scripts that part the words of a long run without a blank.
-_BORDER = re.compile("[\\u3000-\\u30ff\\u3400-\\u9fff\\uff00-\\uffef,;<>\"“”|]")
+#: Signs that part the words of a long run without a blank, beside kana, ideographs and wide forms.
+_BORDER_SIGNS = np.array([ord(c) for c in ',;<>"“”|'], dtype=np.uint32)
 _PARAGRAPH = re.compile(r"\n[ \t\r]*\n")
 #: Numbers with the signs and single blanks that join them.
 CHUNK = re.compile(r"[+(]*\d+(?:[ \u00a0.\-–/()]{1,2}\d+)*")
@@ -75,6 +75,11 @@ def coarse(token: str) -> int:
     return {",": 12, ".": 13, "@": 14, "(": 15, ")": 15, "-": 16, "/": 17, ":": 18}.get(token, 19)
 
 
+def _is_border(chars: np.ndarray) -> np.ndarray:
+    wide = ((chars >= 0x3000) & (chars <= 0x30FF)) | ((chars >= 0x3400) & (chars <= 0x9FFF)) | ((chars >= 0xFF00) & (chars <= 0xFFEF))
+    return wide | np.isin(chars, _BORDER_SIGNS)
+
+
 class _Classes:
     """Numbers of strings by what features they have, with the hashes of the features one after the other; kept between batches."""
 
@@ -202,60 +207,45 @@ class Encoded:
     def __init__(self, texts: Sequence[str], features: Features):
         if len(features.tokens.known) + len(features.runs.known) + len(features.chunks.known) > MOST_KNOWN:
             features.restart()
-        token, run, place, chunk, spot, gap, start, end, text_of, opens, fresh = ([] for _ in range(11))
-        for k, text in enumerate(texts):
-            found = list(TOKEN.finditer(text))
-            n = len(found)
-            if not n:
-                continue
-            words = [m.group() for m in found]
-            s = np.array([m.start() for m in found], dtype=np.int64)
-            e = s + np.array([len(w) for w in words], dtype=np.int64)
-            chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-            between = np.empty(n, dtype=np.int64)
-            between[0], between[1:] = s[0], s[1:] - e[:-1]
-            sign = chars[np.maximum(s - 1, 0)]
-            kind = np.where(between == 0, 0, np.where(between == 1, np.where(sign == 32, 1, np.where((sign == 10) | (sign == 13), 3, 2)), 2)).astype(np.int32)
-            first = np.zeros(n, dtype=bool)
-            first[0] = True
-            for i in np.nonzero(between > 1)[0]:
-                blank = text[s[i] - between[i] : s[i]]
-                if "\n" in blank or "\r" in blank:
-                    kind[i] = 3
-                    first[i] |= bool(_PARAGRAPH.search(blank))
-            kind[first] = 3
-            border = np.array([_BORDER.match(w) is not None for w in words])
-            new_run = (between > 0) | first | border | np.append(False, border[:-1])
-            number = np.cumsum(new_run) - 1
-            at = np.nonzero(new_run)[0]
-            last = e[np.append(at[1:] - 1, n - 1)]
-            runs = features.runs.numbers([text[x:y] for x, y in zip(s[at].tolist(), last.tolist())])[number]
-            here, where = np.zeros(n, dtype=np.int32), np.zeros(n, dtype=np.int32)
-            spans = [(m.start(), m.end()) for m in CHUNK.finditer(text)]
-            if spans:
-                of = features.chunks.numbers([text[x:y] for x, y in spans])
-                low, high = np.array(spans, dtype=np.int64).T
-                which = np.searchsorted(low, s, side="right") - 1
-                inside = (which >= 0) & (s < high[np.maximum(which, 0)])
-                here[inside] = of[which[inside]]
-                order = np.arange(n) - np.maximum.accumulate(np.where(np.append(True, which[1:] != which[:-1]), np.arange(n), 0))
-                where[inside] = np.minimum(order[inside], 2)
-            token.append(features.tokens.numbers(words))
-            run.append(runs)
-            place.append(np.minimum(np.arange(n) - at[number], 3).astype(np.int32))
-            chunk.append(here)
-            spot.append(where)
-            gap.append(kind)
-            start.append(s)
-            end.append(e)
-            text_of.append(np.full(n, k, dtype=np.int64))
-            opens.append(first)
-            fresh.append(new_run)
-        join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, dtype=kind)
-        self.token, self.run, self.place, self.chunk, self.spot, self.gap = (join(x, np.int32) for x in (token, run, place, chunk, spot, gap))
-        self.start, self.end, self.text_of = (join(x, np.int64) for x in (start, end, text_of))
-        opens, self.fresh = join(opens, bool), join(fresh, bool)
-        self.first = np.append(np.nonzero(opens)[0], len(opens)).astype(np.int64)
+        offsets = np.cumsum([0, *(len(t) + 2 for t in texts)], dtype=np.int64)
+        text = "\n\n".join(texts)  # a blank line parts texts as it parts paragraphs, so all are gone through at once
+        found = [m.span() for m in TOKEN.finditer(text)]
+        n = len(found)
+        s, e = np.array(found, dtype=np.int64).reshape(-1, 2).T
+        words = [text[a:b] for a, b in found]
+        chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        between = s - np.append(0, e[:-1]) if n else s
+        sign = chars[np.maximum(s - 1, 0)]
+        self.gap = np.where(between == 0, 0, np.where(between == 1, np.where(sign == 32, 1, np.where((sign == 10) | (sign == 13), 3, 2)), 2)).astype(np.int32)
+        opens = np.zeros(n, dtype=bool)
+        opens[:1] = True
+        for i in np.nonzero(between > 1)[0].tolist():
+            blank = text[e[i - 1] if i else 0 : s[i]]
+            if "\n" in blank or "\r" in blank:
+                self.gap[i] = 3
+                opens[i] |= bool(_PARAGRAPH.search(blank))
+        self.gap[opens] = 3
+        border = _is_border(chars[s])
+        self.fresh = (between > 0) | opens | border | np.append(False, border)[:n]
+        number = np.cumsum(self.fresh) - 1
+        at = np.nonzero(self.fresh)[0]
+        last = e[np.append(at[1:] - 1, n - 1)[: len(at)]]
+        self.run = features.runs.numbers([text[x:y] for x, y in zip(s[at].tolist(), last.tolist())])[number]
+        self.place = np.minimum(np.arange(n) - at[number], 3).astype(np.int32)
+        self.chunk, self.spot = np.zeros(n, dtype=np.int32), np.zeros(n, dtype=np.int32)
+        spans = [m.span() for m in CHUNK.finditer(text)]
+        if spans and n:
+            of = features.chunks.numbers([text[x:y] for x, y in spans])
+            low, high = np.array(spans, dtype=np.int64).T
+            which = np.searchsorted(low, s, side="right") - 1
+            inside = (which >= 0) & (s < high[np.maximum(which, 0)])
+            self.chunk[inside] = of[which[inside]]
+            order = np.arange(n) - np.maximum.accumulate(np.where(np.append(True, which[1:] != which[:-1]), np.arange(n), 0))
+            self.spot[inside] = np.minimum(order[inside], 2)
+        self.token = features.tokens.numbers(words)
+        self.text_of = np.searchsorted(offsets, s, side="right") - 1
+        self.start, self.end = s - offsets[self.text_of], e - offsets[self.text_of]
+        self.first = np.append(np.nonzero(opens)[0], n).astype(np.int64)
         self.sequence = np.cumsum(opens) - 1
 
     def neighbours(self, distance: int, of: np.ndarray) -> np.ndarray:
@@ -365,9 +355,8 @@ def viterbi(score: np.ndarray, first: np.ndarray, step: np.ndarray, opening: np.
         for t in range(1, width):
             live = int(np.searchsorted(length, t, side="right"))  # sequences are ordered by length
             joint = at[live:, None, :] + from_any
-            choice = joint.argmax(axis=2)
-            back[t, live:] = choice
-            at[live:] = np.take_along_axis(joint, choice[:, :, None], 2)[:, :, 0] + score[begin[live:] + t]
+            back[t, live:] = joint.argmax(axis=2)
+            at[live:] = joint.max(axis=2) + score[begin[live:] + t]
             done = length == t + 1
             ends[done] = at[done]
         label = ends.argmax(axis=1)
@@ -375,7 +364,7 @@ def viterbi(score: np.ndarray, first: np.ndarray, step: np.ndarray, opening: np.
             live = int(np.searchsorted(length, t, side="right"))
             best[begin[live:] + t] = label[live:]
             if t:
-                label[live:] = np.take_along_axis(back[t, live:], label[live:, None], axis=1)[:, 0]
+                label[live:] = back[t, live:][np.arange(len(group) - live), label[live:]]
     return best
 
 
