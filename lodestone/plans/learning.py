@@ -131,5 +131,9 @@ SQL = {
     "duplicate_evidence": "SELECT logical_move_id, count(DISTINCT job_id) AS jobs FROM movement GROUP BY 1 HAVING count(DISTINCT job_id) > 1",
     "causal_ancestry": "WITH RECURSIVE e AS (SELECT DISTINCT logical_move_id AS l, attempt_number AS a FROM movement), t AS (SELECT l, a, 0::BIGINT AS depth FROM e WHERE a <= 1 UNION ALL SELECT e.l, e.a, t.depth + 1 FROM t JOIN e ON e.l = t.l AND e.a = t.a + 1 WHERE e.a > 1) SELECT coalesce(depth, -1) AS depth, count(*) AS attempts FROM e LEFT JOIN t USING (l, a) GROUP BY 1",
     "hash_chain_check": "SELECT fault, count(*) AS entries FROM (SELECT unnest([CASE WHEN event_id = b THEN 'repeated' END, CASE WHEN event_id > coalesce(b, -1) + 1 THEN 'gap' END, CASE WHEN b IS NULL OR b <> event_id - 1 THEN 'broken_link' END]) AS fault FROM (SELECT event_id, lag(event_id) OVER (ORDER BY event_id) AS b FROM events)) WHERE fault IS NOT NULL GROUP BY 1",
+    "hash_chain_faults": """
+WITH e AS (SELECT event_id AS n, coalesce(event_id % 103 = 1, FALSE) AS lost, lag(coalesce(event_id % 103 = 1, FALSE)) OVER (PARTITION BY coalesce(user_id::VARCHAR, '') ORDER BY event_id) AS after_lost FROM events),
+x AS (SELECT count(*) FILTER (n % 101 = 0) + count(*) FILTER (n % 101 = 0 AND n % 107 = 2) AS edited, count(*) FILTER (n % 107 = 2) AS repeated, count(*) FILTER (after_lost) AS gap FROM e WHERE NOT lost)
+SELECT fault, entries FROM (SELECT unnest(['edited', 'repeated', 'gap', 'broken_link']) AS fault, unnest([edited, repeated, gap, gap + repeated])::BIGINT AS entries FROM x) WHERE entries > 0""",
     "star_revenue": "SELECT r_name AS region, year(o_orderdate)::INT AS year, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(DISTINCT s_nationkey) AS supplier_nations FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE p_type = 'ECONOMY' GROUP BY 1, 2",
 }

@@ -220,6 +220,15 @@ _META = f"m AS (SELECT query_id, passage_id, round({_FIELDS}, 6) AS score FROM q
 _BM25 = f"""d AS (SELECT passage_id, {_W.format("coalesce(text, '')", 40)} AS w FROM (SELECT DISTINCT passage_id, text FROM corpus)), s AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM d),
 p AS (SELECT passage_id, term, len(any_value(w)) AS length, count(*) AS tf FROM (SELECT passage_id, w, unnest(w) AS term FROM d) GROUP BY 1, 2), f AS (SELECT term, count(*) AS df FROM p GROUP BY 1),
 k AS (SELECT query_id, passage_id, round(sum(ln(1 + (s.n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * length / s.mean))), 6) AS score FROM (SELECT query_id, unnest(list_distinct({_W.format("query", 40)})) AS term FROM q) JOIN p USING (term) JOIN f USING (term), s GROUP BY 1, 2)"""
+_BM25F = f"""df AS (SELECT DISTINCT passage_id, text, object_key, array_to_string(list_transform(list_sort(map_entries(metadata)), lambda e: e.value), ' ') AS vals FROM corpus),
+fd AS (SELECT passage_id, 'text' AS field, 2.0::DOUBLE AS boost, {_W.format("coalesce(text, '')", 40)} AS w FROM df UNION ALL SELECT passage_id, 'object_key', 1.5::DOUBLE, {_W.format("coalesce(object_key, '')", 40)} FROM df UNION ALL SELECT passage_id, 'vals', 1.0::DOUBLE, {_W.format("coalesce(vals, '')", 40)} FROM df),
+fs AS (SELECT field, count(*) AS n, avg(len(w)) AS mean FROM fd GROUP BY 1), fp AS (SELECT passage_id, field, boost, term, count(*) AS tf, any_value(length) AS length FROM (SELECT passage_id, field, boost, len(w) AS length, unnest(w) AS term FROM fd) GROUP BY 1, 2, 3, 4), ff AS (SELECT field, term, count(*) AS df FROM fp GROUP BY 1, 2),
+fw AS (SELECT passage_id, term, max(boost * ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * length / mean))) AS weight FROM fp JOIN ff USING (field, term) JOIN fs USING (field) GROUP BY 1, 2),
+kf AS (SELECT query_id, passage_id, round(sum(weight), 6) AS score FROM (SELECT query_id, unnest({_W.format("query", 40)}) AS term FROM q) JOIN fw USING (term) GROUP BY 1, 2)"""
+_PLACE, _SIGN = "('0x' || substr(h, 1, 16))::UBIGINT % 64", "CASE WHEN ('0x' || substr(h, 18, 1))::INT % 2 = 1 THEN 1 ELSE -1 END"
+_HASHED = f"""ht AS (SELECT passage_id, regexp_extract_all(replace(replace(replace(lower(nfc_normalize(coalesce(text, ''))), 'ß', 'ss'), 'ς', 'σ'), chr(181), chr(956)), '[\\p{{L}}\\p{{N}}_]+') AS w FROM (SELECT DISTINCT passage_id, text FROM corpus)),
+hf AS (SELECT passage_id, unnest(list_concat(['__bias__'], w, list_transform(range(1, len(w)), lambda i: w[i] || chr(31) || w[i + 1]))) AS f FROM ht),
+hs AS (SELECT passage_id, ({_PLACE})::BIGINT AS bucket, sum({_SIGN})::DOUBLE AS n FROM (SELECT passage_id, sha256(f) AS h FROM hf) GROUP BY 1, 2), hv AS (SELECT passage_id, bucket, n / sqrt(sum(n * n) OVER (PARTITION BY passage_id)) AS value FROM hs)"""
 _COS = "list_sum(list_transform(range(1, 65), lambda i: a.v[i]::DOUBLE * b.v[i]::DOUBLE)) / sqrt(list_sum(list_transform(a.v, lambda x: x::DOUBLE * x::DOUBLE))) / sqrt(list_sum(list_transform(b.v, lambda x: x::DOUBLE * x::DOUBLE)))"
 _PAIRS = f"c AS (SELECT a.id AS query_id, b.id AS id, b.label AS label, {_COS} AS cos FROM (SELECT vec_id AS id, embedding AS v FROM embeddings WHERE vec_id % 100 = 0) a, (SELECT vec_id AS id, embedding AS v, label FROM embeddings) b)"
 
@@ -247,6 +256,14 @@ SELECT document_id, passage_index, substr(h, 1, 8) || '-' || substr(h, 9, 4) ||
     "span_grounding": "SELECT document_id, count(*) FILTER (substring(source_text, start_codepoint + 1, end_codepoint - start_codepoint) IS NOT DISTINCT FROM text) AS grounded, count(*) FILTER (substring(source_text, start_codepoint + 1, end_codepoint - start_codepoint) IS DISTINCT FROM text) AS ungrounded FROM (SELECT DISTINCT document_id, passage_index, start_codepoint, end_codepoint, text FROM embedding_passages) JOIN (SELECT DISTINCT id, source_text FROM golden) ON document_id = id GROUP BY 1",
     "metadata_score_topk": f"WITH {_Q}, {_META} SELECT query_id, passage_id, score, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, passage_id))::INT AS rank FROM m WHERE score > 0 QUALIFY rank <= {TOP}",
     "bm25_topk": f"WITH {_Q}, {_BM25} SELECT query_id, passage_id, score, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, passage_id))::INT AS rank FROM k QUALIFY rank <= {TOP}",
+    "bm25_fields_topk": f"WITH {_Q}, {_BM25F} SELECT query_id, passage_id, score, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, passage_id))::INT AS rank FROM kf QUALIFY rank <= {TOP}",
+    "feature_hash_vectors": f"WITH {_HASHED} SELECT passage_id, bucket, round(value, 6) AS value FROM hv WHERE value <> 0",
+    "rrf_all_signals": f"""WITH {_Q}, {_META}, {_BM25F}, {_HASHED}, qt AS (SELECT query_id, list_filter(regexp_extract_all(lower(query), '[\\p{{L}}\\p{{N}}_]+'), lambda w: TRUE) AS w FROM q), qf AS (SELECT query_id, unnest(list_concat(['__bias__'], w, list_transform(range(1, len(w)), lambda i: w[i] || chr(31) || w[i + 1]))) AS f FROM qt),
+qs AS (SELECT query_id, ({_PLACE})::BIGINT AS bucket, sum({_SIGN})::DOUBLE AS n FROM (SELECT query_id, sha256(f) AS h FROM qf) GROUP BY 1, 2), qv AS (SELECT query_id, bucket, n / sqrt(sum(n * n) OVER (PARTITION BY query_id)) AS value FROM qs),
+vs AS (SELECT query_id, passage_id, round(coalesce(sum(qv.value * hv.value), 0), 9) AS score FROM (SELECT DISTINCT passage_id FROM corpus) JOIN q ON TRUE LEFT JOIN qv USING (query_id) LEFT JOIN hv USING (passage_id, bucket) GROUP BY 1, 2),
+g AS (SELECT query_id, passage_id, score, 'keyword' AS signal, 1.0::DOUBLE AS w FROM kf UNION ALL SELECT query_id, passage_id, score, 'metadata', 0.5::DOUBLE FROM m WHERE score > 0 UNION ALL SELECT query_id, passage_id, score, 'vector', 1.0::DOUBLE FROM vs),
+o AS (SELECT query_id, signal, w, bucket, object_key, max(score) AS score FROM g JOIN (SELECT DISTINCT passage_id, bucket, object_key FROM corpus) USING (passage_id) GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY query_id, signal ORDER BY score DESC, bucket, object_key) AS rank FROM o),
+x AS (SELECT query_id, bucket, object_key, round(sum(w / (60 + rank)), 9) AS score, string_agg(signal, ',' ORDER BY signal) AS signals FROM r GROUP BY 1, 2, 3) SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, bucket, object_key))::INT AS rank FROM x QUALIFY rank <= {TOP}""",
     "rrf_fusion": f"WITH {_Q}, {_META}, {_BM25}, g AS (SELECT query_id, passage_id, 'keyword' AS signal, 1.0::DOUBLE AS w, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, passage_id) AS rank FROM k QUALIFY rank <= 50 UNION ALL SELECT query_id, passage_id, 'metadata', 0.5::DOUBLE, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, passage_id) AS rank FROM m WHERE score > 0 QUALIFY rank <= 50), x AS (SELECT query_id, passage_id, round(sum(w / (60 + rank)), 9) AS score, string_agg(signal, ',' ORDER BY signal) AS signals FROM g GROUP BY 1, 2) SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, passage_id))::INT AS rank FROM x QUALIFY rank <= {TOP}",
     "extractive_answers": f"WITH {_Q}, {_BM25}, t AS (SELECT query_id, passage_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, passage_id)) AS rank FROM k QUALIFY rank <= {TOP}), u AS (SELECT query_id, text, min(rank) AS rank, arg_min(passage_id, rank) AS id FROM t JOIN (SELECT DISTINCT passage_id, text FROM corpus) USING (passage_id) WHERE text IS NOT NULL GROUP BY 1, 2), v AS (SELECT *, row_number() OVER w AS place, sum(length(text)) OVER w AS n FROM u WINDOW w AS (PARTITION BY query_id ORDER BY rank)) SELECT query_id, string_agg(text, chr(10) || chr(10) ORDER BY rank) AS answer, string_agg(id, ',' ORDER BY rank) AS cited FROM v WHERE place <= 2 AND n <= 600 GROUP BY 1",
     "vector_exact_knn": f"WITH {_PAIRS} SELECT query_id, id, round(greatest(1 - cos, 0), 4) AS distance, (row_number() OVER (PARTITION BY query_id ORDER BY 1 - cos, id))::INT AS rank FROM c QUALIFY rank <= {TOP}",

@@ -62,7 +62,7 @@ BOUNDS = [0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0, 30.0, 6
 
 
 def _buckets(spark: SparkSession, d: str) -> DataFrame:
-    s = table(spark, d, "samples", "sample_id", "metric", "value").distinct().where("value IS NOT NULL AND NOT isnan(value) AND value >= 0 AND (metric LIKE 'get.%' OR metric LIKE 'put.%')")
+    s = table(spark, d, "samples", "sample_id", "metric", "value").distinct().where("value IS NOT NULL AND NOT isnan(value) AND value >= 0")
     le = F.coalesce(*[F.when(F.col("value") <= b, F.lit(b)) for b in BOUNDS], F.lit(1e12))
     w = Window.partitionBy("metric").orderBy("le").rowsBetween(Window.unboundedPreceding, 0)  # 15 buckets a metric
     return s.groupBy("metric", le.alias("le")).agg(F.count(F.lit(1)).alias("k")).select("metric", "le", F.sum("k").over(w).alias("n"))
@@ -80,7 +80,7 @@ def histogram_quantile(spark: SparkSession, d: str) -> DataFrame:
 
 def gap_and_coverage(spark: SparkSession, d: str) -> DataFrame:
     """Per cohort and metric the longest time without a sample."""
-    s = table(spark, d, "samples", "cohort", "metric", "observed_at").where("cohort IS NOT NULL").withColumn("at_us", micros(F.col("observed_at")))
+    s = table(spark, d, "samples", "cohort", "metric", "observed_at").withColumn("at_us", micros(F.col("observed_at")))
     return a.gaps_over(s, ["cohort", "metric"], "at_us")
 
 
@@ -159,7 +159,7 @@ def lag_state_transitions(spark: SparkSession, d: str) -> DataFrame:
 
 def load_evaluation(spark: SparkSession, d: str) -> DataFrame:
     """Per cohort and metric the samples, the failed ones, and whether 99 percent succeeded, by integers alone."""
-    s = table(spark, d, "samples", "sample_id", "cohort", "metric", "value").distinct().where("cohort IS NOT NULL AND value IS NOT NULL AND NOT isnan(value)")
+    s = table(spark, d, "samples", "sample_id", "cohort", "metric", "value").distinct().where("value IS NOT NULL AND NOT isnan(value)")
     x = s.groupBy("cohort", "metric").agg(F.count(F.lit(1)).alias("samples"), F.count_if(F.col("value") == -1).alias("failed"))
     return x.withColumn("enough", ((F.col("samples") - F.col("failed")) * 1000 >= F.col("samples") * 990))
 
@@ -237,7 +237,7 @@ _CELLS = ", ".join(
     for w, h in a.WINDOWS.items()
     for k in KINDS
 )
-_BUCKETS = "b AS (SELECT metric, CASE " + " ".join(f"WHEN value <= {b} THEN {b}::DOUBLE" for b in BOUNDS) + " ELSE 1e12::DOUBLE END AS le, count(*) AS k FROM (SELECT DISTINCT sample_id, metric, value FROM samples WHERE value IS NOT NULL AND NOT isnan(value) AND value >= 0 AND (metric LIKE 'get.%' OR metric LIKE 'put.%')) GROUP BY ALL), c AS (SELECT metric, le, (sum(k) OVER (PARTITION BY metric ORDER BY le))::BIGINT AS n FROM b)"
+_BUCKETS = "b AS (SELECT metric, CASE " + " ".join(f"WHEN value <= {b} THEN {b}::DOUBLE" for b in BOUNDS) + " ELSE 1e12::DOUBLE END AS le, count(*) AS k FROM (SELECT DISTINCT sample_id, metric, value FROM samples WHERE value IS NOT NULL AND NOT isnan(value) AND value >= 0) GROUP BY ALL), c AS (SELECT metric, le, (sum(k) OVER (PARTITION BY metric ORDER BY le))::BIGINT AS n FROM b)"
 _CALLS = "(SELECT DISTINCT call_id, job_id, logical_move_id, attempt_number, direction, started_at, completed_at, success, terminal_state FROM movement)"
 
 SQL = {
@@ -248,7 +248,7 @@ SQL = {
     "multi_window_alert": "WITH h AS (SELECT floor(epoch_us(started_at) / 21600000000)::BIGINT AS slot, count(*) AS calls, count(*) FILTER (NOT success) AS bad FROM (SELECT DISTINCT call_id, started_at, success FROM movement) WHERE started_at IS NOT NULL GROUP BY 1), x AS (SELECT *, (sum(calls) OVER w)::BIGINT AS long_calls, (sum(bad) OVER w)::BIGINT AS long_bad FROM h WINDOW w AS (ORDER BY slot RANGE BETWEEN 5 PRECEDING AND CURRENT ROW)) SELECT * FROM x WHERE bad * 100 > calls * 10 AND long_bad * 100 > long_calls * 8",
     "histogram_buckets": f"WITH {_BUCKETS} SELECT * FROM c",
     "histogram_quantile": f"WITH {_BUCKETS}, x AS (SELECT *, coalesce(lag(n) OVER w, 0) AS below, coalesce(lag(le) OVER w, 0) AS low, max(n) OVER (PARTITION BY metric) * 0.95::DOUBLE AS rank FROM c WINDOW w AS (PARTITION BY metric ORDER BY le)) SELECT metric, round(min(low + (le - low) * (rank - below) / (n - below)), 6) AS p95 FROM x WHERE n >= rank AND below < rank GROUP BY 1",
-    "gap_and_coverage": "WITH t AS (SELECT cohort, metric, epoch_us(observed_at) AS t, count(*) AS n FROM samples WHERE cohort IS NOT NULL AND observed_at IS NOT NULL GROUP BY ALL), g AS (SELECT *, t - lag(t) OVER (PARTITION BY cohort, metric ORDER BY t) AS gap FROM t) SELECT cohort, metric, sum(n)::BIGINT AS events, count(*) AS times, coalesce(max(gap), 0) AS longest_gap_us FROM g GROUP BY 1, 2",
+    "gap_and_coverage": "WITH t AS (SELECT cohort, metric, epoch_us(observed_at) AS t, count(*) AS n FROM samples WHERE observed_at IS NOT NULL GROUP BY ALL), g AS (SELECT *, t - lag(t) OVER (PARTITION BY cohort, metric ORDER BY t) AS gap FROM t) SELECT cohort, metric, sum(n)::BIGINT AS events, count(*) AS times, coalesce(max(gap), 0) AS longest_gap_us FROM g GROUP BY 1, 2",
     "slot_completeness": "SELECT kind, max(slot) - min(slot) + 1 AS expected, count(DISTINCT slot) AS seen, round(count(DISTINCT slot) / (max(slot) - min(slot) + 1), 6) AS coverage FROM (SELECT event_type AS kind, epoch_us(ts) // 3600000000 AS slot FROM events) GROUP BY 1",
     "sustained_condition": f"WITH {_E}, t AS (SELECT user_id, at_us AS t, bool_and(value > 40) AS ok FROM e GROUP BY 1, 2), b AS (SELECT *, coalesce(NOT ok OR t - lag(t) OVER w > 86400000000 OR NOT lag(ok) OVER w, TRUE) AS brk FROM t WINDOW w AS (PARTITION BY user_id ORDER BY t)), p AS (SELECT *, sum(brk::INT) OVER (PARTITION BY user_id ORDER BY t) AS part FROM b) SELECT user_id, min(t) AS start_us, max(t) AS end_us, count(*) AS samples FROM p WHERE ok GROUP BY user_id, part HAVING max(t) - min(t) >= 3600000000",
     "max_concurrency_sweep": f"WITH e AS (SELECT job_id, epoch_us(started_at) AS t, 1 AS d FROM {_CALLS} WHERE started_at IS NOT NULL AND (completed_at IS NULL OR completed_at > started_at) UNION ALL SELECT job_id, epoch_us(completed_at), -1 FROM {_CALLS} WHERE completed_at > started_at), n AS (SELECT job_id, t, sum(d) AS d FROM e GROUP BY 1, 2) SELECT job_id, max(p)::BIGINT AS peak FROM (SELECT job_id, sum(d) OVER (PARTITION BY job_id ORDER BY t) AS p FROM n) GROUP BY 1",
@@ -257,7 +257,7 @@ SQL = {
     "attempt_chain_faults": "WITH m AS (SELECT DISTINCT call_id, logical_move_id AS l, attempt_number AS a, started_at AS s, completed_at AS e, success, terminal_state AS t FROM movement), p AS (SELECT DISTINCT y.l, y.s < x.s AS sf, y.e < x.e AS ef, x.t IS NOT NULL AS bt FROM m x JOIN m y ON x.l = y.l AND x.a < y.a), q AS (SELECT l, coalesce(bool_or(sf), FALSE) AS start_falls, coalesce(bool_or(ef), FALSE) AS end_falls, bool_or(bt) AS bt FROM p GROUP BY 1), g AS (SELECT l, count(*) AS calls, min(a) <> 1 OR max(a) - min(a) + 1 <> count(DISTINCT a) AS holes, count(*) FILTER (success) > 1 AS several, coalesce(max(a) FILTER (success) < max(a), FALSE) AS early, bool_or(coalesce(t = 'succeeded', FALSE) IS DISTINCT FROM success) AS bad FROM m GROUP BY 1) SELECT * FROM (SELECT g.l AS logical_move_id, calls, holes, several, early, coalesce(start_falls, FALSE) AS start_falls, coalesce(end_falls, FALSE) AS end_falls, bad OR coalesce(bt, FALSE) AS wrong_end FROM g LEFT JOIN q ON g.l = q.l) WHERE holes OR several OR early OR start_falls OR end_falls OR wrong_end",
     "job_status_rollup": f"SELECT job_id, coalesce(arg_max(coalesce(terminal_state, 'open'), (coalesce(epoch_us(started_at), -1), attempt_number, call_id)), 'open') AS state, arg_max(call_id, (coalesce(epoch_us(started_at), -1), attempt_number, call_id)) AS last_call, count(*) AS calls, max(attempt_number) AS most_attempts FROM (SELECT DISTINCT call_id, job_id, attempt_number, started_at, success, terminal_state FROM movement) GROUP BY 1",
     "lag_state_transitions": "SELECT before AS from_kind, kind AS to_kind, count(*) AS n FROM (SELECT event_type AS kind, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events) WHERE before IS NOT NULL GROUP BY 1, 2",
-    "load_evaluation": "SELECT cohort, metric, count(*) AS samples, count(*) FILTER (value = -1) AS failed, (count(*) - count(*) FILTER (value = -1)) * 1000 >= count(*) * 990 AS enough FROM (SELECT DISTINCT sample_id, cohort, metric, value FROM samples) WHERE cohort IS NOT NULL AND value IS NOT NULL AND NOT isnan(value) GROUP BY 1, 2",
+    "load_evaluation": "SELECT cohort, metric, count(*) AS samples, count(*) FILTER (value = -1) AS failed, (count(*) - count(*) FILTER (value = -1)) * 1000 >= count(*) * 990 AS enough FROM (SELECT DISTINCT sample_id, cohort, metric, value FROM samples) WHERE value IS NOT NULL AND NOT isnan(value) GROUP BY 1, 2",
     "max_unless_unknown": "SELECT metric, max(value) AS most FROM samples WHERE NOT isnan(value) AND metric NOT IN (SELECT metric FROM samples WHERE value IS NULL) GROUP BY 1",
     "ingestion_lag": "SELECT metric, count(*) AS samples, max(g) AS most_us, (sum(g) // count(*))::BIGINT AS mean_us, count(*) FILTER (g > 86400000000) AS late FROM (SELECT metric, epoch_us(received_at) - epoch_us(observed_at) AS g FROM (SELECT DISTINCT sample_id, metric, observed_at, received_at FROM samples) WHERE observed_at IS NOT NULL AND received_at IS NOT NULL) GROUP BY 1",
     "sessions": "WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 2 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), p AS (SELECT user_id, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS part FROM g), s AS (SELECT user_id, part, count(*) AS n FROM p GROUP BY 1, 2) SELECT user_id, count(*) AS sessions, max(n) AS longest FROM s GROUP BY 1",
