@@ -60,6 +60,33 @@ def pii_pattern_findings(spark: SparkSession, d: str) -> DataFrame:
     return c.pattern_findings(table(spark, d, "corpus", "passage_id", "text").distinct(), "passage_id", "text")
 
 
+def pii_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    """What the detectors by pattern say of each passage: status, failure, kinds found and the greatest confidence of any."""
+    x = c.detected(table(spark, d, "corpus", "passage_id", "text").distinct(), "passage_id", "text")
+    return x.select("passage_id", "status", "failure_code", F.array_join(F.transform("findings", lambda f: f["kind"]), ",").alias("kinds"), F.array_max(F.transform("findings", lambda f: f["confidence"])).alias("confidence"))
+
+
+#: Secrets that secrets_gone puts in front of texts, and what must be left of them.
+PLANTED = [
+    ("https://u:p@h.test/?token=abc&x=1", "https://[REDACTED]@h.test/?token=[REDACTED]&x=1"),
+    ("Authorization: Bearer a.b.c", "Authorization: [REDACTED]"),
+    ("Cookie: sid=abc; theme=x", "Cookie: [REDACTED]"),
+    ("run --password x --verbose y", "run --password [REDACTED] --verbose y"),
+    ('{"api_key": "x y", "name": "z"}', '{"api_key": "[REDACTED]", "name": "z"}'),
+    ("clientSecret=x, max_tokens=5", "clientSecret=[REDACTED], max_tokens=5"),
+    ("-----BEGIN PRIVATE KEY-----\nMII\n-----END PRIVATE KEY-----", "[REDACTED]"),
+]
+
+
+def secrets_gone(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with a secret put in front by rule, one kind after another: whether it is gone and nothing else is changed."""
+    t = table(spark, d, "documents", "doc_id", "text").where("text IS NOT NULL")
+    which = F.pmod(F.col("doc_id"), F.lit(len(PLANTED))).cast("int")
+    secret, left = (F.element_at(F.array(*[F.lit(x[k]) for x in PLANTED]), which + 1) for k in (0, 1))
+    out = c.redact_secrets(F.concat(secret, F.lit("\n"), F.col("text")))
+    return t.select("doc_id", which.alias("kind"), (out == F.concat(left, F.lit("\n"), F.col("text"))).alias("clean"))
+
+
 def secret_redaction(spark: SparkSession, d: str) -> DataFrame:
     """Documents with user parts of URLs, tokens or secrets replaced."""
     t = table(spark, d, "documents", "doc_id", "text").where("text IS NOT NULL")
@@ -208,7 +235,7 @@ def feature_hash_vectors(spark: SparkSession, d: str) -> DataFrame:
     return v.where("value <> 0").select("passage_id", F.col("bucket").cast("long").alias("bucket"), F.round("value", 6).alias("value"))
 
 
-QUERIES = {f.__name__: f for f in (text_chunks, chunk_digests, chunk_digests_all, fixed_passages, word_boundary_passages, tidy_digests, object_types, pii_pattern_findings, secret_redaction, pseudonyms, canonical_times, passage_uuids, span_grounding, metadata_score_topk, bm25_topk, bm25_fields_topk, rrf_fusion, rrf_all_signals, extractive_answers, vector_exact_knn, max_similarity_per_label, ann_recall, vector_norms, feature_hash_embedding, feature_hash_vectors)}
+QUERIES = {f.__name__: f for f in (text_chunks, chunk_digests, chunk_digests_all, fixed_passages, word_boundary_passages, tidy_digests, object_types, pii_pattern_findings, pii_outcomes, secrets_gone, secret_redaction, pseudonyms, canonical_times, passage_uuids, span_grounding, metadata_score_topk, bm25_topk, bm25_fields_topk, rrf_fusion, rrf_all_signals, extractive_answers, vector_exact_knn, max_similarity_per_label, ann_recall, vector_norms, feature_hash_embedding, feature_hash_vectors)}
 
 _Q = "q AS (SELECT * FROM (VALUES " + ", ".join(f"({i}::BIGINT, '{q}')" for i, q in enumerate(QUESTIONS)) + ") t(query_id, query))"
 _W = "list_filter(regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}]+'), lambda w: length(w) <= {1})"
@@ -236,6 +263,13 @@ SQL = {
     "text_chunks": "SELECT doc_id, k AS chunk_index, k * 256 AS byte_offset, least(256, n - k * 256) AS byte_length FROM (SELECT doc_id, n, unnest(range((n + 255) // 256)) AS k FROM (SELECT doc_id, octet_length(encode(text)) AS n FROM documents WHERE text IS NOT NULL))",
     "chunk_digests": "SELECT sha256(substr(text, (k * 256 + 1)::BIGINT, 256)) AS sha256, count(*) AS n FROM (SELECT text, unnest(range((length(text) + 255) // 256)) AS k FROM documents WHERE octet_length(encode(text)) = length(text) AND length(text) > 0) GROUP BY 1 HAVING count(*) > 1",
     "fixed_passages": "SELECT id, k AS passage_index, k * 900 AS start_codepoint, least(n, k * 900 + 1000) AS end_codepoint FROM (SELECT id, n, unnest(range(greatest(1, ceil((n - 100) / 900)::BIGINT))) AS k FROM (SELECT DISTINCT id, length(source_text) AS n FROM golden WHERE length(source_text) > 0))",
+    "chunk_digests_all": "SELECT sha256(unhex(substr(h, (k * 512 + 1)::BIGINT, 512))) AS sha256, count(*) AS n FROM (SELECT h, unnest(range((length(h) + 511) // 512)) AS k FROM (SELECT hex(encode(text)) AS h FROM documents WHERE length(text) > 0)) GROUP BY 1 HAVING count(*) > 1",
+    "secrets_gone": f"SELECT doc_id, (doc_id % {len(PLANTED)})::INT AS kind, TRUE AS clean FROM documents WHERE text IS NOT NULL",
+    "pii_outcomes": rf"""
+WITH c AS (SELECT DISTINCT passage_id, text FROM corpus), x AS (SELECT passage_id, text,
+  len(regexp_extract_all(regexp_replace(text, '([^A-Za-z0-9._%+@-])', '\1\1', 'g'), '(^|[^A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)*\.[A-Za-z]{{2,}}($|[^A-Za-z0-9])')) > 0 AS e,
+  len(list_filter(regexp_extract_all(regexp_replace(text, '([^0-9-])', '\1\1', 'g'), '(^|[^0-9-])([0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}})($|[^0-9-])', 2), lambda m: NOT (m[1:3] IN ('000', '666') OR m[1:1] = '9' OR m[5:6] = '00' OR m[8:11] = '0000'))) > 0 AS s FROM c)
+SELECT passage_id, CASE WHEN text IS NULL THEN 'unknown' ELSE 'succeeded' END AS status, NULL::VARCHAR AS failure_code, coalesce(concat_ws(',', CASE WHEN e THEN 'email' END, CASE WHEN s THEN 'us_ssn' END), '') AS kinds, CASE WHEN e THEN 0.9::DOUBLE WHEN s THEN 0.85::DOUBLE END AS confidence FROM x""",
     "word_boundary_passages": r"""
 WITH RECURSIVE g AS (SELECT DISTINCT id, source_text AS t, length(source_text) AS n FROM golden WHERE length(source_text) > 0),
 w AS (
