@@ -3,8 +3,8 @@
 Each interval becomes a plus event at its start and a minus event at its end; the prefix sum of the signs is the number of open
 intervals. Where it rises from zero a period begins, where it falls to zero one ends, and the time to the next event is a gap.
 
-An entity may hold a third of all rows, so no window runs over an entity's events. Time is laid out in blocks of fixed length;
-within (entity, block) the sums start at zero, and a block is summed up in one row: total, lowest prefix and what follows the last
+An entity may hold a third of all rows, so no window runs over an entity's events. Time is laid out in blocks, of an hour or as much shorter
+as the number of rows in the time they span asks for; within (entity, block) the sums start at zero, and a block is summed up in one row: total, lowest prefix and what follows the last
 lowest place. A window over an entity's blocks, of which there are at most span / block length, carries open counts and open starts on.
 
 Defined cases: rows without start, or with an end not after the start, are ignored; without end an interval stays open (end -1);
@@ -18,7 +18,14 @@ from pyspark.sql import functions as F
 
 #: The time of the minus event of an interval that stays open.
 FOREVER = (1 << 63) - 1
-BLOCK_US = 3_600_000_000
+#: The longest block, and the events of one that are aimed at if all intervals were of one entity and spread evenly.
+BLOCK_US, BLOCK_EVENTS = 3_600_000_000, 1_000_000
+
+
+def block_length(intervals: DataFrame) -> int:
+    """The length of the blocks for intervals (start_us), from their number and span; it changes no result."""
+    n, low, high = intervals.agg(F.count("start_us"), F.min("start_us"), F.max("start_us")).collect()[0]
+    return BLOCK_US if not n else max(1, min(BLOCK_US, (high - low) * BLOCK_EVENTS // (2 * n)))
 
 
 def boundary_events(intervals: DataFrame, block_us: int = BLOCK_US) -> DataFrame:
@@ -33,11 +40,12 @@ def boundary_events(intervals: DataFrame, block_us: int = BLOCK_US) -> DataFrame
     )
 
 
-def sweep(intervals: DataFrame, block_us: int = BLOCK_US) -> DataFrame:
+def sweep(intervals: DataFrame, block_us: int | None = None) -> DataFrame:
     """Periods and gaps of intervals (entity, start_us, end_us): entity, kind, start_us, end_us, intervals.
 
     kind period: one continuous stretch and the number of distinct intervals in it; kind gap: between two periods, intervals 0.
     """
+    block_us = block_length(intervals) if block_us is None else block_us
     within = Window.partitionBy("entity", "block").orderBy("t")
     so_far = within.rowsBetween(Window.unboundedPreceding, 0)
     events = (
@@ -65,7 +73,7 @@ def sweep(intervals: DataFrame, block_us: int = BLOCK_US) -> DataFrame:
     return closing.select(entity, F.explode(F.when(F.col("next_any").isNotNull(), F.array(period, gap)).otherwise(F.array(period))).alias("x")).select("entity", "x.*")
 
 
-def merged_and_gaps(intervals: DataFrame, block_us: int = BLOCK_US) -> DataFrame:
+def merged_and_gaps(intervals: DataFrame, block_us: int | None = None) -> DataFrame:
     """entity, kind, start_us, end_us: periods of at least two different intervals as merged, and the gaps."""
     kind = F.when(F.col("kind") == "period", F.lit("merged")).otherwise(F.col("kind"))
     return sweep(intervals, block_us).where((F.col("kind") == "gap") | (F.col("intervals") >= 2)).select("entity", kind.alias("kind"), "start_us", "end_us")

@@ -30,9 +30,16 @@ def brute_sweep(rows):
     return out
 
 
-@pytest.mark.parametrize("block_us", [1, 7, 40, 10_000])
+def test_blocks_are_shorter_where_rows_are_many(spark, monkeypatch):
+    df = spark.createDataFrame([("x", 1_000_000 * k, None) for k in range(100)], "entity string, start_us long, end_us long")
+    monkeypatch.setattr(intervals, "BLOCK_EVENTS", 20)
+    assert intervals.block_length(df) == 9_900_000 and intervals.block_length(df.limit(0)) == intervals.BLOCK_US and intervals.block_length(df.limit(1)) == 1
+    assert len(intervals.sweep(df).collect()) == 1
+
+
+@pytest.mark.parametrize("block_us", [None, 1, 7, 40, 10_000])
 def test_sweep_is_brute_force_in_any_block_length(spark, block_us):
-    r = random.Random(block_us)
+    r = random.Random(block_us or 0)
     rows = []
     for _ in range(400):
         s = r.randint(-50, 400)
