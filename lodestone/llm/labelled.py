@@ -30,6 +30,7 @@ _TEXT = {
     "adj": "old new green small late early broken empty heavy quiet yearly partial public private frozen warm cold sealed stale damaged missing spare main second final wooden modern silent golden silver amber crimson hidden northern rapid legal internal external open closed annual weekly nightly shared common strict basic global local".split(),
     "verb": "opened closed arrived failed started stopped moved waited grew fell broke finished changed returned stayed expired passed turned vanished improved froze".split(),
     "did": "repaired sold checked counted painted ordered cancelled moved measured replaced cleaned delivered copied rejected archived restored printed translated reviewed merged released deleted renamed verified tested scanned".split(),
+    "acts": "forgot teaches bought sings cooked paints opened married visited plays wrote read finished repaired drove missed carried packed sold won hired helps knows brought takes gave kept met started studies watched cleaned chairs leads likes rides speaks owns needs wants designed borrowed found broke cancelled signed accepted refused tested measured moved planted translated photographed remembers misses defends".split(),
     "who": "the manager|the teacher|our team|the committee|a neighbour|the operator|the engineers|the night crew|the council|a visitor|the supplier|the bank|the postman|the tax office|the museum|an assistant|the front desk|nobody|everyone".split("|"),
     "unit": "kg km m cm mm g l ml s ms h min MB GB GiB TB KiB kWh W V A °C % EUR USD GBP rpm Hz bar pt px lines rows files days hours minutes weeks items pages votes points".split(),
     "month": "January February March April May June July August September October November December".split(),
@@ -219,7 +220,8 @@ class Grammar:
             two = f"{self._c(['North', 'South', 'East', 'West', 'Old', 'Upper', 'N', 'W.'])} " if self._p(0.12) else ""
             out = f"{n} {two}{name()}{' ' + name() if self._p(0.12) else ''} {kind}{self._c([' NW', ' SE', ' N']) if self._p(0.05) else ''}"
             out = out.upper() if self._p(0.04) else out.lower() if self._p(0.03) else out
-            out += unit() + end()
+            first = f"{self._c(['Flat', 'Unit', 'Apartment', 'Suite', 'Room', 'Apt'])} {self._c([self._n(1, 90), self._n(1, 20) + self._c('ABC')])}, " if self._p(0.07) else ""
+            out = first + out + ("" if first else unit()) + end()
         elif x < 0.54:
             out = f"{self._c(['PO Box', 'P.O. Box', 'P. O. Box', 'Post Office Box', 'P.O.Box', 'PO box'])} {self._n(1, 9999)}{end()}"
         elif x < 0.58:
@@ -317,7 +319,7 @@ class Grammar:
         one = lambda: c([P, P, E, T, A, ident, num_only])()
         return c([
             lambda: f"{who()} {said()}{when()}{end()}", lambda: f"{who()} {said()} {about()}{when()}{end()}", lambda: f"{who()} {said()} {reach()}{end()}", lambda: f"{c(['I spoke with', 'We met', 'She lives with', 'They hired', 'Ask', 'Ask for', 'Call', 'Contact', 'Notify', 'Thank', 'Tell', 'Remind', 'Look for', 'He works with', 'It belongs to', 'I’ll inform', 'Please inform', 'Turn to', 'Hand it to', 'A copy goes to'])} {who()} {about()}{when()}{end()}", lambda: f"{c(['Ask', 'Call', 'Invite', 'Please call', 'Turn to', 'Wake', 'Send it to', 'Pass it to', 'Wait for', 'Report to'])} {c([P, G])()} {c(['or', 'and'])} {c([P, G])()} {c(['when the', 'once the', 'before the', 'because the'])} {noun()} {c(_TEXT['verb'])}{end()}",
-            lambda: f"{c(['Ask', 'Call', 'Contact', 'Please contact', 'Reach', 'Questions? Ask', 'Write to'])} {who()} {reach()}{when()}{end()}", lambda: f"{c(['The', 'Our', 'Your', 'A'])} {noun()} was {did()} by {who()}{when()}{end()}", lambda: f"The {noun()} {c(['for', 'of', 'from', 'by', 'with'])} {who()} was {did()}{when()}{end()}", lambda: f"{(lambda x: x[0].upper() + x[1:])(role())} {c(['', 'is ', 'was '])}{who()}{c(['', ' ' + reach(), ', ' + A()])}{end()}", lambda: f"{(lambda x: x[0].upper() + x[1:])(role())}, {who()}, {said()}{when()}{end()}", lambda: f"{c('Driver|Attorney|Engineer|Teacher|Student|Author|Tenant|Curator|Plaintiff|Applicant|Passenger|Coach|Claimant|Chairman|Detective|Poet|Painter|Customer|Member|Senator'.split('|'))} {P()} {said()}{when()}{end()}", lambda: f"The {c('driver|attorney|engineer|signature of|mother of|desk of|office of|estate of|student|letter to|claim of|coach'.split('|'))} {P()} {c(['was', 'is', 'stays'])} {adj()}{end()}", lambda: f"{noun().capitalize()} for {P()}: {c([T, E, A, ident])()}",  lambda: f"{(lambda x: x[0].upper() + x[1:])(role())} {P()} {said()} {c(['and', 'but'])} {P()} {said()}{end()}",
+            lambda: f"{c(['Ask', 'Call', 'Contact', 'Please contact', 'Reach', 'Questions? Ask', 'Write to'])} {who()} {reach()}{when()}{end()}", lambda: f"{who()} {c(_TEXT['acts'])} {c(['the', 'his', 'her', 'a', 'our', 'their', 'every', 'no'])} {c(['', '', adj() + ' '])}{noun()}{when()}{end()}", lambda: f"{who()} {c(_TEXT['acts'])} the {noun()}; {who()} {c(_TEXT['acts'])} {c(['it', 'the ' + noun(), 'nothing', 'music', 'chemistry', 'Spanish'])}{when()}{end()}", lambda: f"{c(['Could', 'Can', 'Will', 'Did', 'Should', 'Why did', 'When does', 'Has', 'Was'])} {c([G, P, G])()} {c('bring open sell find move sign call help join read see send'.split())} {c(['it', 'the ' + noun(), 'us', 'them'])}{when()}?", lambda: f"{c(['Her', 'His', 'My', 'Our', 'Their', 'The new'])} {c('assistant|dentist|brother|uncle|coach|boss|lawyer|neighbour|niece|doctor|mentor|partner|cousin|wife|husband|editor'.split('|'))}{c([' is ', ' was ', ', ', ' '])}{c([P, G])()}{c(['', ', ' + said(), ' ' + c(_TEXT['acts']) + ' the ' + noun()])}{end()}", lambda: f"{P()}, {P()} and {P()} {said()}{end()}", lambda: f"{c([P, G])()} and {c([P, G])()} {c(_TEXT['acts'])} the {noun()}{when()}{end()}", lambda: f"With {c([P, G])()} {c(['away', 'in charge', 'on leave', 'at the desk'])}, {c([P, G])()} {c(_TEXT['acts'])} the {noun()}.", lambda: f"{c(['The', 'Our', 'Your', 'A'])} {noun()} was {did()} by {who()}{when()}{end()}", lambda: f"The {noun()} {c(['for', 'of', 'from', 'by', 'with'])} {who()} was {did()}{when()}{end()}", lambda: f"{(lambda x: x[0].upper() + x[1:])(role())} {c(['', 'is ', 'was '])}{who()}{c(['', ' ' + reach(), ', ' + A()])}{end()}", lambda: f"{(lambda x: x[0].upper() + x[1:])(role())}, {who()}, {said()}{when()}{end()}", lambda: f"{c('Driver|Attorney|Engineer|Teacher|Student|Author|Tenant|Curator|Plaintiff|Applicant|Passenger|Coach|Claimant|Chairman|Detective|Poet|Painter|Customer|Member|Senator'.split('|'))} {P()} {said()}{when()}{end()}", lambda: f"The {c('driver|attorney|engineer|signature of|mother of|desk of|office of|estate of|student|letter to|claim of|coach'.split('|'))} {P()} {c(['was', 'is', 'stays'])} {adj()}{end()}", lambda: f"{noun().capitalize()} for {P()}: {c([T, E, A, ident])()}",  lambda: f"{(lambda x: x[0].upper() + x[1:])(role())} {P()} {said()} {c(['and', 'but'])} {P()} {said()}{end()}",
             lambda: f"“{title()} {F()} {said()},” {c(['she', 'he', 'they'])} {c(['said', 'told us'])}.", lambda: f"“{c(['I saw', 'Ask', 'It was'])} {c([G, P])()},” {c(['said', 'wrote'])} {c([G, P])()}.", lambda: f"{c(['Dear', 'Hello', 'Hi', 'Good morning', 'Hey', 'Liebe', 'Lieber', 'Sehr geehrte Frau', 'Sehr geehrter Herr', 'Cher', 'Chère', 'Querido', 'Estimada'])} {c([P, G, F])()},{c([chr(10), ' ', chr(10)])}{c(['your', 'the', 'our'])} {noun()} was {did()}.", lambda: f"{c(['Thanks', 'Regards', 'Best regards', 'Yours', 'Cheers', 'Kind regards', 'Sincerely', 'Best', 'Grüße', 'Cordialement', 'Saludos'])},{c([chr(10), ' ', chr(10)])}{c([G, G, P])()}{c(['', '', chr(10) + self.plain(), chr(10) + T(), ' ' + self.plain()])}", lambda: f"{c(['hi', 'hey', 'hello', 'ok', 'yo'])} {c(['its', 'this is', ''])} {P()}{c([' here', ' again', ' speaking'])}{c([',', '.', ' -'])} {c(['can u', 'please', 'could you'])} {c(['text', 'ping', 'ring', 'call me on', 'try'])} {T()} {c(['tonight', 'today', 'thx', ''])}".replace("  ", " "),
             lambda: f"{c(['Call', 'Dial', 'Phone', 'Text', 'Ring', 'Try'])} {T()} {c(['now', 'for help', 'after six', 'and ask for ' + G(), 'or write to ' + E()])}{end()}", lambda: f"{c(['The caller', 'A customer', 'She', 'He', 'Somebody', 'The visitor'])} left {T()} and {c(['hung up', 'wants a reply', 'needs help', 'nothing else'])}{end()}", lambda: f"{c(['My', 'Her', 'His', 'Our', 'The'])} {c(['number', 'phone', 'phone number', 'new number', 'mobile', 'fax', 'cell', 'direct line'])} {c(['is', 'was', 'remains'])} {T()}{end()}", lambda: f"Either {T()} or {T()} {c(['works', 'is right', 'reaches us'])}{end()}",
             lambda: f"{c(['Write to', 'Send the ' + noun() + ' to', 'Reply to', 'Mail', 'Forward this to', 'Copy', 'Subscribe at', 'Sent by', 'From', 'Mail us:', 'mailto:' if self._p(0.5) else 'Contact'])} {E()}{when()}{end()}".replace("mailto: ", "mailto:"), lambda: f"{c(['My', 'Her', 'His', 'Our', 'The'])} {c(['address', 'e-mail', 'mail address', 'email address', 'mailbox'])} is {E()}{end()}", lambda: f"{c(['cc', 'cc:', 'bcc', 'to', 'for'])} {E()}{c([';', ',', ' and'])} {E()}", lambda: f"{c(['mailto:', '<', '(', '“'])}{E()}{c([' is full', '> wrote:', ')', '”', ' failed'])}{end()}", lambda: f"{P()} <{E()}> {c(['wrote', 'schrieb', 'a écrit', 'escribió'])}:",
@@ -326,7 +328,8 @@ class Grammar:
             lambda: any_field(), lambda: any_field(), lambda: c(["\n", "\n", "; ", ", ", " | "]).join(any_field() for _ in range(self.r.randint(2, 5))), lambda: c([" / ", ";", "\t", ", ", " | ", " - "]).join(one() for _ in range(self.r.randint(2, 4))), lambda: f"{c(['Record', 'Entry', 'Row', 'Tenant', 'Client', 'Guest', 'Applicant', 'Member'])}{c([': ', ' ' + self._n(1, 999) + ': '])}{P()}{c([' / ', ', ', '; '])}{one()}{c(['', ' / ' + one()])}", lambda: f'{{"name": "{P()}", "{c(["mail", "phone", "address"])}": "{c([E, T, A])()}"}}', lambda: f"{c(['Signed by', 'Approved by', 'Seen by', 'Owner:', 'Author:', 'Assigned to', 'Reviewed by', 'Written by', 'Signed,', 'Present:', 'Paid by'])} {c([P, who])()}{c(['', ', ' + ident(), ' ' + reach(), ', ' + T(), '.'])}",
             lambda: f"{c(['Im Vorstand sitzt', 'Der Antrag kam von', 'Wir danken', 'Zuständig ist', 'Fragen beantwortet', 'Der Brief ging an', 'Bitte informieren Sie', 'Der Schlüssel liegt bei'])} {c([P, lambda: f'Frau {F()}', lambda: f'Herr {F()}', P])()}{c(['.', f', Telefon {T()}.', f', {A()}.', f', Tel. {T()}, E-Mail {E()}.', f' ({E()}).'])}", lambda: f"{c(['Bitte rufen Sie', 'Rückruf erbeten unter', 'Sie erreichen uns unter', 'Telefon', 'Handy'])} {T()}{c([' an', '', ' oder ' + E()])}.", lambda: f"{c(['Herr', 'Frau', 'Familie', 'Dr.'])} {F()} {c(['wohnt in der', 'wohnt', 'zog um nach', 'Anschrift'])} {A()}.", lambda: f"{c(['Die Adresse lautet', 'Unsere Anschrift:', 'Lieferung an', 'Wohnhaft'])} {A()}.", lambda: f"{P()} {c(['hat angerufen', 'ist krank', 'unterschrieb den Vertrag', 'bestätigt die Lieferung', 'zieht um'])}.",
             lambda: f"{c(['Veuillez contacter', 'Il faut rappeler', 'Le dossier de', 'Bonjour', 'La demande vient de', 'Adressez-vous à', 'La lettre de', 'Prière d’informer'])} {c([P, lambda: f'M. {F()}', lambda: f'Mme {F()}', P])()}{c(['.', f' au {T()}.', f' ({E()}).', f', {A()}.', f', joignable au {T()}.'])}", lambda: f"{c(['M.', 'Mme', 'Madame', 'Monsieur'])} {c([F, P])()} {c(['habite', 'habite au', 'demeure', 'réside au'])} {A()}.", lambda: f"{c(['Appelez le', 'Téléphone :', 'Joignable au', 'Écrivez à'])} {c([T, E])()}.", lambda: f"{P()} {c(['a appelé', 'a signé le contrat', 'est absente', 'confirme la livraison'])}.",
-            lambda: f"{c(['Llame a', 'Pregunte por', 'El señor', 'La señora', 'Escriba a', 'La carta es de', 'Firmado por', 'El contrato de'])} {P()}{c(['.', f', {A()}.', f', teléfono {T()}.', f', correo {E()}.', f' al {T()}.'])}", lambda: f"{c(['Mi dirección es', 'Vive en', 'Enviar a', 'La oficina está en'])} {A()}.", lambda: f"{c(['Mi teléfono es', 'Llame al', 'Mi correo es'])} {c([T, E])()}.", lambda: f"{P()} {c(['llamó ayer', 'firmó el contrato', 'vive aquí', 'confirmó la entrega'])}.",
+            lambda: f"{c(['Llame a', 'Pregunte por', 'El señor', 'La señora', 'Escriba a', 'La carta es de', 'Firmado por', 'El contrato de'])} {P()}{c(['.', f', {A()}.', f', teléfono {T()}.', f', correo {E()}.', f' al {T()}.'])}", lambda: f"{c(['La abogada', 'El médico', 'La profesora', 'El alcalde', 'La directora', 'Mi vecina', 'Mi hermano'])} {P()} {c(['tiene', 'perdió', 'abrió', 'vendió', 'busca'])} {c(['su casa', 'la llave', 'el libro', 'una tienda'])}{c(['', ' en la ' + A(), ' en ' + self.town()])}.", lambda: f"{c(['L’avocate', 'Le médecin', 'La directrice', 'Le maire', 'Ma voisine', 'Mon frère', 'L’élève'])} {P()} {c(['cherche', 'a perdu', 'vend', 'ouvre', 'a fermé'])} {c(['sa maison', 'la clé', 'un livre', 'la boutique'])}{c(['', ' au ' + A(), ' à ' + self.town()])}.", lambda: f"{c(['Der Lehrer', 'Die Ärztin', 'Der Bürgermeister', 'Die Anwältin', 'Mein Nachbar', 'Meine Schwester', 'Die Leiterin'])} {P()} {c(['sucht', 'verlor', 'verkauft', 'öffnet', 'braucht', 'hat'])} {c(['ihr Haus', 'den Schlüssel', 'ein Buch', 'die Werkstatt'])}{c(['', ' in der ' + A(), ' in ' + self.town()])}.", lambda: f"{P()} {c(['sucht', 'verlor', 'liest', 'kauft', 'kennt', 'hilft', 'wartet seit'])} {c(['ihr Haus', 'den Schlüssel', 'ein Buch', 'dem Nachbarn', 'Montag'])}.",
+            lambda: f"{c(['Mi dirección es', 'Vive en', 'Enviar a', 'La oficina está en'])} {A()}.", lambda: f"{c(['Mi teléfono es', 'Llame al', 'Mi correo es'])} {c([T, E])()}.", lambda: f"{P()} {c(['llamó ayer', 'firmó el contrato', 'vive aquí', 'confirmó la entrega'])}.",
         ])()
 
     def text(self) -> str:

@@ -104,3 +104,57 @@ ISBN 978-3-16-148410-0 is out of print.
 The number 000-12-3456 is no valid number.
 Rack B7 holds 24 disks of 18 TB.
 The April issue comes out late.""".split("\n")
+
+#: A second set, written after the last training and measured once.
+LATER = """Dr. [person_name|Amelia Okonjo] moved her clinic to [street_address|310 Willow Creek Road, Suite 12, Boise, ID 83702].
+Ring [person_name|Kenji Morita] on [phone|+81 3 5555 0142] before the flight.
+The refund goes to [email|yara.haddad@cedarbank.example], not to the branch.
+My mother, [person_name|Ingeborg Thalmann], was born in 1941 in Graz.
+Please send the keys to [street_address|Flat 3, 58 Canal Street, Manchester M1 3WD].
+I lost my passport ([identity_number|P4718266]) on the train to Prague.
+For the tax office: [identity_number|47 036 892 816].
+[person_name|Lukas] forgot his jacket; could [person_name|Hannah] bring it?
+Herr [person_name|Dietmar Vogelsang] wohnt seit 2009 in der [street_address|Gartenstraße 77, 79098 Freiburg].
+La réunion avec [person_name|Hélène Garnier] est fixée à 9 h.
+Contactez-nous : [email|service.clients@boutique.example] ou [phone|04 72 00 11 22].
+La abogada [person_name|Marta Ibáñez] tiene su despacho en la [street_address|Avenida de América 31, 28002 Madrid].
+Customer [person_name|Noor Rahman] called from [phone|020 7946 0991] and gave the number [identity_number|AB 65 43 21 C].
+[person_name|S. Whitaker] and [person_name|R. J. Donnelly] countersigned.
+If nobody answers, try [phone|555-0170] or [phone|(312) 555-0119 x 41].
+Her SSN is [identity_number|536-22-8145] and her address [street_address|77 Massachusetts Avenue, Cambridge, MA 02139].
+Mail: [email|o.brandt [at] werkstatt [dot] example]
+[person_name|Priscilla Adeleke] teaches chemistry; her assistant is [person_name|Wei Zhang].
+The plaintiff, [person_name|George Papadakis], lives at [street_address|12 Rue des Acacias, 69003 Lyon].
+Return to sender: [person_name|Tess Holloway], [street_address|PO Box 318, Fargo, ND 58107].
+The lake is 14 km long and 310 m deep.
+Page 212 of the Blue Guide describes the Old Town Hall.
+Invoice 2024-0093 is due on 15 June; pay 1,240.00 EUR.
+Bring 2 forks, 3 knives and 12 plates to room 7.
+Mount Elbert lies in Colorado, Ben Nevis in Scotland.
+Der Bus 42 fährt ab 6.15 Uhr alle 20 Minuten zum Bahnhof.""".split("\n")
+LATER_STAFF = {"given": ["Amelia", "Lukas", "Noor", "Tess"], "family": ["Vogelsang", "Garnier", "Donnelly", "Zhang"]}
+
+#: A third set, written while the model was trained for the last time, after the second had been read, and measured once.
+LAST = """[person_name|Ruth Abernathy] restored the organ in four months.
+I met [person_name|Tomasz Wrona] and [person_name|Elin Sandberg] at the fair.
+You will find our shop at [street_address|205 Orchard Street, Unit 9, Burlington, VT 05401].
+Her extension is new: [phone|(802) 555-0146 ext. 88].
+Please mail [email|frida-berg@nordlicht.example] the drawings by Friday.
+Taxpayer number: [identity_number|83 402 117 955].
+The guard wrote down passport [identity_number|N9K27X415] and let us in.
+[person_name|Oskar], your bicycle is in the hall.
+Der Hausmeister heißt [person_name|Manfred Köhler], Telefon [phone|0761 555 018].
+Madame [person_name|Lefort] attend au [street_address|5 bis avenue du Parc, 35000 Rennes].
+Escriba al taller o llame a [person_name|Inés Prieto].
+Mr [person_name|Osei] lives at [street_address|Flat 12, 9 Mill Road, Cambridge CB1 2AZ].
+The nurse called [person_name|Gwendolyn Frost] twice on [phone|+44 7700 900 318].
+Her social security number, [identity_number|301-45-7729], is on page two.
+[person_name|BAKARE, FOLASADE] passed the exam.
+Yesterday [person_name|Nils] and [person_name|Petra] cleaned the cellar.
+The train to Lindau leaves platform 4 at 17:52.
+Use 250 ml of water and 40 g of sugar for 6 people.
+Chapter 9, Harbour Lights, begins on page 188.
+Serial number 7730019245 belongs to the old pump.
+Am Samstag fallen 12 Züge zwischen Ulm und Augsburg aus.
+In June the council raised the rents by 4 percent.""".split("\n")
+LAST_STAFF = {"given": ["Ruth", "Oskar", "Nils"], "family": ["Sandberg", "Osei", "Köhler"]}
