@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.keys import instant_us, plain_key
-from lodestone.operators.skew import HOT_ROWS, hot_keys, skew_join
+from lodestone.operators.skew import HOT_ROWS, hot_join, hot_keys, skew_join
 from lodestone.session import cut
 from lodestone.sources import sinks
 
@@ -85,10 +85,7 @@ def with_time_of(big: DataFrame, key: str, owners: DataFrame, hot_rows: int = HO
     Rows of an owner with many move nowhere; those without an owner's key keep a null.
     """
     first = owners.groupBy("key").agg(F.min("created_us").alias("ref_us")).withColumnRenamed("key", "__owner")
-    rows = big.withColumnRenamed(key, "__owner")
-    hot = cut(hot_keys(rows.where(F.col("__owner").isNotNull()).groupBy("__owner").agg(F.count(F.lit(1)).alias("n")), ["__owner"], "n", hot_rows))
-    known = skew_join(rows.where(F.col("__owner").isNotNull()), first, ["__owner"], hot, "left").drop("__owner")
-    return known.unionByName(rows.where(F.col("__owner").isNull()).drop("__owner").withColumn("ref_us", F.lit(None).cast("long")))
+    return hot_join(big.withColumnRenamed(key, "__owner"), first, ["__owner"], "left", hot_rows).drop("__owner")
 
 
 def catalog_references(object_contents: DataFrame, chunks: DataFrame, manifests: DataFrame, reservations: DataFrame) -> DataFrame:

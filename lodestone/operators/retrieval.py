@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.session import prepare_workers, stored, worker
+from lodestone.session import cut, prepare_workers, stored, worker
 
 WORD = r"[\p{L}\p{N}]+"
 #: Query vectors that go to a partition at once.
@@ -54,18 +54,21 @@ def bm25(docs: DataFrame, identity: str, text: str, queries: DataFrame, k1: floa
 def bm25_fields(docs: DataFrame, identity: str, fields: dict[str, float], queries: DataFrame, k1: float = 1.2, b: float = 0.75, keep: Column | None = None, once: bool = False) -> DataFrame:
     """query_id, identity, score: BM25 of every field with its boost, the best field per word of the query, summed over its words.
 
-    Counts and lengths are those of each field over the whole corpus; a word that the query repeats counts as often, or once. keep: a filter
-    over docs that changes no score. The words of the queries are broadcast: their number is that of the questions asked.
+    Counts and lengths are those of each field over the whole corpus, exact copies of a row once; a word that the query repeats counts as often,
+    or once. keep: a filter over docs that changes no score. Each text is read once and moves nowhere: what is shuffled of it is its length and
+    those of its words that some query asks for. The words asked for come to the driver; their number is that of the questions' words.
     """
     times = F.max(F.lit(1)) if once else F.count(F.lit(1))
-    asked = queries.select("query_id", F.explode(words(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(times.alias("times"))
+    asked = cut(queries.select("query_id", F.explode(words(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(times.alias("times")))
+    terms = [r.term for r in asked.select("term").distinct().collect()]
     kept = F.coalesce(keep, F.lit(False)) if keep is not None else F.lit(True)
-    known = docs.select(identity, kept.alias("__kept"), *[words(F.coalesce(F.col(f), F.lit(""))).alias(f) for f in fields])
-    stats = known.agg(F.count(F.lit(1)).alias("docs"), *[F.avg(F.size(f)).alias(f) for f in fields]).collect()[0]
-    each = known.select(identity, "__kept", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.lit(float(w)).alias("boost"), F.lit(float(stats[f] or 1)).alias("mean"), F.size(f).alias("length"), F.col(f).alias("w")) for f, w in fields.items()])).alias("x"))
-    p = each.select(identity, "__kept", "x.*").select(identity, "__kept", "field", "boost", "mean", "length", F.explode("w").alias("term")).join(F.broadcast(asked.select("term").distinct()), "term", "left_semi")
+    cut_up = docs.select(identity, kept.alias("__kept"), F.xxhash64(*fields).alias("__text"), *[words(F.coalesce(F.col(f), F.lit(""))).alias(f) for f in fields])
+    narrow = cut(cut_up.select(identity, "__kept", "__text", *[F.struct(F.size(f).alias("length"), F.filter(f, lambda w: w.isin(terms)).alias("w")).alias(f) for f in fields]).distinct())
+    stats = narrow.agg(F.count(F.lit(1)).alias("docs"), *[F.avg(F.col(f)["length"]).alias(f) for f in fields]).collect()[0]
+    each = narrow.select(identity, "__kept", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.lit(float(w)).alias("boost"), F.lit(float(stats[f] or 1)).alias("mean"), F.col(f)["length"].alias("length"), F.col(f)["w"].alias("w")) for f, w in fields.items()])).alias("x"))
+    p = each.select(identity, "__kept", "x.*").select(identity, "__kept", "field", "boost", "mean", "length", F.explode("w").alias("term"))
     p = p.groupBy("term", "field", identity).agg(F.count(F.lit(1)).alias("tf"), F.max("length").alias("length"), F.max("boost").alias("boost"), F.max("mean").alias("mean"), F.max("__kept").alias("__kept"))
-    df = p.groupBy("term", "field").agg(F.count(F.lit(1)).alias("df"))
+    df = p.groupBy("term", "field").agg(F.count(F.lit(1)).alias("df"))  # a row per word asked for and field
     idf = F.log(1 + (stats["docs"] - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = F.col("boost") * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
     best = p.where("__kept").join(F.broadcast(df), ["term", "field"]).groupBy("term", identity).agg(F.max(weight).alias("weight"))

@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.session import cut
+
 #: Rows of a key from which it is hot, and of which one part of it has about as many.
 HOT_ROWS = 100_000
 #: The longest list of hot keys that is broadcast.
@@ -31,9 +33,18 @@ def skew_join(big: DataFrame, unique: DataFrame, keys: list[str], hot: DataFrame
     how: inner or left. hot: as from hot_keys; it is read three times, so it should be cut. Exact copies do no harm, whatever their number.
     Column names other than keys must not clash.
     """
-    hot = hot.select(*keys)
+    known = " AND ".join(f"`{k}` IS NOT NULL" for k in keys)
+    hot = hot.where(known).select(*keys)
     met = F.broadcast(hot.join(unique, keys, how))  # at most a row per hot key
-    return big.join(met, keys).unionByName(big.join(F.broadcast(hot), keys, "left_anti").join(unique, keys, how))
+    out = big.join(met, keys).unionByName(big.where(known).join(F.broadcast(hot), keys, "left_anti").join(unique, keys, how))
+    if how == "left":  # rows without a key meet nothing and need not come together
+        out = out.unionByName(big.where(f"NOT ({known})").select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in unique.schema.fields if f.name not in keys]))
+    return out
+
+
+def hot_join(big: DataFrame, unique: DataFrame, keys: list[str], how: str = "inner", hot_rows: int = HOT_ROWS) -> DataFrame:
+    """skew_join with the hot keys counted first: one more pass over the keys of big, summed map-side."""
+    return skew_join(big, unique, keys, cut(hot_keys(big.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")), keys, "__n", hot_rows)), how)
 
 
 def salted_join(big: DataFrame, unique: DataFrame, keys: list[str], hot: DataFrame, how: str = "inner") -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.keys import cas_key, instant_us, is_digest
 from lodestone.operators import catalog as c
+from lodestone.operators.skew import hot_join
 from lodestone.sources.tables import table
 
 PREFIX, PAGE = "q1/", 50
@@ -27,21 +28,22 @@ def object_content(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "object_contents", "object_id", "manifest_id").distinct()
     m = table(spark, d, "content_manifests", "manifest_id", "content_sha256", "chunk_count").distinct()
     b = table(spark, d, "content_blobs", "sha256", "size").distinct()
-    return o.join(m, "manifest_id").join(b, F.col("content_sha256") == F.col("sha256")).select("object_id", "manifest_id", "sha256", "size", "chunk_count")
+    x = hot_join(o, m, ["manifest_id"]).withColumnRenamed("content_sha256", "sha256")
+    return hot_join(x, b, ["sha256"]).select("object_id", "manifest_id", "sha256", "size", "chunk_count")
 
 
 def content_or_none(spark: SparkSession, d: str) -> DataFrame:
     """Objects with or without their manifest, counted by representation."""
     o = table(spark, d, "object_contents", "object_id", "manifest_id").distinct()
     m = table(spark, d, "content_manifests", "manifest_id", "representation").distinct()
-    return o.join(m, "manifest_id", "left").groupBy(F.coalesce("representation", F.lit("none")).alias("representation")).agg(F.count(F.lit(1)).alias("objects"))
+    return hot_join(o, m, ["manifest_id"], "left").groupBy(F.coalesce("representation", F.lit("none")).alias("representation")).agg(F.count(F.lit(1)).alias("objects"))
 
 
 def reference_reconcile(spark: SparkSession, d: str) -> DataFrame:
     """Stored against counted references of each blob, with issue codes; counts are made before the joins."""
     m = table(spark, d, "content_manifests", "manifest_id", "content_sha256").distinct()
     o = table(spark, d, "object_contents", "object_id", "manifest_id").distinct()
-    roots = o.join(m, "manifest_id").groupBy(F.col("content_sha256").alias("sha256")).agg(F.count(F.lit(1)).alias("object_refs"))
+    roots = hot_join(o, m, ["manifest_id"]).groupBy(F.col("content_sha256").alias("sha256")).agg(F.count(F.lit(1)).alias("object_refs"))
     chunks = table(spark, d, "content_manifest_chunks", "manifest_id", "chunk_index", "chunk_sha256").distinct().groupBy(F.col("chunk_sha256").alias("sha256")).agg(F.count(F.lit(1)).alias("chunk_refs"))
     b = table(spark, d, "content_blobs", "sha256", "reference_count", "unreferenced_at").distinct()
     x = b.join(roots, "sha256", "left").join(chunks, "sha256", "left").na.fill(0, ["object_refs", "chunk_refs"]).withColumn("expected", F.col("object_refs") + F.col("chunk_refs"))
@@ -68,9 +70,9 @@ def manifest_chunks_present(spark: SparkSession, d: str) -> DataFrame:
     """Manifests with their root blob, their chunks and those of them that have a blob (the blobs joined twice)."""
     m = table(spark, d, "content_manifests", "manifest_id", "content_sha256", "chunk_count").distinct()
     root = table(spark, d, "content_blobs", "sha256").distinct().select(F.col("sha256").alias("root"))
-    part = root.select(F.col("root").alias("part"))
+    part = root.select(F.col("root").alias("chunk_sha256"), F.lit(True).alias("part"))
     ch = table(spark, d, "content_manifest_chunks", "manifest_id", "chunk_index", "chunk_sha256").distinct()
-    per = ch.join(part, F.col("chunk_sha256") == F.col("part"), "left").groupBy("manifest_id").agg(F.count(F.lit(1)).alias("chunks"), F.count("part").alias("present"))
+    per = hot_join(ch, part, ["chunk_sha256"], "left").groupBy("manifest_id").agg(F.count(F.lit(1)).alias("chunks"), F.count("part").alias("present"))
     x = m.join(root, F.col("content_sha256") == F.col("root")).join(per, "manifest_id", "left").na.fill(0, ["chunks", "present"])
     return x.select("manifest_id", "chunk_count", "chunks", "present", (F.col("chunks") == F.col("chunk_count")).alias("complete"))
 
@@ -184,8 +186,8 @@ def blob_lifetimes(spark: SparkSession, d: str) -> DataFrame:
     """Chunk references joined with their blob where the manifest came while the blob was there (equi-join with inequalities)."""
     m = table(spark, d, "content_manifests", "manifest_id", "created_at").select("manifest_id", instant_us(F.col("created_at")).alias("made_us")).distinct()
     b = table(spark, d, "content_blobs", "sha256", "created_at", "unreferenced_at").select("sha256", instant_us(F.col("created_at")).alias("from_us"), instant_us(F.col("unreferenced_at")).alias("to_us")).distinct()
-    ch = table(spark, d, "content_manifest_chunks", "manifest_id", "chunk_index", "chunk_sha256").distinct().join(m, "manifest_id")
-    x = ch.join(b, (F.col("chunk_sha256") == F.col("sha256")) & (F.col("made_us") >= F.col("from_us")) & (F.col("to_us").isNull() | (F.col("made_us") < F.col("to_us"))))
+    ch = table(spark, d, "content_manifest_chunks", "manifest_id", "chunk_index", F.col("chunk_sha256").alias("sha256")).distinct()
+    x = hot_join(hot_join(ch, m, ["manifest_id"]), b, ["sha256"]).where((F.col("made_us") >= F.col("from_us")) & (F.col("to_us").isNull() | (F.col("made_us") < F.col("to_us"))))
     return x.groupBy("sha256").agg(F.count(F.lit(1)).alias("live_refs"))
 
 

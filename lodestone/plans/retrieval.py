@@ -136,7 +136,7 @@ def metadata_score_topk(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _keyword(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "corpus", "passage_id", "text").distinct()
+    docs = table(spark, d, "corpus", "passage_id", "text")
     return r.bm25(docs, "passage_id", "text", _questions(spark)).withColumn("score", F.round("score", 6))
 
 
@@ -157,7 +157,7 @@ def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
 
 def _fields(spark: SparkSession, d: str) -> DataFrame:
     values = F.array_join(F.transform(F.array_sort(F.map_entries("metadata")), lambda e: e["value"]), " ")
-    docs = table(spark, d, "corpus", "passage_id", "text", "object_key", values.alias("values")).distinct()
+    docs = table(spark, d, "corpus", "passage_id", "text", "object_key", values.alias("values"))
     return r.bm25_fields(docs, "passage_id", {"text": 2.0, "object_key": 1.5, "values": 1.0}, _questions(spark)).withColumn("score", F.round("score", 6))
 
 

@@ -93,7 +93,7 @@ def plain_scope_holds(spark: SparkSession, d: str) -> DataFrame:
 
 def keyword_filtered(spark: SparkSession, d: str) -> DataFrame:
     """The best passages by keyword among those of a tier, a MIME type and a topic's department; scores are those without the filter."""
-    docs = table(spark, d, "corpus", "passage_id", "text", "tier", "mime", F.col("metadata")["department"].alias("department")).distinct()
+    docs = table(spark, d, "corpus", "passage_id", "text", "tier", "mime", F.col("metadata")["department"].alias("department"))
     keep = p.all_of(p.one_of(F.col("tier"), ["hot", "warm", "cool"]), F.col("mime") == "application/pdf", p.one_of(F.col("department"), ["finance", "legal", "operations"]))
     scored = r.bm25(docs, "passage_id", "text", base._questions(spark), keep=keep).withColumn("score", F.round("score", 6))
     return r.top_k(scored, ["query_id"], [F.col("score").desc(), F.col("passage_id")], TOP)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from lodestone.sources import listing, sinks
@@ -66,3 +67,21 @@ def test_each_batch_feeds_an_index(spark, tmp_path):
     root = str(tmp_path / "idx")
     jobs.each_batch(jobs.source(spark, str(tmp_path), "c.parquet"), lambda df, _: sinks.upsert(df, root, ["k"]))
     assert sinks.current(spark, root).count() == 2
+
+
+def test_pages_of_a_listing(spark, tmp_path):
+    for k in ("a/1.txt", "a/2.txt", "a/b/3.txt", "ab.txt", "c.txt"):
+        (tmp_path / k).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / k).write_text(k)
+    root, got, at = f"file:{tmp_path}", [], None
+    while True:
+        page, at = listing.list_page(spark, root, "a", at, 2)
+        got += [r.key for r in page]
+        if at is None:
+            break
+    assert got == ["a/1.txt", "a/2.txt", "a/b/3.txt", "ab.txt"]
+    _, at = listing.list_page(spark, root, "a", None, 1)
+    with pytest.raises(ValueError):
+        listing.list_page(spark, root, "b", at)
+    assert [r.key for r in listing.list_objects(spark, root, "a/b/").collect()] == ["a/b/3.txt"]
+    assert listing.list_page(spark, root, "no/such/") == ([], None)
