@@ -216,7 +216,7 @@ def test_depths_are_those_of_climbing_both_ways():
 
 def test_audit_is_brute_force(spark):
     r = random.Random(2)
-    texts = {f"d{k}": "".join(r.choice(["ab ", "cd\n", "e" * 350, "👍 "]) for _ in range(r.randint(0, 200))) for k in range(12)} | {"null": None}
+    texts = {f"d{k}": "".join(r.choice(["ab ", "cd\n", "e" * 350, "👍 ", "。"] if k % 2 else ["日本語。", "文。" * 40, "e" * 90, "語" * 200] + ["ab "] * (k % 4)) for _ in range(r.randint(0, 200))) for k in range(24)} | {"null": None}
     stored = []
     for d, t in texts.items():
         for i, (s, e) in enumerate(splitting.pieces(t)):
