@@ -47,10 +47,10 @@ def budgets(placed: DataFrame, targets: DataFrame, total_tokens: int | None = No
 
     total_tokens: size of the mixture aimed at; the size of all documents of the named sources if not given.
     """
-    per_block = placed.groupBy("source", "block").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("docs"))
+    per_block = placed.groupBy("source", "block").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("docs"), F.max("tokens").alias("largest"))
     before = F.sum("tokens").over(Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
     starts = per_block.select("source", "block", F.coalesce(before, F.lit(0)).alias("before"))
-    per_source = _targets(targets).join(per_block.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.sum("docs").alias("docs")), "source", "left").na.fill(0, ["tokens", "docs"])
+    per_source = _targets(targets).join(per_block.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.sum("docs").alias("docs"), F.max("largest").alias("largest")), "source", "left").na.fill(0, ["tokens", "docs", "largest"])
     total = F.lit(total_tokens).cast("long") if total_tokens is not None else F.sum("tokens").over(Window.partitionBy())  # a row per named source
     plan = per_source.withColumn("budget", F.round(F.col("target_share") * total).cast("long"))
     plan = plan.withColumn("grant", F.least("budget", F.col("tokens") * F.col("max_repeats")))
@@ -78,9 +78,10 @@ def mixture(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = Non
 
 
 def shares(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = 0) -> DataFrame:
-    """Per named source: target and reached share, budget and tokens taken, documents, how often they are repeated at most, and what could be taken."""
+    """Per named source: target and reached share, budget and tokens taken, documents, how often they are repeated at most,
+    what could be taken and the tokens of its largest document."""
     plan, mixed = _mixed(sizes, targets, total_tokens, seed)
-    taken = mixed.groupBy("source").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("taken_tokens"), F.sum("repeats").alias("taken_docs"), F.max("repeats").alias("most_repeats"), F.max("tokens").alias("largest"))
-    x = plan.select("source", "target_share", "max_repeats", F.col("docs").alias("source_docs"), F.col("tokens").alias("source_tokens"), F.col("budget").alias("budget_tokens"), F.col("grant").alias("granted_tokens")).join(taken, "source", "left").na.fill(0, ["taken_tokens", "taken_docs", "most_repeats", "largest"])
+    taken = mixed.groupBy("source").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("taken_tokens"), F.sum("repeats").alias("taken_docs"), F.max("repeats").alias("most_repeats"))
+    x = plan.select("source", "target_share", "max_repeats", F.col("docs").alias("source_docs"), F.col("tokens").alias("source_tokens"), F.col("budget").alias("budget_tokens"), F.col("grant").alias("granted_tokens"), "largest").join(taken, "source", "left").na.fill(0, ["taken_tokens", "taken_docs", "most_repeats"])
     everything = F.sum("taken_tokens").over(Window.partitionBy())  # a row per named source
     return x.withColumn("reached_share", F.when(everything > 0, F.col("taken_tokens") / everything).otherwise(F.lit(0.0))).withColumn("missing_tokens", F.greatest(F.col("budget_tokens") - F.col("taken_tokens"), F.lit(0)))
